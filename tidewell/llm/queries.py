@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import decontaminate, mixing, quality, simhash, token_counts
+from tidewell.llm import decontaminate, mixing, pii, quality, simhash, token_counts
 from tidewell.llm.common import table
 
 
@@ -21,6 +21,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op3_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_report(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -39,6 +43,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pareto_mix": op1_pareto_mix,
     "op2_quality_rules": op2_quality_rules,
+    "op3_pii_spans": op3_pii_spans,
     "op6_token_counts": op6_token_counts,
     "op7_simhash_vptree": op7_simhash_vptree,
     "op9_decontamination": op9_decontamination,
