@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import decontaminate, mixing, pii, quality, simhash, token_counts
-from tidewell.llm.common import table
+from tidewell.llm import decontaminate, mixing, pii, quality, simhash, token_counts, warc
+from tidewell.llm.common import scratch, table
 
 
 def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +36,12 @@ def op7_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op8_warc_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "warc")
+    warc.write_warc(table(spark, sf_dir, "pages"), path)
+    return warc.read_warc(spark, path, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -46,7 +52,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pii_spans": op3_pii_spans,
     "op6_token_counts": op6_token_counts,
     "op7_simhash_vptree": op7_simhash_vptree,
+    "op8_warc_shards": op8_warc_shards,
     "op9_decontamination": op9_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_warc_shards": """
+        WITH p AS (
+            SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages
+        ), k AS (SELECT d, max(page_id) AS keep FROM p WHERE n >= 1000 GROUP BY d)
+        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, p.d AS payload_digest,
+               CASE WHEN keep <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN keep <> page_id THEN keep END AS refers_to
+        FROM p LEFT JOIN k ON p.d = k.d AND p.n >= 1000
+    """,
+}
