@@ -235,10 +235,10 @@ class Folder:
         self.store, self.path = pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
     def create(self, name: str):
-        return self.store.open_output_stream(f"{self.path}/{name}")
+        return self.store.open_output_stream(f"{self.path}/{name}", compression=None)
 
     def open(self, name: str):
-        return self.store.open_input_stream(f"{self.path}/{name}")
+        return self.store.open_input_stream(f"{self.path}/{name}", compression=None)
 
     def move(self, name: str, to: Folder, new: str, size: int) -> None:
         """Renames a file; one that an earlier attempt renamed is left."""
