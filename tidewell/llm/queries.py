@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import decontaminate, mixing, pii, quality, simhash, token_counts, warc
+from tidewell.llm import decontaminate, html_extract, mixing, pii, quality, simhash, token_counts, warc
 from tidewell.llm.common import scratch, table
 
 
@@ -25,6 +25,10 @@ def op3_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(table(spark, sf_dir, "documents"))
 
 
+def op4_tag_path_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pareto_mix": op1_pareto_mix,
     "op2_quality_rules": op2_quality_rules,
     "op3_pii_spans": op3_pii_spans,
+    "op4_tag_path_text": op4_tag_path_text,
     "op6_token_counts": op6_token_counts,
     "op7_simhash_vptree": op7_simhash_vptree,
     "op8_warc_shards": op8_warc_shards,
