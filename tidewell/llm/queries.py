@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import decontaminate, html_extract, mixing, pii, quality, simhash, token_counts, warc
+from tidewell.llm import decontaminate, html_extract, line_dedup, mixing, pii, quality, simhash, token_counts, warc
 from tidewell.llm.common import scratch, table
 
 
@@ -29,6 +29,10 @@ def op4_tag_path_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_pii_spans": op3_pii_spans,
     "op4_tag_path_text": op4_tag_path_text,
+    "op5_line_dedup": op5_line_dedup,
     "op6_token_counts": op6_token_counts,
     "op7_simhash_vptree": op7_simhash_vptree,
     "op8_warc_shards": op8_warc_shards,
