@@ -1,4 +1,8 @@
-"""The corpus pipeline: quality rules, line dedup, near-dedup, decontamination, mixing."""
+"""The corpus pipeline: quality rules, line dedup, near-dedup, decontamination, mixing.
+
+Each stage is a function of (spark, docs, sf_dir); its result is written and read again as the next stage's documents.
+All but the last return the columns of documents; the last tells how often the mix takes each document that is left.
+"""
 
 from __future__ import annotations
 
@@ -8,24 +12,41 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidewell.llm.common import materialize, table
 from tidewell.llm.decontaminate import decontaminate
+from tidewell.llm.line_dedup import dedup_lines
 from tidewell.llm.mixing import mix
 from tidewell.llm.quality import filter_quality
+from tidewell.llm.simhash import drop_near_duplicates
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules and the learned decision list keep."""
     return filter_quality(docs, table(spark, sf_dir, "labels"))
 
 
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Only the earliest of equal and near lines; documents left without words go."""
+    return dedup_lines(docs)
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of SimHash links over five-word shingles."""
+    return drop_near_duplicates(docs, shingle=5)
+
+
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Spans of benchmark items cut; documents that are mostly such spans go."""
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Size, target and copies of every document left."""
     return mix(docs).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality_rules", quality_stage),
+    ("line_dedup", line_stage),
+    ("simhash_near_dedup", near_dedup_stage),
     ("decontamination", decontamination_stage),
     ("mixing", mixing_stage),
 ]
@@ -38,4 +59,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
+#: SQL can express neither the learned rules nor XXH64 fingerprints.
 ORACLE_SQL: str | None = None
