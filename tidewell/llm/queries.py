@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import decontaminate, html_extract, line_dedup, mixing, pii, quality, simhash, token_counts, warc
+from tidewell.llm import chaining, decontaminate, html_extract, line_dedup, mixing, pii, quality, simhash, token_counts, warc
 from tidewell.llm.common import scratch, table
 
 
@@ -54,6 +54,10 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_collinear_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chaining.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pareto_mix": op1_pareto_mix,
     "op2_quality_rules": op2_quality_rules,
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_simhash_vptree": op7_simhash_vptree,
     "op8_warc_shards": op8_warc_shards,
     "op9_decontamination": op9_decontamination,
+    "op10_collinear_chains": op10_collinear_chains,
 }
 
 ORACLE_SQL: dict[str, str] = {
