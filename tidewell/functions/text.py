@@ -305,7 +305,7 @@ def canonical_name(s: Column, aliases: dict[str, str]) -> Column:
 
 def comma_location(s: Column) -> Column:
     """struct<name, address, city> of "Name, 12 Main St, City"; null for another shape."""
-    parts = F.filter(F.transform(F.split(s, ","), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(s, ","), lambda p: F.trim(p)), lambda p: p != "")
     fits = (F.size(parts) >= 3) & F.get(parts, F.lit(1)).rlike(r"^\d+\s+\S") & ~F.get(parts, F.lit(0)).rlike(r"^\d")
     city = F.when(~F.get(parts, F.lit(2)).rlike(r"^\d"), F.get(parts, F.lit(2)))
     return F.when(fits, F.struct(F.get(parts, F.lit(0)).alias("name"), F.get(parts, F.lit(1)).alias("address"), city.alias("city")))
@@ -313,7 +313,7 @@ def comma_location(s: Column) -> Column:
 
 def municipal_location(s: Column, decode=decode_entities) -> Column:
     """struct<name, address> of a municipal feed's location: HTML lines or " - " parts, the first with a house number is the address."""
-    lines = F.filter(F.transform(F.split(F.regexp_replace(html_to_text(s, decode), r"\s+[-–—]\s+", "\n"), r"\n+"), F.trim), lambda p: p != "")
+    lines = F.filter(F.transform(F.split(F.regexp_replace(html_to_text(s, decode), r"\s+[-–—]\s+", "\n"), r"\n+"), lambda p: F.trim(p)), lambda p: p != "")
     at = lambda test: F.get(F.filter(lines, test), F.lit(0))
     return F.struct(at(lambda p: ~p.rlike(r"^\d")).alias("name"), at(lambda p: p.rlike(r"^\d+\s+\S")).alias("address"))
 

@@ -53,14 +53,14 @@ def matched(events: DataFrame, subscribers: DataFrame, now: datetime, most_subsc
     pool = events.filter(F.col("start_at") >= F.lit(now)).withColumn("day", F.to_date("start_at"))
     end = window_end(F.col("frequency"), F.col("lookahead_days"), now)
     days = F.explode(F.sequence(F.lit(now).cast("date"), F.to_date(end)))
-    subs = subscribers.withColumn("until", end).withColumn("s_day", days)
+    subs = subscribers.withColumn("until", end).withColumn("s_day", days).withColumnRenamed("price_max", "most_paid")
     subs = F.broadcast(subs) if subscribers.limit(most_subscribers + 1).count() <= most_subscribers else subs
     met = pool.join(subs, F.col("day") == F.col("s_day")).filter(F.col("start_at") <= F.col("until"))
     located = F.col("lat").isNull() | F.col("lng").isNull() | (F.size("areas") == 0) | geo.any_within(F.col("lat"), F.col("lng"), F.col("areas"), F.col("miles"))
     wanted = (
         F.array_contains("event_days", times.day_of_week(F.col("start_at")))
         & ((F.size("categories") == 0) | F.array_contains(F.col("categories"), F.col("category")))
-        & (F.col("price_max").isNull() | (F.coalesce("price_min", F.lit(0)) <= F.col("price_max")))
+        & (F.col("most_paid").isNull() | (F.coalesce("price_min", F.lit(0)) <= F.col("most_paid")))
         & located
     )
     hit = F.exists("keywords", lambda k: F.contains(F.concat(F.lit(" "), F.regexp_replace(F.lower("title"), r"[^a-z0-9]+", " "), F.lit(" ")), F.concat(F.lit(" "), F.lower(k), F.lit(" "))))
