@@ -75,7 +75,7 @@ def straight_quotes(s: Column) -> Column:
 
 def strip_html(s: Column, decode=decode_entities) -> Column:
     """One line of text: tags to blanks, references decoded, quotes straightened, white space folded."""
-    return F.trim(F.regexp_replace(straight_quotes(decode(F.regexp_replace(drop_blocks(s), r"<[^>]*>", " "))), r"\s+", " "))
+    return F.trim(F.regexp_replace(straight_quotes(decode(F.regexp_replace(drop_blocks(s), r"<[^>]*>", " "))), r"[\s\p{Z}\x{FEFF}]+", " "))
 
 
 def html_to_text(s: Column, decode=decode_entities) -> Column:
