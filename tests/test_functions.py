@@ -401,3 +401,41 @@ def test_overlaps_touch_no_other(spark):
     frame = spark.createDataFrame([(g, i, datetime.fromisoformat(f"2024-01-01 {s}"), e and datetime.fromisoformat(f"2024-01-01 {e}")) for g, i, s, e in rows], "g int, id int, start_at timestamp, end_at timestamp")
     assert sorted((r["a"], r["b"]) for r in joins.overlaps(frame, "g").collect()) == [(1, 2), (6, 1), (6, 2), (6, 3)]
 
+
+
+def test_festivals(spark):
+    from tidewell.plans import pages
+
+    rows = [("oak-day-2023", "Oak Day", date(2023, 6, 1)), ("oak-day-2024", "Oak Day", date(2024, 6, 1)), ("elm-2024", "Elm Fest", date(2024, 6, 5))]
+    registry = spark.createDataFrame(rows, "slug string, name string, day date")
+    asked = spark.createDataFrame([(1, "oak day"), (2, "Oak_Day 2023"), (3, "elm"), (4, "Elm Fest")], "ask_id int, name string")
+    found = {r["ask_id"]: r["slug"] for r in pages.resolve_festivals(asked, registry, date(2024, 1, 1)).collect()}
+    assert found == {1: "oak-day-2024", 2: "oak-day-2023", 4: "elm-2024"}
+    assert [pages.upcoming_festival(registry, datetime(2024, m, d, 12)).first()["slug"] for m, d in ((5, 30), (6, 2), (7, 1))] == ["oak-day-2024", "elm-2024", None]
+
+
+def test_day_plan_changes(spark):
+    from tidewell.plans import day_plans
+
+    at = [datetime(2024, 1, d) for d in (1, 2, 3)]
+    items = spark.createDataFrame([(1, 7, at[0], True), (1, 8, at[0], False)], "plan_id long, event_id long, added_at timestamp, removed boolean")
+    back = day_plans.added(items, spark.createDataFrame([(1, 7, at[1]), (1, 9, at[2])], "plan_id long, event_id long, added_at timestamp"))
+    gone = day_plans.removed(back, spark.createDataFrame([(1, 8)], "plan_id long, event_id long"))
+    assert sorted(map(tuple, gone.collect())) == [(1, 7, at[0], False), (1, 8, at[0], True), (1, 9, at[2], False)]
+    plans = spark.createDataFrame([(1, "a")], "plan_id long, title string")
+    more = day_plans.created(plans, spark.createDataFrame([(1, "x"), (2, "b")], "plan_id long, title string"))
+    assert sorted(map(tuple, day_plans.titled(more, spark.createDataFrame([(2, "B")], "plan_id long, title string")).collect())) == [(1, "a"), (2, "B")]
+
+
+def test_digest_ledger_makes_reruns_harmless(spark, sf_dir):
+    from tidewell.catalog import AS_OF
+    from tidewell.plans import mailing
+    from tidewell.queries.entities import placed_events, subscribers
+
+    events = placed_events(spark, sf_dir).withColumns({"description": F.col("title"), "ticket_url": F.col("image_url"), "org": F.col("organization_id").cast("string")})
+    subs = subscribers(spark, sf_dir).filter("sub_id < 12").withColumns({"active": F.lit(True), "send_day": F.lit(1)})
+    ledger = spark.createDataFrame([], "key string, sent_at timestamp")
+    sent = mailing.run(mailing.pool(events, AS_OF), subs, ledger, AS_OF)
+    after = mailing.recorded(ledger, sent, AS_OF)
+    assert sent.count() > 0 and mailing.run(mailing.pool(events, AS_OF), subs, after, AS_OF).count() == 0
+    assert mailing.recorded(after, sent, AS_OF).count() == after.count()

@@ -90,6 +90,13 @@ def locate(points: DataFrame, polygons: DataFrame, lat: str = "lat", lng: str =
     return keyed.join(first, "_point", "left").drop("_point")
 
 
+def locality(lat: Column, lng: Column, rings: Column, city: Column, inside: tuple[str, ...], outside: tuple[str, ...]) -> Column:
+    """in, out or unknown: by coordinates where there are any, else by lists of cities."""
+    named = F.lower(F.trim(city))
+    by_name = F.when(named.isin(*inside), "in").when(named.isin(*outside), "out").otherwise("unknown")
+    return F.when(lat.isNull() | lng.isNull(), by_name).when(in_polygon(lng, lat, rings), "in").otherwise("out")
+
+
 def any_within(lat: Column, lng: Column, areas: Column, miles: Column) -> Column:
     """Whether a point lies within ``miles`` of any of an array of structs with lat and lng."""
     return F.exists(areas, lambda a: haversine(a["lat"], a["lng"], lat, lng) <= miles)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions import text, times
+from tidewell.scratch import materialize
 
 WINDOW_SECONDS = 2 * 3600
 DESCRIPTION_LEAST = 20
@@ -167,10 +168,11 @@ def duplicate_groups(events: DataFrame, placeholders: tuple[str, ...] = ()) -> D
             some = some.join(g.select(F.col("event_id").alias("g_id")), F.col("id") == F.col("g_id"), "left_anti")
         return some
 
-    one = anchored(exact_pairs(placed), ["place", "second"], 1)
-    two = anchored(fuzzy_pairs(left(placed, one)), ["place"], 2)
-    three = anchored(placeholder_pairs(left(placed, one, two)), ["place", "day"], 3)
-    four = assigned(venueless_pairs(left(placed, one, two, three), loose))
+    # each pass is written, as all later ones read it: otherwise the first would run again for every other
+    one = materialize(anchored(exact_pairs(placed), ["place", "second"], 1), "pass")
+    two = materialize(anchored(fuzzy_pairs(left(placed, one)), ["place"], 2), "pass")
+    three = materialize(anchored(placeholder_pairs(left(placed, one, two)), ["place", "day"], 3), "pass")
+    four = materialize(assigned(venueless_pairs(left(placed, one, two, three), loose)), "pass")
     return one.unionByName(two).unionByName(three).unionByName(four)
 
 
@@ -306,16 +308,14 @@ def similar_venues(venues: DataFrame, threshold: float = 0.6, metres: float = 75
     return exact.unionByName(address).unionByName(fuzzy).unionByName(pair(left, right, ["y", "x"], near, "GEO")).distinct()
 
 
-def venue_clusters(edges: DataFrame, checkpoint_every: int = 3, most_rounds: int = 50) -> DataFrame:
-    """(node, component) of connected components by minimum labels; rounds are checkpointed where a checkpoint folder is set."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+def venue_clusters(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
+    """(node, component) of connected components by minimum labels; each round is written, which cuts lineage."""
+    both = materialize(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("component"))
-    for turn in range(1, most_rounds + 1):
+    for _ in range(most_rounds):
         near = both.join(labels, F.col("b") == F.col("node")).select(F.col("a").alias("node"), "component")
         new = labels.select("node", "component", F.col("component").alias("old")).unionByName(near.withColumn("old", F.lit(None).cast("long")))
-        grouped = new.groupBy("node").agg(F.min("component").alias("component"), F.max("old").alias("old"))
-        has_folder = edges.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()
-        grouped = grouped.checkpoint() if has_folder and turn % checkpoint_every == 0 else grouped
+        grouped = materialize(new.groupBy("node").agg(F.min("component").alias("component"), F.max("old").alias("old")), "labels")
         labels = grouped.select("node", "component")
         if grouped.filter("component <> old").isEmpty():
             return labels

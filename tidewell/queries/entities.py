@@ -94,13 +94,14 @@ def dup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.duplicate_groups(listings(spark, sf_dir), ("src7",)).withColumnRenamed("pass", "pass_no")
 
 
+def described(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listings(spark, sf_dir).withColumns({"description": F.when(F.col("id") % 3 == 0, F.lit("A description that is long enough")), "overridden": F.col("id") % 97 == 0})
+
+
 def ranked_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = listings(spark, sf_dir)
-    groups = matching.duplicate_groups(e, ("src7",))
-    rows = matching.prepared(e, ("src7",)).select("id", "source", "start_at", "place", "second", "key", "low")
-    extra = e.select(F.col("id").alias("x_id"), "image_url", "source_id", F.when(F.col("id") % 3 == 0, F.lit("A description that is long enough")).alias("description"), (F.col("id") % 97 == 0).alias("overridden"))
-    members = groups.join(rows, F.col("event_id") == F.col("id")).join(extra, F.col("id") == F.col("x_id")).withColumn("priority", matching.priority(F.col("source"), ("src3", "src1"), ("src6", "src7")))
-    return matching.canonical(members)
+    from tidewell.plans import dedupe
+
+    return dedupe.ranked(described(spark, sf_dir), ("src7",), ("src3", "src1"), ("src6", "src7"))
 
 
 @query()
@@ -248,6 +249,50 @@ def gate_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gated(calls).groupBy("plan_id").agg(F.count("*").alias("n"))
 
 
+@query("""WITH it AS (SELECT l_orderkey AS plan_id, l_partkey AS event_id, min(l_linenumber) AS added_at FROM lineitem WHERE l_orderkey < 500 GROUP BY 1, 2), e AS (SELECT event_id AS id, ts FROM events WHERE event_id % 3 <> 0)
+  SELECT o_orderkey AS plan_id, count(it.event_id) AS n, coalesce(string_agg(CASE WHEN e.id IS NULL THEN 'gone' ELSE 'ok' END || CAST(it.event_id AS VARCHAR), ',' ORDER BY coalesce(e.ts, TIMESTAMP '2000-01-01 00:00:00'), it.event_id), '') AS items FROM orders LEFT JOIN it ON plan_id = o_orderkey LEFT JOIN e ON e.id = it.event_id WHERE o_orderkey < 500 GROUP BY 1""")
+def plan_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewell.plans import day_plans
+
+    none = F.lit(None).cast("string")
+    items = catalog.plan_items(spark, sf_dir).filter("plan_id < 500").groupBy("plan_id", "event_id").agg(F.min("line").alias("added_at"))
+    items = items.withColumns({"snap_source": none, "snap_source_id": none, "snap_title": none, "snap_start_at": F.lit(datetime(2000, 1, 1))})
+    aliases = spark.createDataFrame([], "source string, source_id string, canonical_id long")
+    made = day_plans.as_json(catalog.plans(spark, sf_dir).filter("plan_id < 500"), items, catalog.events(spark, sf_dir).filter("id % 3 <> 0"), aliases)
+    parsed = F.from_json("items", "array<struct<event_id:long,status:string>>")
+    return made.select("plan_id", F.size(parsed).cast("long").alias("n"), F.array_join(F.transform(parsed, lambda i: F.concat(i["status"], i["event_id"].cast("string"))), ",").alias("items"))
+
+
+@query()
+def dedupe_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Everything that one capped run does, as (kind, id, detail)."""
+    from tidewell.plans import dedupe
+
+    e, members = described(spark, sf_dir), ranked_members(spark, sf_dir)
+    links = catalog.events(spark, sf_dir).filter("id % 2 = 0").select(F.col("id").alias("event_id"), "venue_id", F.col("organization_id"))
+    credits = spark.createDataFrame([("src6", 6)], "source string, organization_id long")
+    done = dedupe.run(members, links.select("event_id", "venue_id"), links.select("event_id", "organization_id"), credits, e.count(), 100)
+    row = lambda df, kind, id_, detail: df.select(F.lit(kind).alias("kind"), F.col(id_).alias("id"), detail.cast("string").alias("detail"))
+    return (
+        row(done.deletes, "delete", "id", F.col("group_id"))
+        .unionByName(row(done.merges, "merge", "id", F.coalesce("image_url", "description")))
+        .unionByName(row(done.venue_links, "venue", "canonical_id", F.col("venue_id")))
+        .unionByName(row(done.organization_links, "organization", "canonical_id", F.col("organization_id")))
+        .unionByName(row(done.aliases, "alias", "canonical_id", F.col("reason")))
+    )
+
+
+@query()
+def digest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A day's mails for subscribers that the ledger has not recorded."""
+    from tidewell.plans import mailing
+
+    events = placed_events(spark, sf_dir).withColumns({"description": F.col("title"), "ticket_url": F.col("image_url"), "org": F.col("organization_id").cast("string")})
+    subs = subscribers(spark, sf_dir).withColumns({"active": F.col("sub_id") % 9 != 0, "send_day": F.lit(1)})
+    ledger = mailing.keyed(subs.filter("sub_id % 10 = 1"), AS_OF).select("key")
+    return mailing.run(mailing.pool(events, AS_OF, ("fest-a",)), subs, ledger, AS_OF)
+
+
 # Digests and calendars ---------------------------------------------------------------------------------------------------
 
 

@@ -82,6 +82,14 @@ def even_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.array_join(windows.even_positions(F.col("p_size") + 10, 5).cast("array<string>"), ",").alias("places"))
 
 
+@query(f"""WITH {VENUES_SQL} SELECT CASE WHEN id % 4 = 0 THEN CASE id % 3 WHEN 0 THEN 'in' WHEN 1 THEN 'out' ELSE 'unknown' END WHEN lat > 41.0005 AND lat < 41.0505 AND lng > -81.4755 AND lng < -81.4305 THEN 'in' ELSE 'out' END AS place, count(*) AS n FROM ve GROUP BY 1""")
+def locality_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rings = F.array(F.array(*(F.array(F.lit(x), F.lit(y)) for x, y in ((-81.4755, 41.0005), (-81.4305, 41.0005), (-81.4305, 41.0505), (-81.4755, 41.0505)))))
+    city = F.expr("CASE id % 3 WHEN 0 THEN ' Oakville' WHEN 1 THEN 'FARAWAY' ELSE 'x' END")
+    lat = F.when(F.col("id") % 4 != 0, F.col("lat"))
+    return catalog.venues(spark, sf_dir).groupBy(geo.locality(lat, F.col("lng"), rings, city, ("oakville",), ("faraway",)).alias("place")).agg(F.count("*").alias("n"))
+
+
 @query()
 def digest_jitter(spark: SparkSession, sf_dir: str) -> DataFrame:
     seed = digest.fnv1a(F.col("p_name"))
