@@ -237,7 +237,9 @@ def near_duplicates(docs: DataFrame, bits: int = 4, shingle: int = 4, spare: int
         distinct.join(groups, F.col("fp") == F.col("node"), "left")
         .select("fp", "first_id", F.coalesce("component", "fp").alias("root"))
     )
-    ids = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    # tables that are joined are written first: both sides are then plain shuffles, and a hot component can be split
+    rooted = materialize(rooted, "rooted")
+    ids = materialize(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "component-ids")
     named = materialize(rooted.join(ids, "root").select(F.col("fp").alias("d_fp"), "component_id"), "components")
     return made.join(named, F.col("fp") == F.col("d_fp")).select("doc_id", "fp", "component_id")
 

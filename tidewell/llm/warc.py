@@ -169,6 +169,8 @@ def write_warc(
     at, ranges, count, info = _sharded(pages, shards, shard_bytes)
     large = info.filter(F.col("size") >= LEAST_REVISIT)
     copies = large.groupBy("digest", "size").agg(F.max("page_id").alias("keep"), F.count("*").alias("n")).filter((F.col("n") > 1) & F.col("keep").isNotNull())
+    # written before it is joined: both sides are then plain shuffles, and a hot digest can be split
+    copies = materialize(copies, "warc-copies")
     revisits = (
         large.join(copies.drop("n"), ["digest", "size"])
         .filter(~F.col("page_id").eqNullSafe(F.col("keep")))
