@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tidewell.llm import chaining, decontaminate, html_extract, line_dedup, mixing, pii, quality, simhash, token_counts, warc
+from tidewell.llm.common import materialize
 from tidewell.llm.components import connected_components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -293,7 +294,7 @@ def test_components_equal_brute_force(spark, texts):
     for spare in (0, 1):
         for r in simhash.near_duplicates(docs, spare=spare).collect():
             assert (r["fp"] % (1 << 64), r["component_id"]) == (fps[r["doc_id"]], find(r["doc_id"]))
-    kept = simhash.drop_near_duplicates(docs)
+    kept = simhash.drop_near_duplicates(docs, shingle=4, similarity=None)
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {find(i) for i in range(len(texts))}
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
@@ -320,6 +321,29 @@ def test_shards_are_exact_in_any_shape(spark):
     assert set(map(frozenset, groups.values())) == set(map(frozenset, mine.values()))
 
 
+def test_similarity_links_texts_that_share_their_shingles(spark):
+    r = random.Random(11)
+    fresh = lambda n: [f"u{r.randrange(10**6)}" for _ in range(n)]
+    bases = [fresh(120) for _ in range(6)]
+    edit = lambda w, at: " ".join("E" if i in at else x for i, x in enumerate(w))
+    texts = [" ".join(b) for b in bases] + [edit(b, {10 * k}) for k, b in enumerate(bases)]
+    texts += [edit(bases[0], {7 + k % 100}) for k in range(300)]  # each near the first
+    texts += [" ".join(bases[k][:60] + fresh(60)) for k in range(6)]  # half in common: not near
+    texts += ["same few", "Same  few", None, "", "one"]
+    docs = docs_of(spark, texts).withColumn("sig", F.lit("clash"))
+    found = {x["doc_id"]: x["component_id"] for x in simhash.near_duplicates(docs, shingle=5, similarity=0.8).collect()}
+    assert all(found[i] == i % 6 for i in range(12)) and all(found[i] == 0 for i in range(12, 312))
+    assert all(found[i] == i for i in range(312, 318))
+    assert [found[i] for i in range(318, 323)] == [318, 318, 320, 320, 322]
+    few = [t for t in texts[:60]]
+    signed = materialize(simhash.fingerprints(docs_of(spark, few), 5, signed=True).groupBy("fp").agg(F.min("sig").alias("sig")), "signed")
+    for tile in (7, 4096):  # tiles lose nothing
+        links = simhash.similar_links(signed, tile=tile)
+        assert connected_components(links).select("component").distinct().count() == 6
+    assert simhash.drop_near_duplicates(docs).columns == docs.columns
+    assert simhash.near_duplicates(docs.limit(0), similarity=0.8).count() == 0
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (7, 7), (501, 500)] + [(None, 3)], "a long, b long")
     found = {r["node"]: r["component"] for r in connected_components(links).collect()}

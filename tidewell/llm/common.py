@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,6 +70,19 @@ def map_rows(
     return frame.mapInArrow(run, schema)
 
 
+def grouped(batches: Iterator[pa.RecordBatch], arrays: Callable[[pa.RecordBatch], tuple[np.ndarray, ...]]) -> Iterator[list[tuple[np.ndarray, ...]]]:
+    """The groups of rows that come sorted by the first of ``arrays``, each whole, as tuples of the other arrays; a list a batch."""
+    held: tuple[np.ndarray, ...] | None = None
+    for batch in batches:
+        now = arrays(batch)
+        held = now if held is None else tuple(np.concatenate(x) for x in zip(held, now, strict=True))
+        edges = [0, *(np.flatnonzero(np.diff(held[0])) + 1).tolist()]
+        yield [tuple(x[a:b] for x in held[1:]) for a, b in zip(edges, edges[1:])]
+        held = tuple(x[edges[-1] :] for x in held)
+    if held is not None:
+        yield [held[1:]]
+
+
 def safe(frame: DataFrame, *names: str) -> list[str]:
     """Fresh column names with the given stems that clash with no column of ``frame``."""
     taken = {c.lower() for c in frame.columns}

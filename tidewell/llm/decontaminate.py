@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from tidewell.llm.common import map_rows, materialize, safe, utf8
 
-#: Words of items in one automaton (about 200 bytes each in a task); larger benchmarks take more passes.
-MAX_WORDS = 2_000_000
+#: Words of items in one automaton (up to 1 kB each in a task); larger benchmarks take more passes.
+MAX_WORDS = 300_000
 #: Lower-cases A-Z, keeps digits, letters and all bytes of characters beyond ASCII, and turns the rest into spaces.
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 

@@ -8,6 +8,11 @@ within that band the query ball has radius 0.  A vantage-point tree over each ba
 leaves; the radius-0 ball overlaps just one), and within a shard a vantage-point tree over full distances prunes by triangle
 bounds and queries the points near the boundary on both sides.  A shard yields a spanning forest of its links, never all
 pairs, and components are joined by label propagation.
+
+Four bits hold copies with few edits only: texts that share 0.8 of their shingles differ by 5 to 17 bits, a ball that no
+exact Hamming search prunes.  Where a ``similarity`` is asked for, links between texts that share so many shingles are
+therefore added to those of the trees: texts that agree in a band of a MinHash signature meet in a group, in which each is
+compared with the group's leaders by the whole signature.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import map_rows, materialize, safe, utf8
+from tidewell.llm.common import grouped, map_rows, materialize, safe, utf8
 from tidewell.llm.components import connected_components
 
 SEED = 42
@@ -33,25 +38,37 @@ LEAF_VALUES = 1
 TILE = 16_384
 #: Points that are compared with each other directly.
 BLOCK = 256
+#: Hashes of a signature; bands of it, and hashes in each, by which texts meet.  Texts that share 0.8 of their shingles
+#: meet with a probability of 0.9996.
+HASHES, BANDS, ROWS = 256, 20, 5
+FACTORS = np.random.default_rng(SEED).integers(1 << 62, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: A signature's share of agreeing hashes has a standard error of 0.025 about 0.8; this much below the similarity still links.
+SLACK = 0.02
+#: Members of a band's group beyond which it is cut into tiles.
+BAND_TILE = 4096
 
 
-def fingerprint(text: bytes, shingle: int = 4) -> int:
-    """64-bit SimHash: bit b is set where over half of the shingles' XXH64 have it.
+def shingles(text: bytes, size: int) -> np.ndarray:
+    """XXH64 of the text's shingles.
 
     A-Z are lower-cased; words are runs without ASCII white space; shingles are joined by one space, repeats included; fewer
-    words make one shingle; no words give zero.
+    words make one shingle, no words none.
     """
     tokens = text.lower().split()
     if not tokens:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(tokens)
-    if len(tokens) <= shingle:
-        return xxhash.xxh64_intdigest(joined, SEED)
+    digest = xxhash.xxh64_intdigest
+    if len(tokens) <= size:
+        return np.array([digest(joined, SEED)], np.uint64)
     sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
     starts = np.concatenate(([0], np.cumsum(sizes + 1)[:-1]))
-    stops = (starts + sizes)[shingle - 1 :]
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), stops.tolist())], np.uint64)
+    stops = (starts + sizes)[size - 1 :]
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), stops.tolist())], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """64-bit SimHash: bit b is set where over half of the hashes have it; zero without hashes."""
     votes = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 8192):
         part = hashes[at : at + 8192]
@@ -60,14 +77,27 @@ def fingerprint(text: bytes, shingle: int = 4) -> int:
     return int((bits << np.arange(64, dtype=np.uint64)).sum())
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of every row; null texts have no words."""
+def fingerprint(text: bytes, shingle: int = 4) -> int:
+    return majority(shingles(text, shingle))
+
+
+def signature(hashes: np.ndarray) -> bytes:
+    """MinHash signature: of each of HASHES multiples of the hashes the low 16 bits of the smallest."""
+    least = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 2048):
+        np.minimum(least, np.multiply.outer(FACTORS, hashes[at : at + 2048]).min(axis=1), out=least)
+    return (least & np.uint64(0xFFFF)).astype(np.uint16).tobytes()
+
+
+def fingerprints(docs: DataFrame, shingle: int = 4, signed: bool = False) -> DataFrame:
+    """doc_id, fp (the fingerprint as a signed long) and, if ``signed``, sig (the signature) of every row; null texts have no words."""
 
     def fn(c: dict[str, list]) -> dict[str, list]:
-        made = np.array([fingerprint(t, shingle) for t in c["text"]], np.uint64)
-        return {"doc_id": c["doc_id"], "fp": made.view(np.int64)}
+        hashes = [shingles(t, shingle) for t in c["text"]]
+        made = np.array([majority(h) for h in hashes], np.uint64)
+        return {"doc_id": c["doc_id"], "fp": made.view(np.int64)} | ({"sig": [signature(h) for h in hashes]} if signed else {})
 
-    return map_rows(docs.select("doc_id", utf8("text").alias("text")), fn, "doc_id long, fp long")
+    return map_rows(docs.select("doc_id", utf8("text").alias("text")), fn, "doc_id long, fp long" + ", sig binary" * signed)
 
 
 @lru_cache(maxsize=8)
@@ -222,16 +252,71 @@ def hamming_links(distinct: DataFrame, bits: int = 4, spare: int = 0, tile: int
     return tiled.groupBy("band", "shard", "left", "right").applyInPandas(pairs, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, bits: int = 4, shingle: int = 4, spare: int = 0) -> DataFrame:
+def _tiles(rows: DataFrame, *key: str) -> DataFrame:
+    """group and fp: the rows of a key are one group, or, where ``tiles`` is set, one for each pair of tiles.
+
+    Groups are told apart by hash: two that fall together are compared needlessly, but only true links are kept.
+    """
+    mine = F.when(F.col("tiles").isNull(), 0).otherwise(F.pmod(F.xxhash64("fp"), F.col("tiles"))).cast("int")
+    paired = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("tiles") - 1, F.lit(0))))).withColumn("mine", mine)
+    return paired.select(F.xxhash64(*key, F.least("mine", "other"), F.greatest("mine", "other")).alias("group"), "fp")
+
+
+def _links(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    none = np.zeros(0, np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *(x[i] for x in found)])) for i in (0, 1)], names=["a", "b"])
+
+
+def similar_links(signed: DataFrame, similarity: float = 0.8, tile: int = BAND_TILE) -> DataFrame:
+    """Links (a, b) between fingerprints ``fp`` whose signatures ``sig`` tell of that share of common shingles.
+
+    In a group each member is compared with leaders, in an order of the group's own: the first member leads, those that
+    are like it are linked to it, and the first of the rest leads next.  So a group gives a link a member at most, not all
+    pairs, and copies with a chain of edits meet other leaders in other groups.  A group of more than ``tile`` members is
+    cut into tiles as in hamming_links.
+    """
+    least = similarity - SLACK
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def arrays(b: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+            sig = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint16).reshape(b.num_rows, HASHES)
+            return np.asarray(b.column(0), dtype=np.int64), np.asarray(b.column(1), dtype=np.int64), sig
+
+        for groups in grouped(batches, arrays):
+            out = []
+            for fp, sig in groups:
+                open_ = np.arange(len(fp))
+                while len(open_) > 1:
+                    lead, rest = open_[0], open_[1:]
+                    like = (sig[rest] == sig[lead]).mean(axis=1) >= least
+                    out.append((fp[rest[like]], np.full(int(like.sum()), fp[lead])))
+                    open_ = rest[~like]
+            yield _links(out)
+
+    band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substr("sig", i * (2 * ROWS) + 1, F.lit(2 * ROWS))))
+    keyed = signed.select("fp", F.explode(band).alias("key"))
+    # written before it is joined: both sides are then plain shuffles, and a hot key can be split
+    met = materialize(keyed.groupBy("key").count().filter("count > 1").select("key", F.when(F.col("count") > tile, F.ceil(F.col("count") / tile)).cast("int").alias("tiles")), "bands-met")
+    groups = _tiles(keyed.join(met, "key"), "key").select("group", F.col("fp").alias("g_fp"))
+    rows = groups.join(signed, F.col("g_fp") == F.col("fp")).select("group", "fp", "sig")
+    return rows.repartition("group").sortWithinPartitions("group", F.xxhash64("group", "fp"), "fp").mapInArrow(pairs, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, bits: int = 4, shingle: int = 4, spare: int = 0, similarity: float | None = None) -> DataFrame:
     """doc_id, fp and component_id of every row: the smallest doc_id reachable over links within ``bits`` differing bits.
 
-    Documents without words share fingerprint zero and are linked like any other; repeated rows fall together; null
-    doc_ids count as largest, so a component has a null id only if all its ids are null; an empty table gives no rows.
+    With a ``similarity``, texts that share so many of their shingles (intersection over union, by signature) are linked
+    as well.  Documents without words share fingerprint zero and are linked like any other; repeated rows fall together;
+    null doc_ids count as largest, so a component has a null id only if all its ids are null; an empty table gives no rows.
     """
-    made = materialize(fingerprints(docs, shingle), "fingerprints")
-    distinct = made.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    distinct = materialize(distinct, "distinct")
-    groups = connected_components(hamming_links(distinct, bits, spare))
+    signed = similarity is not None
+    made = materialize(fingerprints(docs, shingle, signed), "fingerprints")
+    first = made.groupBy("fp").agg(F.min("doc_id").alias("first_id"), *([F.min("sig").alias("sig")] if signed else []))
+    distinct = materialize(first, "distinct")
+    links = hamming_links(distinct, bits, spare)
+    if signed:
+        links = links.unionByName(similar_links(distinct.select("fp", "sig"), similarity))
+    groups = connected_components(links)
     # few fingerprints have links; the others are components of their own
     rooted = (
         distinct.join(groups, F.col("fp") == F.col("node"), "left")
@@ -244,12 +329,12 @@ def near_duplicates(docs: DataFrame, bits: int = 4, shingle: int = 4, spare: int
     return made.join(named, F.col("fp") == F.col("d_fp")).select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, bits: int = 4, shingle: int = 4) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, bits: int = 4, shingle: int = 5, similarity: float | None = 0.8) -> DataFrame:
     """The documents with one of each near-duplicate component: its smallest doc_id, and of rows sharing that id one.
 
     Columns as given.  Only ids travel to the join, texts are shuffled once.
     """
-    found = near_duplicates(docs, bits, shingle)
+    found = near_duplicates(docs, bits, shingle, similarity=similarity)
     keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(0)).alias("k_id"), F.col("doc_id").isNull().alias("k_null")).distinct()
     kept = docs.join(keep, (F.coalesce("doc_id", F.lit(0)) == F.col("k_id")) & (F.col("doc_id").isNull() == F.col("k_null")), "left_semi")
     one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.col("text"))
