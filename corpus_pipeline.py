@@ -29,8 +29,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of SimHash links over five-word shingles."""
-    return drop_near_duplicates(docs, shingle=5)
+    """One document of each component of near copies: SimHash links, and a share of 0.8 of five-word shingles."""
+    return drop_near_duplicates(docs, shingle=5, similarity=0.8)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
