@@ -22,7 +22,6 @@ from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -156,6 +155,8 @@ class Forest:
 
 def link_shard(points: np.ndarray, bits: int) -> np.ndarray:
     """Root position of each point in the forest of all links within ``bits`` among ``points`` (uint64)."""
+    if len(points) <= BLOCK and int((np.bitwise_count(points[:, None] ^ points[None, :]) <= bits).sum()) == len(points):
+        return np.arange(len(points))  # each is near to itself only
     forest = Forest(len(points))
     stack: list[tuple[np.ndarray, np.ndarray | None]] = [(np.arange(len(points)), None)]
     while stack:
@@ -234,22 +235,20 @@ def hamming_links(distinct: DataFrame, bits: int = 4, spare: int = 0, tile: int
             band = np.repeat(np.arange(len(chosen), dtype=np.int32), len(fp))
             yield pa.RecordBatch.from_arrays([pa.array(band), pa.array(np.concatenate(shard)), pa.array(np.tile(fp, len(chosen)))], names=["band", "shard", "fp"])
 
-    def pairs(rows: pd.DataFrame) -> pd.DataFrame:
-        fp = np.sort(rows["fp"].to_numpy(np.int64))
-        root = link_shard(fp.view(np.uint64), bits)
-        linked = np.flatnonzero(root != np.arange(len(fp)))
-        return pd.DataFrame({"a": fp[linked], "b": fp[root[linked]]})
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for groups in grouped(batches, lambda b: (np.asarray(b.column(0), dtype=np.int64), np.asarray(b.column(1), dtype=np.int64))):
+            out = []
+            for (fp,) in groups:
+                if len(fp) > 1:
+                    root = link_shard(fp.view(np.uint64), bits)
+                    linked = np.flatnonzero(root != np.arange(len(fp)))
+                    out.append((fp[linked], fp[root[linked]]))
+            yield _links(out)
 
     sharded = distinct.select("fp").mapInArrow(leaves, "band int, shard long, fp long")
     large = sharded.groupBy("band", "shard").count().filter(F.col("count") > tile).select("band", "shard", F.ceil(F.col("count") / tile).cast("int").alias("tiles"))
-    mine = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
-    tiled = (
-        sharded.join(large, ["band", "shard"], "left")
-        .withColumn("other", F.explode(F.when(F.col("tiles").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("tiles") - 1))))
-        .withColumn("mine", F.when(F.col("tiles").isNull(), F.lit(0)).otherwise(mine))
-        .select("band", "shard", F.least("mine", "other").alias("left"), F.greatest("mine", "other").alias("right"), "fp")
-    )
-    return tiled.groupBy("band", "shard", "left", "right").applyInPandas(pairs, "a long, b long")
+    groups = _tiles(sharded.join(large, ["band", "shard"], "left"), "band", "shard")
+    return groups.repartition("group").sortWithinPartitions("group", "fp").mapInArrow(pairs, "a long, b long")
 
 
 def _tiles(rows: DataFrame, *key: str) -> DataFrame:
