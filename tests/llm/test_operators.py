@@ -344,6 +344,33 @@ def test_similarity_links_texts_that_share_their_shingles(spark):
     assert simhash.near_duplicates(docs.limit(0), similarity=0.8).count() == 0
 
 
+def test_copies_unlike_each_other_join_their_original(spark):
+    r = random.Random(5)
+    base = [f"u{r.randrange(10**6)}" for _ in range(400)]
+    texts = [" ".join(base)]
+    for k in range(150):  # each about 0.84 like the original, and about 0.71 like each other
+        at = set(r.sample(range(400), 7))
+        texts.append(" ".join(f"e{k}" if i in at else w for i, w in enumerate(base)))
+    docs = docs_of(spark, texts)
+    sig = {x["doc_id"]: np.frombuffer(x["sig"], np.uint16) for x in simhash.fingerprints(docs, 5, signed=True).collect()}
+    alike = lambda i, j: (sig[i] == sig[j]).mean() >= 0.8 - simhash.SLACK
+    near = [i for i in range(1, 151) if alike(0, i)]
+    assert len(near) > 130 and sum(alike(i, j) for i in near for j in near if i < j) < 0.2 * len(near) * len(near) / 2
+    found = {x["doc_id"]: x["component_id"] for x in simhash.near_duplicates(docs, shingle=5, similarity=0.8).collect()}
+    assert {found[i] for i in near} == {0}
+
+
+def test_all_signatures_of_a_fingerprint_take_part(spark, monkeypatch):
+    r = np.random.default_rng(8)
+    a, b = (r.integers(0, 1 << 16, simhash.HASHES, dtype=np.uint16).tobytes() for _ in range(2))
+    made = spark.createDataFrame([(0, 255, a), (1, 255, b), (2, 0, a), (3, 65535, b)], "doc_id long, fp long, sig binary")
+    monkeypatch.setattr(simhash, "fingerprints", lambda *_: made)
+    assert {x["component_id"] for x in simhash.near_duplicates(made, similarity=0.8).collect()} == {0}
+    signed = made.select("fp", "sig")
+    for tile in (1, 4096):
+        assert connected_components(simhash.similar_links(signed, tile=tile)).select("component").distinct().count() == 1
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (7, 7), (501, 500)] + [(None, 3)], "a long, b long")
     found = {r["node"]: r["component"] for r in connected_components(links).collect()}

@@ -11,8 +11,8 @@ pairs, and components are joined by label propagation.
 
 Four bits hold copies with few edits only: texts that share 0.8 of their shingles differ by 5 to 17 bits, a ball that no
 exact Hamming search prunes.  Where a ``similarity`` is asked for, links between texts that share so many shingles are
-therefore added to those of the trees: texts that agree in a band of a MinHash signature meet in a group, in which each is
-compared with the group's leaders by the whole signature.
+therefore added to those of the trees: texts that agree in a band of a MinHash signature meet in a group, whose links by
+the whole signature are all followed.
 """
 
 from __future__ import annotations
@@ -251,14 +251,14 @@ def hamming_links(distinct: DataFrame, bits: int = 4, spare: int = 0, tile: int
     return groups.repartition("group").sortWithinPartitions("group", "fp").mapInArrow(pairs, "a long, b long")
 
 
-def _tiles(rows: DataFrame, *key: str) -> DataFrame:
-    """group and fp: the rows of a key are one group, or, where ``tiles`` is set, one for each pair of tiles.
+def _tiles(rows: DataFrame, *key: str, member: str = "fp") -> DataFrame:
+    """group and ``member``: the rows of a key are one group, or, where ``tiles`` is set, one for each pair of tiles.
 
     Groups are told apart by hash: two that fall together are compared needlessly, but only true links are kept.
     """
-    mine = F.when(F.col("tiles").isNull(), 0).otherwise(F.pmod(F.xxhash64("fp"), F.col("tiles"))).cast("int")
+    mine = F.when(F.col("tiles").isNull(), 0).otherwise(F.pmod(F.xxhash64(member), F.col("tiles"))).cast("int")
     paired = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("tiles") - 1, F.lit(0))))).withColumn("mine", mine)
-    return paired.select(F.xxhash64(*key, F.least("mine", "other"), F.greatest("mine", "other")).alias("group"), "fp")
+    return paired.select(F.xxhash64(*key, F.least("mine", "other"), F.greatest("mine", "other")).alias("group"), member)
 
 
 def _links(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
@@ -269,10 +269,9 @@ def _links(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
 def similar_links(signed: DataFrame, similarity: float = 0.8, tile: int = BAND_TILE) -> DataFrame:
     """Links (a, b) between fingerprints ``fp`` whose signatures ``sig`` tell of that share of common shingles.
 
-    In a group each member is compared with leaders, in an order of the group's own: the first member leads, those that
-    are like it are linked to it, and the first of the rest leads next.  So a group gives a link a member at most, not all
-    pairs, and copies with a chain of edits meet other leaders in other groups.  A group of more than ``tile`` members is
-    cut into tiles as in hamming_links.
+    Of a fingerprint all signatures take part.  A group gives a spanning forest of all its links, a link a member at most:
+    every member, once it is reached, is compared with all that are not reached yet, so copies that are like one common
+    text but unlike each other are joined too.  A group of more than ``tile`` members is cut into tiles as in hamming_links.
     """
     least = similarity - SLACK
 
@@ -284,21 +283,26 @@ def similar_links(signed: DataFrame, similarity: float = 0.8, tile: int = BAND_T
         for groups in grouped(batches, arrays):
             out = []
             for fp, sig in groups:
-                open_ = np.arange(len(fp))
-                while len(open_) > 1:
-                    lead, rest = open_[0], open_[1:]
+                rest, reached = np.arange(len(fp)), []
+                while len(rest):
+                    if not reached:
+                        reached, rest = [int(rest[0])], rest[1:]
+                    lead = reached.pop()
                     like = (sig[rest] == sig[lead]).mean(axis=1) >= least
-                    out.append((fp[rest[like]], np.full(int(like.sum()), fp[lead])))
-                    open_ = rest[~like]
+                    if like.any():
+                        out.append((fp[rest[like]], np.full(int(like.sum()), fp[lead])))
+                        reached += rest[like].tolist()
+                        rest = rest[~like]
             yield _links(out)
 
     band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substr("sig", i * (2 * ROWS) + 1, F.lit(2 * ROWS))))
-    keyed = signed.select("fp", F.explode(band).alias("key"))
+    signed = signed.withColumn("member", F.xxhash64("fp", "sig"))
+    keyed = signed.select("member", F.explode(band).alias("key"))
     # written before it is joined: both sides are then plain shuffles, and a hot key can be split
     met = materialize(keyed.groupBy("key").count().filter("count > 1").select("key", F.when(F.col("count") > tile, F.ceil(F.col("count") / tile)).cast("int").alias("tiles")), "bands-met")
-    groups = _tiles(keyed.join(met, "key"), "key").select("group", F.col("fp").alias("g_fp"))
-    rows = groups.join(signed, F.col("g_fp") == F.col("fp")).select("group", "fp", "sig")
-    return rows.repartition("group").sortWithinPartitions("group", F.xxhash64("group", "fp"), "fp").mapInArrow(pairs, "a long, b long")
+    groups = _tiles(keyed.join(met, "key"), "key", member="member").select("group", F.col("member").alias("g_member"))
+    rows = groups.join(signed, F.col("g_member") == F.col("member")).select("group", "fp", "sig")
+    return rows.repartition("group").sortWithinPartitions("group", F.xxhash64("group", "fp"), "fp", "sig").mapInArrow(pairs, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, bits: int = 4, shingle: int = 4, spare: int = 0, similarity: float | None = None) -> DataFrame:
@@ -310,11 +314,10 @@ def near_duplicates(docs: DataFrame, bits: int = 4, shingle: int = 4, spare: int
     """
     signed = similarity is not None
     made = materialize(fingerprints(docs, shingle, signed), "fingerprints")
-    first = made.groupBy("fp").agg(F.min("doc_id").alias("first_id"), *([F.min("sig").alias("sig")] if signed else []))
-    distinct = materialize(first, "distinct")
+    distinct = materialize(made.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
     links = hamming_links(distinct, bits, spare)
     if signed:
-        links = links.unionByName(similar_links(distinct.select("fp", "sig"), similarity))
+        links = links.unionByName(similar_links(materialize(made.select("fp", "sig").distinct(), "signed"), similarity))
     groups = connected_components(links)
     # few fingerprints have links; the others are components of their own
     rooted = (
