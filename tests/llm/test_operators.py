@@ -371,6 +371,17 @@ def test_all_signatures_of_a_fingerprint_take_part(spark, monkeypatch):
         assert connected_components(simhash.similar_links(signed, tile=tile)).select("component").distinct().count() == 1
 
 
+def test_one_row_of_each_component_stays_whatever_its_id(spark):
+    r = random.Random(21)
+    fresh = lambda: " ".join(f"u{r.randrange(10**6)}" for _ in range(60))
+    own, shared = [fresh() for _ in range(30)], [fresh(), fresh()]
+    rows = [(None, t, "en", "s", len(t)) for t in own] + [(7, t, "en", "s", len(t)) for t in shared]
+    rows += [(None, own[0], "en", "s", 1), (7, shared[0], "en", "s", 1), (None, shared[1], "en", "s", 1), (3, own[1], "en", "s", 1), (9, None, "en", "s", 0), (9, "", "en", "s", 0)]
+    kept = [(x["doc_id"], x["text"]) for x in simhash.drop_near_duplicates(spark.createDataFrame(rows, DOCS)).collect()]
+    expected = [(3, own[1]), (7, shared[0]), (7, shared[1])] + [(None, t) for t in own if t != own[1]]
+    assert sorted((k for k in kept if k[1]), key=str) == sorted(expected, key=str) and len(kept) == len(expected) + 1
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (7, 7), (501, 500)] + [(None, 3)], "a long, b long")
     found = {r["node"]: r["component"] for r in connected_components(links).collect()}

@@ -24,7 +24,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.llm.common import grouped, map_rows, materialize, safe, utf8
@@ -88,15 +88,21 @@ def signature(hashes: np.ndarray) -> bytes:
     return (least & np.uint64(0xFFFF)).astype(np.uint16).tobytes()
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, signed: bool = False) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long) and, if ``signed``, sig (the signature) of every row; null texts have no words."""
+def fingerprints(docs: DataFrame, shingle: int = 4, signed: bool = False, keyed: bool = False) -> DataFrame:
+    """doc_id, fp (the fingerprint as a signed long) and, if asked for, sig (the signature) and key of every row.
+
+    Null texts have no words.
+    """
 
     def fn(c: dict[str, list]) -> dict[str, list]:
         hashes = [shingles(t, shingle) for t in c["text"]]
         made = np.array([majority(h) for h in hashes], np.uint64)
-        return {"doc_id": c["doc_id"], "fp": made.view(np.int64)} | ({"sig": [signature(h) for h in hashes]} if signed else {})
+        out = {"doc_id": c["doc_id"], "fp": made.view(np.int64)} | ({"key": c["key"]} if keyed else {})
+        return out | ({"sig": [signature(h) for h in hashes]} if signed else {})
 
-    return map_rows(docs.select("doc_id", utf8("text").alias("text")), fn, "doc_id long, fp long" + ", sig binary" * signed)
+    rows = docs.select("doc_id", utf8("text").alias("text"), *([_key().alias("key")] if keyed else []))
+    schema = "doc_id long, fp long" + ", key struct<no_id: boolean, id: bigint, digest: binary>" * keyed + ", sig binary" * signed
+    return map_rows(rows, fn, schema)
 
 
 @lru_cache(maxsize=8)
@@ -305,6 +311,19 @@ def similar_links(signed: DataFrame, similarity: float = 0.8, tile: int = BAND_T
     return rows.repartition("group").sortWithinPartitions("group", F.xxhash64("group", "fp"), "fp", "sig").mapInArrow(pairs, "a long, b long")
 
 
+def _components(made: DataFrame, bits: int, spare: int, similarity: float | None, *least: Column) -> DataFrame:
+    """fp, root and the minima ``least`` over the rows ``made`` (fp and, with a ``similarity``, sig) of each fingerprint."""
+    distinct = materialize(made.groupBy("fp").agg(*least), "distinct")
+    links = hamming_links(distinct, bits, spare)
+    if similarity is not None:
+        links = links.unionByName(similar_links(materialize(made.select("fp", "sig").distinct(), "signed"), similarity))
+    groups = connected_components(links)
+    # few fingerprints have links; the others are components of their own
+    rooted = distinct.join(groups, F.col("fp") == F.col("node"), "left").drop("node").withColumn("root", F.coalesce("component", "fp")).drop("component")
+    # tables that are joined are written first: both sides are then plain shuffles, and a hot component can be split
+    return materialize(rooted, "rooted")
+
+
 def near_duplicates(docs: DataFrame, bits: int = 4, shingle: int = 4, spare: int = 0, similarity: float | None = None) -> DataFrame:
     """doc_id, fp and component_id of every row: the smallest doc_id reachable over links within ``bits`` differing bits.
 
@@ -312,33 +331,30 @@ def near_duplicates(docs: DataFrame, bits: int = 4, shingle: int = 4, spare: int
     as well.  Documents without words share fingerprint zero and are linked like any other; repeated rows fall together;
     null doc_ids count as largest, so a component has a null id only if all its ids are null; an empty table gives no rows.
     """
-    signed = similarity is not None
-    made = materialize(fingerprints(docs, shingle, signed), "fingerprints")
-    distinct = materialize(made.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
-    links = hamming_links(distinct, bits, spare)
-    if signed:
-        links = links.unionByName(similar_links(materialize(made.select("fp", "sig").distinct(), "signed"), similarity))
-    groups = connected_components(links)
-    # few fingerprints have links; the others are components of their own
-    rooted = (
-        distinct.join(groups, F.col("fp") == F.col("node"), "left")
-        .select("fp", "first_id", F.coalesce("component", "fp").alias("root"))
-    )
-    # tables that are joined are written first: both sides are then plain shuffles, and a hot component can be split
-    rooted = materialize(rooted, "rooted")
+    made = materialize(fingerprints(docs, shingle, similarity is not None), "fingerprints")
+    rooted = _components(made, bits, spare, similarity, F.min("doc_id").alias("first_id"))
     ids = materialize(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "component-ids")
     named = materialize(rooted.join(ids, "root").select(F.col("fp").alias("d_fp"), "component_id"), "components")
     return made.join(named, F.col("fp") == F.col("d_fp")).select("doc_id", "fp", "component_id")
 
 
+def _key() -> Column:
+    """What tells a document from others: doc_id, null last, and the text's MD5; null texts count as empty."""
+    id_ = F.col("doc_id")
+    return F.struct(id_.isNull().alias("no_id"), F.coalesce(id_, F.lit(0)).alias("id"), F.unhex(F.md5(utf8("text"))).alias("digest"))
+
+
 def drop_near_duplicates(docs: DataFrame, bits: int = 4, shingle: int = 5, similarity: float | None = 0.8) -> DataFrame:
-    """The documents with one of each near-duplicate component: its smallest doc_id, and of rows sharing that id one.
+    """The documents with one row of each near-duplicate component: of its smallest doc_id, null last, that with the least MD5.
 
-    Columns as given.  Only ids travel to the join, texts are shuffled once.
+    Different texts that share a doc_id, or have none, are documents of their own; of rows that share both doc_id and text
+    one stays.  Columns as given.  Only ids and digests travel to the join, texts are shuffled once.
     """
-    found = near_duplicates(docs, bits, shingle, similarity=similarity)
-    keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(0)).alias("k_id"), F.col("doc_id").isNull().alias("k_null")).distinct()
-    kept = docs.join(keep, (F.coalesce("doc_id", F.lit(0)) == F.col("k_id")) & (F.col("doc_id").isNull() == F.col("k_null")), "left_semi")
-    one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.col("text"))
-    (row,) = safe(docs, "near_row")
-    return kept.withColumn(row, F.row_number().over(one)).filter(F.col(row) == 1).drop(row)
+    made = materialize(fingerprints(docs, shingle, similarity is not None, keyed=True), "fingerprints")
+    rooted = _components(made, bits, 0, similarity, F.min("key").alias("first"))
+    keep = materialize(rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.*"), "kept-keys")
+    key, row = safe(docs, "near_key", "near_row")
+    keyed = docs.withColumn(key, _key())
+    same = [F.col(f"{key}.{c}") == keep[c] for c in keep.columns]
+    one = Window.partitionBy(key).orderBy(F.xxhash64(key))
+    return keyed.join(keep, same, "left_semi").withColumn(row, F.row_number().over(one)).filter(F.col(row) == 1).select(*docs.columns)
