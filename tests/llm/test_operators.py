@@ -479,6 +479,27 @@ def test_cutting_leaves_no_window(spark):
     assert "nine" not in rows[0]["text"] and rows[0]["n_chars"] == len(rows[0]["text"]) and rows[0]["text"].startswith(filler)
 
 
+def test_cutting_does_not_depend_on_the_number_of_automata(spark, monkeypatch):
+    r = random.Random(9)
+    items = [" ".join(f"i{k}x{j}" for j in range(12)) for k in range(8)]
+    fresh = lambda n: " ".join(f"f{r.randrange(10**6)}" for _ in range(n))
+    half = lambda t, a: " ".join(t.split()[:6] if a else t.split()[6:])
+    # mostly items of different groups; items in items, deeper than two rounds; below the limit; clean
+    nested = items[0]
+    for k in range(1, 6):
+        nested = f"{half(items[k], True)} {nested} {half(items[k], False)}"
+    texts = [" ".join([*items, fresh(64)]), f"{fresh(900)}. {nested}, {fresh(90)}", f"{items[3]} {fresh(40)}", fresh(30), None, ""]
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = docs_of(spark, texts).withColumn("hits", F.lit(0))
+    one = {x["doc_id"]: tuple(x) for x in decontaminate.decontaminate(docs, benchmark).collect()}
+    assert set(one) == {1, 2, 3, 4, 5} and "x" not in one[1][1]
+    real = decontaminate.automata
+    monkeypatch.setattr(decontaminate, "automata", lambda b, w, *_: real(b, w, 30))
+    assert len(decontaminate.automata(benchmark, 10)) > 1
+    several = decontaminate.decontaminate(docs, benchmark)
+    assert several.columns == docs.columns and {x["doc_id"]: tuple(x) for x in several.collect()} == one
+
+
 # passages ----------------------------------------------------------------------------------------------------------------------------
 
 

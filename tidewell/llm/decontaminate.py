@@ -10,6 +10,7 @@ streamed.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -169,14 +170,19 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     empty texts have no words and no hits; null item ids count as no item but still mark words; repeated items count once.
     The new columns are named n_words, hits and items, with underscores before them where ``docs`` has such columns.
     """
-    spark = docs.sparkSession
-    n_words, hits, items = safe(docs, "n_words", "hits", "items")
-    machines = automata(benchmark, window, max_words)
+    return _find(docs, _shared(docs, automata(benchmark, window, max_words)), *safe(docs, "n_words", "hits", "items"))
+
+
+def _shared(docs: DataFrame, machines: list[ItemAutomaton]) -> list:
+    return [docs.sparkSession.sparkContext.broadcast(data) for data in machines]
+
+
+def _find(docs: DataFrame, shared: list, n_words: str, hits: str, items: str) -> DataFrame:
+    """``docs`` with the hits of all automata, each a pass."""
     out = docs
-    for turn, data in enumerate(machines):
-        shared = spark.sparkContext.broadcast(data)
-        out = _pass(out, shared, n_words, hits, items, first=turn == 0)
-        if turn + 1 < len(machines):
+    for turn, machine in enumerate(shared):
+        out = _pass(out, machine, n_words, hits, items, first=turn == 0)
+        if turn + 1 < len(shared):
             out = materialize(out, "decontaminate")
     return out
 
@@ -228,22 +234,50 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, window: int = 10
     )
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.5) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.5, max_words: int = MAX_WORDS) -> DataFrame:
     """The documents without test items, columns and their order as given.
 
     Spans of ``window`` or more words that match an item (or a whole shorter item) are cut from the text; a document
     with more than ``max_coverage`` of its words hit goes.  Cutting repeats until no hit is left, as two ends may form a
-    window.  Documents without a hit, null texts among them, stay as they are; n_chars, where present, follows the text.
+    window; each round judges what the last one left.  Several automata count as one: a round gathers the hits of all of
+    them before it judges and cuts, and the next searches only what has changed.  Documents without a hit, null texts
+    among them, stay as they are; n_chars, where present, follows the text.
     """
-    spark = docs.sparkSession
-    machines = automata(benchmark, window)
-    out = docs
-    for data in machines:
-        out = _cut(out, spark.sparkContext.broadcast(data), max_coverage)
-    if len(machines) > 1:  # a cut for one group can join words that another group then finds
-        for data in machines:
-            out = _cut(out, spark.sparkContext.broadcast(data), max_coverage)
-    return out
+    shared = _shared(docs, automata(benchmark, window, max_words))
+    if len(shared) == 1:
+        return _cut(docs, shared[0], max_coverage)
+    names = safe(docs, "n_words", "hits", "items")
+    clean_, open_ = [], docs
+    while True:
+        found = materialize(_find(open_, shared, *names), "decontaminate")
+        hit = F.size(F.col(names[1])) > 0
+        clean_.append(found.filter(~hit).select(*docs.columns))
+        # each round makes the texts that are left shorter, so rounds end
+        open_ = materialize(_cut_hits(found.filter(hit), docs, names[1], max_coverage), "decontaminate-cut")
+        if open_.isEmpty():
+            return reduce(DataFrame.unionByName, clean_)
+
+
+def _cut_hits(found: DataFrame, docs: DataFrame, hits: str, max_coverage: float) -> DataFrame:
+    """Documents with ``hits``, less these words; those with more than ``max_coverage`` of their words hit go."""
+    names = docs.columns
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+
+    def fn(c: dict[str, list]) -> dict[str, list]:
+        keep = []
+        for i, text in enumerate(c["text"]):
+            data = text.encode()
+            plain = data.translate(NORMAL)
+            cleaned = without(data, plain, plain.split(), [(s["start"], s["stop"]) for s in c[hits][i]], max_coverage)
+            if cleaned is None:
+                continue
+            keep.append(i)
+            c["text"][i] = cleaned.decode()
+            if "n_chars" in names:
+                c["n_chars"][i] = len(c["text"][i])
+        return {k: [c[k][i] for i in keep] for k in names}
+
+    return map_rows(found.select(*names, hits), fn, schema)
 
 
 def _cut(docs: DataFrame, shared, max_coverage: float) -> DataFrame:
@@ -277,17 +311,23 @@ def clean(machine: ItemAutomaton, text: bytes, max_coverage: float) -> bytes | s
         spans, _ = machine.scan(tokens)
         if not spans:
             return text if changed else ""
-        if sum(b - a for a, b in spans) > max_coverage * len(tokens):
+        if (text := without(text, plain, tokens, spans, max_coverage)) is None:
             return None
-        at, starts, stops = 0, [], []
-        for token in tokens:
-            at = plain.index(token, at)
-            starts.append(at)
-            at += len(token)
-            stops.append(at)
-        pieces, begin = [], 0
-        for a, b in spans:
-            pieces.append(text[begin : starts[a]])
-            begin = stops[b - 1]
-        text, changed = b"".join([*pieces, text[begin:]]), True
-
+        changed = True
+
+
+def without(text: bytes, plain: bytes, tokens: list[bytes], spans: list[tuple[int, int]], max_coverage: float) -> bytes | None:
+    """The text without spans of its words, which are ``tokens`` in ``plain``; None if they are over ``max_coverage`` of them."""
+    if sum(b - a for a, b in spans) > max_coverage * len(tokens):
+        return None
+    at, starts, stops = 0, [], []
+    for token in tokens:
+        at = plain.index(token, at)
+        starts.append(at)
+        at += len(token)
+        stops.append(at)
+    pieces, begin = [], 0
+    for a, b in spans:
+        pieces.append(text[begin : starts[a]])
+        begin = stops[b - 1]
+    return b"".join([*pieces, text[begin:]])
