@@ -291,7 +291,7 @@ def test_components_equal_brute_force(spark, texts):
             if (fps[i] ^ fps[j]).bit_count() <= 4:
                 a, b = sorted((find(i), find(j)))
                 parent[b] = a
-    for spare in (0, 1):
+    for spare in (None, 0, 1):
         for r in simhash.near_duplicates(docs, spare=spare).collect():
             assert (r["fp"] % (1 << 64), r["component_id"]) == (fps[r["doc_id"]], find(r["doc_id"]))
     kept = simhash.drop_near_duplicates(docs, shingle=4, similarity=None)
@@ -321,6 +321,25 @@ def test_shards_are_exact_in_any_shape(spark):
     assert set(map(frozenset, groups.values())) == set(map(frozenset, mine.values()))
 
 
+def test_triangle_bounds_spare_distances():
+    r = np.random.default_rng(6)
+    centres = r.integers(0, 2**63, 40, dtype=np.uint64)
+    flips = lambda n: np.array([sum(1 << int(k) for k in set(r.integers(0, 64, n))) for _ in range(40)], np.uint64)
+    for n, clustered, most in ((64, False, 0.95), (1000, False, 0.6), (1600, True, 0.3)):
+        p = np.unique((centres[:, None] ^ flips(6)[None, :]).ravel() if clustered else r.integers(0, 2**63, n, dtype=np.uint64))
+        tally: list[int] = []
+        simhash.link_shard(p, 4, tally)
+        print(n, clustered, tally[0] / (len(p) * (len(p) - 1) / 2))
+        assert tally[0] <= most * len(p) * (len(p) - 1) / 2
+
+
+@pytest.mark.parametrize(("width", "values"), [(12, 1), (12, 5), (13, 64), (8, 1000)])
+def test_leaves_of_a_band_hold_several_values(width, values):
+    leaves = simhash.band_leaves(width, values)
+    sizes = np.bincount(leaves)
+    assert len(leaves) == 1 << width and sizes.min() >= 1 and sizes.max() <= values and len(sizes) <= max(1, 4 * (1 << width) // values)
+
+
 def test_similarity_links_texts_that_share_their_shingles(spark):
     r = random.Random(11)
     fresh = lambda n: [f"u{r.randrange(10**6)}" for _ in range(n)]

@@ -1,13 +1,18 @@
 """SimHash near-duplicates with exact Hamming search in vantage-point trees.
 
 Fingerprints are made in tasks; equal ones collapse to one row before anything else.  Pairs within ``bits`` differing bits
-are found exactly.  A vantage-point tree over the whole 64-bit space prunes little by itself, as unrelated fingerprints lie
-about 32 bits from any vantage point and the triangle bound spans a ball of that radius.  So the search first uses that two
-fingerprints within ``bits`` bits agree wholly in at least one of ``bits + 1`` disjoint bands: under the Hamming distance
-within that band the query ball has radius 0.  A vantage-point tree over each band's values deals fingerprints to shards (its
-leaves; the radius-0 ball overlaps just one), and within a shard a vantage-point tree over full distances prunes by triangle
-bounds and queries the points near the boundary on both sides.  A shard yields a spanning forest of its links, never all
-pairs, and components are joined by label propagation.
+are found exactly, in two steps of vantage-point trees:
+
+1. Trees over bands deal fingerprints to shards.  Two fingerprints within ``bits`` bits agree wholly in at least one of
+   ``bits + 1`` disjoint bands, so the query ball in that band has radius 0 and overlaps one leaf of the band's tree: the
+   fingerprint's own.  A leaf holds as many of the band's values as make shards of about SHARD points.
+2. In a shard a tree over all 64 bits, down to LEAF points, is joined with itself: a branch is paired with another only as
+   far as the triangle bound allows, that is with the points near the boundary of both.
+
+Why bands come first: in a tree over 64 bits the ball of radius 4 overlaps nearly every shard, as unrelated fingerprints lie
+32 bits from a vantage point, give or take 4.  Bands with a ball of radius 1 are no way out either: in a tree over 16 bits
+with leaves of 64 values such a ball overlaps 26 of 1754 leaves by the triangle bound.  A shard yields a spanning forest of
+its links, never all pairs, and components are joined by label propagation.
 
 Four bits hold copies with few edits only: texts that share 0.8 of their shingles differ by 5 to 17 bits, a ball that no
 exact Hamming search prunes.  Where a ``similarity`` is asked for, links between texts that share so many shingles are
@@ -31,12 +36,12 @@ from tidewell.llm.common import grouped, map_rows, materialize, safe, utf8
 from tidewell.llm.components import connected_components
 
 SEED = 42
-#: Values of a band in one leaf of its tree at most.
-LEAF_VALUES = 1
+#: Points that shards should have, about; leaves of a band's tree hold values accordingly, one at least.
+SHARD = 64
 #: Points of a shard beyond which it is cut into tiles.
 TILE = 16_384
-#: Points that are compared with each other directly.
-BLOCK = 256
+#: Points in a leaf of a shard's tree, which are compared with each other directly.
+LEAF = 16
 #: Hashes of a signature; bands of it, and hashes in each, by which texts meet.  Texts that share 0.8 of their shingles
 #: meet with a probability of 0.9996.
 HASHES, BANDS, ROWS = 256, 20, 5
@@ -106,10 +111,11 @@ def fingerprints(docs: DataFrame, shingle: int = 4, signed: bool = False, keyed:
 
 
 @lru_cache(maxsize=8)
-def band_leaves(width: int, leaf: int = LEAF_VALUES) -> np.ndarray:
+def band_leaves(width: int, leaf: int = 1) -> np.ndarray:
     """Leaf of each value of a ``width``-bit band in a vantage-point tree over all of them, a table of 2**width entries.
 
-    Each node takes its first value as vantage point and splits by the median distance to it.
+    Each node takes its first value as vantage point and splits by the median distance to it; a leaf has ``leaf`` values at
+    most.
     """
     out = np.zeros(1 << width, np.int32)
     stack, made = [np.arange(1 << width, dtype=np.uint32)], 0
@@ -159,52 +165,66 @@ class Forest:
             self.parent[max(a, b)] = min(a, b)
 
 
-def link_shard(points: np.ndarray, bits: int) -> np.ndarray:
-    """Root position of each point in the forest of all links within ``bits`` among ``points`` (uint64)."""
-    if len(points) <= BLOCK and int((np.bitwise_count(points[:, None] ^ points[None, :]) <= bits).sum()) == len(points):
-        return np.arange(len(points))  # each is near to itself only
-    forest = Forest(len(points))
+def link_shard(points: np.ndarray, bits: int, tally: list[int] | None = None) -> np.ndarray:
+    """Root position of each point in the forest of all links within ``bits`` among ``points`` (uint64).
+
+    A vantage-point tree joined with itself: the points of a node are cut by the median distance to its first point, each
+    side is joined with itself, and both with each other as far as triangle bounds allow.  ``tally`` gets the number of
+    distances that were computed.
+    """
+    forest, seen = Forest(len(points)), 0
     stack: list[tuple[np.ndarray, np.ndarray | None]] = [(np.arange(len(points)), None)]
     while stack:
         a, b = stack.pop()
         if b is None:
-            if len(a) <= BLOCK:
+            if len(a) <= LEAF:
                 _link(forest, points, a, a, bits)
+                seen += len(a) * (len(a) - 1) // 2
                 continue
             d = np.bitwise_count(points[a] ^ points[a[0]]).astype(np.int16)
+            seen += len(a)
             mid = np.median(d)
             inner = d <= mid
             if inner.all():
                 inner = d < mid
-            if not inner.any() or inner.all():
-                _link_all(forest, points, a, bits)
+            if not inner.any():  # all at one distance from the first, so it is equal to the others
+                half = len(a) // 2
+                stack += [(a[:half], None), (a[half:], None), (a[:half], a[half:])]
                 continue
-            stack += [(a[inner], None), (a[~inner], None), (a[inner & (d >= mid - bits)], a[~inner & (d <= mid + bits)])]
+            stack += [(a[inner], None), (a[~inner], None), (a[inner & (d >= d[~inner].min() - bits)], a[~inner & (d <= d[inner].max() + bits)])]
         else:
             if not len(a) or not len(b):
                 continue
-            if len(a) * len(b) <= BLOCK * BLOCK:
+            if len(a) * len(b) <= LEAF * LEAF:
                 _link(forest, points, a, b, bits)
+                seen += len(a) * len(b)
                 continue
             if len(a) < len(b):
                 a, b = b, a
             da = np.bitwise_count(points[a] ^ points[a[0]]).astype(np.int16)
             db = np.bitwise_count(points[b] ^ points[a[0]]).astype(np.int16)
+            seen += len(a) + len(b)
             mid = np.median(da)
             near = da <= mid
             if near.all():
                 near = da < mid
-            if not near.any() or near.all():
+            if not near.any():
                 half = len(a) // 2
                 stack += [(a[:half], b), (a[half:], b)]
                 continue
             stack += [(a[near], b[db <= da[near].max() + bits]), (a[~near], b[db >= da[~near].min() - bits])]
+    if tally is not None:
+        tally.append(seen)
     return forest.roots(np.arange(len(points)))
 
 
 def _link(forest: Forest, points: np.ndarray, a: np.ndarray, b: np.ndarray, bits: int) -> None:
     """Joins what lies within ``bits`` between ``a`` and ``b``; pairs already in one tree are passed over at once."""
     near = np.bitwise_count(points[a][:, None] ^ points[b][None, :]) <= bits
+    if a is b:
+        np.fill_diagonal(near, False)
+    if not near.any():
+        return
     ra, rb = forest.roots(a), forest.roots(b)
     while (open_ := near & (ra[:, None] != rb[None, :])).any():
         x, y = np.unravel_index(int(open_.argmax()), open_.shape)
@@ -214,29 +234,27 @@ def _link(forest: Forest, points: np.ndarray, a: np.ndarray, b: np.ndarray, bits
         ra, rb = forest.roots(a), forest.roots(b)
 
 
-def _link_all(forest: Forest, points: np.ndarray, a: np.ndarray, bits: int) -> None:
-    for at in range(0, len(a), BLOCK):
-        for to in range(at, len(a), BLOCK):
-            left = a[at : at + BLOCK]
-            _link(forest, points, left, left if at == to else a[to : to + BLOCK], bits)
-
-
-def hamming_links(distinct: DataFrame, bits: int = 4, spare: int = 0, tile: int = TILE) -> DataFrame:
+def hamming_links(distinct: DataFrame, bits: int = 4, spare: int | None = None, tile: int = TILE) -> DataFrame:
     """A spanning set of links (a, b) among the distinct fingerprints ``fp`` that lie within ``bits`` of each other.
 
     Two such fingerprints agree in ``spare + 1`` of ``bits + 1 + spare`` bands at least, so each choice of that many bands
-    deals all fingerprints to shards once.  More spare bands make smaller shards and more copies: 0 suits some ten million
-    fingerprints, 3 some ten billion.  A shard of more than ``tile`` points is cut into tiles, and each pair of tiles is
-    a group of its own, so no group holds more than about two tiles.
+    deals all fingerprints to shards once.  More spare bands make smaller shards and more copies; by default their number and
+    the values of a leaf follow from the count of fingerprints, and the links are the same whatever they are.  A shard of
+    more than ``tile`` points is cut into tiles, and each pair of tiles is a group of its own, so no group holds more than
+    about two tiles.
     """
+    count = distinct.count()
+    if spare is None:
+        spare = next((s for s in range(4) if count >> (s + 1) * (64 // (bits + 1 + s)) <= tile // 4), 3)
     cut = bands(bits + spare)
+    values = max(1, round((SHARD * 2 ** sum(w for _, w in cut[: spare + 1]) / max(1, count)) ** (1 / (spare + 1))))
     chosen = list(combinations(range(len(cut)), spare + 1))
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = np.asarray(batch.column(0), dtype=np.int64)
             u = fp.view(np.uint64)
-            leaf = [band_leaves(w)[((u >> np.uint64(s)) & np.uint64((1 << w) - 1)).astype(np.int64)].astype(np.int64) for s, w in cut]
+            leaf = [band_leaves(w, values)[((u >> np.uint64(s)) & np.uint64((1 << w) - 1)).astype(np.int64)].astype(np.int64) for s, w in cut]
             shard = [sum((leaf[k] << (16 * i) for i, k in enumerate(some)), np.zeros(len(fp), np.int64)) for some in chosen]
             band = np.repeat(np.arange(len(chosen), dtype=np.int32), len(fp))
             yield pa.RecordBatch.from_arrays([pa.array(band), pa.array(np.concatenate(shard)), pa.array(np.tile(fp, len(chosen)))], names=["band", "shard", "fp"])
@@ -311,7 +329,7 @@ def similar_links(signed: DataFrame, similarity: float = 0.8, tile: int = BAND_T
     return rows.repartition("group").sortWithinPartitions("group", F.xxhash64("group", "fp"), "fp", "sig").mapInArrow(pairs, "a long, b long")
 
 
-def _components(made: DataFrame, bits: int, spare: int, similarity: float | None, *least: Column) -> DataFrame:
+def _components(made: DataFrame, bits: int, spare: int | None, similarity: float | None, *least: Column) -> DataFrame:
     """fp, root and the minima ``least`` over the rows ``made`` (fp and, with a ``similarity``, sig) of each fingerprint."""
     distinct = materialize(made.groupBy("fp").agg(*least), "distinct")
     links = hamming_links(distinct, bits, spare)
@@ -324,7 +342,7 @@ def _components(made: DataFrame, bits: int, spare: int, similarity: float | None
     return materialize(rooted, "rooted")
 
 
-def near_duplicates(docs: DataFrame, bits: int = 4, shingle: int = 4, spare: int = 0, similarity: float | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, bits: int = 4, shingle: int = 4, spare: int | None = None, similarity: float | None = None) -> DataFrame:
     """doc_id, fp and component_id of every row: the smallest doc_id reachable over links within ``bits`` differing bits.
 
     With a ``similarity``, texts that share so many of their shingles (intersection over union, by signature) are linked
@@ -351,7 +369,7 @@ def drop_near_duplicates(docs: DataFrame, bits: int = 4, shingle: int = 5, simil
     one stays.  Columns as given.  Only ids and digests travel to the join, texts are shuffled once.
     """
     made = materialize(fingerprints(docs, shingle, similarity is not None, keyed=True), "fingerprints")
-    rooted = _components(made, bits, 0, similarity, F.min("key").alias("first"))
+    rooted = _components(made, bits, None, similarity, F.min("key").alias("first"))
     keep = materialize(rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.*"), "kept-keys")
     key, row = safe(docs, "near_key", "near_row")
     keyed = docs.withColumn(key, _key())
