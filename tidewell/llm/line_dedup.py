@@ -27,6 +27,10 @@ BLOCKS = 4
 #: A table of keys of at most this many rows (8 to 16 bytes each) is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 200_000
 
+#: An odd multiplier and its inverse modulo 2**64.
+BASE = np.uint64(0xD6E8FEB86659FD93)
+UNBASE = np.uint64(pow(int(BASE), -1, 1 << 64))
+
 digest = xxhash.xxh64_intdigest
 
 
@@ -91,23 +95,38 @@ def texts_of(docs: DataFrame) -> DataFrame:
     return map_rows(docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("r"), utf8("text").alias("t")), fn, "d long, r long, line int, h1 long, text string")
 
 
+def without_each(line: str) -> tuple[int, np.ndarray]:
+    """The hash of a line, and of the line without each of its characters, in one pass.
+
+    The hash is the sum of mixed code points times powers of an odd BASE, modulo 2**64: what stands behind a deleted
+    character moves by one place, which the inverse of BASE undoes.  Equal lines have equal hashes; others are told apart
+    when edit distances are verified.
+    """
+    points = np.frombuffer(line.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    mixed = (points + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    mixed ^= mixed >> np.uint64(29)
+    mixed *= np.uint64(0xBF58476D1CE4E5B9)
+    power = np.cumprod(np.concatenate(([np.uint64(1)], np.full(len(points), BASE))), dtype=np.uint64)[:-1]
+    sums = np.concatenate(([np.uint64(0)], np.cumsum(mixed * power, dtype=np.uint64)))
+    return int(sums[-1]), sums[:-1] + (sums[-1] - sums[1:]) * UNBASE
+
+
 def variants(lines: DataFrame) -> DataFrame:
     """key, place (-1: the line itself) and h1 of the line and of its deletion variants in the blocks of its shared keys."""
 
     def fn(c: dict[str, list]) -> dict[str, list]:
         key, place, owner = [], [], []
         for h1, line, shared in zip(c["h1"], c["text"], c["shared"], strict=True):
-            n, wanted, places = len(line), set(shared), set()
-            for cut in cuts(n):
+            wanted, near = set(shared), np.zeros(len(line), bool)
+            for cut in cuts(len(line)):
                 if int(signed([key_without(line, *cut)])[0]) in wanted:
-                    places.update(range(cut[1], cut[2]))
-            key.append(digest(line.encode(), 3))
-            place.append(-1)
-            for p in places:
-                key.append(digest((line[:p] + line[p + 1 :]).encode(), 3))
-                place.append(p)
-            owner += [h1] * (len(places) + 1)
-        return {"key": signed(key), "place": place, "h1": owner}
+                    near[cut[1] : cut[2]] = True
+            whole, each = without_each(line)
+            places = np.flatnonzero(near)
+            key += [np.array([whole], np.uint64), each[places]]
+            place += [np.array([-1]), places]
+            owner.append(np.full(len(places) + 1, h1))
+        return {"key": np.concatenate(key).view(np.int64), "place": np.concatenate(place), "h1": np.concatenate(owner)}
 
     return map_rows(lines.select("h1", "text", "shared"), fn, "key long, place int, h1 long")
 
@@ -152,11 +171,15 @@ def near_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
 
 
 def kept_lines(docs: DataFrame) -> DataFrame:
-    """d, r and kept (array of line numbers): the lines of each document that stay; a document without such has no row."""
+    """d, r and kept of each document with lines that stay: bit i % 64 of entry i // 64 tells of line i; 0 may lack at the end."""
     firsts = first_lines(docs)
     near = materialize(near_lines(docs, firsts).select("h1").distinct(), "line-near")
     stay = firsts.join(small(near, near.count()), "h1", "left_anti")
-    return stay.select("first.*").groupBy("d", "r").agg(F.collect_list("line").alias("kept"))
+    word, bit = F.floor(F.col("line") / 64).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("line") % 64)
+    # both groupings use the one exchange by document
+    words = stay.select("first.*").repartition("d", "r").groupBy("d", "r", word.alias("word")).agg(F.bit_or(bit).alias("bits"))
+    held = words.groupBy("d", "r").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("of"), F.max("word").alias("last"))
+    return held.select("d", "r", F.transform(F.sequence(F.lit(0), "last"), lambda w: F.coalesce(F.try_element_at("of", w), F.lit(0).cast("long"))).alias("kept"))
 
 
 def with_kept_lines(docs: DataFrame) -> tuple[DataFrame, str, str, str]:
@@ -168,9 +191,11 @@ def with_kept_lines(docs: DataFrame) -> tuple[DataFrame, str, str, str]:
     )
     split = joined.withColumn(lines, F.split(F.coalesce("text", F.lit("")), "\n", -1))
     worded = lambda x: x.rlike(r"[^\x20\x09-\x0D]")
-    held = F.filter(lines, lambda x, i: ~worded(x) | F.coalesce(F.array_contains(kept, i), F.lit(False)))
+    stays = lambda i: F.coalesce(F.call_function("shiftright", F.get(kept, F.floor(i / 64).cast("int")), i % 64).bitwiseAND(1) == 1, F.lit(False))
+    held = F.filter(lines, lambda x, i: ~worded(x) | stays(i))
     out = split.withColumn(n, F.size(F.filter(lines, worded)).cast("long")).withColumn(text, F.array_join(held, "\n"))
-    return out.withColumn(kept, F.coalesce(F.size(kept), F.lit(0)).cast("long")), n, kept, text
+    ones = F.aggregate(F.coalesce(kept, F.array().cast("array<bigint>")), F.lit(0), lambda s, w: s + F.bit_count(w))
+    return out.withColumn(kept, ones.cast("long")), n, kept, text
 
 
 def line_report(docs: DataFrame) -> DataFrame:
@@ -185,7 +210,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     Lines come in the order of doc_id (null first), text hash and line number; a line goes if an equal line, or one within
     one edit, comes first earlier, even where that line goes as well.  Lines without a word stay.  Rows equal in doc_id
     and text are one document and get equal results.  A document that loses all its lines with words goes; null, empty and
-    blank texts stay as they are.  n_chars, where present, follows the text.
+    blank texts stay as they are.  n_chars, where present, follows the text.  Lines and texts of any length are compared
+    whole, in time that grows with them.
     """
     out, n, kept, text = with_kept_lines(docs)
     left = out.filter((F.col(n) == 0) | (F.col(kept) > 0))
