@@ -1,12 +1,13 @@
 """Personal data in texts, in DataFrame functions only.
 
-Regular expressions propose spans, validators (Luhn, mod-97, digit counts, octet ranges) confirm them, and context words
-nearby raise the score of the weaker kinds.  Positions come from the gaps between matches: the text split by a pattern and
+Regular expressions propose spans, validators (Luhn, mod-97, digit counts, octet ranges, the mixture of characters that keys
+have) confirm them, and context words nearby raise the score of the weaker kinds.  Positions come from the gaps between matches: the text split by a pattern and
 the matches of the pattern, put together again, tell where each match starts.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -24,6 +25,9 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?)(?![A-Za-z0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 LOCAL = r"(?<![0-9+])\(?[0-9]{2,4}\)?[\x20.-][0-9]{2,4}[\x20.-][0-9]{3,4}(?![0-9])"
+#: A run of the characters of keys and tokens, and one that begins as well-known issuers' keys do.
+SECRET = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}+={0,2}+"
+ISSUED = r"(?<![A-Za-z0-9_-])(?:sk-|pk_live_|sk_live_|gh[pousr]_|xox[abprs]-|AKIA|ASIA|AIza|glpat-|eyJ)[A-Za-z0-9_.-]{16,}+"
 OCTET = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 #: Code points before and after a span that are searched for context words.
 NEAR = 40
@@ -70,6 +74,9 @@ class Kind:
                 return ~s.rlike("^(?:000|666|9)|-00-|-0000$")
             case "local_phone":
                 return n.between(7, 12)
+            case "secret":
+                # letters and digits mixed, and at least ten different characters: neither a word nor a number nor a rule
+                return s.rlike("[0-9]") & s.rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(F.substr(s, F.lit(1), F.lit(64)), ""))) >= 10)
             case _:
                 return F.lit(True)
 
@@ -83,10 +90,27 @@ KINDS = (
     Kind("iban", IBAN, r"[A-Z]{2}[0-9]{2}", False, 0.9),
     Kind("ssn", SSN, r"[0-9]-[0-9]{2}-[0-9]", False, 0.3, r"\b(?:ssn|social security|sozialversicherung|sécurité sociale|seguridad social)"),
     Kind("local_phone", LOCAL, r"[0-9]\)?[\x20.-][0-9]", False, 0.3, r"\b(?:phone|tel|telephone|call|mobile|fax|téléphone|teléfono|telefon)\b"),
+    Kind("key", ISSUED, r"sk-|k_live_|gh[pousr]_|xox[abprs]-|A[KS]IA|AIza|glpat-|eyJ", False, 0.9),
+    Kind("secret", SECRET, r"[A-Za-z0-9+/_-]{20}", False, 0.3, r"(?:token|secret|passwor[dt]|passwd|pwd|api[ _-]?key|access[ _-]?key|private[ _-]?key|bearer|authorization|credential|contraseña|mot de passe)"),
 )
 CONTEXT_BONUS = 0.4
 
 
+def bound(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn`` of the value, which is computed once however often ``fn`` and lambdas in it use it."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
+def sliced(array: Column) -> Column:
+    """The array in slices of about the square root of its length, at least 16; an empty array is one empty slice.
+
+    Appending to an array copies it, so a fold over slices first and over their results next takes n * sqrt(n) steps.
+    """
+    n = F.size(array)
+    step = F.greatest(F.lit(16), F.ceil(F.sqrt(n)).cast("int"))
+    return F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), step), lambda i: F.slice(array, i + 1, step))
+
+
 def spans_of(text: Column, kind: Kind, rank: int) -> Column:
     """Array of the kind's confirmed spans (code points, end exclusive) with their scores."""
     none = F.array().cast(f"array<{SPAN}>")
@@ -100,19 +124,32 @@ def spans_of(text: Column, kind: Kind, rank: int) -> Column:
         found = F.when(part["hit"].isNull(), state["found"]).otherwise(F.concat(state["found"], F.array(span)))
         return F.struct(end.alias("at"), found.alias("found"))
 
-    raw = F.aggregate(parts, start, add, lambda s: s["found"])
-    confirmed = F.filter(raw, lambda s: kind.valid(s["hit"]))
+    # places within each slice, then the place where each slice begins
+    pieces = bound(parts, lambda all_: F.transform(sliced(all_), lambda slice_: F.aggregate(slice_, start, add)))
+    begun = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+    starts_of = lambda p: F.aggregate(p, begun, lambda s, x: F.struct((s["at"] + x["at"]).alias("at"), F.concat(s["starts"], F.array(s["at"])).alias("starts")), lambda s: s["starts"])
 
-    def scored(s: Column) -> Column:
+    def scored(s: Column, piece: Column | None, from_: Column) -> Column:
         score = F.lit(kind.score)
-        if kind.context:
-            before = F.substr(text, F.greatest(s["start"] - NEAR, F.lit(0)) + 1, F.least(s["start"], F.lit(NEAR)))
-            around = F.lower(F.concat(before, F.lit(" "), F.substr(text, s["stop"] + 1, F.lit(NEAR))))
+        if piece is not None:
+            here = s["start"] - from_
+            before = F.substr(piece, F.greatest(here - NEAR, F.lit(0)) + 1, F.least(here, F.lit(NEAR)))
+            around = F.lower(F.concat(before, F.lit(" "), F.substr(piece, s["stop"] - from_ + 1, F.lit(NEAR))))
             score = score + F.when(around.rlike(kind.context), CONTEXT_BONUS).otherwise(0.0)
         return F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["stop"].alias("stop"), F.lit(kind.name).alias("kind"), score.alias("score"))
 
+    def confirmed(part: Column, by: Column) -> Column:
+        moved = F.transform(part["found"], lambda x: F.struct((x["start"] + by).alias("start"), (x["stop"] + by).alias("stop"), x["hit"].alias("hit")))
+        valid = F.filter(moved, lambda s: kind.valid(s["hit"]))
+        if not kind.context:
+            return F.transform(valid, lambda s: scored(s, None, by))
+        # the slice's text with what is near, so that no match searches the whole text for its place
+        from_ = F.greatest(by - NEAR, F.lit(0))
+        return bound(F.substr(text, from_ + 1, part["at"] + 2 * NEAR), lambda piece: F.transform(valid, lambda s: scored(s, piece, from_)))
+
+    found = bound(pieces, lambda p: F.flatten(F.zip_with(p, starts_of(p), confirmed)))
     guard = F.contains(text, F.lit(kind.guard)) if len(kind.guard) == 1 else text.rlike(kind.guard)
-    return F.when(guard, F.transform(confirmed, scored)).otherwise(none)
+    return F.when(guard, found).otherwise(none)
 
 
 def find_pii(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -120,7 +157,8 @@ def find_pii(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 
     Spans are structs of start, rank, stop, kind and score, ordered by start and kind.  Base spans always stay; added
     spans of weak kinds that overlap a base span are left out.  Null and empty texts have no spans; each row counts by
-    itself; new columns get underscores before them where ``docs`` has such names.
+    itself; new columns get underscores before them where ``docs`` has such names.  Texts of any length are searched
+    whole; n matches take about n * sqrt(n) steps.
     """
     text, base, more, all_ = safe(docs, "pii_text", "pii_base", "pii_more", "pii_spans")
     t = F.col(text)
@@ -133,7 +171,12 @@ def find_pii(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
             more: F.filter(F.concat(*(F.col(n) for k, n in parts.values() if not k.base)), lambda s: s["score"] >= threshold),
         }
     )
-    clear = F.filter(more, lambda s: (s["kind"] == "iban") | ~F.exists(F.col(base), lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])))
+    meets = lambda b, s: (b["start"] < s["stop"]) & (s["start"] < b["stop"])
+    blocks = F.transform(
+        sliced(F.col(base)), lambda x: F.struct(F.array_min(F.transform(x, lambda b: b["start"])).alias("start"), F.array_max(F.transform(x, lambda b: b["stop"])).alias("stop"), x.alias("spans"))
+    )
+    free = lambda s, found: ~F.exists(found, lambda x: F.coalesce(meets(x, s), F.lit(False)) & F.exists(x["spans"], lambda b: meets(b, s)))
+    clear = bound(blocks, lambda found: F.filter(more, lambda s: (s["kind"] == "iban") | free(s, found)))
     return found.withColumn(all_, F.array_sort(F.concat(F.col(base), clear))).select(*docs.columns, base, all_)
 
 
@@ -158,15 +201,37 @@ def pii_report(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The documents with each span replaced by its kind in brackets, columns as given; overlapping spans become one."""
+    """The documents with each span replaced by its kind in brackets, columns as given; overlapping spans become one.
+
+    Null texts and texts without spans stay as they are; n_chars, where present, follows the text.
+    """
     found = find_pii(docs, threshold)
     spans, text = F.col(found.columns[-1]), F.coalesce("text", F.lit(""))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    size = F.length(text)
+
+    def replaced(slices: Column) -> Column:
+        """Slices of spans in turn, each within its own piece of the text, from the end of all spans before it."""
+
+        def piece(slice_: Column, i: Column) -> Column:
+            begin = F.when(i == 0, 0).otherwise(slice_[0]["start"])
+            end = F.coalesce(F.get(slices, i + 1)[0]["start"], size)
+            reached = F.coalesce(F.array_max(F.flatten(F.transform(F.slice(slices, 1, i), lambda x: F.transform(x, lambda s: s["stop"])))), F.lit(0))
+
+            def add(state: Column, s: Column, part: Column) -> Column:
+                gap = F.substr(part, state["at"] - begin + 1, F.greatest(s["start"] - state["at"], F.lit(0)))
+                mark = F.when(s["start"] >= state["at"], F.concat(F.lit("["), s["kind"], F.lit("]"))).otherwise("")
+                return F.struct(F.greatest(s["stop"], state["at"]).alias("at"), F.concat(state["out"], gap, mark).alias("out"))
+
+            def written(part: Column) -> Column:
+                start = F.struct(F.greatest(begin, reached).alias("at"), F.lit("").alias("out"))
+                return F.aggregate(slice_, start, lambda state, s: add(state, s, part), lambda s: F.concat(s["out"], F.substr(part, s["at"] - begin + 1)))
+
+            return bound(F.substr(text, begin + 1, end - begin), written)
 
-    def add(state: Column, s: Column) -> Column:
-        gap = F.substr(text, state["at"] + 1, F.greatest(s["start"] - state["at"], F.lit(0)))
-        mark = F.when(s["start"] >= state["at"], F.concat(F.lit("["), s["kind"], F.lit("]"))).otherwise("")
-        return F.struct(F.greatest(s["stop"], state["at"]).alias("at"), F.concat(state["out"], gap, mark).alias("out"))
+        return F.array_join(F.transform(slices, piece), "")
 
-    cleaned = F.aggregate(spans, start, add, lambda s: F.concat(s["out"], F.substr(text, s["at"] + 1)))
-    return found.withColumn("text", F.when(F.size(spans) > 0, cleaned).otherwise(F.col("text"))).select(*docs.columns)
+    new = {"text": F.when(F.size(spans) > 0, bound(sliced(spans), replaced)).otherwise(F.col("text"))}
+    out = found.withColumns(new)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.size(spans) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
