@@ -1,17 +1,20 @@
 """Duplicate events across sources: four passes, merge plans and the cap on deletions.
 
 Candidate pairs come from equality joins on a place and a time key, so nothing is compared outside its block.  The passes are
-greedy and depend on order, (start_at, id); each block's few rows and scored pairs meet in one grouped pandas function.  Events that
-one pass matches are gone for the next.
+greedy and depend on order, (start_at, id); a block's pairs are streamed in that order through one task.  Events that one
+pass matches are gone for the next.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
+from itertools import groupby
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from tidewell.functions import text, times
 from tidewell.scratch import materialize
@@ -118,41 +121,78 @@ def venueless_pairs(placed: DataFrame, loose: DataFrame) -> DataFrame:
     return left.join(right, "day").filter((F.col("source_a") != F.col("source_b")) & (equal | near)).select("day", "id_a", "id_b", F.when(equal, 0).otherwise(1).alias("tier"), apart.alias("apart"), "start_at_a", "start_at_b")
 
 
-def anchored(found: DataFrame, on: list[str], number: int, members_all_first: bool = False) -> DataFrame:
+def greedy(found: DataFrame, on: list[str], order: list[str], pick: Callable[[Iterable[tuple]], Iterator[tuple]]) -> DataFrame:
+    """GROUPS rows that ``pick`` makes of each block's pairs, which come to it in ``order`` as tuples of these columns.
+
+    Blocks are streamed in sorted partitions, one pair at a time, so a block's size bounds only the ids that it takes.
+    """
+    arrow = to_arrow_schema(StructType.fromDDL(GROUPS))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            yield from zip(*(c.to_pylist() for c in batch.columns))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for _, block in groupby(rows(batches), key=lambda r: r[0]):
+            out += pick(r[1:] for r in block)
+            if len(out) > 4096:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
+
+    # blocks are told apart by hash: of two that fall together no event is in both, so neither changes the other's picks
+    keyed = found.select(F.xxhash64(*on).alias("block"), *order).distinct()
+    return keyed.repartition("block").sortWithinPartitions("block", *order).mapInArrow(run, GROUPS)
+
+
+def anchored(found: DataFrame, on: list[str], number: int) -> DataFrame:
     """Greedy clusters of a pass: an event takes every free partner behind it; members join no other cluster.
 
     In pass 1 an event joins the first cluster whose *first* member it matches, which is the same rule read from the other
     side: an event that has joined anchors nothing.
     """
 
-    def run(block: pd.DataFrame) -> pd.DataFrame:
-        out, taken = [], set()
-        block = block.sort_values(["start_at_a", "id_a", "start_at_b", "id_b"], kind="stable")
-        for a, rows in block.groupby("id_a", sort=False):
+    def pick(pairs_: Iterable[tuple]) -> Iterator[tuple]:
+        taken: set = set()
+        for a, own in groupby(pairs_, key=lambda r: r[1]):
             if a in taken:
                 continue
-            mates = [b for b in rows["id_b"] if b not in taken]
+            mates = [r[3] for r in own if r[3] not in taken]
             if mates:
                 taken.update([a, *mates])
-                out += [(f"{number}:{a}", m, i, number) for i, m in enumerate([a, *mates])]
-        return pd.DataFrame(out, columns=["group_id", "event_id", "position", "pass"])
+                yield from ((f"{number}:{a}", m, i, number) for i, m in enumerate([a, *mates]))
 
-    columns = [*on, "id_a", "id_b", "start_at_a", "start_at_b"]
-    return found.select(*dict.fromkeys(columns)).groupBy(*on).applyInPandas(run, GROUPS)
+    return greedy(found, on, ["start_at_a", "id_a", "start_at_b", "id_b"], pick)
 
 
 def assigned(found: DataFrame) -> DataFrame:
     """Pass 4's one-to-one matching in each day: best tier first, then the smallest distance in time."""
 
-    def run(block: pd.DataFrame) -> pd.DataFrame:
-        out, taken = [], set()
-        for r in block.sort_values(["tier", "apart", "start_at_a", "id_a", "start_at_b", "id_b"], kind="stable").itertuples():
-            if r.id_a not in taken and r.id_b not in taken:
-                taken |= {r.id_a, r.id_b}
-                out += [(f"4:{r.id_b}", r.id_b, 0, 4), (f"4:{r.id_b}", r.id_a, 1, 4)]
-        return pd.DataFrame(out, columns=["group_id", "event_id", "position", "pass"])
+    def pick(pairs_: Iterable[tuple]) -> Iterator[tuple]:
+        taken: set = set()
+        for _, _, _, a, _, b in pairs_:
+            if a not in taken and b not in taken:
+                taken |= {a, b}
+                yield f"4:{b}", b, 0, 4
+                yield f"4:{b}", a, 1, 4
+
+    return greedy(found, ["day"], ["tier", "apart", "start_at_a", "id_a", "start_at_b", "id_b"], pick)
+
 
-    return found.groupBy("day").applyInPandas(run, GROUPS)
+def in_stretches(found: DataFrame) -> DataFrame:
+    """Pass 2's pairs with ``stretch``: two-hour bins of a place that pairs link, so a busy place is many blocks.
+
+    Only the bins of a place, at most twelve a day, meet in a window.
+    """
+    bin_of = lambda c: F.floor(F.unix_timestamp(c) / WINDOW_SECONDS)
+    binned = found.withColumns({"bin_a": bin_of("start_at_a"), "bin_b": bin_of("start_at_b")})
+    ends = F.explode(F.array(F.struct(F.col("bin_a").alias("bin"), F.lit(False).alias("linked")), F.struct(F.col("bin_b").alias("bin"), (F.col("bin_a") < F.col("bin_b")).alias("linked"))))
+    bins = binned.select("place", ends.alias("e")).groupBy("place", F.col("e.bin").alias("bin")).agg(F.max("e.linked").alias("linked"))
+    first = F.last(F.when(~F.col("linked"), F.col("bin")), ignorenulls=True).over(Window.partitionBy("place").orderBy("bin"))
+    named = bins.select(F.col("place").alias("s_place"), F.col("bin").alias("s_bin"), first.alias("stretch"))
+    return binned.join(named, (F.col("place") == F.col("s_place")) & (F.col("bin_a") == F.col("s_bin")))
 
 
 def duplicate_groups(events: DataFrame, placeholders: tuple[str, ...] = ()) -> DataFrame:
@@ -170,7 +210,7 @@ def duplicate_groups(events: DataFrame, placeholders: tuple[str, ...] = ()) -> D
 
     # each pass is written, as all later ones read it: otherwise the first would run again for every other
     one = materialize(anchored(exact_pairs(placed), ["place", "second"], 1), "pass")
-    two = materialize(anchored(fuzzy_pairs(left(placed, one)), ["place"], 2), "pass")
+    two = materialize(anchored(in_stretches(materialize(fuzzy_pairs(left(placed, one)), "pairs")), ["place", "stretch"], 2), "pass")
     three = materialize(anchored(placeholder_pairs(left(placed, one, two)), ["place", "day"], 3), "pass")
     four = materialize(assigned(venueless_pairs(left(placed, one, two, three), loose)), "pass")
     return one.unionByName(two).unionByName(three).unionByName(four)
@@ -257,7 +297,7 @@ def within_cap(plans: Iterable[tuple[str, int, str, int]], cap: int) -> tuple[li
     if sum(p[3] for p in plans) <= cap:
         return [p[0] for p in plans], "uncapped"
     chosen, left = [], cap
-    for group, tier, _, n in sorted(plans, key=lambda p: (p[1], p[2], p[0])):
+    for group, tier, _, n in sorted(plans, key=lambda p: (p[1], p[2] is None, p[2] or "", p[0])):
         if tier <= 1 and n <= left:
             left -= n
             chosen.append(group)
@@ -281,11 +321,13 @@ def venue_audit(venues: DataFrame) -> DataFrame:
     return checked.groupBy("addr").agg(F.min_by("id", "rank").alias("canonical_id"), F.count("*").alias("n"), F.min("ok").alias("clear"))
 
 
-def similar_venues(venues: DataFrame, threshold: float = 0.6, metres: float = 75.0, frequent: int = 1000) -> DataFrame:
+def similar_venues(venues: DataFrame, threshold: float = 0.6, metres: float = 75.0) -> DataFrame:
     """Pairs (a, b, signal) of venues alike by equal name, token overlap, address or place.
 
-    Blocking keys are name key, address key, a name's tokens and a cell of about 0.001 degrees with its neighbours.  A token in
-    more than ``frequent`` names makes no pairs by itself; names made only of such tokens still meet by their two rarest.
+    Blocking keys are name key, address key, a name's rarest tokens and a cell of about 0.001 degrees with its neighbours.
+    Two names of which ``threshold`` of all tokens are common share one of their n - ceil(threshold * n) + 1 rarest tokens,
+    so these are all that names meet by, and no token is left out for being frequent.  Names with equal tokens are one
+    entry in that search.
     """
     from tidewell.functions.geo import METRES, haversine
 
@@ -294,11 +336,19 @@ def similar_venues(venues: DataFrame, threshold: float = 0.6, metres: float = 75
     side = lambda n, *c: v.select(F.col("id").alias(n), *c)
     exact = pair(side("a", "key"), side("b", "key"), "key", F.lit(True), "EXACT")
     address = pair(side("a", "addr").filter("addr is not null"), side("b", "addr"), "addr", F.lit(True), "ADDRESS")
-    words = v.select("id", F.explode("tokens").alias("token"))
-    rare = words.join(words.groupBy("token").count().filter(F.col("count") <= frequent).select("token"), "token", "left_semi")
+    sets = v.select("id", F.array_sort("tokens").alias("tokens")).withColumn("set", F.xxhash64("tokens"))
+    distinct = materialize(sets.dropDuplicates(["set"]).select("set", "tokens"), "token-sets")
+    words = distinct.select("set", F.explode("tokens").alias("token"))
+    ranked = words.join(sets.select(F.explode("tokens").alias("token")).groupBy("token").count(), "token")
+    rarest = ranked.groupBy("set").agg(F.array_sort(F.collect_list(F.struct("count", "token"))).alias("by"))
+    prefix = rarest.select("set", F.size("by").alias("n"), F.explode(F.slice("by", 1, F.size("by") - F.ceil(F.size("by") * threshold - 1e-9).cast("int") + 1)).alias("p")).select("set", "n", "p.token")
+    other = prefix.select(F.col("set").alias("other"), F.col("n").alias("m"), "token")
+    sized = (F.least("n", "m") >= threshold * F.greatest("n", "m") - 1e-9) & (F.col("set") < F.col("other"))
+    met = prefix.join(other, "token").filter(sized).select("set", "other").distinct()
     alike = text.jaccard(F.col("ta"), F.col("tb")) >= threshold
-    met = rare.select(F.col("id").alias("a"), "token").join(rare.select(F.col("id").alias("b"), "token"), "token").filter(F.col("a") < F.col("b")).select("a", "b").distinct()
-    fuzzy = met.join(side("a", F.col("tokens").alias("ta")), "a").join(side("b", F.col("tokens").alias("tb")), "b").filter(alike).select("a", "b", F.lit("FUZZY").alias("signal"))
+    near_sets = met.join(distinct.withColumnRenamed("tokens", "ta"), "set").join(distinct.select(F.col("set").alias("other"), F.col("tokens").alias("tb")), "other").filter(alike).select("set", "other")
+    both = materialize(near_sets.unionByName(near_sets.select(F.col("other").alias("set"), F.col("set").alias("other"))).unionByName(distinct.select("set", F.col("set").alias("other"))), "set-pairs")
+    fuzzy = both.join(sets.select(F.col("id").alias("a"), "set"), "set").join(sets.select(F.col("id").alias("b"), F.col("set").alias("other")), "other").filter(F.col("a") < F.col("b")).select("a", "b", F.lit("FUZZY").alias("signal"))
     cell = lambda c, d: (F.floor(F.col(c) * 1000) + d).cast("long")
     around = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
     placed = v.filter("lat is not null and lng is not null")
