@@ -7,7 +7,7 @@ each term is one regular expression over the text's variants, so screening is on
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -54,21 +54,43 @@ def matches(text: Column, terms: Iterable[tuple[str, str]], allowed: Iterable[st
     text.  High and extreme one-word terms of five letters or more also count inside letters written apart.
     """
     base = normal(text)
-    variants = F.array(base, normal(text, squeeze=True), normal(text, leet=True), normal(text, True, True))
-    spaced = F.regexp_extract_all(normal(text, leet=True), F.lit(r"(?:[a-z0-9][\s._*-]){2,}[a-z0-9]"), F.lit(0))
-    condensed = F.transform(spaced, lambda r: F.regexp_replace(r, "[^a-z0-9]", ""))
+    leet = normal(text, leet=True)
+    spaced = F.regexp_extract_all(leet, F.lit(r"(?:[a-z0-9][\s._*-]){2,}[a-z0-9]"), F.lit(0))
+    # most texts have one variant: the others differ only where a text has digits or repeats
+    seen = F.struct(
+        base.alias("base"),
+        F.array_distinct(F.array(base, normal(text, squeeze=True), leet, normal(text, True, True))).alias("variants"),
+        F.transform(spaced, lambda r: F.regexp_replace(r, "[^a-z0-9]", "")).alias("condensed"),
+    )
     phrases = [re.sub(r"\s+", " ", p.lower()).strip() for p in allowed]
-    made = []
-    for term, severity in highest(terms).items():
-        hit = F.exists(variants, lambda v: v.rlike(term_pattern(term)))
-        for phrase in (p for p in phrases if term in p):
-            hit = hit & ~F.contains(base, F.lit(phrase))
-        apart = F.lit(False)
-        if RANK[severity] > 1 and re.fullmatch(r"[a-z0-9]{5,}", term):
-            apart = F.exists(condensed, lambda r: F.contains(r, F.lit(term)))
-        made.append(F.when(hit | apart, F.struct(F.lit(term).alias("term"), F.lit(severity).alias("severity"), (~hit).alias("evasion"))))
+    known = highest(terms)
     empty = F.array().cast("array<struct<term:string,severity:string,evasion:boolean>>")
-    return F.array_compact(F.array(*made)) if made else empty
+    if not known:
+        return empty
+
+    def like(pattern: str) -> Callable[[Column], Column]:
+        return lambda x: x.rlike(pattern)
+
+    def has(term: str) -> Callable[[Column], Column]:
+        return lambda x: F.contains(x, F.lit(term))
+
+    def named(v: Column) -> Column:
+        made = []
+        for term, severity in known.items():
+            hit = F.exists(v["variants"], like(term_pattern(term)))
+            for phrase in (p for p in phrases if term in p):
+                hit = hit & ~F.contains(v["base"], F.lit(phrase))
+            apart = F.lit(False)
+            if RANK[severity] > 1 and re.fullmatch(r"[a-z0-9]{5,}", term):
+                apart = F.exists(v["condensed"], has(term))
+            made.append(F.when(hit | apart, F.struct(F.lit(term).alias("term"), F.lit(severity).alias("severity"), (~hit).alias("evasion"))))
+        return F.array_compact(F.array(*made))
+
+    # one alternation of all terms tells which texts are searched for each
+    some = "|".join(map(term_pattern, known))
+    judged = lambda v: F.when(F.exists(v["variants"], like(some)) | (F.size(v["condensed"]) > 0), named(v)).otherwise(empty)
+    # the variants are made once, as the element of an array that the lambda goes over
+    return F.element_at(F.transform(F.array(seen), judged), 1)
 
 
 def severity_of(found: Column) -> Column:

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import html
 import unicodedata
-from functools import reduce
+from functools import lru_cache, reduce
 from urllib.parse import urljoin, urlsplit
 
 import pandas as pd
@@ -390,14 +390,18 @@ def path_slug(path: Column) -> Column:
 # Slugs and search -----------------------------------------------------------------------------------------------------
 
 
-@F.pandas_udf(StringType())
-def _unaccented(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: x if x is None else "".join(c for c in unicodedata.normalize("NFD", x) if not unicodedata.combining(c)))
+@lru_cache(maxsize=1)
+def _accented() -> tuple[str, str]:
+    """Letters that are one base letter with diacritics, and diacritics; the base letters of the former, by canonical decomposition."""
+    marks = "".join(map(chr, range(0x300, 0x370)))
+    parts = ((chr(c), unicodedata.normalize("NFD", chr(c))) for c in range(0xC0, 0xFFFF) if not 0xD800 <= c < 0xE000)
+    plain = {c: d[0] for c, d in parts if len(d) > 1 and all(m in marks for m in d[1:])}
+    return "".join(plain) + marks, "".join(plain.values())
 
 
 def unaccent(s: Column) -> Column:
-    """Without diacritics; plain ASCII stays in the JVM."""
-    return F.when(s.rlike(r"^[\x00-\x7F]*$"), s).otherwise(_unaccented(s))
+    """Without diacritics, in the JVM."""
+    return F.translate(s, *_accented())
 
 
 def search_key(s: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,9 +46,9 @@ def higher_priority_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.outranked(c).select("id")
 
 
-@query(f"WITH {EVENTS_SQL}, {VENUES_SQL} SELECT id FROM ve WHERE id IN (SELECT venue_id FROM ev WHERE id < 500)")
+@query(f"WITH {EVENTS_SQL}, {VENUES_SQL} SELECT id FROM ve WHERE id IN (SELECT venue_id FROM ev WHERE featured)")
 def planned_venues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return joins.used_venues(catalog.venues(spark, sf_dir), catalog.events(spark, sf_dir).filter("id < 500")).select("id")
+    return joins.used_venues(catalog.venues(spark, sf_dir), catalog.events(spark, sf_dir).filter("featured")).select("id")
 
 
 @query("SELECT c_custkey AS id, s_suppkey AS key FROM customer JOIN supplier ON lower(replace(c_name, 'Customer', 'X')) = lower(replace(s_name, 'Supplier', 'x'))")
@@ -128,6 +128,14 @@ def venue_address_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.similar_venues(v).filter("signal = 'ADDRESS'").select("a", "b")
 
 
+@query(f"""WITH {VENUES_SQL}, t AS (SELECT id, ['grand', 'hall', 'n' || CAST(area_id AS VARCHAR), 'r' || CAST(id % 3 AS VARCHAR)] AS tk FROM ve)
+  SELECT a.id AS a, b.id AS b FROM t a JOIN t b ON a.id < b.id WHERE len(list_intersect(a.tk, b.tk)) * 1.0 / len(list_distinct(list_concat(a.tk, b.tk))) >= 0.6""")
+def venue_name_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that share three of four words; two of these words are in every name."""
+    name = F.concat(F.lit("Grand Hall N"), F.col("area_id").cast("string"), F.lit(" R"), (F.col("id") % 3).cast("string"))
+    return matching.similar_venues(catalog.venues(spark, sf_dir).withColumn("name", name)).filter("signal = 'FUZZY'").select("a", "b")
+
+
 @query(f"WITH {VENUES_SQL} SELECT id AS node, id % 40 AS component FROM ve WHERE id % 40 + 40 < (SELECT count(*) FROM ve) OR id >= 40")
 def venue_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = catalog.venues(spark, sf_dir).withColumn("name", F.concat(F.lit("v"), F.col("id").cast("string")))
@@ -154,9 +162,9 @@ def organization_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.resolve_organizations(raw, o)
 
 
-@query("""WITH w AS (SELECT p_partkey AS id, string_split(p_name, ' ') AS t, p_size FROM part WHERE p_partkey < 400) SELECT a.id AS a, b.id AS b, round(len(list_intersect(a.t, b.t)) * 1.0 / len(list_distinct(list_concat(a.t, b.t))), 6) AS similarity FROM w a JOIN w b ON a.id < b.id AND a.p_size = b.p_size WHERE len(list_intersect(a.t, b.t)) > 0""")
+@query("""WITH w AS (SELECT p_partkey AS id, string_split(p_name, ' ') AS t, p_size FROM part) SELECT a.id AS a, b.id AS b, round(len(list_intersect(a.t, b.t)) * 1.0 / len(list_distinct(list_concat(a.t, b.t))), 6) AS similarity FROM w a JOIN w b ON a.id < b.id AND a.p_size = b.p_size WHERE len(list_intersect(a.t, b.t)) > 0""")
 def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = catalog.table(spark, sf_dir, "part").filter("p_partkey < 400").select(F.col("p_partkey").alias("id"), F.split("p_name", " ").alias("t"), "p_size")
+    w = catalog.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.split("p_name", " ").alias("t"), "p_size")
     b = w.select(F.col("id").alias("b"), F.col("t").alias("u"), "p_size")
     both = w.withColumnRenamed("id", "a").join(b, "p_size").filter((F.col("a") < F.col("b")) & F.arrays_overlap("t", "u"))
     return both.select("a", "b", F.round(text.jaccard(F.col("t"), F.col("u")), 6).alias("similarity"))
@@ -165,22 +173,21 @@ def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def capped_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups that a run may execute under a cap; the choice is sequential over at most a few thousand rows of four numbers."""
-    ranked = ranked_members(spark, sf_dir)
-    plans = matching.merge_plan(ranked).join(matching.tier_of_group(ranked).filter("NOT risk"), "group_id")
-    rows = plans.select("group_id", "tier", stamp("start_at").alias("start"), F.size("delete_ids").alias("n")).orderBy("tier", "start", "group_id").limit(20_000).collect()
-    chosen, outcome = matching.within_cap([tuple(r) for r in rows], 40)
+    from tidewell.plans import dedupe
+
+    chosen, outcome = dedupe.chosen(dedupe.planned(ranked_members(spark, sf_dir)), 40)
     return spark.createDataFrame([(g, outcome) for g in chosen], "group_id string, outcome string")
 
 
 # Merges ------------------------------------------------------------------------------------------------------------------
 
-BASE_SQL = f"""{EVENTS_SQL}, b AS (SELECT id, title, price_min, image_url, CASE WHEN id % 5 = 0 THEN '{{"title": 1}}' END AS overrides FROM ev WHERE id < 1000), s AS (SELECT id, 'New ' || title AS title, CASE WHEN id % 2 = 0 THEN price_min + 1 END AS price_min, CAST(NULL AS VARCHAR) AS image_url FROM ev WHERE id BETWEEN 900 AND 1099)"""
+BASE_SQL = f"""{EVENTS_SQL}, b AS (SELECT id, title, price_min, image_url, CASE WHEN id % 5 = 0 THEN '{{"title": 1}}' END AS overrides FROM ev WHERE start_at < {NOW} + INTERVAL 2 DAY), s AS (SELECT id, 'New ' || title AS title, CASE WHEN id % 2 = 0 THEN price_min + 1 END AS price_min, CAST(NULL AS VARCHAR) AS image_url FROM ev WHERE start_at >= {NOW} - INTERVAL 2 DAY)"""
 
 
 def _base_and_staged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     e = catalog.events(spark, sf_dir)
-    base = e.filter("id < 1000").select("id", "title", "price_min", "image_url", F.when(F.col("id") % 5 == 0, F.lit('{"title": 1}')).alias("overrides"))
-    staged = e.filter("id BETWEEN 900 AND 1099").select("id", F.concat(F.lit("New "), F.col("title")).alias("title"), F.when(F.col("id") % 2 == 0, F.col("price_min") + 1).alias("price_min"), F.lit(None).cast("string").alias("image_url"))
+    base = e.filter(F.col("start_at") < F.lit(AS_OF + timedelta(days=2))).select("id", "title", "price_min", "image_url", F.when(F.col("id") % 5 == 0, F.lit('{"title": 1}')).alias("overrides"))
+    staged = e.filter(F.col("start_at") >= F.lit(AS_OF - timedelta(days=2))).select("id", F.concat(F.lit("New "), F.col("title")).alias("title"), F.when(F.col("id") % 2 == 0, F.col("price_min") + 1).alias("price_min"), F.lit(None).cast("string").alias("image_url"))
     return base, staged
 
 
@@ -196,16 +203,18 @@ def merge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.counts(*_base_and_staged(spark, sf_dir), ["id"])
 
 
-@query(f"WITH {EVENTS_SQL} SELECT id FROM ev WHERE id BETWEEN 900 AND 1099 AND NOT (id % 3 = 0 AND (id - 900) < 150)")
+@query(f"WITH {EVENTS_SQL} SELECT id FROM ev WHERE category NOT IN ('signup', 'purchase')")
 def alias_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = catalog.events(spark, sf_dir)
-    aliases = e.filter("id BETWEEN 900 AND 1099 AND id % 3 = 0").select("source", "source_id", F.when(F.col("id") < 1050, F.col("id") - 900).otherwise(F.lit(-1)).alias("canonical_id"))
-    return merge.not_aliased(e.filter("id BETWEEN 900 AND 1099"), aliases, e).select("id")
+    # aliases of errors point at no event, so they skip nothing
+    target = F.when(F.col("category") == "error", F.lit(-1).cast("long")).otherwise(F.col("id"))
+    aliases = e.filter("category IN ('signup', 'purchase', 'error')").select("source", "source_id", target.alias("canonical_id"))
+    return merge.not_aliased(e, aliases, e).select("id")
 
 
-@query(f"WITH {BRIDGE_SQL} SELECT event_id, category FROM ec WHERE event_id < 500 AND NOT (event_id % 4 = 0 AND event_id % 8 <> 0) UNION SELECT event_id, 'music' FROM ec WHERE event_id < 500 AND event_id % 4 = 0 AND event_id % 8 <> 0")
+@query(f"WITH {BRIDGE_SQL} SELECT event_id, category FROM ec WHERE NOT (event_id % 4 = 0 AND event_id % 8 <> 0) UNION SELECT event_id, 'music' FROM ec WHERE event_id % 4 = 0 AND event_id % 8 <> 0")
 def category_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bridge = catalog.event_categories(spark, sf_dir).filter("event_id < 500")
+    bridge = catalog.event_categories(spark, sf_dir)
     new = bridge.filter("event_id % 4 = 0").select("event_id", F.lit("music").alias("category"))
     return merge.replaced(bridge, new, "event_id", bridge.filter("event_id % 8 = 0").select("event_id").distinct())
 
@@ -228,9 +237,9 @@ def synced_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.synced_arrays(catalog.events(spark, sf_dir).select("id"), bridge, "event_id", "category", "slugs").select("id", F.array_join("slugs", ",").alias("slugs"))
 
 
-@query(f"WITH {EVENTS_SQL} SELECT id, CASE WHEN id % 4 <> 0 AND id % 6 <> 0 THEN {sql_stamp('start_at')} END AS reviewed_at FROM ev WHERE id < 800")
+@query(f"WITH {EVENTS_SQL} SELECT id, CASE WHEN id % 4 <> 0 AND id % 6 <> 0 THEN {sql_stamp('start_at')} END AS reviewed_at FROM ev")
 def review_reopen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    old = catalog.events(spark, sf_dir).filter("id < 800").select("id", "title", "start_at", F.col("start_at").alias("reviewed_at"))
+    old = catalog.events(spark, sf_dir).select("id", "title", "start_at", F.col("start_at").alias("reviewed_at"))
     new = old.withColumn("title", F.when(F.col("id") % 4 == 0, "x").otherwise(F.col("title"))).withColumn("start_at", F.when(F.col("id") % 6 == 0, F.col("start_at") + F.expr("INTERVAL 1 HOUR")).otherwise(F.col("start_at")))
     return merge.reopened(old, new).select("id", stamp("reviewed_at").alias("reviewed_at"))
 
@@ -241,24 +250,27 @@ def ledger_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.claimed(ledger, catalog.raw_events(spark, sf_dir).select("user_id", "event_id"), "user_id")
 
 
-@query("WITH d AS (SELECT user_id AS plan_id, ts, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events) SELECT plan_id, count(*) AS n FROM d GROUP BY plan_id")
+@query("""WITH c AS (SELECT event_id // 1000 AS plan_id, event_id % 1000 AS s FROM events), f AS (SELECT plan_id, min(s) AS began FROM c GROUP BY plan_id)
+  SELECT plan_id, count(*) AS n, count(*) FILTER ((s - began) % 601 < 120) AS allowed FROM c JOIN f USING (plan_id) GROUP BY plan_id""")
 def gate_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A call a second, a thousand to a plan: of the calls of each ten minutes the first 120 pass."""
     from tidewell.streaming.jobs import gated
 
-    calls = catalog.raw_events(spark, sf_dir).select(F.col("user_id").alias("plan_id"), F.col("event_id").alias("call"), F.col("ts").alias("at"))
-    return gated(calls).groupBy("plan_id").agg(F.count("*").alias("n"))
+    e, start = catalog.raw_events(spark, sf_dir), F.unix_timestamp(F.lit(AS_OF))
+    calls = e.select(F.floor(F.col("event_id") / 1000).alias("plan_id"), F.col("event_id").alias("call"), F.timestamp_seconds(start + F.col("event_id") % 1000).alias("at"))
+    return gated(calls).groupBy("plan_id").agg(F.count("*").alias("n"), F.count_if("allowed").alias("allowed"))
 
 
-@query("""WITH it AS (SELECT l_orderkey AS plan_id, l_partkey AS event_id, min(l_linenumber) AS added_at FROM lineitem WHERE l_orderkey < 500 GROUP BY 1, 2), e AS (SELECT event_id AS id, ts FROM events WHERE event_id % 3 <> 0)
-  SELECT o_orderkey AS plan_id, count(it.event_id) AS n, coalesce(string_agg(CASE WHEN e.id IS NULL THEN 'gone' ELSE 'ok' END || CAST(it.event_id AS VARCHAR), ',' ORDER BY coalesce(e.ts, TIMESTAMP '2000-01-01 00:00:00'), it.event_id), '') AS items FROM orders LEFT JOIN it ON plan_id = o_orderkey LEFT JOIN e ON e.id = it.event_id WHERE o_orderkey < 500 GROUP BY 1""")
+@query("""WITH it AS (SELECT l_orderkey AS plan_id, l_partkey AS event_id, min(l_linenumber) AS added_at FROM lineitem GROUP BY 1, 2), e AS (SELECT event_id AS id, ts FROM events WHERE event_id % 3 <> 0)
+  SELECT o_orderkey AS plan_id, count(it.event_id) AS n, coalesce(string_agg(CASE WHEN e.id IS NULL THEN 'gone' ELSE 'ok' END || CAST(it.event_id AS VARCHAR), ',' ORDER BY coalesce(e.ts, TIMESTAMP '2000-01-01 00:00:00'), it.event_id), '') AS items FROM orders LEFT JOIN it ON plan_id = o_orderkey LEFT JOIN e ON e.id = it.event_id GROUP BY 1""")
 def plan_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewell.plans import day_plans
 
     none = F.lit(None).cast("string")
-    items = catalog.plan_items(spark, sf_dir).filter("plan_id < 500").groupBy("plan_id", "event_id").agg(F.min("line").alias("added_at"))
+    items = catalog.plan_items(spark, sf_dir).groupBy("plan_id", "event_id").agg(F.min("line").alias("added_at"))
     items = items.withColumns({"snap_source": none, "snap_source_id": none, "snap_title": none, "snap_start_at": F.lit(datetime(2000, 1, 1))})
     aliases = spark.createDataFrame([], "source string, source_id string, canonical_id long")
-    made = day_plans.as_json(catalog.plans(spark, sf_dir).filter("plan_id < 500"), items, catalog.events(spark, sf_dir).filter("id % 3 <> 0"), aliases)
+    made = day_plans.as_json(catalog.plans(spark, sf_dir), items, catalog.events(spark, sf_dir).filter("id % 3 <> 0"), aliases)
     parsed = F.from_json("items", "array<struct<event_id:long,status:string>>")
     return made.select("plan_id", F.size(parsed).cast("long").alias("n"), F.array_join(F.transform(parsed, lambda i: F.concat(i["status"], i["event_id"].cast("string"))), ",").alias("items"))
 
@@ -297,7 +309,8 @@ def digest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def subscribers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = catalog.table(spark, sf_dir, "customer").filter("c_custkey < 60")
+    """Those customers whose segment gets mails."""
+    c = catalog.table(spark, sf_dir, "customer").filter("c_mktsegment = 'BUILDING'")
     return c.select(
         F.col("c_custkey").cast("long").alias("sub_id"), F.when(F.col("c_custkey") % 5 == 0, "monthly").otherwise("weekly").alias("frequency"), F.lit(5).alias("lookahead_days"), F.expr("array(0, 1, 2, 3, 5, 6)").alias("event_days"),
         F.expr("CASE c_custkey % 3 WHEN 0 THEN array('view', 'click') WHEN 1 THEN array('signup') ELSE CAST(array() AS array<string>) END").alias("categories"), F.when(F.col("c_custkey") % 2 == 0, 40.0).alias("price_max"),
@@ -311,7 +324,7 @@ def placed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.events(spark, sf_dir).join(v, F.col("venue_id") == F.col("v_id"), "left").drop("v_id")
 
 
-@query(f"""WITH {EVENTS_SQL}, {VENUES_SQL}, su AS (SELECT c_custkey AS sub_id, CASE WHEN c_custkey % 5 = 0 THEN TIMESTAMP '2024-01-31 23:59:59' ELSE {NOW} + INTERVAL 5 DAY END AS until FROM customer WHERE c_custkey < 60),
+@query(f"""WITH {EVENTS_SQL}, {VENUES_SQL}, su AS (SELECT c_custkey AS sub_id, CASE WHEN c_custkey % 5 = 0 THEN TIMESTAMP '2024-01-31 23:59:59' ELSE {NOW} + INTERVAL 5 DAY END AS until FROM customer WHERE c_mktsegment = 'BUILDING'),
   j AS (SELECT sub_id, e.*, 2 * 3959 * atan2(sqrt(h), sqrt(1 - h)) AS miles FROM su JOIN (SELECT ev.*, pow(sin(radians(ve.lat - 41.002) / 2), 2) + cos(radians(41.002)) * cos(radians(ve.lat)) * pow(sin(radians(ve.lng + 81.499) / 2), 2) AS h FROM ev LEFT JOIN ve ON ve.id = ev.venue_id) e ON e.start_at >= {NOW} AND e.start_at <= until)
   SELECT sub_id, count(*) AS n FROM j WHERE ((extract(dow FROM start_at) <> 4 AND (sub_id % 3 = 2 OR (sub_id % 3 = 0 AND category IN ('view', 'click')) OR (sub_id % 3 = 1 AND category = 'signup')) AND (sub_id % 2 = 1 OR coalesce(price_min, 0) <= 40) AND (sub_id % 4 <> 0 OR h IS NULL OR miles <= 0.3))
     OR (sub_id % 6 = 1 AND title LIKE '%Club%')) GROUP BY sub_id""")

@@ -50,13 +50,13 @@ def baseline_median(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ISSUE_SQL = f"""{RUNS_SQL}, {LATEST_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY scraper ORDER BY ran_at DESC, run_id DESC) AS rn FROM ru),
   b AS (SELECT scraper, median(found) FILTER (rn > 1 AND found > 0) AS baseline, count(*) FILTER (rn > 1 AND found > 0) AS history FROM r GROUP BY scraper),
-  s AS (SELECT c_custkey AS scraper FROM customer WHERE c_custkey < 200),
+  s AS (SELECT c_custkey AS scraper FROM customer),
   iss AS (SELECT s.scraper, CASE WHEN la.ran_at IS NULL THEN 'did_not_run' WHEN epoch_us({END_SQL}) - epoch_us(la.ran_at) > 36 * 3600000000 THEN 'stale' WHEN la.status = 'error' THEN 'error' WHEN la.found = 0 THEN 'zero_events'
     WHEN baseline >= 5 AND history >= 4 AND la.found < baseline * 0.4 THEN 'volume_drop' END AS issue FROM s LEFT JOIN la ON la.scraper = s.scraper LEFT JOIN b ON b.scraper = s.scraper)"""
 
 
 def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.organizations(spark, sf_dir).select(F.col("id").alias("scraper")).filter("scraper < 200")
+    return catalog.organizations(spark, sf_dir).select(F.col("id").alias("scraper"))
 
 
 @query(f"WITH {ISSUE_SQL} SELECT scraper, issue FROM iss")
@@ -69,7 +69,7 @@ def issue_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return health.issue_counts(health.anomalies(_sources(spark, sf_dir), catalog.runs(spark, sf_dir), END))
 
 
-@query(f"WITH {RUNS_SQL}, {LATEST_SQL} SELECT c_custkey AS scraper, la.found AS last_found, la.ran_at IS NOT NULL AS logged FROM customer LEFT JOIN la ON la.scraper = c_custkey AND la.ran_at >= TIMESTAMP '2024-01-30 12:00:00' WHERE c_custkey < 200")
+@query(f"WITH {RUNS_SQL}, {LATEST_SQL} SELECT c_custkey AS scraper, la.found AS last_found, la.ran_at IS NOT NULL AS logged FROM customer LEFT JOIN la ON la.scraper = c_custkey AND la.ran_at >= TIMESTAMP '2024-01-30 12:00:00'")
 def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return health.run_summary(_sources(spark, sf_dir), catalog.runs(spark, sf_dir), datetime(2024, 1, 30, 12)).select("scraper", "last_found", "logged")
 
@@ -79,9 +79,9 @@ def last_day_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return health.last_day(catalog.runs(spark, sf_dir), AS_OF)
 
 
-@query(f"WITH {RUNS_SQL} SELECT c_custkey AS scraper FROM customer WHERE c_custkey NOT IN (SELECT scraper FROM ru) AND c_custkey < 300")
+@query(f"WITH {RUNS_SQL} SELECT c_custkey AS scraper FROM customer WHERE c_custkey NOT IN (SELECT scraper FROM ru)")
 def never_logged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = catalog.organizations(spark, sf_dir).select(F.col("id").alias("scraper")).filter("scraper < 300")
+    ids = catalog.organizations(spark, sf_dir).select(F.col("id").alias("scraper"))
     return joins.never_logged(ids, catalog.runs(spark, sf_dir))
 
 

@@ -15,9 +15,9 @@ query = Registry()
 TERMS = (("idiot", "contextual"), ("moron", "high"), ("worthless", "extreme"), ("the and", "contextual"))
 
 
-@query("SELECT doc_id, trim(regexp_replace(replace(lower(substr(text, 1, 80)), '''', ''), '[^a-z0-9]+', ' ', 'g')) AS key FROM documents WHERE lang = 'en'")
+@query("SELECT doc_id, trim(regexp_replace(replace(lower(coalesce(text, '')), '''', ''), '[^a-z0-9]+', ' ', 'g')) AS key FROM documents")
 def title_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.table(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", text.title_key(F.substring("text", 1, 80)).alias("key"))
+    return catalog.table(spark, sf_dir, "documents").select("doc_id", text.title_key(F.col("text")).alias("key"))
 
 
 @query("SELECT p_partkey AS id, lower(p_name || ' ' || p_type) AS tokens FROM part")
@@ -74,15 +74,15 @@ def website_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.table(spark, sf_dir, "pages").select("page_id", text.website(raw).alias("website"))
 
 
-@query("SELECT page_id, url AS first, CAST(2 AS BIGINT) AS n FROM pages WHERE NOT contains(url, ')')")
+@query("SELECT page_id, url AS first, CAST(2 AS BIGINT) AS n FROM pages")
 def text_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = text.urls_in(F.concat(F.lit("See ("), F.col("url"), F.lit(") and https://a.example/x_(y), ok.")))
-    return catalog.table(spark, sf_dir, "pages").filter("NOT contains(url, ')')").select("page_id", F.get(found, F.lit(0)).alias("first"), F.size(found).cast("long").alias("n"))
+    return catalog.table(spark, sf_dir, "pages").select("page_id", F.get(found, F.lit(0)).alias("first"), F.size(found).cast("long").alias("n"))
 
 
-@query("SELECT doc_id FROM documents WHERE regexp_matches(lower(text), '(^|[^a-z0-9_À-ɏ])the([^a-z0-9_À-ɏ]|$)') AND lang = 'en'")
+@query("SELECT doc_id FROM documents WHERE regexp_matches(lower(text), '(^|[^a-z0-9_À-ɏ])the([^a-z0-9_À-ɏ]|$)')")
 def word_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.table(spark, sf_dir, "documents").filter("lang = 'en'").filter(text.has_word(F.lower("text"), "the")).select("doc_id")
+    return catalog.table(spark, sf_dir, "documents").filter(text.has_word(F.lower("text"), "the")).select("doc_id")
 
 
 CATEGORY_SQL = """x AS (SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN 'Jazz brunch' WHEN 1 THEN 'Trivia night' WHEN 2 THEN 'Yoga class in the gallery' WHEN 3 THEN 'Quarterly report' WHEN 4 THEN 'Film festival' ELSE 'Town hall concert' END AS title FROM part)"""
@@ -96,12 +96,20 @@ def category_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _term(t: str) -> str:
-    return f"regexp_matches(t, '(^|[^a-z0-9]){t.replace(' ', '[\\s._*-]*')}([^a-z0-9]|$)')"
+    """A term in either reading of digits; a letter also stands for three or more of it, which are one when squeezed."""
+    body = "".join("[\\s._*-]*" if c == " " else f"{c}({c}{c}+)?" for c in t)
+    return " OR ".join(f"regexp_matches({v}, '(^|[^a-z0-9]){body}([^a-z0-9]|$)')" for v in ("t", "l"))
 
 
-@query(f"""WITH d AS (SELECT doc_id, lower(text) AS t FROM documents WHERE lang = 'en' AND NOT regexp_matches(text, '[0-9@$!]') AND NOT regexp_matches(text, '[^\\x00-\\x7F]')) SELECT doc_id, CASE WHEN {_term('worthless')} THEN 'extreme' WHEN {_term('moron')} THEN 'high' WHEN {_term('idiot')} OR {_term('the and')} THEN 'contextual' END AS severity FROM d""")
+def _apart(t: str) -> str:
+    """A term inside letters written apart, all of which are read together."""
+    return f"len(list_filter(list_transform(regexp_extract_all(l, '([a-z0-9][\\s._*-]){{2,}}[a-z0-9]'), lambda r: regexp_replace(r, '[^a-z0-9]', '', 'g')), lambda r: contains(r, '{t}'))) > 0"
+
+
+@query(f"""WITH d AS (SELECT doc_id, strip_accents(lower(coalesce(text, ''))) AS t FROM documents), v AS (SELECT *, translate(t, '{moderation.LEET_FROM}', '{moderation.LEET_TO}') AS l FROM d)
+  SELECT doc_id, CASE WHEN {_term('worthless')} OR {_apart('worthless')} THEN 'extreme' WHEN {_term('moron')} OR {_apart('moron')} THEN 'high' WHEN {_term('idiot')} OR {_term('the and')} THEN 'contextual' END AS severity FROM v""")
 def moderation_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = catalog.table(spark, sf_dir, "documents").filter("lang = 'en' AND NOT text RLIKE '[0-9@$!]' AND NOT text RLIKE '[^\\\\x00-\\\\x7F]'")
+    d = catalog.table(spark, sf_dir, "documents")
     return d.select("doc_id", moderation.severity_of(moderation.matches(F.col("text"), TERMS)).alias("severity"))
 
 
@@ -136,17 +144,17 @@ def rule_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.try_element_at(m, F.lit("FREQ")).alias("freq"), F.try_element_at(m, F.lit("INTERVAL")).alias("every"))
 
 
-@query(f"WITH {EVENTS_SQL} SELECT id, 'UID:' || source_id AS uid, 'DTSTART:' || strftime(start_at, '%Y%m%dT%H%M%SZ') AS starts FROM ev WHERE id < 2000")
+@query(f"WITH {EVENTS_SQL} SELECT id, 'UID:' || source_id AS uid, 'DTSTART:' || strftime(start_at, '%Y%m%dT%H%M%SZ') AS starts FROM ev")
 def calendar_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = catalog.events(spark, sf_dir).filter("id < 2000").withColumns({"description": F.lit(None).cast("string"), "updates": F.lit(0)})
+    rows = catalog.events(spark, sf_dir).withColumns({"description": F.lit(None).cast("string"), "updates": F.lit(0)})
     lines = F.split("component", "\r\n")
     return calendars.components(rows).select("id", F.get(lines, F.lit(1)).alias("uid"), F.get(lines, F.lit(4)).alias("starts"))
 
 
-@query(f"WITH {EVENTS_SQL} SELECT source_id, title, {sql_stamp('start_at')} AS start_at, {sql_stamp('end_at')} AS end_at FROM ev WHERE id < 2000")
+@query(f"WITH {EVENTS_SQL} SELECT source_id, title, {sql_stamp('start_at')} AS start_at, {sql_stamp('end_at')} AS end_at FROM ev")
 def calendar_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events written as calendar text and parsed back."""
-    rows = catalog.events(spark, sf_dir).filter("id < 2000").withColumns({"description": F.lit("line one\nline two; with, signs"), "updates": F.lit(0)})
+    rows = catalog.events(spark, sf_dir).withColumns({"description": F.lit("line one\nline two; with, signs"), "updates": F.lit(0)})
     body = F.concat(F.lit("BEGIN:VCALENDAR\r\n"), F.col("component"), F.lit("\r\nEND:VCALENDAR\r\n"))
     parsed = calendars.events(calendars.components(rows).select(F.col("id").alias("feed_id"), body.alias("body")))
     return calendars.normalised(parsed, "ics").select("source_id", "title", stamp("start_at").alias("start_at"), stamp("end_at").alias("end_at"))
@@ -173,12 +181,12 @@ def structured_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("id", F.get_json_object("j", "$.name").alias("name"), stamp(F.try_to_timestamp(F.get_json_object("j", "$.startDate"))).alias("starts"), F.get_json_object("j", "$.offers.price").alias("price"))
 
 
-@query(f"WITH {EVENTS_SQL} SELECT source_id, title, {sql_stamp('start_at')} AS start_at, CAST(price_min AS DOUBLE) AS price_min FROM ev WHERE id < 3000")
+@query(f"WITH {EVENTS_SQL} SELECT source_id, title, {sql_stamp('start_at')} AS start_at, CAST(price_min AS DOUBLE) AS price_min FROM ev")
 def tribe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of a calendar interface, rendered from events and parsed by the adapter."""
-    e = catalog.events(spark, sf_dir).filter("id < 3000")
+    e = catalog.events(spark, sf_dir)
     item = F.struct(F.col("source_id").alias("id"), F.concat(F.lit("<b>"), F.col("title"), F.lit("</b>")).alias("title"), F.date_format(F.from_utc_timestamp("start_at", "America/New_York"), "yyyy-MM-dd HH:mm:ss").alias("start_date"), F.concat(F.lit("$"), F.col("price_min").cast("string")).alias("cost"))
-    pages = e.groupBy((F.col("id") % 20).alias("page")).agg(F.to_json(F.struct(F.lit(20).alias("total_pages"), F.collect_list(item).alias("events"))).alias("body"))
+    pages = e.groupBy(F.floor(F.col("id") / 50).alias("page")).agg(F.to_json(F.struct(F.lit(20).alias("total_pages"), F.collect_list(item).alias("events"))).alias("body"))
     return feeds.tribe(pages, "tribe").select("source_id", "title", stamp("start_at").alias("start_at"), "price_min")
 
 
