@@ -9,19 +9,35 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder (spark.checkpoint.dir); a local one is made only where none is set."""
+    """The shared folder (spark.checkpoint.dir, or the context's checkpoint folder).
+
+    A temporary one is made only where none is set and all tasks run on this machine; on a cluster that raises an error.
+    """
     if configured := spark.conf.get("spark.checkpoint.dir", None):
         return configured
     context = spark.sparkContext
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="tidewell-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 
+def own_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}"
+
+
 def scratch(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    return f"{own_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes all intermediate tables of this application: call it once results are written, as results read from them."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def materialize(frame: DataFrame, tag: str) -> DataFrame:
