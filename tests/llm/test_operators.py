@@ -512,8 +512,8 @@ def test_cutting_does_not_depend_on_the_number_of_automata(spark, monkeypatch):
     docs = docs_of(spark, texts).withColumn("hits", F.lit(0))
     one = {x["doc_id"]: tuple(x) for x in decontaminate.decontaminate(docs, benchmark).collect()}
     assert set(one) == {1, 2, 3, 4, 5} and "x" not in one[1][1]
-    real = decontaminate.automata
-    monkeypatch.setattr(decontaminate, "automata", lambda b, w, *_: real(b, w, 30))
-    assert len(decontaminate.automata(benchmark, 10)) > 1
+    real = decontaminate.groups_of
+    monkeypatch.setattr(decontaminate, "groups_of", lambda b, *_: real(b, 30))
+    assert decontaminate.groups_of(benchmark) > 1
     several = decontaminate.decontaminate(docs, benchmark)
     assert several.columns == docs.columns and {x["doc_id"]: tuple(x) for x in several.collect()} == one

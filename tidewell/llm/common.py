@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewell.scratch import materialize, scratch  # noqa: F401
+
 #: Java regular expression of a word: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -19,30 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a local one is made only where none is set."""
-    if configured := spark.conf.get("spark.checkpoint.dir", None):
-        return configured
-    context = spark.sparkContext
-    current = context._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="tidewell-"))
-    return context._jsc.sc().getCheckpointDir().get()
-
-
-def scratch(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-
-
-def materialize(frame: DataFrame, tag: str) -> DataFrame:
-    """Write ``frame`` to the shared folder and read it back: lineage ends here and lost executors cost nothing."""
-    spark = frame.sparkSession
-    path = scratch(spark, tag)
-    frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
-
-
 def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

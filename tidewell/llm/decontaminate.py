@@ -150,17 +150,17 @@ class ItemAutomaton:
                 yield begin, end + extra
 
 
-def automata(benchmark: DataFrame, window: int, max_words: int = MAX_WORDS) -> list[ItemAutomaton]:
-    """Automata of the items (item_id, text), in groups of about ``max_words`` words."""
-    sized = benchmark.select(F.col("item_id").cast("string").alias("item_id"), utf8("text").alias("text"))
+def groups_of(benchmark: DataFrame, max_words: int = MAX_WORDS) -> int:
+    """How many automata of about ``max_words`` words the items need."""
     total = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
-    groups = max(1, -(-int(total) // (6 * max_words)))
-    out = []
-    for g in range(groups):
-        part = sized if groups == 1 else sized.filter(F.pmod(F.xxhash64("item_id"), F.lit(groups)) == g)
-        items = [(r["item_id"], bytes(r["text"])) for r in part.toLocalIterator()]
-        out.append(ItemAutomaton(items, window))
-    return out
+    return max(1, -(-int(total) // (6 * max_words)))
+
+
+def automaton(benchmark: DataFrame, window: int, group: int, groups: int) -> ItemAutomaton:
+    """The automaton of one group of the items (item_id, text)."""
+    sized = benchmark.select(F.col("item_id").cast("string").alias("item_id"), utf8("text").alias("text"))
+    part = sized if groups == 1 else sized.filter(F.coalesce(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)), F.lit(0)) == group)
+    return ItemAutomaton([(r["item_id"], bytes(r["text"])) for r in part.toLocalIterator()], window)
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_words: int = MAX_WORDS) -> DataFrame:
@@ -168,22 +168,21 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
 
     A window is ``window`` consecutive words of an item; an item with fewer words, but not none, is one window.  Null and
     empty texts have no words and no hits; null item ids count as no item but still mark words; repeated items count once.
-    The new columns are named n_words, hits and items, with underscores before them where ``docs`` has such columns.
+    Texts of any length are streamed whole, in time that grows with their words.  The new columns are named n_words, hits
+    and items, with underscores before them where ``docs`` has such columns.
     """
-    return _find(docs, _shared(docs, automata(benchmark, window, max_words)), *safe(docs, "n_words", "hits", "items"))
-
-
-def _shared(docs: DataFrame, machines: list[ItemAutomaton]) -> list:
-    return [docs.sparkSession.sparkContext.broadcast(data) for data in machines]
+    return _find(docs, benchmark, window, groups_of(benchmark, max_words), *safe(docs, "n_words", "hits", "items"))
 
 
-def _find(docs: DataFrame, shared: list, n_words: str, hits: str, items: str) -> DataFrame:
-    """``docs`` with the hits of all automata, each a pass."""
+def _find(docs: DataFrame, benchmark: DataFrame, window: int, groups: int, n_words: str, hits: str, items: str) -> DataFrame:
+    """``docs`` with the hits of all automata, each a pass; of several, the driver and tasks hold one at a time."""
     out = docs
-    for turn, machine in enumerate(shared):
-        out = _pass(out, machine, n_words, hits, items, first=turn == 0)
-        if turn + 1 < len(shared):
+    for group in range(groups):
+        shared = docs.sparkSession.sparkContext.broadcast(automaton(benchmark, window, group, groups))
+        out = _pass(out, shared, n_words, hits, items, first=group == 0)
+        if groups > 1:
             out = materialize(out, "decontaminate")
+            shared.destroy()
     return out
 
 
@@ -243,13 +242,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_c
     them before it judges and cuts, and the next searches only what has changed.  Documents without a hit, null texts
     among them, stay as they are; n_chars, where present, follows the text.
     """
-    shared = _shared(docs, automata(benchmark, window, max_words))
-    if len(shared) == 1:
-        return _cut(docs, shared[0], max_coverage)
+    groups = groups_of(benchmark, max_words)
+    if groups == 1:
+        return _cut(docs, docs.sparkSession.sparkContext.broadcast(automaton(benchmark, window, 0, 1)), max_coverage)
     names = safe(docs, "n_words", "hits", "items")
     clean_, open_ = [], docs
     while True:
-        found = materialize(_find(open_, shared, *names), "decontaminate")
+        found = materialize(_find(open_, benchmark, window, groups, *names), "decontaminate")
         hit = F.size(F.col(names[1])) > 0
         clean_.append(found.filter(~hit).select(*docs.columns))
         # each round makes the texts that are left shorter, so rounds end

@@ -1,7 +1,7 @@
 """Deterministic sharded WARC writer and its reader.
 
-Records are range-sorted by page_id: a histogram of payload bytes over a fixed number of key ranges, small enough for the
-driver at any input, is cut into shards of about equal bytes.  Every task sorts and writes one shard, one gzip member a
+Records are range-sorted by page_id: a histogram of payload bytes over ranges of ids, refined where ids lie close, is cut into
+shards of about equal bytes.  Every task sorts and writes one shard, one gzip member a
 record, and rolls to a new file by compressed size.  Headers and digests are made anew from the payload.  Files are written
 under temporary names; the names that successful tasks report form the manifest, whose files alone get their final names
 and count as written.  A task that is run again writes other temporary names, so lost executors leave nothing behind but
@@ -25,8 +25,8 @@ from pyspark.sql.types import StructType
 
 from tidewell.llm.common import materialize, n_partitions, utf8
 
-#: Key ranges of the histogram from which shards are cut.
-RANGES = 1 << 16
+#: Cells of the histogram from which shards are cut, at least, and bits by which a heavy cell is cut further.
+RANGES, FINER = 1 << 16, 6
 SHARD_BYTES = 512 << 20
 ROLL_BYTES = 1 << 30
 #: Payloads below this many bytes are always stored.
@@ -130,22 +130,61 @@ def _unquoted(target: str) -> str:
     return unquote_to_bytes(target).decode()
 
 
-def _sharded(pages: DataFrame, shards: int | None, shard_bytes: int) -> tuple[Column, DataFrame, int, DataFrame]:
-    """The key-range expression, the shard of each range, the number of shards, and page_id, size and digest of each row."""
-    spark = pages.sparkSession
-    info = materialize(pages.select("page_id", F.length(utf8("html")).cast("long").alias("size"), F.sha1(utf8("html")).alias("digest")), "warc-info")
-    ends = info.agg(F.min("page_id").alias("lo"), F.max("page_id").alias("hi")).first()
-    lo, hi = (ends["lo"] or 0), (ends["hi"] or 0)
-    # null ids come first; the span is a double, as the difference of two longs may not be a long
-    at = F.coalesce(F.least(((F.col("page_id").cast("double") - float(lo)) * (RANGES / (float(hi) - float(lo) + 1.0))).cast("int"), F.lit(RANGES - 1)), F.lit(0))
-    sizes = info.groupBy(at.alias("at")).agg(F.sum(F.col("size") + 500).alias("b")).collect()  # RANGES rows at most
-    total = sum(r["b"] for r in sizes)
-    count = shards or max(n_partitions(spark), -(-total // shard_bytes))
-    placed, seen = [], 0
-    for r in sorted(sizes, key=lambda r: r["at"]):
-        placed.append((r["at"], min(count - 1, seen * count // max(1, total))))
-        seen += r["b"]
-    return at, spark.createDataFrame(placed, "at int, shard int"), count, info
+class Ranges:
+    """The shard of each row: ranges of page_id of about equal bytes, found by a histogram that is refined where it is heavy.
+
+    A cell is the ids that agree but for their lowest ``shift`` bits.  Cells heavier than a shard are cut into FINER cells
+    each, until none is or a cell is a single id (or the rows without one), which is cut into parts by hash of its rows.  So
+    no shard is much heavier than the others, however ids are spread, and shards are in the order of ids.  The driver holds
+    some RANGES or FINER cells for each shard.
+    """
+
+    def __init__(self, info: DataFrame, shards: int | None, shard_bytes: int, least: int) -> None:
+        spark = info.sparkSession
+        ends = info.agg(F.min("page_id").alias("lo"), F.max("page_id").alias("hi"), F.coalesce(F.sum(F.col("size") + 500), F.lit(0)).alias("b")).first()
+        self.count = shards or max(least, -(-ends["b"] // shard_bytes))
+        share = max(1, -(-ends["b"] // self.count))
+        most = max(RANGES, 4 * self.count)
+        shift = next(k for k in range(64) if ((ends["hi"] or 0) >> k) - ((ends["lo"] or 0) >> k) < most)
+        self.levels: list[tuple[int, DataFrame]] = []  # of each shift, the cells that are cut further
+        cells: list[tuple[int, int, int, int]] = []  # least id, shift, cell, bytes; shift -1: rows without an id
+        rows = info.withColumn("cell", F.call_function("shiftright", F.col("page_id"), F.lit(shift)))
+        for r in rows.groupBy("cell").agg(F.sum(F.col("size") + 500).alias("b")).collect():
+            cells.append((-(1 << 63) - 1, -1, 0, r["b"]) if r["cell"] is None else (r["cell"] << shift, shift, r["cell"], r["b"]))
+        while heavy := [c for c in cells if c[1] == shift and shift > 0 and c[3] > share]:
+            cut = spark.createDataFrame([(c[2],) for c in heavy], "heavy long")
+            self.levels.append((shift, cut))
+            cells = [c for c in cells if c not in set(heavy)]
+            rows = info.join(F.broadcast(cut), F.call_function("shiftright", F.col("page_id"), F.lit(shift)) == F.col("heavy"), "left_semi")
+            shift = max(0, shift - FINER)
+            for r in rows.groupBy(F.call_function("shiftright", F.col("page_id"), F.lit(shift)).alias("cell")).agg(F.sum(F.col("size") + 500).alias("b")).collect():
+                cells.append((r["cell"] << shift, shift, r["cell"], r["b"]))
+        self.last = shift
+        placed, seen = [], 0
+        for _, k, cell, size in sorted(cells):
+            parts = -(-size // share) if k <= 0 and size > share else 1
+            placed.append((k, cell, min(self.count - 1, seen // share), parts))
+            seen += size
+        self.split = any(p[3] > 1 for p in placed)
+        self.table = spark.createDataFrame(placed, "r_shift int, r_cell long, first int, parts int")
+
+    def assign(self, rows: DataFrame) -> DataFrame:
+        """``rows`` (page_id, kind, url, payload, ...) with ``shard``; rows of kind 0 come to each part of their id."""
+        levels = [*(k for k, _ in self.levels), self.last]
+        shift = F.lit(levels[0])
+        for i, (k, cut) in enumerate(self.levels):
+            flag = F.broadcast(cut.select(F.col("heavy").alias(f"heavy{i}")))
+            rows = rows.join(flag, F.call_function("shiftright", F.col("page_id"), F.lit(k)) == F.col(f"heavy{i}"), "left")
+            shift = F.when(F.col(f"heavy{i}").isNotNull(), levels[i + 1]).otherwise(shift)
+        shift = F.when(F.col("page_id").isNull(), -1).otherwise(shift).cast("int")
+        keyed = rows.withColumn("shift", shift).withColumn("cell", F.when(F.col("shift") < 0, F.lit(0).cast("long")).otherwise(F.call_function("shiftright", F.col("page_id"), F.greatest("shift", F.lit(0)))))
+        # cells: some RANGES, or FINER for each shard
+        found = keyed.join(F.broadcast(self.table), (F.col("shift") == F.col("r_shift")) & (F.col("cell") == F.col("r_cell")))
+        if not self.split:
+            return found.withColumn("shard", F.col("first"))
+        own = F.array(F.pmod(F.xxhash64("url", "payload"), F.col("parts")).cast("int"))
+        part = F.explode(F.when(F.col("kind") == 0, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(own))
+        return found.withColumn("part", part).withColumn("shard", F.least(F.col("first") + F.col("part"), F.lit(self.count - 1)))
 
 
 def write_warc(
@@ -163,10 +202,13 @@ def write_warc(
     or more, those with the largest page_id are responses and the others revisit it; rows without page_id count as
     smallest, and stay responses where no row of the payload has an id.  Rows that repeat wholly give as many records.
     Other columns are not read; an empty table gives an empty manifest.  For given rows, shards and limits all files are the
-    same bytes whatever the order of the input.
+    same bytes whatever the order of the input.  A record is made in memory whole, so a task needs some times its longest payload.
     """
     spark = pages.sparkSession
-    at, ranges, count, info = _sharded(pages, shards, shard_bytes)
+    path = qualified(spark, path)
+    info = materialize(pages.select("page_id", F.length(utf8("html")).cast("long").alias("size"), F.sha1(utf8("html")).alias("digest")), "warc-info")
+    ranges = Ranges(info, shards, shard_bytes, n_partitions(spark))
+    count = ranges.count
     large = info.filter(F.col("size") >= LEAST_REVISIT)
     copies = large.groupBy("digest", "size").agg(F.max("page_id").alias("keep"), F.count("*").alias("n")).filter((F.col("n") > 1) & F.col("keep").isNotNull())
     # written before it is joined: both sides are then plain shuffles, and a hot digest can be split
@@ -182,8 +224,7 @@ def write_warc(
         pages.select("page_id", F.lit(1).alias("kind"), "url", utf8("html").alias("payload"), F.lit(None).cast("long").alias("keep"))
     )
     sorted_ = (
-        rows.withColumn("at", at)
-        .join(F.broadcast(ranges), "at")  # RANGES rows at most
+        ranges.assign(rows)
         .repartitionById(count, F.col("shard"))
         .sortWithinPartitions("shard", F.asc_nulls_first("page_id"), "kind", F.asc_nulls_first("url"), F.sha1("payload"))
         .select("shard", "page_id", "kind", "url", "payload", "keep")
@@ -231,10 +272,10 @@ def write_warc(
 
 
 class Folder:
-    """A folder of any store that pyarrow reaches, opened in the task."""
+    """A folder of any store that pyarrow reaches, opened in the task; ``uri`` is qualified, see ``qualified``."""
 
     def __init__(self, uri: str) -> None:
-        self.store, self.path = pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+        self.store, self.path = pafs.FileSystem.from_uri(uri.replace("file:///", "file:/").replace("file:/", "file:///", 1))
 
     def create(self, name: str):
         return self.store.open_output_stream(f"{self.path}/{name}", compression=None)
@@ -290,6 +331,12 @@ def _hadoop(spark: SparkSession, path: str):
     return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with scheme and authority, by the cluster's default file system, so that driver and tasks mean one place."""
+    store, target = _hadoop(spark, path.rstrip("/"))
+    return store.makeQualified(target).toString()
+
+
 def _mkdirs(spark: SparkSession, path: str) -> None:
     store, target = _hadoop(spark, path)
     store.mkdirs(target)
@@ -302,6 +349,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """The response and revisit records of the manifest's files; damaged blocks, payloads and record counts raise an error."""
+    path = qualified(spark, path)
     files = spark.read.parquet(f"{path.rstrip('/')}/manifest").select("name", "records")
     schema = RECORD if payloads else RECORD.replace(", payload binary", "")
     arrow = to_arrow_schema(StructType.fromDDL(schema))
