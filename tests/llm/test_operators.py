@@ -83,6 +83,19 @@ def test_weights_change_inclusion(spark):
     assert heavy > 3 * light and sum(r["taken"] for r in rows) == pytest.approx(0.4 * 1600, abs=8)
 
 
+def test_mix_of_one_row_repeated(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "PIECE", 7)
+    rows = [(1, "a b c", "x")] * 500 + [(i, "d e f g", "x") for i in range(2, 200)] + [(i, "h i", "y") for i in range(300, 900)]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert Counter((r["doc_id"], r["size"]) for r in out) == Counter((d, len(t.split())) for d, t, _ in rows)
+    taken, target = Counter(), {}
+    for r in out:
+        assert r["taken"] <= 2 * r["size"]
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+    assert all(abs(taken[s] - t) <= 2 for s, t in target.items())
+
+
 # quality --------------------------------------------------------------------------------------------------------------------
 
 

@@ -23,6 +23,8 @@ from tidewell.llm.common import WORD, materialize, safe
 BUCKETS = 1 << 16
 #: Documents behind the boundary bucket that may fill the gap left by a document that does not fit.
 FILL = 256
+#: Equal rows that one task spreads again.
+PIECE = 10_000
 #: Sources listed in one mixture; more raise an error, as targets are computed on the driver.
 MAX_SOURCES = 100_000
 
@@ -104,7 +106,7 @@ def mix(
         .withColumn("p", p)
         # odds ratio q mapped to q / (1 + q), which is monotone and lies in [0, 1]
         .withColumn("rank", F.when(F.col("p") > 0, F.expr("u * (1 - p) / (u * (1 - p) + (1 - u) * p)")))
-        .withColumn("bucket", F.least(F.floor(F.col("rank") * BUCKETS), F.lit(BUCKETS - 1)).cast("int"))
+        .withColumn("bucket", F.when(F.col("rank").isNotNull(), F.least(F.floor(F.col("rank") * BUCKETS), F.lit(BUCKETS - 1))).cast("int"))
         .drop("w", "u")
     )
     upto = Window.partitionBy("source").orderBy("bucket")
@@ -136,27 +138,32 @@ def mix(
     out = ["doc_id", "source", "row_hash", "size", "source_size", "target", "copies"]
     extra = F.when(F.col("bucket").isNotNull() & (F.col("edge").isNull() | (F.col("bucket") < F.col("edge"))), 1).otherwise(0)
     clear = placed.filter(~near).withColumn("copies", F.col("certain") + extra).select(*out)
-    drawn = (
-        placed.filter(near)
-        .select("doc_id", "source", "row_hash", "size", "source_size", "target", "certain", "room", "rank")
-        .groupBy("source")
-        .applyInPandas(_fill, "doc_id long, source string, row_hash long, size long, source_size long, target double, copies int")
-    )
-    return clear.unionByName(drawn).withColumn("taken", F.col("copies") * F.col("size"))
+    # rows that repeat wholly share a rank: they come to the draw as one row with their number, and are spread again behind it
+    key = ["doc_id", "source", "row_hash", "size", "source_size", "target", "certain", "room", "rank"]
+    counted = placed.filter(near).groupBy(key).agg(F.count("*").alias("n"))
+    drawn = counted.groupBy("source").applyInPandas(_fill, "doc_id long, source string, row_hash long, size long, source_size long, target double, copies int, n long")
+    piece = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / PIECE)))
+    pieces = drawn.select("*", piece.alias("piece")).repartition("doc_id", "piece")
+    spread = pieces.select(*out, F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(PIECE).cast("long"), F.col("n") - F.col("piece") * PIECE))))
+    return clear.unionByName(spread.select(*out)).withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def _fill(rows: pd.DataFrame) -> pd.DataFrame:
-    """Take documents in rank order while they fit; at the end one that overshoots by less than the gap may still go in."""
+    """Take documents in rank order while they fit; at the end one that overshoots by less than the gap may still go in.
+
+    A row stands for ``n`` equal ones; what comes back are rows of those taken and of those left, with their numbers.
+    """
     rows = rows.sort_values(["rank", "doc_id", "size"], kind="stable", ignore_index=True)
     room, took = float(rows["room"].iloc[0]), []
-    for size in rows["size"]:
-        took.append(size <= room)
-        room -= size if took[-1] else 0
-    best = min(((abs(room - s), i) for i, s in enumerate(rows["size"]) if not took[i]), default=(room, -1))
+    for size, n in zip(rows["size"].tolist(), rows["n"].tolist()):
+        took.append(min(n, int(max(room, 0.0) // size)))
+        room -= took[-1] * size
+    best = min(((abs(room - s), i) for i, (s, n) in enumerate(zip(rows["size"], rows["n"])) if took[i] < n), default=(room, -1))
     if best[0] < room:
-        took[best[1]] = True
-    rows["copies"] = (rows["certain"] + pd.Series(took, dtype="int32")).astype("int32")
-    return rows[["doc_id", "source", "row_hash", "size", "source_size", "target", "copies"]]
+        took[best[1]] += 1
+    took = pd.Series(took, dtype="int64")
+    out = pd.concat([rows.assign(copies=rows["certain"] + 1, n=took), rows.assign(copies=rows["certain"], n=rows["n"] - took)])
+    return out[out["n"] > 0][["doc_id", "source", "row_hash", "size", "source_size", "target", "copies", "n"]].astype({"copies": "int32"})
 
 
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
