@@ -58,6 +58,24 @@ def op10_collinear_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chaining.repeated_passages(table(spark, sf_dir, "documents"))
 
 
+# Companions: the columns of these operators' results that SQL can express, over the same whole tables ---------------------
+
+
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op1: each document's size, and its source's size and target."""
+    return op1_pareto_mix(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))
+
+
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op2: the base counts and the base rule."""
+    return op2_quality_rules(spark, sf_dir).drop("kept")
+
+
+def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op3: the base kinds."""
+    return op3_pii_spans(spark, sf_dir).drop("spans")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pareto_mix": op1_pareto_mix,
     "op2_quality_rules": op2_quality_rules,
@@ -69,9 +87,76 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc_shards": op8_warc_shards,
     "op9_decontamination": op9_decontamination,
     "op10_collinear_chains": op10_collinear_chains,
+    "mix_targets": mix_targets,
+    "quality_base": quality_base,
+    "pii_base": pii_base,
 }
 
+WORDS_SQL = r"regexp_extract_all(t, '[^\x20\x09-\x0D]+')"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _items_sql(table: str, key: str) -> str:
+    """Key and normalised words of a table's texts."""
+    return rf"SELECT {key}, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM {table}"
+
+
+def _spans_sql(kind: str, rank: int, pattern: str, valid: str) -> str:
+    """Rows (doc_id, k, kind, rank, start, stop) of a kind's matches m that are valid: places from the gaps g between matches."""
+    start = "list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0)"
+    return f"""SELECT k, '{kind}' AS kind, {rank} AS rank, CAST({start} AS BIGINT) AS start, CAST({start} + length(m[i]) AS BIGINT) AS stop
+      FROM (SELECT k, m, g, unnest(range(1, len(m) + 1)) AS i FROM (SELECT k, regexp_extract_all(t, '{pattern}') AS m, string_split_regex(t, '{pattern}') AS g FROM d)) WHERE {valid.replace('?', 'm[i]')}"""
+
+
+DIGITS_SQL = "regexp_replace(?, '[^0-9]', '', 'g')"
+LUHN_SQL = f"list_sum(list_transform(range(1, length({DIGITS_SQL}) + 1), lambda j: CASE WHEN j % 2 = 1 THEN CAST(reverse({DIGITS_SQL})[j] AS INTEGER) ELSE (2 * CAST(reverse({DIGITS_SQL})[j] AS INTEGER)) // 10 + (2 * CAST(reverse({DIGITS_SQL})[j] AS INTEGER)) % 10 END)) % 10 = 0"
+SPANS_SQL = " UNION ALL ".join(
+    [
+        _spans_sql("email", 0, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+        _spans_sql("ip", 1, r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "len(list_filter(string_split(?, '.'), lambda x: length(ltrim(x, '0')) > 3 OR CAST('0' || ltrim(x, '0') AS BIGINT) > 255)) = 0"),
+        _spans_sql("card", 2, r"[0-9](?:[\x20-]?[0-9])+", f"length({DIGITS_SQL}) BETWEEN 14 AND 19 AND {LUHN_SQL}"),
+        _spans_sql("phone", 3, r"\+[0-9][\x20().0-9-]+[0-9]", f"length({DIGITS_SQL}) BETWEEN 10 AND 15"),
+    ]
+)
+
 ORACLE_SQL: dict[str, str] = {
+    # a source is capped where its cap a weight is least; the first k in that order are capped where the next is not
+    "mix_targets": f"""
+        WITH d AS (SELECT doc_id, source, CAST(len({WORDS_SQL}) AS BIGINT) AS size FROM (SELECT doc_id, source, coalesce(text, '') AS t FROM documents)),
+        s AS (SELECT source, sum(size) AS n, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM d GROUP BY source),
+        o AS (SELECT *, row_number() OVER (ORDER BY n / w, source NULLS LAST) AS i FROM s),
+        c AS (SELECT *, coalesce(sum(2 * n) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS capped,
+            sum(w) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest, sum(n) OVER () AS whole FROM o),
+        l AS (SELECT min_by((1.5 * whole - capped) / rest, i) AS share FROM c WHERE 2 * n * rest >= (1.5 * whole - capped) * w)
+        SELECT doc_id, size, CAST(n AS BIGINT) AS source_size, round(least(2.0 * n, w * share), 3) AS target FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source, l
+    """,
+    "quality_base": f"""
+        WITH d AS (SELECT doc_id, t, row_number() OVER () AS k, {WORDS_SQL} AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)),
+        g AS (SELECT k, unnest(list_transform(range(1, len(w) - 1), lambda i: {{'i': i, 'g': w[i:i + 2]}})) AS x FROM d),
+        r AS (SELECT k, x.i AS i, count(*) OVER (PARTITION BY k, x.g) AS seen FROM g),
+        n AS (SELECT k, count(DISTINCT j) AS n FROM (SELECT k, unnest([i, i + 1, i + 2]) AS j FROM r WHERE seen > 1) GROUP BY k),
+        b AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+            CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words
+            FROM d LEFT JOIN n ON d.k = n.k)
+        SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b
+    """,
+    "pii_base": f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS k FROM documents), s AS ({SPANS_SQL}),
+        n AS (SELECT k, count(*) FILTER (rank = 0) AS e, count(*) FILTER (rank = 1) AS i, count(*) FILTER (rank = 2) AS c, count(*) FILTER (rank = 3) AS p,
+            string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans FROM s GROUP BY k)
+        SELECT doc_id, coalesce(e, 0) AS n_email, coalesce(i, 0) AS n_ip, coalesce(c, 0) AS n_card, coalesce(p, 0) AS n_phone, sha256(coalesce(spans, '')) AS base_sha256 FROM d LEFT JOIN n ON d.k = n.k
+    """,
+    "op9_decontamination": f"""
+        WITH b AS ({_items_sql("benchmark", "CAST(item_id AS VARCHAR) AS item")}),
+        win AS (SELECT item, least(len(w), 10) AS n, unnest(list_transform(range(1, len(w) - least(len(w), 10) + 2), lambda i: array_to_string(w[i:i + least(len(w), 10) - 1], ' '))) AS g FROM b WHERE len(w) > 0),
+        d AS ({_items_sql("documents", "doc_id, row_number() OVER () AS k")}),
+        p AS (SELECT k, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: {{'i': i, 'g': array_to_string(w[i:i + n - 1], ' ')}})) AS x FROM d, (SELECT DISTINCT n FROM win) WHERE len(w) >= n),
+        hit AS (SELECT DISTINCT k, x.i AS i, p.n, item FROM p JOIN win ON x.g = win.g AND p.n = win.n),
+        pos AS (SELECT k, count(DISTINCT j) AS n_hit FROM (SELECT k, unnest(range(i, i + n)) AS j FROM hit) GROUP BY k),
+        its AS (SELECT k, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM hit GROUP BY k)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN pos ON d.k = pos.k LEFT JOIN its ON d.k = its.k
+    """,
     "op8_warc_shards": """
         WITH p AS (
             SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages
