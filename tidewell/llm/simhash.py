@@ -42,12 +42,12 @@ SHARD = 64
 TILE = 16_384
 #: Points in a leaf of a shard's tree, which are compared with each other directly.
 LEAF = 16
-#: Hashes of a signature; bands of it, and hashes in each, by which texts meet.  Texts that share 0.8 of their shingles
-#: meet with a probability of 0.9996.
-HASHES, BANDS, ROWS = 256, 20, 5
+#: Hashes of a signature, a byte each; bands of it, and hashes in each, by which texts meet.  Texts that share 0.8 of their
+#: shingles meet with a probability of 0.9996.
+HASHES, BANDS, ROWS = 512, 20, 5
 FACTORS = np.random.default_rng(SEED).integers(1 << 62, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: A signature's share of agreeing hashes has a standard error of 0.025 about 0.8; this much below the similarity still links.
-SLACK = 0.02
+#: A signature's share of agreeing hashes has a standard error of 0.018 about 0.8; this much below the similarity still links.
+SLACK = 0.03
 #: Members of a band's group beyond which it is cut into tiles.
 BAND_TILE = 4096
 
@@ -86,11 +86,11 @@ def fingerprint(text: bytes, shingle: int = 4) -> int:
 
 
 def signature(hashes: np.ndarray) -> bytes:
-    """MinHash signature: of each of HASHES multiples of the hashes the low 16 bits of the smallest."""
+    """MinHash signature: of each of HASHES multiples of the hashes eight bits of the smallest."""
     least = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(hashes), 2048):
         np.minimum(least, np.multiply.outer(FACTORS, hashes[at : at + 2048]).min(axis=1), out=least)
-    return (least & np.uint64(0xFFFF)).astype(np.uint16).tobytes()
+    return (least >> np.uint64(20)).astype(np.uint8).tobytes()
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, signed: bool = False, keyed: bool = False) -> DataFrame:
@@ -297,11 +297,12 @@ def similar_links(signed: DataFrame, similarity: float = 0.8, tile: int = BAND_T
     every member, once it is reached, is compared with all that are not reached yet, so copies that are like one common
     text but unlike each other are joined too.  A group of more than ``tile`` members is cut into tiles as in hamming_links.
     """
-    least = similarity - SLACK
+    # hashes of different shingles agree in one case of 256
+    least = (similarity - SLACK) * 255 / 256 + 1 / 256
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def arrays(b: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-            sig = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint16).reshape(b.num_rows, HASHES)
+            sig = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(b.num_rows, HASHES)
             return np.asarray(b.column(0), dtype=np.int64), np.asarray(b.column(1), dtype=np.int64), sig
 
         for groups in grouped(batches, arrays):
@@ -319,7 +320,7 @@ def similar_links(signed: DataFrame, similarity: float = 0.8, tile: int = BAND_T
                         rest = rest[~like]
             yield _links(out)
 
-    band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substr("sig", i * (2 * ROWS) + 1, F.lit(2 * ROWS))))
+    band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substr("sig", i * ROWS + 1, F.lit(ROWS))))
     signed = signed.withColumn("member", F.xxhash64("fp", "sig"))
     keyed = signed.select("member", F.explode(band).alias("key"))
     # written before it is joined: both sides are then plain shuffles, and a hot key can be split
