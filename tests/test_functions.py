@@ -450,3 +450,24 @@ def test_digest_ledger_makes_reruns_harmless(spark, sf_dir):
     after = mailing.recorded(ledger, sent, AS_OF)
     assert sent.count() > 0 and mailing.run(mailing.pool(events, AS_OF), subs, after, AS_OF).count() == 0
     assert mailing.recorded(after, sent, AS_OF).count() == after.count()
+
+
+def test_cached_results(spark, tmp_path):
+    from datetime import timedelta
+
+    from tidewell.plans import pages
+
+    at, made = datetime(2024, 1, 1, 12), []
+
+    def make(n):
+        def run():
+            made.append(n)
+            return spark.range(n)
+
+        return run
+
+    path = str(tmp_path / "kept")
+    assert pages.cached(spark, "a", path, make(3), at).count() == 3
+    assert pages.cached(spark, "a", path, make(4), at + timedelta(minutes=4)).count() == 3 and made == [3]
+    assert pages.cached(spark, "a", path, make(4), at + timedelta(minutes=6)).count() == 4
+    assert pages.cached(spark, "b", path, make(5), at, most=4).count() == 5 and pages.cached(spark, "b", path, make(2), at, most=4).count() == 2

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,3 +94,12 @@ def due(subscribers: DataFrame, weekday: int, month_day: int) -> DataFrame:
 def attributed(results: DataFrame, sent: DataFrame, key: str = "id") -> DataFrame:
     """Send results joined to what was sent by id, never by position; without a result a send counts as failed."""
     return sent.join(results, key, "left").withColumn("status", F.coalesce("status", F.lit("failed")))
+
+
+def stamped(before: DataFrame, after: DataFrame, keys: list[str], now: datetime, column: str = "updated_at") -> DataFrame:
+    """Rows after a merge with ``column`` set to ``now`` where a row is new or any other of its fields has changed."""
+    fields = [c for c in after.columns if c != column]
+    old = before.select(*(F.col(k).alias(f"o_{k}") for k in keys), F.xxhash64(*fields).alias("o_hash"), F.col(column).alias("o_at"))
+    joined = after.join(old, [F.col(k) == F.col(f"o_{k}") for k in keys], "left")
+    same = F.coalesce(F.xxhash64(*fields) == F.col("o_hash"), F.lit(False))
+    return joined.select(*(F.when(same, F.col("o_at")).otherwise(F.lit(now)).alias(c) if c == column else c for c in after.columns))

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from datetime import date, datetime
+import hashlib
+from collections.abc import Callable
+from datetime import date, datetime, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.functions import text, times
 from tidewell.operators import browse
-from tidewell.sources.sinks import swap
+from tidewell.sources.sinks import recover, swap
 
 
 def bake(events: DataFrame, bridge: DataFrame, venues: DataFrame, as_of: datetime, path: str, hidden: tuple[str, ...] = ()) -> None:
@@ -18,6 +20,23 @@ def bake(events: DataFrame, bridge: DataFrame, venues: DataFrame, as_of: datetim
     swap(browse.page(events, bridge, venues, spec), path)
 
 
+def cached(spark: SparkSession, key: str, path: str, make: Callable[[], DataFrame], now: datetime, fresh: timedelta = timedelta(minutes=5), most: int = 10_000) -> DataFrame:
+    """The result kept under ``path`` for ``key`` if it is fresh, else ``make``'s, which is kept if it has at most ``most`` rows.
+
+    A larger result is answered but not kept, so what is stored for a key is bounded.
+    """
+    place = f"{path.rstrip('/')}/{hashlib.sha256(key.encode()).hexdigest()}"
+    if recover(spark, place):
+        kept = spark.read.parquet(place)
+        if not kept.filter(F.col("kept_at") > F.lit(now - fresh)).isEmpty():
+            return kept.drop("kept_at")
+    made = make()
+    if made.limit(most + 1).count() > most:
+        return made
+    swap(made.withColumn("kept_at", F.lit(now)), place)
+    return spark.read.parquet(place).drop("kept_at")
+
+
 def resolve_festivals(asked: DataFrame, registry: DataFrame, today: date) -> DataFrame:
     """Asked names (ask_id, name) with the festival (slug, name, day) they mean: one of its candidate keys, the nearest
     upcoming day where several agree, else the latest past one."""

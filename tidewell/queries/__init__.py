@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.queries import browsing, entities, places, reports, texts
+from tidewell.queries import adapters, browsing, entities, places, reports, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
-for module in (browsing, reports, entities, texts, places):
+for module in (browsing, reports, entities, texts, places, adapters):
     QUERIES |= module.QUERIES
     SQL |= module.SQL
