@@ -339,19 +339,21 @@ def digest_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest.digest(found.select("sub_id", "id", "start_at", F.col("organization_id").cast("string").alias("org"), "featured", F.col("image_url").isNotNull().alias("image"), base.alias("base")), AS_OF.date())
 
 
-RULES = (
-    ("a", "20240101T183000", "FREQ=WEEKLY;BYDAY=MO,WE;COUNT=9", ["20240108T183000"]),
-    ("b", "20240102", "FREQ=DAILY;INTERVAL=3;UNTIL=20240130", []),
-    ("c", "20240110T090000Z", "FREQ=MONTHLY;BYDAY=2WE,-1FR", []),
-    ("d", "20240131T120000", "FREQ=MONTHLY", []),
-    ("e", "20240120T120000", None, []),
-)
-
-
-@query()
+@query(f"""WITH {EVENTS_SQL}, n AS (SELECT id, featured, venue_id % 3 + 1 AS k, CAST(CAST(start_at AS DATE) AS TIMESTAMP) + INTERVAL 12 HOUR AS first, unnest(range(0, venue_id + 1)) AS i FROM ev),
+  o AS (SELECT *, first + to_days(CAST(7 * k * i AS INTEGER)) AS start_at FROM n WHERE NOT (featured AND i = 1)),
+  w AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY start_at) AS rn FROM o WHERE start_at BETWEEN {NOW} AND {NOW} + to_days({recur.WINDOW_DAYS}))
+  SELECT CAST(id AS VARCHAR) || '_' || strftime(start_at, '%Y%m%d') AS uid, CAST(id AS VARCHAR) AS series_uid, {sql_stamp('start_at')} AS start_at, {sql_stamp('start_at + INTERVAL 90 MINUTE')} AS end_at FROM w WHERE rn <= {recur.MOST}""")
 def recurrence_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = spark.createDataFrame([(u, u, s, None, r, x, 90) for u, s, r, x in RULES], "uid string, summary string, dtstart string, tzid string, rrule string, exdates array<string>, minutes int")
-    return recur.expand(entries, datetime(2024, 1, 1))
+    """Weekly series from each event's day, every one to three weeks; featured ones leave out the second date."""
+    e = catalog.events(spark, sf_dir)
+    form = lambda d: F.concat(F.date_format(d, "yyyyMMdd"), F.lit("T120000Z"))
+    every = F.col("venue_id") % 3 + 1
+    second = F.array(form(F.date_add(F.to_date("start_at"), (7 * every).cast("int"))))
+    entries = e.select(
+        F.col("id").cast("string").alias("uid"), F.col("title").alias("summary"), form("start_at").alias("dtstart"), F.lit(None).cast("string").alias("tzid"),
+        F.concat(F.lit("FREQ=WEEKLY;INTERVAL="), every, F.lit(";COUNT="), F.col("venue_id") + 1).alias("rrule"), F.when(F.col("featured"), second).otherwise(F.array().cast("array<string>")).alias("exdates"), F.lit(90).alias("minutes"),
+    )
+    return recur.expand(entries, AS_OF).select("uid", "series_uid", stamp("start_at").alias("start_at"), stamp("end_at").alias("end_at"))
 
 
 QUERIES, SQL = query.queries, query.sql

@@ -90,7 +90,10 @@ def locality_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.venues(spark, sf_dir).groupBy(geo.locality(lat, F.col("lng"), rings, city, ("oakville",), ("faraway",)).alias("place")).agg(F.count("*").alias("n"))
 
 
-@query()
+@query("""WITH f AS (SELECT p_partkey AS id, list_reduce(list_prepend(CAST(2166136261 AS HUGEINT), list_transform(range(1, length(p_name) + 1), lambda i: CAST(unicode(p_name[i]) AS HUGEINT))), lambda h, c: (xor(h, c) * 16777619) % 4294967296) AS seed FROM part),
+  a AS (SELECT *, (seed + 1831565813) % 4294967296 AS a FROM f), t AS (SELECT *, (xor(a, a >> 15) * (a | CAST(1 AS HUGEINT))) % 4294967296 AS t FROM a),
+  u AS (SELECT *, xor((t + (xor(t, t >> 7) * (t | CAST(61 AS HUGEINT))) % 4294967296) % 4294967296, t) AS u FROM t)
+  SELECT id, CAST(seed AS BIGINT) AS seed, round(CAST(xor(u, u >> 14) AS DOUBLE) / 4294967296.0, 9) AS jitter FROM u""")
 def digest_jitter(spark: SparkSession, sf_dir: str) -> DataFrame:
     seed = digest.fnv1a(F.col("p_name"))
     return catalog.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), seed.alias("seed"), F.round(digest.mulberry32(seed), 9).alias("jitter"))
