@@ -109,16 +109,46 @@ def placeholder_pairs(rows: DataFrame) -> DataFrame:
     return left.join(right, ["place", "day"]).filter((F.col("id_a") != F.col("id_b")) & test)
 
 
+def rarest(rows: DataFrame, counts: DataFrame, words: str, most: Column) -> DataFrame:
+    """(id, day, word): of each row's distinct words the ``most`` (at least one) that fewest rows have."""
+    each = rows.select("id", "day", most.alias("most"), F.explode(F.array_distinct(words)).alias("word")).join(counts, "word")
+    sorted_ = each.groupBy("id", "day", "most").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("by"))
+    return sorted_.select("id", "day", F.explode(F.slice("by", 1, F.greatest(F.col("most"), F.lit(1)))).alias("b")).select("id", "day", F.col("b.word").alias("word"))
+
+
 def venueless_pairs(placed: DataFrame, loose: DataFrame) -> DataFrame:
-    """Pass 4: an event without a place (a) and one with (b), the same day, different sources; tier 0 for equal titles."""
+    """Pass 4: an event without a place (a) and one with (b), the same day, different sources; tier 0 for equal titles.
+
+    Titles that match are equal without blanks, or all words of one are in the other, or nine tenths of its tokens, or the
+    second is the same.  So two of a day meet by one of these: the squashed title, the rarest word of either, one more of
+    its rarest tokens than may lack, or the second.
+    """
     cols = ("id", "title", "start_at", "key", "tokens", "source", "second")
+    both = loose.select("day", *cols).unionByName(placed.select("day", *cols)).withColumn("words", F.split("key", " "))
+    counted = lambda c: both.select(F.explode(F.array_distinct(c)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    words, tokens = materialize(counted("words"), "word-counts"), materialize(counted("tokens"), "token-counts")
+    may_lack = F.floor(F.size("tokens") / 10).cast("int")
+
+    def keyed(rows: DataFrame, probe: bool) -> DataFrame:
+        rows = rows.withColumn("words", F.split("key", " "))
+        tagged = lambda f, tag: f.select("id", "day", F.concat(F.lit(tag), "word").alias("by"))
+        listed = lambda c: rows.select("id", "day", F.explode(F.array_distinct(c)).alias("word"))
+        own = rows.select("id", "day", F.concat(F.lit("s "), text.squashed(F.col("key"))).alias("by")).unionByName(rows.select("id", "day", F.concat(F.lit("c "), "second").alias("by")))
+        by_word = rarest(rows, words, "words", F.lit(1)) if probe else listed("words")
+        by_token = rarest(rows, tokens, "tokens", may_lack + 1) if probe else listed("tokens")
+        return own.unionByName(tagged(by_word, "w ")).unionByName(tagged(by_token, "t "))
+
+    def meet(probe: DataFrame, index: DataFrame, a: str, b: str) -> DataFrame:
+        return keyed(probe, True).withColumnRenamed("id", a).join(keyed(index, False).withColumnRenamed("id", b), ["day", "by"]).select("id_a", "id_b")
+
+    met = meet(loose, placed, "id_a", "id_b").unionByName(meet(placed, loose, "id_b", "id_a")).distinct()
     left = loose.select("day", *(F.col(c).alias(f"{c}_a") for c in cols))
-    right = placed.select("day", *(F.col(c).alias(f"{c}_b") for c in cols))
+    right = placed.select(*(F.col(c).alias(f"{c}_b") for c in cols))
     ka, kb, ta, tb, a, b = _sides()
     equal = text.same_key(ka, kb)
     near = text.venueless_match(a, b, ka, kb, ta, tb) | ((F.col("second_a") == F.col("second_b")) & ~text.umbrella_pair(a, b) & text.tolerant_match(ta, tb))
     apart = F.abs(F.unix_micros("start_at_a") - F.unix_micros("start_at_b"))
-    return left.join(right, "day").filter((F.col("source_a") != F.col("source_b")) & (equal | near)).select("day", "id_a", "id_b", F.when(equal, 0).otherwise(1).alias("tier"), apart.alias("apart"), "start_at_a", "start_at_b")
+    return met.join(left, "id_a").join(right, "id_b").filter((F.col("source_a") != F.col("source_b")) & (equal | near)).select("day", "id_a", "id_b", F.when(equal, 0).otherwise(1).alias("tier"), apart.alias("apart"), "start_at_a", "start_at_b")
 
 
 def greedy(found: DataFrame, on: list[str], order: list[str], pick: Callable[[Iterable[tuple]], Iterator[tuple]]) -> DataFrame:
@@ -212,7 +242,8 @@ def duplicate_groups(events: DataFrame, placeholders: tuple[str, ...] = ()) -> D
     one = materialize(anchored(exact_pairs(placed), ["place", "second"], 1), "pass")
     two = materialize(anchored(in_stretches(materialize(fuzzy_pairs(left(placed, one)), "pairs")), ["place", "stretch"], 2), "pass")
     three = materialize(anchored(placeholder_pairs(left(placed, one, two)), ["place", "day"], 3), "pass")
-    four = materialize(assigned(venueless_pairs(left(placed, one, two, three), loose)), "pass")
+    rest = materialize(left(placed, one, two, three), "placed")
+    four = materialize(assigned(venueless_pairs(rest, materialize(loose, "loose"))), "pass")
     return one.unionByName(two).unionByName(three).unionByName(four)
 
 
