@@ -26,7 +26,7 @@ from pyspark.sql.types import StructType
 from tidewell.llm.common import materialize, n_partitions, utf8
 
 #: Cells of the histogram from which shards are cut, at least, and bits by which a heavy cell is cut further.
-RANGES, FINER = 1 << 16, 6
+RANGES, FINER = 1 << 13, 6
 SHARD_BYTES = 512 << 20
 ROLL_BYTES = 1 << 30
 #: Payloads below this many bytes are always stored.
