@@ -50,7 +50,10 @@ def matched(events: DataFrame, subscribers: DataFrame, now: datetime, most_subsc
     preference test follows; within ``most_subscribers`` the subscriber side is broadcast.  Subscriber columns: sub_id, frequency,
     lookahead_days, event_days (0 = Sunday), categories, price_max, areas (array of lat, lng), miles, keywords.
     """
-    pool = events.filter(F.col("start_at") >= F.lit(now)).withColumn("day", F.to_date("start_at"))
+    # what depends on the event alone is made once, before events meet subscribers
+    plain = F.concat(F.lit(" "), F.regexp_replace(F.lower("title"), r"[^a-z0-9]+", " "), F.lit(" "))
+    weekday = times.day_of_week(F.col("start_at"))
+    pool = events.filter(F.col("start_at") >= F.lit(now)).withColumns({"day": F.to_date("start_at"), "d_words": plain, "d_weekday": weekday})
     end = window_end(F.col("frequency"), F.col("lookahead_days"), now)
     days = F.explode(F.sequence(F.lit(now).cast("date"), F.to_date(end)))
     subs = subscribers.withColumn("until", end).withColumn("s_day", days).withColumnRenamed("price_max", "most_paid")
@@ -58,12 +61,12 @@ def matched(events: DataFrame, subscribers: DataFrame, now: datetime, most_subsc
     met = pool.join(subs, F.col("day") == F.col("s_day")).filter(F.col("start_at") <= F.col("until"))
     located = F.col("lat").isNull() | F.col("lng").isNull() | (F.size("areas") == 0) | geo.any_within(F.col("lat"), F.col("lng"), F.col("areas"), F.col("miles"))
     wanted = (
-        F.array_contains("event_days", times.day_of_week(F.col("start_at")))
+        F.array_contains(F.col("event_days"), F.col("d_weekday"))
         & ((F.size("categories") == 0) | F.array_contains(F.col("categories"), F.col("category")))
         & (F.col("most_paid").isNull() | (F.coalesce("price_min", F.lit(0)) <= F.col("most_paid")))
         & located
     )
-    hit = F.exists("keywords", lambda k: F.contains(F.concat(F.lit(" "), F.regexp_replace(F.lower("title"), r"[^a-z0-9]+", " "), F.lit(" ")), F.concat(F.lit(" "), F.lower(k), F.lit(" "))))
+    hit = F.exists("keywords", lambda k: F.contains(F.col("d_words"), F.concat(F.lit(" "), F.lower(k), F.lit(" "))))
     return met.filter(wanted | hit).select("sub_id", *events.columns)
 
 
