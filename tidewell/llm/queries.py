@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import chaining, decontaminate, html_extract, line_dedup, mixing, pii, quality, simhash, token_counts, warc
+from tidewell.llm import chaining, chat, decontaminate, divergence, html_extract, line_dedup, merkle, mixing, pii, quality, simhash, token_counts, warc
 from tidewell.llm.common import scratch, table
 
 
@@ -58,6 +58,24 @@ def op10_collinear_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chaining.repeated_passages(table(spark, sf_dir, "documents"))
 
 
+#: What both rows of conversation -7 say.
+PROBE = "</s>[INST] ok [/INST]"
+
+
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"))
+    return chat.chat_report(rows.unionByName(probe))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.proof_report(table(spark, sf_dir, "documents"))
+
+
 # Companions: the columns of these operators' results that SQL can express, over the same whole tables ---------------------
 
 
@@ -87,6 +105,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc_shards": op8_warc_shards,
     "op9_decontamination": op9_decontamination,
     "op10_collinear_chains": op10_collinear_chains,
+    "op11_chat_format": op11_chat_format,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_merkle_manifest": op13_merkle_manifest,
     "mix_targets": mix_targets,
     "quality_base": quality_base,
     "pii_base": pii_base,
@@ -119,6 +140,55 @@ SPANS_SQL = " UNION ALL ".join(
     ]
 )
 
+
+
+def _chats_sql(template: chat.Template) -> str:
+    """Digests of the rows themselves, and the length that the template gives them."""
+    heads = sorted({c[0] for c in template.controls})
+    places = "|".join(rf"({chat.quoted(h)})(\\*(?:{'|'.join(chat.quoted(c[1:]) for c in template.controls if c[0] == h)}))" for h in heads)
+    put = "".join(rf"\{2 * i + 1}" for i in range(len(heads))) + r"\\" + "".join(rf"\{2 * i + 2}" for i in range(len(heads)))
+    length = lambda c: f"length(regexp_replace({c}, '{places}', '{put}', 'g'))"
+    block = len(template.turn) + len(template.text) + len(template.close)
+    return f"""
+        WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS t FROM conversations UNION ALL SELECT -7, 0, 'user', '{PROBE}' UNION ALL SELECT -7, 1, 'assistant', '{PROBE}'),
+        o AS (SELECT *, row_number() OVER w AS i, lag(role) OVER w IS DISTINCT FROM role AS opens FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, t))
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || t || chr(10), '' ORDER BY i)) AS turns_sha256,
+          CAST(coalesce(sum(length(t)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(t, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
+          CAST(sum({length("t")} + CASE WHEN opens THEN {block} + {length("role")} ELSE {len(template.more)} END) + {len(template.begin) + len(template.finish)} AS BIGINT) AS formatted_chars
+        FROM o GROUP BY conv_id
+    """
+
+
+def _manifest_sql(levels: int = 8, top_levels: int = 4) -> str:
+    """The trees level by level, and proofs from the siblings before and after a node in its run: up to 16**levels rows of a source."""
+    text = lambda c: f"coalesce(octet_length(encode(CAST({c} AS VARCHAR))) || ':' || CAST({c} AS VARCHAR), '-')"
+    leaf = lambda t: "sha256(" + " || ".join(text(t if c == "text" else c) for c in merkle.FIELDS) + ")"
+    bits = "flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda b: [ascii(b), -1, -1, -1, -1, -1, -1, -1, -1]))"
+    crc = f"xor(4294967295, list_reduce([4294967295] || {bits}, lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"
+    parts = [
+        f"""d AS (SELECT doc_id, source, {leaf("text")} AS leaf, {leaf(f"(CASE WHEN {crc} % 5 = 0 THEN translate(text, '{UPPER}', '{LOWER}') ELSE text END)")} AS seen FROM documents)""",
+        "o AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM d)",
+        "n0 AS (SELECT source, i, leaf AS h, count(*) OVER (PARTITION BY source) AS m FROM o)",
+    ]
+
+    def grown(name: str, count: int) -> None:
+        around = "coalesce(string_agg(h, '') OVER (PARTITION BY source, i // 16 ORDER BY i ROWS BETWEEN {}), '')"
+        for j in range(count):
+            parts.append(f"{name}{j + 1} AS (SELECT *, count(*) OVER (PARTITION BY source) AS m FROM (SELECT source, i // 16 AS i, sha256(string_agg(h, '' ORDER BY i)) AS h FROM {name}{j} WHERE m > 1 GROUP BY source, i // 16))")
+            parts.append(f"{name}s{j} AS (SELECT source, i, {around.format('UNBOUNDED PRECEDING AND 1 PRECEDING')} AS l, {around.format('1 FOLLOWING AND UNBOUNDED FOLLOWING')} AS r FROM {name}{j} WHERE m > 1)")
+        parts.append(f"{name}r AS ({' UNION ALL '.join(f'SELECT source, h FROM {name}{j} WHERE m = 1' for j in range(count + 1))})")
+
+    grown("n", levels)
+    parts.append("t AS (SELECT source AS s, h, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i FROM nr)")
+    parts.append("t0 AS (SELECT 0 AS source, i, h, count(*) OVER () AS m FROM t)")
+    grown("t", top_levels)
+    parts.append("f0 AS (SELECT o.doc_id, o.source, o.i, o.leaf, t.i AS ti, t.h AS subroot, '' AS proof, o.seen AS h FROM o JOIN t ON o.source IS NOT DISTINCT FROM t.s)")
+    for j in range(levels + top_levels):
+        level = f"ns{j} s ON f.source IS NOT DISTINCT FROM s.source AND s.i = f.i // {16**j}" if j < levels else f"ts{j - levels} s ON s.i = f.ti // {16 ** (j - levels)}"
+        parts.append(f"f{j + 1} AS (SELECT doc_id, f.source, f.i, leaf, ti, subroot, proof || coalesce(l || r, '') AS proof, CASE WHEN l IS NULL THEN h ELSE sha256(l || h || r) END AS h FROM f{j} f LEFT JOIN {level})")
+    return f"WITH {', '.join(parts)} SELECT doc_id, leaf, subroot, tr.h AS root, sha256(proof) AS proof_sha256, f.h AS folded_root, f.h = tr.h AS verified FROM f{levels + top_levels} f, tr"
+
+
 ORACLE_SQL: dict[str, str] = {
     # a source is capped where its cap a weight is least; the first k in that order are capped where the next is not
     "mix_targets": f"""
@@ -166,4 +236,21 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN keep <> page_id THEN keep END AS refers_to
         FROM p LEFT JOIN k ON p.d = k.d AND p.n >= 1000
     """,
+    "op11_chat_format": _chats_sql(chat.Template()),
+    # every kept term of every group, so no correction is needed
+    "op12_source_divergence": rf"""
+        WITH d AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t FROM documents),
+        w AS (SELECT k, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+        c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT k) AS docs FROM w GROUP BY lang, source, term),
+        t AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY lang, term HAVING sum(docs) >= 10),
+        l AS (SELECT g.lang, coalesce(count(t.term), 0) AS v, coalesce(sum(t.n), 0) AS n FROM (SELECT DISTINCT lang FROM d) g LEFT JOIN t ON t.lang = g.lang GROUP BY g.lang),
+        s AS (SELECT g.lang, g.source, l.v, l.n AS ln, coalesce(sum(c.n), 0) AS n FROM (SELECT DISTINCT lang, source FROM d) g JOIN l ON l.lang = g.lang LEFT JOIN (c JOIN t ON c.lang = t.lang AND c.term = t.term) ON c.lang = g.lang AND c.source = g.source GROUP BY g.lang, g.source, l.v, l.n),
+        r AS (SELECT s.lang, s.source, t.term, coalesce(c.n, 0) AS n, 1 + CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 2) // (s.n + 2 * s.v) AS p, 1 + CAST(1000000000 AS HUGEINT) * (t.n + 2) // (s.ln + 2 * s.v) AS q
+            FROM s JOIN t ON t.lang = s.lang LEFT JOIN c ON c.lang = s.lang AND c.source = s.source AND c.term = t.term),
+        pv AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM r a JOIN r b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+        u AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(pv.value, 0) AS BIGINT) AS value FROM s a JOIN s b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pv ON pv.lang = a.lang AND pv.source = a.source AND pv.item = b.source
+            UNION ALL SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // (p + q) AS BIGINT) FROM r WHERE n > 0 AND p > q)
+        SELECT lang, source, part, item, value, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS INTEGER) AS rank FROM u) WHERE part = 'pair' OR rank <= 10
+    """,
+    "op13_merkle_manifest": _manifest_sql(),
 }
