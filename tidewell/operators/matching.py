@@ -1,8 +1,8 @@
 """Duplicate events across sources: four passes, merge plans and the cap on deletions.
 
 Candidate pairs come from equality joins on a place and a time key, so nothing is compared outside its block.  The passes are
-greedy and depend on order, (start_at, id); a block's pairs are streamed in that order through one task.  Events that one
-pass matches are gone for the next.
+greedy and depend on order, (start_at, id), yet are settled in rounds of joins, in which all choices that no open pair can
+change are made at once.  Events that one pass matches are gone for the next.
 """
 
 from __future__ import annotations
@@ -17,10 +17,14 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from tidewell.functions import text, times
+from tidewell.operators.components import components
+from tidewell.operators.ordering import numbered
 from tidewell.scratch import materialize
 
 WINDOW_SECONDS = 2 * 3600
 DESCRIPTION_LEAST = 20
+#: Open pairs that are no more settled in rounds of joins, and rounds after which the rest is streamed by block; results don't depend on them.
+FEW, MOST_ROUNDS = 50_000, 40
 GROUPS = "group_id string, event_id long, position int, pass int"
 
 
@@ -177,28 +181,64 @@ def greedy(found: DataFrame, on: list[str], order: list[str], pick: Callable[[It
     return keyed.repartition("block").sortWithinPartitions("block", *order).mapInArrow(run, GROUPS)
 
 
-def anchored(found: DataFrame, on: list[str], number: int) -> DataFrame:
+def without(pairs_: DataFrame, gone: DataFrame, *ends: str) -> DataFrame:
+    """The pairs none of whose ``ends`` is among the ids that are ``gone`` (column id)."""
+    for end in ends:
+        pairs_ = pairs_.join(gone.select(F.col("id").alias("gone_id")), F.col(end) == F.col("gone_id"), "left_anti")
+    return pairs_
+
+
+def anchored(found: DataFrame, on: list[str], number: int, few: int = FEW, most_rounds: int = MOST_ROUNDS) -> DataFrame:
     """Greedy clusters of a pass: an event takes every free partner behind it; members join no other cluster.
 
     In pass 1 an event joins the first cluster whose *first* member it matches, which is the same rule read from the other
-    side: an event that has joined anchors nothing.
+    side: an event that has joined anchors nothing.  So an event is a member if any event that anchors stands before it in a
+    pair.  That is settled in rounds of joins: events that no open pair ends in can't become members, so their partners do, and
+    pairs with these are closed.  What is open after ``most_rounds`` rounds, or once at most ``few`` pairs are, is streamed by block.
+    Members then go to the first event of their pairs that is no member itself, and are numbered without gathering a cluster.
     """
+    edges = materialize(found.select(*on, "start_at_a", "id_a", "start_at_b", "id_b").distinct(), "edges")
+    open_, members = edges, []
+    for _ in range(most_rounds):
+        if open_.count() <= few:
+            break
+        heads = without(open_.select(F.col("id_a").alias("head")).distinct(), open_.select(F.col("id_b").alias("id")).distinct(), "head")
+        members.append(materialize(open_.join(heads, F.col("id_a") == F.col("head")).select(F.col("id_b").alias("id")).distinct(), "members"))
+        open_ = materialize(without(open_, members[-1], "id_a", "id_b"), "open")
 
     def pick(pairs_: Iterable[tuple]) -> Iterator[tuple]:
         taken: set = set()
         for a, own in groupby(pairs_, key=lambda r: r[1]):
-            if a in taken:
-                continue
-            mates = [r[3] for r in own if r[3] not in taken]
-            if mates:
-                taken.update([a, *mates])
-                yield from ((f"{number}:{a}", m, i, number) for i, m in enumerate([a, *mates]))
-
-    return greedy(found, on, ["start_at_a", "id_a", "start_at_b", "id_b"], pick)
-
-
-def assigned(found: DataFrame) -> DataFrame:
-    """Pass 4's one-to-one matching in each day: best tier first, then the smallest distance in time."""
+            if a not in taken:
+                mates = [r[3] for r in own if r[3] not in taken]
+                taken.update(mates)
+                yield from (("", m, 0, number) for m in mates)
+
+    taken = greedy(open_, on, ["start_at_a", "id_a", "start_at_b", "id_b"], pick).select(F.col("event_id").alias("id"))
+    for some in members:
+        taken = taken.unionByName(some)
+    joined = without(edges, materialize(taken, "members"), "id_a").groupBy("id_b").agg(F.min(F.struct("start_at_a", "id_a")).alias("anchor"), F.first("start_at_b").alias("at"))
+    numbers = numbered(joined.select(F.col("anchor.id_a").alias("anchor"), "at", "id_b"), ["anchor"], ["at", "id_b"], "position")
+    both = numbers.select("anchor", F.col("id_b").alias("event_id"), "position").unionByName(numbers.filter("position = 1").select("anchor", F.col("anchor").alias("event_id"), F.lit(0).cast("long").alias("position")))
+    return both.select(F.concat(F.lit(f"{number}:"), "anchor").alias("group_id"), "event_id", F.col("position").cast("int").alias("position"), F.lit(number).alias("pass"))
+
+
+def assigned(found: DataFrame, few: int = FEW, most_rounds: int = MOST_ROUNDS) -> DataFrame:
+    """Pass 4's one-to-one matching: best tier first, then the smallest distance in time.
+
+    A pair that comes before all other open pairs of both its events is one that the greedy choice takes; all such pairs are
+    taken at once and their events' pairs closed, in rounds.  The last ``few`` pairs, or what ``most_rounds`` leave, are
+    streamed by day.
+    """
+    order = ["tier", "apart", "start_at_a", "id_a", "start_at_b", "id_b"]
+    open_, chosen = materialize(found.select("day", *order).distinct(), "edges"), []
+    for _ in range(most_rounds):
+        if open_.count() <= few:
+            break
+        best = lambda end: open_.groupBy(end).agg(F.min(F.struct(*order)).alias("best")).select(F.struct(*(F.col(f"best.{c}") for c in order)).alias("best"))
+        met = materialize(best("id_a").join(best("id_b"), "best").select("best.id_a", "best.id_b"), "chosen")
+        chosen.append(met)
+        open_ = materialize(without(without(open_, met.select(F.col("id_a").alias("id")), "id_a"), met.select(F.col("id_b").alias("id")), "id_b"), "open")
 
     def pick(pairs_: Iterable[tuple]) -> Iterator[tuple]:
         taken: set = set()
@@ -208,7 +248,11 @@ def assigned(found: DataFrame) -> DataFrame:
                 yield f"4:{b}", b, 0, 4
                 yield f"4:{b}", a, 1, 4
 
-    return greedy(found, ["day"], ["tier", "apart", "start_at_a", "id_a", "start_at_b", "id_b"], pick)
+    out = greedy(open_, ["day"], order, pick)
+    for met in chosen:
+        ends = F.explode(F.array(F.struct(F.col("id_b").alias("event_id"), F.lit(0).alias("position")), F.struct(F.col("id_a").alias("event_id"), F.lit(1).alias("position"))))
+        out = out.unionByName(met.select(F.concat(F.lit("4:"), "id_b").alias("group_id"), ends.alias("e")).select("group_id", "e.event_id", "e.position", F.lit(4).alias("pass")))
+    return out
 
 
 def in_stretches(found: DataFrame) -> DataFrame:
@@ -352,55 +396,73 @@ def venue_audit(venues: DataFrame) -> DataFrame:
     return checked.groupBy("addr").agg(F.min_by("id", "rank").alias("canonical_id"), F.count("*").alias("n"), F.min("ok").alias("clear"))
 
 
-def similar_venues(venues: DataFrame, threshold: float = 0.6, metres: float = 75.0) -> DataFrame:
-    """Pairs (a, b, signal) of venues alike by equal name, token overlap, address or place.
+SIGNALS = ("EXACT", "ADDRESS", "FUZZY", "GEO")
+
+
+def similar_venues(venues: DataFrame, threshold: float = 0.6, metres: float = 75.0, signals: tuple[str, ...] = SIGNALS, stars: bool = False) -> DataFrame:
+    """Pairs (a, b, signal) of venues alike by equal name, token overlap, address or place; a < b.
 
-    Blocking keys are name key, address key, a name's rarest tokens and a cell of about 0.001 degrees with its neighbours.
-    Two names of which ``threshold`` of all tokens are common share one of their n - ceil(threshold * n) + 1 rarest tokens,
-    so these are all that names meet by, and no token is left out for being frequent.  Names with equal tokens are one
-    entry in that search.
+    Each signal sorts venues into groups of equals (name key, address key, set of title tokens, coordinates) and links some
+    of the groups.  Two names of which ``threshold`` of all tokens are common share one of their n - ceil(threshold * n) + 1
+    rarest tokens, so these are all that sets meet by, and no token is left out for being frequent.  Coordinates meet in cells
+    of 0.001 degrees, with as many cells around as ``metres`` reach at their latitude.
+
+    With ``stars`` a group gives one pair for each member, with its smallest id, and a link one pair of the smallest ids: a row
+    for each venue instead of all pairs of a name that thousands share, and the same components.
     """
     from tidewell.functions.geo import METRES, haversine
 
     v = venues.select("id", "lat", "lng", text.venue_key(F.col("name")).alias("key"), text.address_key(F.col("address")).alias("addr"), F.array_distinct(F.split(text.title_key(F.col("name")), " ")).alias("tokens"))
-    pair = lambda l, r, on, test, signal: l.join(r, on).filter((F.col("a") < F.col("b")) & test).select("a", "b", F.lit(signal).alias("signal"))
-    side = lambda n, *c: v.select(F.col("id").alias(n), *c)
-    exact = pair(side("a", "key"), side("b", "key"), "key", F.lit(True), "EXACT")
-    address = pair(side("a", "addr").filter("addr is not null"), side("b", "addr"), "addr", F.lit(True), "ADDRESS")
-    sets = v.select("id", F.array_sort("tokens").alias("tokens")).withColumn("set", F.xxhash64("tokens"))
-    distinct = materialize(sets.dropDuplicates(["set"]).select("set", "tokens"), "token-sets")
-    words = distinct.select("set", F.explode("tokens").alias("token"))
-    ranked = words.join(sets.select(F.explode("tokens").alias("token")).groupBy("token").count(), "token")
-    rarest = ranked.groupBy("set").agg(F.array_sort(F.collect_list(F.struct("count", "token"))).alias("by"))
-    prefix = rarest.select("set", F.size("by").alias("n"), F.explode(F.slice("by", 1, F.size("by") - F.ceil(F.size("by") * threshold - 1e-9).cast("int") + 1)).alias("p")).select("set", "n", "p.token")
-    other = prefix.select(F.col("set").alias("other"), F.col("n").alias("m"), "token")
-    sized = (F.least("n", "m") >= threshold * F.greatest("n", "m") - 1e-9) & (F.col("set") < F.col("other"))
-    met = prefix.join(other, "token").filter(sized).select("set", "other").distinct()
-    alike = text.jaccard(F.col("ta"), F.col("tb")) >= threshold
-    near_sets = met.join(distinct.withColumnRenamed("tokens", "ta"), "set").join(distinct.select(F.col("set").alias("other"), F.col("tokens").alias("tb")), "other").filter(alike).select("set", "other")
-    both = materialize(near_sets.unionByName(near_sets.select(F.col("other").alias("set"), F.col("set").alias("other"))).unionByName(distinct.select("set", F.col("set").alias("other"))), "set-pairs")
-    fuzzy = both.join(sets.select(F.col("id").alias("a"), "set"), "set").join(sets.select(F.col("id").alias("b"), F.col("set").alias("other")), "other").filter(F.col("a") < F.col("b")).select("a", "b", F.lit("FUZZY").alias("signal"))
-    cell = lambda c, d: (F.floor(F.col(c) * 1000) + d).cast("long")
-    around = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
-    placed = v.filter("lat is not null and lng is not null")
-    left = placed.select(F.col("id").alias("a"), F.col("lat").alias("la"), F.col("lng").alias("na"), around.alias("n")).select("a", "la", "na", (F.floor(F.col("la") * 1000) + F.col("n.i")).alias("y"), (F.floor(F.col("na") * 1000) + F.col("n.j")).alias("x"))
-    right = placed.select(F.col("id").alias("b"), F.col("lat").alias("lb"), F.col("lng").alias("nb"), cell("lat", 0).alias("y"), cell("lng", 0).alias("x"))
-    near = haversine(F.col("la"), F.col("na"), F.col("lb"), F.col("nb"), METRES) <= metres
-    return exact.unionByName(address).unionByName(fuzzy).unionByName(pair(left, right, ["y", "x"], near, "GEO")).distinct()
-
-
-def venue_clusters(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
-    """(node, component) of connected components by minimum labels; each round is written, which cuts lineage."""
-    both = materialize(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("component"))
-    for _ in range(most_rounds):
-        near = both.join(labels, F.col("b") == F.col("node")).select(F.col("a").alias("node"), "component")
-        new = labels.select("node", "component", F.col("component").alias("old")).unionByName(near.withColumn("old", F.lit(None).cast("long")))
-        grouped = materialize(new.groupBy("node").agg(F.min("component").alias("component"), F.max("old").alias("old")), "labels")
-        labels = grouped.select("node", "component")
-        if grouped.filter("component <> old").isEmpty():
-            return labels
-    raise RuntimeError("components did not settle")
+
+    def expanded(signal: str, members: DataFrame, links: DataFrame | None = None) -> DataFrame:
+        """Of (id, g) and links (g, h) between different groups."""
+        side = lambda c, g: members.select(F.col("id").alias(c), F.col("g").alias(g))
+        least = members.groupBy("g").agg(F.min("id").alias("id"))
+        head = lambda c, g: least.select(F.col("id").alias(c), F.col("g").alias(g))
+        out = (head("a", "g") if stars else side("a", "g")).join(side("b", "g"), "g").filter("a < b").select("a", "b")
+        if links is not None:
+            ends = head if stars else side
+            met = links.join(ends("x", "g"), "g").join(ends("y", "h"), "h")
+            out = out.unionByName(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+        return out.withColumn("signal", F.lit(signal))
+
+    found = []
+    if "EXACT" in signals:
+        found.append(expanded("EXACT", v.select("id", F.col("key").alias("g"))))
+    if "ADDRESS" in signals:
+        found.append(expanded("ADDRESS", v.filter("addr IS NOT NULL").select("id", F.col("addr").alias("g"))))
+    if "FUZZY" in signals:
+        sets = v.select("id", F.array_sort("tokens").alias("tokens")).withColumn("g", F.concat_ws(" ", "tokens"))
+        distinct = materialize(sets.dropDuplicates(["g"]).select("g", "tokens"), "token-sets")
+        words = distinct.select("g", F.explode("tokens").alias("token"))
+        ranked = words.join(sets.select(F.explode("tokens").alias("token")).groupBy("token").count(), "token")
+        rarest = ranked.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("count", "token"))).alias("by"))
+        prefix = rarest.select("g", F.size("by").alias("n"), F.explode(F.slice("by", 1, F.size("by") - F.ceil(F.size("by") * threshold - 1e-9).cast("int") + 1)).alias("p")).select("g", "n", "p.token")
+        other = prefix.select(F.col("g").alias("h"), F.col("n").alias("m"), "token")
+        sized = (F.least("n", "m") >= threshold * F.greatest("n", "m") - 1e-9) & (F.col("g") < F.col("h"))
+        met = prefix.join(other, "token").filter(sized).select("g", "h").distinct()
+        alike = text.jaccard(F.col("ta"), F.col("tb")) >= threshold
+        links = met.join(distinct.withColumnRenamed("tokens", "ta"), "g").join(distinct.select(F.col("g").alias("h"), F.col("tokens").alias("tb")), "h").filter(alike).select("g", "h")
+        found.append(expanded("FUZZY", sets.select("id", "g"), materialize(links, "set-links")))
+    if "GEO" in signals:
+        placed = v.filter("lat IS NOT NULL AND lng IS NOT NULL").select("id", F.struct("lat", "lng").alias("g"))
+        points = materialize(placed.select("g").distinct(), "points")
+        reach = lambda degrees: F.ceil(F.lit(metres / (METRES * 3.141592653589793 / 180)) / degrees * 1000 + 1e-9).cast("int")
+        narrow = F.greatest(F.cos(F.radians(F.least(F.abs("g.lat") + 0.01, F.lit(89.99)))), F.lit(1e-4))
+        around = points.withColumn("i", F.explode(F.sequence(-reach(F.lit(1.0)), reach(F.lit(1.0))))).withColumn("j", F.explode(F.sequence(-reach(narrow), reach(narrow))))
+        left = around.select("g", (F.floor(F.col("g.lat") * 1000) + F.col("i")).alias("y"), (F.floor(F.col("g.lng") * 1000) + F.col("j")).alias("x"))
+        right = points.select(F.col("g").alias("h"), F.floor(F.col("g.lat") * 1000).cast("long").alias("y"), F.floor(F.col("g.lng") * 1000).cast("long").alias("x"))
+        near = (F.col("g") < F.col("h")) & (haversine(F.col("g.lat"), F.col("g.lng"), F.col("h.lat"), F.col("h.lng"), METRES) <= metres)
+        found.append(expanded("GEO", placed, left.join(right, ["y", "x"]).filter(near).select("g", "h")))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def venue_clusters(edges: DataFrame) -> DataFrame:
+    """(node, component) of venues that links (a, b) join."""
+    return components(edges)
 
 
 def alias_faults(aliases: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell import catalog
@@ -12,6 +12,7 @@ from tidewell.catalog import AS_OF, BRIDGE_SQL, EVENTS_SQL, VENUES_SQL
 from tidewell.functions import prices, text, times
 from tidewell.operators import browse
 from tidewell.operators.browse import QuerySpec
+from tidewell.operators.ordering import numbered
 from tidewell.queries.base import NOW, Registry, eastern, sql_stamp, stamp
 
 query = Registry()
@@ -199,11 +200,10 @@ def date_presets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.select(F.expr(f"stack({len(names)}, {', '.join(f''''{n}', {n}''' for n in names)}) AS (preset, n)"))
 
 
-@query(f"WITH {EVENTS_SQL} SELECT id, row_number() OVER (ORDER BY start_at, id) AS ord FROM ev QUALIFY ord <= 100")
+@query(f"WITH {EVENTS_SQL} SELECT id, row_number() OVER (ORDER BY start_at, id) AS ord FROM ev")
 def ordered_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first rows in the order of the greedy passes; a top-k, so the whole table is never sorted in one task."""
-    top = catalog.events(spark, sf_dir).orderBy("start_at", "id").limit(100)
-    return top.select("id", F.row_number().over(Window.orderBy("start_at", "id")).cast("long").alias("ord"))
+    """Every row's place in the order of the greedy passes, without sorting the table in one task."""
+    return numbered(catalog.events(spark, sf_dir).select("id", "start_at"), [], ["start_at", "id"]).select("id", "ord")
 
 
 @query(f"WITH {EVENTS_SQL} SELECT id, title, {sql_stamp('start_at')} AS start_at FROM ev WHERE id = 77")

@@ -89,43 +89,38 @@ def dup_pairs_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.fuzzy_pairs(rows).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
 
 
-@query()
-def dup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.duplicate_groups(listings(spark, sf_dir), ("src7",)).withColumnRenamed("pass", "pass_no")
-
-
-def described(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return listings(spark, sf_dir).withColumns({"description": F.when(F.col("id") % 3 == 0, F.lit("A description that is long enough")), "overridden": F.col("id") % 97 == 0})
-
-
-def ranked_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidewell.plans import dedupe
+def _named_venues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Venues with names that are equal, hold each other, or share three of four words."""
+    name = F.concat(F.lit("Grand Hall N"), F.col("area_id").cast("string"), F.lit(" R"), (F.col("id") % 3).cast("string"), F.when(F.col("id") % 8 == 0, " Annex").otherwise(""))
+    return catalog.venues(spark, sf_dir).withColumn("name", name)
 
-    return dedupe.ranked(described(spark, sf_dir), ("src7",), ("src3", "src1"), ("src6", "src7"))
 
-
-@query()
-def merge_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = ranked_members(spark, sf_dir)
-    return matching.merge_plan(ranked).join(matching.tier_of_group(ranked), "group_id").select("group_id", "canonical_id", "delete_ids", "preserved_ids", "image_url", "description", "tier", "risk")
+#: The four signals over all pairs of named venues, each by its own definition.
+SIGNALS_SQL = f"""{VENUES_SQL}, nv AS (SELECT id, id % 40 AS door, lat, lng, 'Grand Hall N' || CAST(area_id AS VARCHAR) || ' R' || CAST(id % 3 AS VARCHAR) || CASE WHEN id % 8 = 0 THEN ' Annex' ELSE '' END AS name FROM ve),
+  nt AS (SELECT *, list_distinct(string_split(lower(name), ' ')) AS tk FROM nv),
+  np AS (SELECT a.id AS a, b.id AS b, lower(a.name) = lower(b.name) AS same, a.door = b.door AS door, len(list_intersect(a.tk, b.tk)) * 1.0 / len(list_distinct(list_concat(a.tk, b.tk))) >= 0.6 AS alike,
+    pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lng - a.lng) / 2), 2) AS h FROM nt a JOIN nt b ON a.id < b.id),
+  vp AS (SELECT a, b, unnest(list_filter([CASE WHEN same THEN 'EXACT' END, CASE WHEN door THEN 'ADDRESS' END, CASE WHEN alike THEN 'FUZZY' END, CASE WHEN 2 * 6371000 * atan2(sqrt(h), sqrt(1 - h)) <= 75 THEN 'GEO' END], lambda x: x IS NOT NULL)) AS signal FROM np)"""
 
 
-@query()
-def alias_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = ranked_members(spark, sf_dir)
-    return matching.alias_rows(ranked, matching.merge_plan(ranked), matching.tier_of_group(ranked))
+@query(f"""WITH {SIGNALS_SQL}, ra AS (SELECT *, row_number() OVER (PARTITION BY door ORDER BY lat IS NULL, id) AS rank, first_value(name) OVER (PARTITION BY door ORDER BY lat IS NULL, id) AS lead FROM nv)
+  SELECT CAST(door + 100 AS VARCHAR) || ' e main st' AS addr, min(id) FILTER (rank = 1) AS canonical_id, count(*) AS n,
+    bool_and(name = lead OR (name <> lead AND (contains(lower(' ' || name || ' '), lower(' ' || lead || ' ')) OR contains(lower(' ' || lead || ' '), lower(' ' || name || ' '))))) AS clear FROM ra GROUP BY door HAVING count(*) > 1""")
+def venue_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _named_venues(spark, sf_dir).select("id", "name", "address", "lat", F.lit(0).alias("upcoming"), F.lit(0).alias("events"), F.lit(False).alias("is_alias"))
+    return matching.venue_audit(v)
 
 
-@query(f"""WITH {VENUES_SQL} SELECT CAST(id % 40 + 100 AS VARCHAR) || ' e main st' AS addr, min(id) AS canonical_id, count(*) AS n FROM ve GROUP BY id % 40 HAVING count(*) > 1""")
-def venue_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = catalog.venues(spark, sf_dir).select("id", "name", "address", "lat", F.lit(0).alias("upcoming"), F.lit(0).alias("events"), F.lit(False).alias("is_alias"))
-    return matching.venue_audit(v).select("addr", "canonical_id", "n")
+@query(f"WITH {SIGNALS_SQL} SELECT a, b, signal FROM vp")
+def venue_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All four signals of every pair of venues."""
+    return matching.similar_venues(_named_venues(spark, sf_dir))
 
 
 @query(f"WITH {VENUES_SQL} SELECT a.id AS a, b.id AS b FROM ve a JOIN ve b ON a.id < b.id AND a.id % 40 = b.id % 40")
 def venue_address_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = catalog.venues(spark, sf_dir).withColumn("name", F.concat(F.lit("v"), F.col("id").cast("string")))
-    return matching.similar_venues(v).filter("signal = 'ADDRESS'").select("a", "b")
+    return matching.similar_venues(v, signals=("ADDRESS",)).select("a", "b")
 
 
 @query(f"""WITH {VENUES_SQL}, t AS (SELECT id, ['grand', 'hall', 'n' || CAST(area_id AS VARCHAR), 'r' || CAST(id % 3 AS VARCHAR)] AS tk FROM ve)
@@ -133,13 +128,23 @@ def venue_address_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def venue_name_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names that share three of four words; two of these words are in every name."""
     name = F.concat(F.lit("Grand Hall N"), F.col("area_id").cast("string"), F.lit(" R"), (F.col("id") % 3).cast("string"))
-    return matching.similar_venues(catalog.venues(spark, sf_dir).withColumn("name", name)).filter("signal = 'FUZZY'").select("a", "b")
+    return matching.similar_venues(catalog.venues(spark, sf_dir).withColumn("name", name), signals=("FUZZY",)).select("a", "b")
 
 
 @query(f"WITH {VENUES_SQL} SELECT id AS node, id % 40 AS component FROM ve WHERE id % 40 + 40 < (SELECT count(*) FROM ve) OR id >= 40")
 def venue_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = catalog.venues(spark, sf_dir).withColumn("name", F.concat(F.lit("v"), F.col("id").cast("string")))
-    return matching.venue_clusters(matching.similar_venues(v).filter("signal = 'ADDRESS'"))
+    return matching.venue_clusters(matching.similar_venues(v, signals=("ADDRESS",), stars=True))
+
+
+@query(f"""WITH RECURSIVE {SIGNALS_SQL}, bw AS (SELECT DISTINCT a, b FROM vp WHERE signal IN ('EXACT', 'GEO') UNION SELECT DISTINCT b, a FROM vp WHERE signal IN ('EXACT', 'GEO')),
+  cc AS (SELECT 0 AS r, a AS node, a AS component FROM (SELECT DISTINCT a FROM bw) UNION ALL
+    (WITH x AS (SELECT node, component FROM cc), y AS (SELECT b.a AS node, min(x.component) AS component FROM bw b JOIN x ON x.node = b.b GROUP BY b.a)
+     SELECT (SELECT max(r) FROM cc) + 1, x.node, least(x.component, y.component) FROM x JOIN y ON x.node = y.node WHERE EXISTS (SELECT 1 FROM x x2 JOIN y y2 ON x2.node = y2.node WHERE y2.component < x2.component)))
+  SELECT node, component FROM cc WHERE r = (SELECT max(r) FROM cc)""")
+def venue_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Venues joined by equal names or by their places, through any number of links."""
+    return matching.venue_clusters(matching.similar_venues(_named_venues(spark, sf_dir), signals=("EXACT", "GEO"), stars=True))
 
 
 @query("WITH a AS (SELECT s_suppkey AS alias_id, CASE WHEN s_suppkey % 10 = 0 THEN s_suppkey WHEN s_suppkey % 7 = 0 THEN s_suppkey - 1 ELSE s_suppkey + 100000 END AS canonical_id FROM supplier) SELECT alias_id, canonical_id FROM a WHERE canonical_id = alias_id OR canonical_id IN (SELECT alias_id FROM a)")
@@ -170,15 +175,6 @@ def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("a", "b", F.round(text.jaccard(F.col("t"), F.col("u")), 6).alias("similarity"))
 
 
-@query()
-def capped_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups that a run may execute under a cap; the choice is sequential over at most a few thousand rows of four numbers."""
-    from tidewell.plans import dedupe
-
-    chosen, outcome = dedupe.chosen(dedupe.planned(ranked_members(spark, sf_dir)), 40)
-    return spark.createDataFrame([(g, outcome) for g in chosen], "group_id string, outcome string")
-
-
 # Merges ------------------------------------------------------------------------------------------------------------------
 
 BASE_SQL = f"""{EVENTS_SQL}, b AS (SELECT id, title, price_min, image_url, CASE WHEN id % 5 = 0 THEN '{{"title": 1}}' END AS overrides FROM ev WHERE start_at < {NOW} + INTERVAL 2 DAY), s AS (SELECT id, 'New ' || title AS title, CASE WHEN id % 2 = 0 THEN price_min + 1 END AS price_min, CAST(NULL AS VARCHAR) AS image_url FROM ev WHERE start_at >= {NOW} - INTERVAL 2 DAY)"""
@@ -275,25 +271,6 @@ def plan_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("plan_id", F.size(parsed).cast("long").alias("n"), F.array_join(F.transform(parsed, lambda i: F.concat(i["status"], i["event_id"].cast("string"))), ",").alias("items"))
 
 
-@query()
-def dedupe_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Everything that one capped run does, as (kind, id, detail)."""
-    from tidewell.plans import dedupe
-
-    e, members = described(spark, sf_dir), ranked_members(spark, sf_dir)
-    links = catalog.events(spark, sf_dir).filter("id % 2 = 0").select(F.col("id").alias("event_id"), "venue_id", F.col("organization_id"))
-    credits = spark.createDataFrame([("src6", 6)], "source string, organization_id long")
-    done = dedupe.run(members, links.select("event_id", "venue_id"), links.select("event_id", "organization_id"), credits, e.count(), 100)
-    row = lambda df, kind, id_, detail: df.select(F.lit(kind).alias("kind"), F.col(id_).alias("id"), detail.cast("string").alias("detail"))
-    return (
-        row(done.deletes, "delete", "id", F.col("group_id"))
-        .unionByName(row(done.merges, "merge", "id", F.coalesce("image_url", "description")))
-        .unionByName(row(done.venue_links, "venue", "canonical_id", F.col("venue_id")))
-        .unionByName(row(done.organization_links, "organization", "canonical_id", F.col("organization_id")))
-        .unionByName(row(done.aliases, "alias", "canonical_id", F.col("reason")))
-    )
-
-
 @query()
 def digest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A day's mails for subscribers that the ledger has not recorded."""
