@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable
 from datetime import date, datetime, timedelta
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from tidewell.functions import geo, prices, times
+from tidewell.operators.ordering import numbered
+from tidewell.scratch import materialize
 
 MOST, PER_ORG = 14, 2
 FREE, DESCRIBED, TICKETED, JITTER = 8, 3, 2, 4
@@ -21,16 +21,49 @@ def fnv1a(s: Column) -> Column:
     return F.aggregate(F.split(s, ""), F.lit(2166136261).cast("long"), lambda h, c: F.when(c == "", h).otherwise((h.bitwiseXOR(F.ascii(c).cast("long")) * 16777619).bitwiseAND(4294967295)))
 
 
-@F.pandas_udf(DoubleType())
-def mulberry32(seed: pd.Series) -> pd.Series:
+def _mixed() -> list[Callable[[Column], Column]]:
+    """The steps of mulberry32, each of which uses what the one before gives several times."""
+    mask = 0xFFFFFFFF
+    shifted = lambda c, n: c.bitwiseXOR(F.shiftrightunsigned(c, n))
+    # by halves of the second factor, as a product of 64 bits would overflow
+    product = lambda x, y: (x * y.bitwiseAND(0xFFFF) + F.shiftleft((x * F.shiftrightunsigned(y, 16)).bitwiseAND(0xFFFF), 16)).bitwiseAND(mask)
+    return [
+        lambda seed: (seed + 0x6D2B79F5).bitwiseAND(mask),
+        lambda a: product(shifted(a, 15), a.bitwiseOR(1)),
+        lambda t: (t + product(shifted(t, 7), t.bitwiseOR(61))).bitwiseAND(mask).bitwiseXOR(t),
+        lambda u: shifted(u, 14) / F.lit(4294967296.0),
+    ]
+
+
+def mulberry32(seed: Column) -> Column:
     """One number in [0, 1) of the mulberry32 generator for each 32-bit seed, whose products wrap at 32 bits."""
-    import numpy as np
+    for step in _mixed():
+        seed = F.transform(F.array(seed), step)[0]
+    return seed
+
+
+def jittered(frame: DataFrame, seed: Column) -> DataFrame:
+    """``frame`` with ``score``, its ``base`` and JITTER times mulberry32 of the seed, a column a step, so each is computed once.
+
+    The score is marked as depending on the partition, which it doesn't: else a filter on it would be pushed below the steps, and
+    would unfold them to hundreds of operations a row.
+    """
+    made = frame.withColumn("score", seed)
+    for step in _mixed():
+        made = made.withColumn("score", step(F.col("score")))
+    return made.withColumn("score", F.when(F.spark_partition_id() >= 0, F.col("base") + JITTER * F.col("score")))
+
+
+#: Members of a profile that meet its events in one task.
+MEMBERS = 256
 
-    mask = np.uint64(0xFFFFFFFF)
-    a = (seed.to_numpy(np.uint64) + np.uint64(0x6D2B79F5)) & mask
-    t = ((a ^ (a >> np.uint64(15))) * (a | np.uint64(1))) & mask
-    t = (t + (((t ^ (t >> np.uint64(7))) * (t | np.uint64(61))) & mask)) & mask ^ t
-    return pd.Series(((t ^ (t >> np.uint64(14))) & mask) / 4294967296.0)
+
+def met(pool: DataFrame, members: DataFrame, *on: str) -> DataFrame:
+    """``pool`` joined with ``members`` on the profile: by parts of MEMBERS members, as many may share a profile."""
+    sizes = members.groupBy("profile").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("parts"))
+    dealt = members.join(sizes, "profile").withColumn("part", F.pmod(F.xxhash64("sub_id"), F.col("parts")).cast("int")).drop("parts")
+    copies = pool.join(sizes, "profile").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    return copies.join(dealt.hint("shuffle_hash"), ["profile", "part", *on]).drop("part")
 
 
 def base_score(low: Column, high: Column, description: Column, ticket_url: Column) -> Column:
@@ -43,85 +76,176 @@ def window_end(frequency: Column, lookahead_days: Column, now: datetime) -> Colu
     return F.when(frequency == "monthly", F.lit(month_end)).otherwise(F.lit(now) + F.make_dt_interval(lookahead_days))
 
 
-def matched(events: DataFrame, subscribers: DataFrame, now: datetime, most_subscribers: int = 100_000) -> DataFrame:
-    """(sub_id, id, start_at): events in each subscriber's window that meet their preferences or hold a keyword.
+PREFERENCES = ("frequency", "lookahead_days", "event_days", "categories", "price_max", "areas", "miles", "keywords")
+
 
-    Events are expanded to (day, event) and subscribers to the days they want, so the two meet by equality on the day and a
-    preference test follows; within ``most_subscribers`` the subscriber side is broadcast.  Subscriber columns: sub_id, frequency,
-    lookahead_days, event_days (0 = Sunday), categories, price_max, areas (array of lat, lng), miles, keywords.
+def profiles(subscribers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct preferences, named by the smallest sub_id that has them, and (sub_id, profile, mailed) of each subscriber.
+
+    ``mailed`` is the first half of the seed of a subscriber's jitter.
+    """
+    keyed_ = subscribers.select("sub_id", F.to_json(F.struct(*PREFERENCES)).alias("key"), *PREFERENCES)
+    made = materialize(keyed_.groupBy("key").agg(F.min("sub_id").alias("profile"), *(F.min_by(c, "sub_id").alias(c) for c in PREFERENCES)), "profiles")
+    return made.drop("key"), keyed_.select("sub_id", "key").join(made.select("key", "profile"), "key").drop("key")
+
+
+def cells(lat: Column, lng: Column) -> Column:
+    """The cell of one degree that holds a point."""
+    return F.concat(F.floor(lat).cast("string"), F.lit("/"), F.pmod(F.floor(lng), F.lit(360)).cast("string"))
+
+
+def wanted_terms(profiles_: DataFrame, now: datetime) -> DataFrame:
+    """The index of preferences: (profile, until, day, term, phrase) for each day that a profile wants and each term that leads there.
+
+    Terms are a category, or any, with the place: a cell of a degree within reach, or none where the profile names no area
+    (everywhere) or the event has no place; and, on all days of the window, the longest token of a keyword (its phrase is
+    verified later).
     """
-    # what depends on the event alone is made once, before events meet subscribers
-    plain = F.concat(F.lit(" "), F.regexp_replace(F.lower("title"), r"[^a-z0-9]+", " "), F.lit(" "))
-    weekday = times.day_of_week(F.col("start_at"))
-    pool = events.filter(F.col("start_at") >= F.lit(now)).withColumns({"day": F.to_date("start_at"), "d_words": plain, "d_weekday": weekday})
     end = window_end(F.col("frequency"), F.col("lookahead_days"), now)
-    days = F.explode(F.sequence(F.lit(now).cast("date"), F.to_date(end)))
-    subs = subscribers.withColumn("until", end).withColumn("s_day", days).withColumnRenamed("price_max", "most_paid")
-    subs = F.broadcast(subs) if subscribers.limit(most_subscribers + 1).count() <= most_subscribers else subs
-    met = pool.join(subs, F.col("day") == F.col("s_day")).filter(F.col("start_at") <= F.col("until"))
+    days = F.sequence(F.lit(now).cast("date"), F.to_date(end))
+    named = profiles_.withColumn("until", end).withColumn("day", F.explode(days))
+    on_days = named.filter(F.array_contains("event_days", times.day_of_week(F.col("day"))))
+    # a reach of so many degrees at least, more in the direction of the poles
+    reach = F.col("miles") / (geo.MILES_DIGEST * 3.141592653589793 / 180) + 0.01
+    wide = lambda a: reach / F.greatest(F.cos(F.radians(F.least(F.abs(a["lat"]) + reach, F.lit(89.9)))), F.lit(1e-3))
+    rows = lambda a: F.sequence(F.floor(a["lat"] - reach).cast("int"), F.floor(a["lat"] + reach).cast("int"))
+    columns = lambda a: F.sequence(F.floor(a["lng"] - F.least(wide(a), F.lit(180.0))).cast("int"), F.floor(a["lng"] + F.least(wide(a), F.lit(180.0))).cast("int"))
+    around = F.flatten(F.transform("areas", lambda a: F.flatten(F.transform(rows(a), lambda y: F.transform(columns(a), lambda x: cells(y.cast("double"), x.cast("double")))))))
+    places = F.when(F.size("areas") == 0, F.array(F.lit("*"))).otherwise(F.concat(F.array(F.lit("-")), F.array_distinct(around)))
+    kinds = F.when(F.size("categories") == 0, F.array(F.lit("*"))).otherwise(F.array_distinct("categories"))
+    by_kind = on_days.select("profile", "until", "day", F.explode(kinds).alias("kind"), places.alias("places")).withColumn("place", F.explode("places")).select("profile", "until", "day", F.concat_ws("|", F.lit("c"), "kind", "place").alias("term"), F.lit(None).cast("string").alias("phrase"))
+    longest = lambda k: F.element_at(F.array_sort(F.transform(F.split(k, " "), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))), -1)
+    by_word = named.select("profile", "until", "day", F.explode(F.array_distinct("keywords")).alias("k")).select("profile", "until", "day", F.lower("k").alias("phrase")).withColumn("l", longest(F.col("phrase"))).filter("l.n > 0")
+    return by_kind.unionByName(by_word.select("profile", "until", "day", F.concat(F.lit("k|"), "l.w").alias("term"), "phrase"))
+
+
+def matches(events: DataFrame, profiles_: DataFrame, now: datetime) -> DataFrame:
+    """(profile, id): events in each profile's window that meet its preferences or hold a keyword.
+
+    Events say which terms they would be wanted by, profiles which they want (``wanted_terms``); these meet by equality on day and
+    term, so an event is compared only with profiles of its day that share a term, and price, distance and phrase are verified.
+    """
+    plain = F.concat(F.lit(" "), F.regexp_replace(F.lower("title"), r"[^a-z0-9]+", " "), F.lit(" "))
+    place = F.when(F.col("lat").isNull() | F.col("lng").isNull(), "-").otherwise(cells(F.col("lat"), F.col("lng")))
+    kinds = F.flatten(F.transform(F.array(F.coalesce("category", F.lit("")), F.lit("*")), lambda k: F.transform(F.array(F.lit("*"), place), lambda p: F.concat_ws("|", F.lit("c"), k, p))))
+    words = F.transform(F.filter(F.array_distinct(F.split("words", " ")), lambda w: w != ""), lambda w: F.concat(F.lit("k|"), w))
+    pool = events.filter(F.col("start_at") >= F.lit(now)).select("id", "start_at", "price_min", "lat", "lng", "category", plain.alias("words"))
+    offered = pool.select("id", "start_at", "price_min", "lat", "lng", "words", F.to_date("start_at").alias("day"), F.explode(F.concat(kinds, words)).alias("term"))
+    met = offered.join(wanted_terms(profiles_, now), ["day", "term"]).filter(F.col("start_at") <= F.col("until"))
+    limits = profiles_.select(F.col("profile").alias("p"), "price_max", "areas", "miles")
+    met = met.join(limits, F.col("profile") == F.col("p"))
     located = F.col("lat").isNull() | F.col("lng").isNull() | (F.size("areas") == 0) | geo.any_within(F.col("lat"), F.col("lng"), F.col("areas"), F.col("miles"))
-    wanted = (
-        F.array_contains(F.col("event_days"), F.col("d_weekday"))
-        & ((F.size("categories") == 0) | F.array_contains(F.col("categories"), F.col("category")))
-        & (F.col("most_paid").isNull() | (F.coalesce("price_min", F.lit(0)) <= F.col("most_paid")))
-        & located
-    )
-    hit = F.exists("keywords", lambda k: F.contains(F.col("d_words"), F.concat(F.lit(" "), F.lower(k), F.lit(" "))))
-    return met.filter(wanted | hit).select("sub_id", *events.columns)
+    wanted = F.col("phrase").isNull() & (F.col("price_max").isNull() | (F.coalesce("price_min", F.lit(0)) <= F.col("price_max"))) & located
+    hit = F.coalesce(F.contains(F.col("words"), F.concat(F.lit(" "), "phrase", F.lit(" "))), F.lit(False))
+    return met.filter(wanted | hit).select("profile", "id").distinct()
 
 
-def select_picks(rows: Iterable[dict], most: int = MOST, per_org: int = PER_ORG) -> list[int]:
-    """Ids a mail shows, in time order, from matched events with id, start_at, day, org, score, featured, image (bool).
+def matched(events: DataFrame, subscribers: DataFrame, now: datetime) -> DataFrame:
+    """(sub_id, id, start_at, ...): events in each subscriber's window that meet their preferences or hold a keyword.
 
-    The best featured event first; then one a day in turn, best first, with evenly spread days if there are too many; then any
-    that an organizer's limit allows; then any.
+    Subscribers with the same preferences are matched once.  Subscriber columns: sub_id, frequency, lookahead_days, event_days
+    (0 = Sunday), categories, price_max, areas (array of lat, lng), miles, keywords.
     """
-    pool = sorted((r for r in rows if r["image"]), key=lambda r: (r["start_at"], r["id"]))
-    best = lambda some: sorted(some, key=lambda r: (-r["score"], r["start_at"], r["id"]))
-    picks: dict[int, dict] = {}
-    orgs: dict[object, int] = {}
-
-    def take(r: dict, limited: bool = True) -> bool:
-        if r["id"] in picks or (limited and orgs.get(r["org"], 0) >= per_org):
-            return False
-        picks[r["id"]] = r
-        orgs[r["org"]] = orgs.get(r["org"], 0) + 1
-        return True
-
-    for r in best(r for r in pool if r["featured"])[:1]:
-        take(r)
-    by_day: dict[str, list[dict]] = {}
-    for r in pool:
-        if r["id"] not in picks:
-            by_day.setdefault(r["day"], []).append(r)
-    days, room = sorted(by_day), most - len(picks)
-    if len(days) > room > 1:
-        days = list(dict.fromkeys(days[int(i * (len(days) - 1) / (room - 1) + 0.5)] for i in range(room)))
-    queues = [best(by_day[d]) for d in days]
-    while len(picks) < most and any(queues):
-        for q in queues:
-            if len(picks) >= most:
-                break
-            while q and not take(q.pop(0)):
-                pass
-    for limited in (True, False):
-        for r in pool:
-            if len(picks) < most:
-                take(r, limited)
-    return [r["id"] for r in sorted(picks.values(), key=lambda r: (r["start_at"], r["id"]))]
-
-
-def digest(found: DataFrame, now: date, most: int = MOST, per_org: int = PER_ORG) -> DataFrame:
-    """(sub_id, id, place) of each subscriber's picks; ``found`` has id, start_at, org, featured, image and base (score).
-
-    The jitter depends on subscriber, day and event alone, so a rerun gives the same mail.  Each subscriber is one group, bounded by
-    the pool of one window.
+    kinds, members = profiles(subscribers)
+    return matches(events, kinds, now).join(members, "profile").join(events, "id").select("sub_id", *events.columns)
+
+
+def bounds(most: int, per_org: int) -> tuple[int, int]:
+    """How many of an organizer's events on a day, and of a day's events that are left, a mail's choice can reach.
+
+    At most ``most`` are taken; what is skipped belongs to one of the ``most // per_org`` organizers that may be full, or is featured.
     """
-    seed = fnv1a(F.concat(F.col("sub_id").cast("string"), F.lit(f":{now:%Y-%m-%d}"))).bitwiseXOR(fnv1a(F.col("id").cast("string")))
-    scored = found.withColumn("score", F.col("base") + JITTER * mulberry32(seed)).withColumn("day", times.day_key(F.col("start_at")))
+    of_org = per_org + 1
+    return of_org, most + (most // per_org) * of_org + 1
+
+
+def cutoffs(pool: DataFrame, reach: int) -> DataFrame:
+    """(profile, day, cut): a score that, by the jitter's even spread, about twice ``reach`` of a day's events pass; none where they are fewer."""
+    grid = F.explode(F.transform(F.sequence(F.lit(0), F.lit(32 * 24)), lambda i: i / 32.0))
+    base = pool.groupBy("profile", "day", "base").agg(F.count("*").alias("n"))
+    passing = F.least(F.greatest((F.col("base") + JITTER - F.col("cut")) / JITTER, F.lit(0.0)), F.lit(1.0))
+    return base.withColumn("cut", grid).groupBy("profile", "day", "cut").agg(F.sum(F.col("n") * passing).alias("n")).filter(F.col("n") >= 2 * reach).groupBy("profile", "day").agg(F.max("cut").alias("cut"))
+
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        ids = select_picks(rows[["id", "start_at", "day", "org", "score", "featured", "image"]].to_dict("records"), most, per_org)
-        return pd.DataFrame({"sub_id": rows["sub_id"].iloc[0], "id": ids, "place": range(1, len(ids) + 1)})
+def queues(pool: DataFrame, members: DataFrame, most: int, per_org: int) -> DataFrame:
+    """(sub_id, day, queue): each subscriber's best events of a day, at least as many as a mail's choice can reach, best first.
 
-    return scored.select("sub_id", "id", "start_at", "day", "org", "score", "featured", "image").groupBy("sub_id").applyInPandas(run, "sub_id long, id long, place int")
+    Only events beyond a day's cutoff are gathered.  Where they are too few, which the spread of the jitter makes rare, or may all
+    belong to a few organizers, that subscriber's whole day is ranked by windows.
+    """
+    of_org, reach = bounds(most, per_org)
+    cut = materialize(cutoffs(pool, reach), "cutoffs")
+    seed = F.col("mailed").bitwiseXOR(F.col("seed"))
+    entry = F.struct((-F.col("score")).alias("rank"), "start_at", "id", "org")
+    gathered = lambda rows: rows.groupBy("sub_id", "day").agg(F.sort_array(F.collect_list("entry")).alias("queue"), F.max("cut").alias("cut"))
+    pairs = jittered(met(pool.join(cut, ["profile", "day"], "left"), members), seed).filter(F.col("cut").isNull() | (F.col("score") >= F.col("cut")))
+    found = materialize(gathered(pairs.select("sub_id", "day", "cut", entry.alias("entry"))), "queues")
+    found = found.filter(F.col("cut").isNull() | (F.size(F.array_distinct(F.col("queue.org"))) >= reach)).select("sub_id", "day", "queue")
+    days = pool.select("profile", "day").distinct().join(members, "profile")
+    thin = materialize(days.join(found.select("sub_id", "day"), ["sub_id", "day"], "left_anti"), "thin")
+    if thin.isEmpty():
+        return found
+    order = [F.desc("score"), F.asc("start_at"), F.asc("id")]
+    again = jittered(met(pool, thin, "day"), seed).withColumn("r", F.row_number().over(Window.partitionBy("sub_id", "day", "org").orderBy(*order))).filter(F.col("r") <= of_org)
+    again = again.withColumn("r", F.row_number().over(Window.partitionBy("sub_id", "day").orderBy(*order))).filter(F.col("r") <= reach)
+    return found.unionByName(gathered(again.select("sub_id", "day", entry.alias("entry"), F.lit(None).alias("cut"))).select("sub_id", "day", "queue"))
+
+
+PICK = "struct<start_at:timestamp,id:bigint,org:string>"
+
+
+def picked(most: int, per_org: int) -> Column:
+    """Picks of a subscriber from columns ``best`` (the featured one or null), ``days`` (day, queue), ``early`` and ``first``.
+
+    One state, the picks so far, is folded over the turns of the days, then over the earliest events that an organizer's limit
+    may allow, then over the earliest of all.
+    """
+    let = lambda value, fn: F.transform(F.array(value), fn)[0]  # noqa: E731  computed once
+    pick = lambda e: F.struct(e["start_at"].alias("start_at"), e["id"].alias("id"), e["org"].alias("org"))
+    new = lambda ps, e: ~F.exists(ps, lambda p: p["id"] == e["id"])
+    fits = lambda ps, e: new(ps, e) & (F.size(F.filter(ps, lambda p: p["org"].eqNullSafe(e["org"]))) < per_org)
+    start = F.when(F.col("best").isNull(), F.array().cast(f"array<{PICK}>")).otherwise(F.array(pick(F.col("best"))))
+    # days with anything but the featured event; evenly spread ones if there are more than there is room for
+    days = F.filter("days", lambda d: F.exists(d["queue"], lambda e: F.col("best").isNull() | (e["id"] != F.col("best.id"))))
+    room = F.lit(most) - F.size(start)
+
+    def spread(ds: Column) -> Column:
+        at = F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(room, F.lit(1)) - 1), lambda i: F.floor(i * (F.size(ds) - 1) / F.greatest(room - 1, F.lit(1)) + 0.5).cast("int")))
+        return F.when((F.size(ds) > room) & (room > 1), F.transform(at, lambda i: F.get(ds, i))).otherwise(ds)
+
+    def turns(ds: Column) -> Column:
+        def turn(ps: Column, i: Column) -> Column:
+            queue = F.get(ds, (i % F.size(ds)).cast("int"))["queue"]
+            found = F.aggregate(queue, F.lit(None).cast(PICK), lambda p, e: F.coalesce(p, F.when(fits(ps, e), pick(e))))
+            return F.when(F.size(ps) >= most, ps).otherwise(let(found, lambda p: F.concat(ps, F.filter(F.array(p), lambda x: x.isNotNull()))))
+
+        return F.when(F.size(ds) == 0, start).otherwise(F.aggregate(F.sequence(F.lit(0), most * F.greatest(F.size(ds), F.lit(1)) - 1), start, turn))
+
+    taken = let(let(days, spread), turns)
+    fill = lambda ps, some, test: F.aggregate(some, ps, lambda p, e: F.when((F.size(p) < most) & test(p, e), F.concat(p, F.array(pick(e)))).otherwise(p))
+    return F.array_sort(fill(fill(taken, F.col("early"), fits), F.col("first"), new))
+
+
+def digest(found: DataFrame, members: DataFrame, now: date, most: int = MOST, per_org: int = PER_ORG) -> DataFrame:
+    """(sub_id, id, place) of each subscriber's picks: ``found`` has profile, id, start_at, org, featured, image and base (score), ``members`` sub_id and profile.
+
+    Of events with an image: the best featured one first; then one a day in turn, best first, from evenly spread days if there are
+    too many; then the earliest that an organizer's limit allows; then the earliest.  Picks come in order of time.  The
+    jitter depends on subscriber, day and event alone, so a rerun gives the same mail.  What one subscriber gathers is
+    bounded by the days of a window and ``bounds``, whatever the number of events.
+    """
+    of_org, reach = bounds(most, per_org)
+    pool = found.filter("image").select("profile", "id", "start_at", F.col("org").cast("string").alias("org"), "featured", F.col("base").cast("double").alias("base"), times.day_key(F.col("start_at")).alias("day"), fnv1a(F.col("id").cast("string")).alias("seed"))
+    pool = materialize(pool, "pool")
+    members = materialize(members.select("sub_id", "profile", fnv1a(F.concat(F.col("sub_id").cast("string"), F.lit(f":{now:%Y-%m-%d}"))).alias("mailed")), "members")
+    starred = jittered(met(pool.filter("featured"), members), F.col("mailed").bitwiseXOR(F.col("seed")))
+    best = starred.groupBy("sub_id").agg(F.min(F.struct((-F.col("score")).alias("rank"), "start_at", "id", "org")).alias("best"))
+    days = queues(pool, members, most, per_org).groupBy("sub_id").agg(F.array_sort(F.collect_list(F.struct("day", "queue"))).alias("days"))
+    in_time = [F.asc("start_at"), F.asc("id")]
+    ranked = pool.withColumns({"o": F.row_number().over(Window.partitionBy("profile", "org").orderBy(*in_time))})
+    early = numbered(ranked.filter(F.col("o") <= of_org).select("profile", "start_at", "id", "org"), ["profile"], ["start_at", "id"], "r").filter(F.col("r") <= reach)
+    first = numbered(pool.select("profile", "start_at", "id", "org"), ["profile"], ["start_at", "id"], "r").filter(F.col("r") <= 2 * most)
+    listed = lambda rows, name: rows.groupBy("profile").agg(F.array_sort(F.collect_list(F.struct("r", "id", "start_at", "org"))).alias(name))
+    fills = listed(early, "early").join(listed(first, "first"), "profile")
+    chosen = days.join(best, "sub_id", "left").join(members.select("sub_id", "profile"), "sub_id").join(fills, "profile").select("sub_id", F.posexplode(picked(most, per_org)).alias("at", "pick"))
+    return chosen.select("sub_id", "pick.id", (F.col("at") + 1).alias("place"))

@@ -28,10 +28,10 @@ def run(events: DataFrame, subscribers: DataFrame, ledger: DataFrame, now: datet
     """
     due = merge.due(subscribers.withColumn("id", F.col("sub_id")), (now.weekday() + 1) % 7, now.day).drop("id")
     todo = keyed(due, now).join(ledger.select("key"), "key", "left_anti")
-    found = digest.matched(events, todo.drop("key"), now)
+    kinds, members = digest.profiles(todo)
     base = digest.base_score(F.col("price_min"), F.col("price_max"), F.col("description"), F.col("ticket_url"))
-    picks = digest.digest(found.select("sub_id", "id", "start_at", "org", "featured", F.col("image_url").isNotNull().alias("image"), base.alias("base")), now.date())
-    return picks.join(todo.select("sub_id", "key"), "sub_id").select("key", "sub_id", "id", "place")
+    found = digest.matches(events, kinds, now).join(events, "id").select("profile", "id", "start_at", "org", "featured", F.col("image_url").isNotNull().alias("image"), base.alias("base"))
+    return digest.digest(found, members, now.date()).join(todo.select("sub_id", "key"), "sub_id").select("key", "sub_id", "id", "place")
 
 
 def recorded(ledger: DataFrame, sent: DataFrame, now: datetime) -> DataFrame:

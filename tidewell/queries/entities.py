@@ -11,7 +11,7 @@ from tidewell import catalog
 from tidewell.catalog import AS_OF, BRIDGE_SQL, EVENTS_SQL, VENUES_SQL
 from tidewell.functions import recur, text
 from tidewell.operators import digest, joins, matching, merge
-from tidewell.queries.base import NOW, Registry, sql_stamp, stamp
+from tidewell.queries.base import NOW, Registry, eastern, sql_stamp, stamp
 
 query = Registry()
 
@@ -271,23 +271,11 @@ def plan_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("plan_id", F.size(parsed).cast("long").alias("n"), F.array_join(F.transform(parsed, lambda i: F.concat(i["status"], i["event_id"].cast("string"))), ",").alias("items"))
 
 
-@query()
-def digest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A day's mails for subscribers that the ledger has not recorded."""
-    from tidewell.plans import mailing
-
-    events = placed_events(spark, sf_dir).withColumns({"description": F.col("title"), "ticket_url": F.col("image_url"), "org": F.col("organization_id").cast("string")})
-    subs = subscribers(spark, sf_dir).withColumns({"active": F.col("sub_id") % 9 != 0, "send_day": F.lit(1)})
-    ledger = mailing.keyed(subs.filter("sub_id % 10 = 1"), AS_OF).select("key")
-    return mailing.run(mailing.pool(events, AS_OF, ("fest-a",)), subs, ledger, AS_OF)
-
-
 # Digests and calendars ---------------------------------------------------------------------------------------------------
 
 
 def subscribers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Those customers whose segment gets mails."""
-    c = catalog.table(spark, sf_dir, "customer").filter("c_mktsegment = 'BUILDING'")
+    c = catalog.table(spark, sf_dir, "customer")
     return c.select(
         F.col("c_custkey").cast("long").alias("sub_id"), F.when(F.col("c_custkey") % 5 == 0, "monthly").otherwise("weekly").alias("frequency"), F.lit(5).alias("lookahead_days"), F.expr("array(0, 1, 2, 3, 5, 6)").alias("event_days"),
         F.expr("CASE c_custkey % 3 WHEN 0 THEN array('view', 'click') WHEN 1 THEN array('signup') ELSE CAST(array() AS array<string>) END").alias("categories"), F.when(F.col("c_custkey") % 2 == 0, 40.0).alias("price_max"),
@@ -301,19 +289,67 @@ def placed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.events(spark, sf_dir).join(v, F.col("venue_id") == F.col("v_id"), "left").drop("v_id")
 
 
-@query(f"""WITH {EVENTS_SQL}, {VENUES_SQL}, su AS (SELECT c_custkey AS sub_id, CASE WHEN c_custkey % 5 = 0 THEN TIMESTAMP '2024-01-31 23:59:59' ELSE {NOW} + INTERVAL 5 DAY END AS until FROM customer WHERE c_mktsegment = 'BUILDING'),
-  j AS (SELECT sub_id, e.*, 2 * 3959 * atan2(sqrt(h), sqrt(1 - h)) AS miles FROM su JOIN (SELECT ev.*, pow(sin(radians(ve.lat - 41.002) / 2), 2) + cos(radians(41.002)) * cos(radians(ve.lat)) * pow(sin(radians(ve.lng + 81.499) / 2), 2) AS h FROM ev LEFT JOIN ve ON ve.id = ev.venue_id) e ON e.start_at >= {NOW} AND e.start_at <= until)
-  SELECT sub_id, count(*) AS n FROM j WHERE ((extract(dow FROM start_at) <> 4 AND (sub_id % 3 = 2 OR (sub_id % 3 = 0 AND category IN ('view', 'click')) OR (sub_id % 3 = 1 AND category = 'signup')) AND (sub_id % 2 = 1 OR coalesce(price_min, 0) <= 40) AND (sub_id % 4 <> 0 OR h IS NULL OR miles <= 0.3))
-    OR (sub_id % 6 = 1 AND title LIKE '%Club%')) GROUP BY sub_id""")
-def digest_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest.matched(placed_events(spark, sf_dir), subscribers(spark, sf_dir), AS_OF).groupBy("sub_id").agg(F.count("*").alias("n"))
+#: Matches (sub_id, id) of all subscribers and events, by each subscriber's own rule.
+WANTED_SQL = f"""su AS (SELECT c_custkey AS sub_id, CASE WHEN c_custkey % 5 = 0 THEN TIMESTAMP '2024-01-31 23:59:59' ELSE {NOW} + INTERVAL 5 DAY END AS until FROM customer),
+  eh AS (SELECT ev.*, pow(sin(radians(ve.lat - 41.002) / 2), 2) + cos(radians(41.002)) * cos(radians(ve.lat)) * pow(sin(radians(ve.lng + 81.499) / 2), 2) AS h FROM ev LEFT JOIN ve ON ve.id = ev.venue_id WHERE start_at >= {NOW}),
+  ma AS (SELECT sub_id, id FROM (SELECT *, 2 * 3959 * atan2(sqrt(h), sqrt(1 - h)) AS miles FROM eh) JOIN su ON start_at <= until
+    WHERE (extract(dow FROM start_at) <> 4 AND (sub_id % 3 = 2 OR (sub_id % 3 = 0 AND category IN ('view', 'click')) OR (sub_id % 3 = 1 AND category = 'signup')) AND (sub_id % 2 = 1 OR coalesce(price_min, 0) <= 40) AND (sub_id % 4 <> 0 OR h IS NULL OR miles <= 0.3))
+      OR (sub_id % 6 = 1 AND title LIKE '%Club%'))"""
+FREE_SQL = "coalesce(price_min = 0 AND coalesce(price_max, 0) = 0, false)"
 
 
-@query()
+@query(f"WITH {EVENTS_SQL}, {VENUES_SQL}, {WANTED_SQL} SELECT sub_id, count(*) AS n FROM ma GROUP BY sub_id")
+def digest_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, members = _matches(spark, sf_dir, placed_events(spark, sf_dir), subscribers(spark, sf_dir))
+    return found.groupBy("profile").agg(F.count("*").alias("n")).join(members, "profile").select("sub_id", "n")
+
+
+def _digest_sql(events: str, subs: str) -> str:
+    """Picks of a mail over full lists: turns of the days, then fills, by recursion over each subscriber's picks."""
+    fnv = lambda c: f"list_reduce(list_prepend(CAST(2166136261 AS HUGEINT), list_transform(range(1, length({c}) + 1), lambda i: CAST(unicode(({c})[i]) AS HUGEINT))), lambda h, c: (xor(h, c) * 16777619) % 4294967296)"
+    fits = "NOT list_contains(list_transform(picks, lambda p: p.id), e.id) AND len(list_filter(picks, lambda p: p.org = e.org)) < 2"
+    return f"""WITH RECURSIVE {EVENTS_SQL}, {VENUES_SQL}, {WANTED_SQL},
+  sb AS (SELECT sub_id, {fnv("CAST(sub_id AS VARCHAR) || ':2024-01-15'")} AS h FROM su WHERE {subs}),
+  eb AS (SELECT id, {fnv("CAST(id AS VARCHAR)")} AS h, CASE WHEN {FREE_SQL} THEN 8 ELSE 0 END + CASE WHEN length(trim(title)) > 40 THEN 3 ELSE 0 END + 2 AS base FROM ev WHERE image_url IS NOT NULL AND {events}),
+  s0 AS (SELECT sub_id, ma.id, start_at, featured, CAST(organization_id AS VARCHAR) AS org, strftime({eastern("start_at")}, '%Y-%m-%d') AS day, base, (xor(sb.h, eb.h) + 1831565813) % 4294967296 AS a FROM ma JOIN sb USING (sub_id) JOIN eb ON eb.id = ma.id JOIN ev ON ev.id = ma.id),
+  s1 AS (SELECT *, (xor(a, a >> 15) * (a | CAST(1 AS HUGEINT))) % 4294967296 AS t FROM s0), s2 AS (SELECT *, xor((t + (xor(t, t >> 7) * (t | CAST(61 AS HUGEINT))) % 4294967296) % 4294967296, t) AS u FROM s1),
+  po AS (SELECT sub_id, id, start_at, featured, org, day, base + 4 * (CAST(xor(u, u >> 14) AS DOUBLE) / 4294967296.0) AS score FROM s2),
+  fe AS (SELECT sub_id, id, org FROM po WHERE featured QUALIFY row_number() OVER (PARTITION BY sub_id ORDER BY score DESC, start_at, id) = 1),
+  qu AS (SELECT po.sub_id, day, list({{'id': po.id, 'org': po.org}} ORDER BY score DESC, start_at, po.id) AS q FROM po LEFT JOIN fe ON fe.sub_id = po.sub_id AND fe.id = po.id WHERE fe.id IS NULL GROUP BY po.sub_id, day),
+  dy AS (SELECT sub_id, list(day ORDER BY day) AS days, 14 - CAST(sub_id IN (SELECT sub_id FROM fe) AS INTEGER) AS room FROM qu GROUP BY sub_id),
+  dz AS (SELECT sub_id, CASE WHEN len(days) > room AND room > 1 THEN list_distinct(list_transform(range(0, room), lambda i: days[CAST(floor(i * (len(days) - 1) / CAST(room - 1 AS DOUBLE) + 0.5) AS INTEGER) + 1])) ELSE days END AS days FROM dy),
+  dq AS (SELECT dz.sub_id, row_number() OVER (PARTITION BY dz.sub_id ORDER BY day) - 1 AS turn, count(*) OVER (PARTITION BY dz.sub_id) AS n, q FROM dz JOIN qu ON qu.sub_id = dz.sub_id AND list_contains(days, day)),
+  un AS (SELECT sub_id, list({{'id': id, 'org': org}} ORDER BY start_at, id) AS pool FROM po GROUP BY sub_id),
+  tu AS (SELECT un.sub_id, 0 AS i, CASE WHEN fe.id IS NULL THEN [] ELSE [{{'id': fe.id, 'org': fe.org}}] END AS picks FROM un LEFT JOIN fe ON fe.sub_id = un.sub_id
+    UNION ALL SELECT tu.sub_id, i + 1, list_concat(picks, list_filter(q, lambda e: {fits})[1:1]) FROM tu JOIN dq ON dq.sub_id = tu.sub_id AND dq.turn = i % n WHERE len(picks) < 14 AND i < 14 * n),
+  fi AS (SELECT sub_id, 0 AS i, arg_max(picks, i) AS picks FROM tu GROUP BY sub_id
+    UNION ALL SELECT fi.sub_id, i + 1, list_concat(picks, list_concat(list_filter(pool, lambda e: {fits})[1:1], list_filter(pool, lambda e: NOT list_contains(list_transform(picks, lambda p: p.id), e.id))[1:1])[1:1]) FROM fi JOIN un ON un.sub_id = fi.sub_id WHERE len(picks) < 14 AND i < 14),
+  pk AS (SELECT sub_id, unnest(picks).id AS id FROM (SELECT sub_id, arg_max(picks, i) AS picks FROM fi GROUP BY sub_id))
+  SELECT sub_id, pk.id AS id, CAST(row_number() OVER (PARTITION BY sub_id ORDER BY start_at, pk.id) AS INTEGER) AS place FROM pk JOIN ev ON ev.id = pk.id"""
+
+
+def _matches(spark: SparkSession, sf_dir: str, events: DataFrame, subs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    kinds, members = digest.profiles(subs)
+    return digest.matches(events, kinds, AS_OF), members
+
+
+@query(_digest_sql("true", "true"))
 def digest_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = digest.matched(placed_events(spark, sf_dir), subscribers(spark, sf_dir), AS_OF)
+    events = placed_events(spark, sf_dir)
+    found, members = _matches(spark, sf_dir, events, subscribers(spark, sf_dir))
     base = digest.base_score(F.col("price_min"), F.col("price_max"), F.col("title"), F.col("image_url"))
-    return digest.digest(found.select("sub_id", "id", "start_at", F.col("organization_id").cast("string").alias("org"), "featured", F.col("image_url").isNotNull().alias("image"), base.alias("base")), AS_OF.date())
+    return digest.digest(found.join(events, "id").select("profile", "id", "start_at", F.col("organization_id").alias("org"), "featured", F.col("image_url").isNotNull().alias("image"), base.alias("base")), members, AS_OF.date())
+
+
+@query("SELECT 'digest-2024-01-15/' || CAST(sub_id AS VARCHAR) || '/all' AS key, sub_id, id, place FROM (" + _digest_sql("(NOT fest_a OR umbrella)", "sub_id % 9 <> 0 AND sub_id % 10 <> 1 AND sub_id % 5 <> 0") + ")")
+def digest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A day's mails for subscribers that the ledger has not recorded."""
+    from tidewell.plans import mailing
+
+    events = placed_events(spark, sf_dir).withColumns({"description": F.col("title"), "ticket_url": F.col("image_url"), "org": F.col("organization_id").cast("string")})
+    subs = subscribers(spark, sf_dir).withColumns({"active": F.col("sub_id") % 9 != 0, "send_day": F.lit(1)})
+    ledger = mailing.keyed(subs.filter("sub_id % 10 = 1"), AS_OF).select("key")
+    return mailing.run(mailing.pool(events, AS_OF, ("fest-a",)), subs, ledger, AS_OF)
 
 
 @query(f"""WITH {EVENTS_SQL}, n AS (SELECT id, featured, venue_id % 3 + 1 AS k, CAST(CAST(start_at AS DATE) AS TIMESTAMP) + INTERVAL 12 HOUR AS first, unnest(range(0, venue_id + 1)) AS i FROM ev),
