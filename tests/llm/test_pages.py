@@ -5,6 +5,7 @@ import re
 import time
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from tidewell.llm import html_extract
@@ -39,6 +40,16 @@ def test_boilerplate_without_a_name_inside_the_article(around):
     assert html_extract.main_text(page) == f"Ice {TEXT} {TEXT} a bucket some rope {TEXT}"
 
 
+@pytest.mark.parametrize("around", ["main", "article", "div"])
+def test_short_unnamed_lines_inside_the_article(monkeypatch, around):
+    """Lines on a path of their own with little text or punctuation go; short lines of the article's own path stay."""
+    advert = "<div>Sign up today</div><div>Buy two get one free</div><div>This is a paid placement</div>"
+    page = f"<body><{around}><h1>Ice</h1><p>{TEXT}</p><p>Nobody minded</p>{advert}<p>{TEXT}</p><p>{TEXT}</p></{around}></body>"
+    assert html_extract.main_text(page) == f"Ice {TEXT} Nobody minded {TEXT} {TEXT}"
+    monkeypatch.setattr(html_extract, "path_ratios", lambda blocks: np.ones(len(blocks)))  # it is the ratios that tell them apart
+    assert "paid placement" in html_extract.main_text(page)
+
+
 def test_a_name_alone_does_not_remove_the_only_text():
     assert html_extract.main_text(f'<div class="related sidebar"><p>{TEXT}</p><p>{TEXT}</p></div>') == f"{TEXT} {TEXT}"
     comments = "".join(f"<p>{TEXT}</p>" for _ in range(20))

@@ -7,8 +7,9 @@ advert, form or list of reader comments a score counts LESS of itself, outside <
 decides where such text is as rich as the article's, and changes nothing where it holds for all blocks.  Blocks whose score
 reaches the threshold are content.
 
-The deepest element that holds most of the content, or the <article> or <main> around it, is the region.  In it, blocks
-below the threshold go where they are mostly links or have an unwanted name; short lines that belong to the content stay.
+The deepest element that holds most of the content, or the <article> or <main> around it, is the region.  In it, too, blocks
+below the threshold go, unless they are on a path whose other blocks are content (short paragraphs), are items of a list or
+table behind content, or a heading over it; none of these stay if they are mostly links or have an unwanted name.
 All steps are linear in the page: elements are numbers with a parent, paths are interned, open elements are found by tag.
 """
 
@@ -88,7 +89,10 @@ def unwanted(name: str, attributes: str, inside: bool) -> bool:
 LESS, OUTSIDE = 0.1, 0.5
 #: Share of the size-weighted mean score that a block needs.
 THRESHOLD = 0.5
+#: Share of the threshold that a path reaches without its neighbours.
+OWN = 0.4
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+ITEMS = frozenset("li dt dd td th caption figcaption pre blockquote".split())
 #: Elements that are parts of a text, never its region.
 PARTS = HEADINGS | frozenset("p li td tr tbody blockquote pre ul ol".split())
 MARKS = [f"{c} " for c in ",.;:!?"]
@@ -232,19 +236,23 @@ def prior_of(name: str, attributes: str, inside: bool) -> float:
     return LESS if unwanted(name, attributes, inside) else 1.0
 
 
-def scores(blocks: list[Block], priors: bool = True) -> np.ndarray:
-    """Fused and smoothed path ratio of each block: text and punctuation a block, less the path's and its own share of links."""
-    of = np.array([b.path for b in blocks])
-    _, of = np.unique(of, return_inverse=True)
+def path_ratios(blocks: list[Block]) -> np.ndarray:
+    """Of each block its path's text and punctuation a block, less the path's share of links."""
+    _, of = np.unique([b.path for b in blocks], return_inverse=True)
     size = np.array([len(b.text) for b in blocks], float)
     marks = np.array([_marks(b.text) for b in blocks], float)
     link = np.minimum([b.link for b in blocks], size)
     text, mark, linked, count = (np.bincount(of, w) for w in (size, marks, link, np.ones(len(of))))
-    raw = (np.sqrt(text / count * (mark + 0.5) / count) * (1 - linked / text))[of]
+    return (np.sqrt(text / count * (mark + 0.5) / count) * (1 - linked / text))[of]
+
+
+def scores(blocks: list[Block], priors: bool = True) -> np.ndarray:
+    """Path ratios smoothed over neighbouring blocks, less each block's own share of links."""
+    raw = path_ratios(blocks)
     if len(raw) >= 5:
         kernel = np.exp(-0.5 * np.arange(-2, 3) ** 2)
         raw = np.convolve(raw, kernel, "same") / np.convolve(np.ones(len(raw)), kernel, "same")
-    raw *= 1 - link / size
+    raw *= 1 - np.array([min(b.link, len(b.text)) / len(b.text) for b in blocks])
     return raw * [b.prior for b in blocks] if priors else raw
 
 
@@ -261,7 +269,11 @@ def selected(page: Page, priors: bool = True) -> np.ndarray:
         return np.zeros(0, bool)
     size, score = np.array([len(b.text) for b in blocks], float), scores(blocks, priors)
     prior = np.array([b.prior if priors else 1.0 for b in blocks])
-    content = score >= THRESHOLD * float((score * size * prior).sum() / (size * prior).sum())
+    least = THRESHOLD * float((score * size * prior).sum() / (size * prior).sum())
+    content = score >= least
+    # neighbours lift a score, so a path must be worth something by itself
+    worth = content & (path_ratios(blocks) * prior >= OWN * least)
+    content = worth if worth.any() else content
     held = np.zeros(len(page.tag))
     np.add.at(held, [b.element for b in blocks], np.where(content, size, 0.0))
     for e in range(len(held) - 1, 0, -1):
@@ -283,12 +295,18 @@ def selected(page: Page, priors: bool = True) -> np.ndarray:
     # without an element of its own the region reaches from the first block of content to the last
     spread = np.flatnonzero(content)
     keep = np.array([inside[b.element] for b in blocks])
-    out = keep & (content | ~linked & (prior == prior[content].max()))
+    out = keep & content
+    plain = keep & ~linked & (prior == prior[content].max())
     if not own:
         out[: spread[0]] = out[spread[-1] + 1 :] = False
-    heading = np.array([page.tag[b.element] in HEADINGS for b in blocks])
+        plain[: spread[0]] = plain[spread[-1] + 1 :] = False
+    tags = [page.tag[b.element] for b in blocks]
+    short_of = {p for i, p in enumerate(b.path for b in blocks) if out[i]}  # a short line on a path whose other lines are content
+    for i, b in enumerate(blocks):  # lists and tables go with what they follow
+        if plain[i] and (b.path in short_of or tags[i] in ITEMS and i > 0 and out[i - 1]):
+            out[i] = True
     for i in range(len(blocks) - 2, -1, -1):  # a heading goes with what it stands over
-        if heading[i] and keep[i] and prior[i] == prior[content].max() and out[i + 1]:
+        if tags[i] in HEADINGS and keep[i] and prior[i] == prior[content].max() and out[i + 1]:
             out[i] = True
     return out
 
