@@ -67,7 +67,7 @@ def test_planted_cases(spark, tmp_path, words):
 
 def test_stages_keep_columns_whatever_they_are_called(spark, tmp_path, words):
     docs = tables(spark, tmp_path, [words(80) for _ in range(5)], [words(12)])
-    names = ["fp", "hits", "kept", "n_words", "ld_text", "near_key", "copies", "d", "line"]
+    names = ["fp", "hits", "kept", "n_words", "ld_text", "near_key", "copies", "d", "line", "k_d", "k_null", "k_r", "text_bytes", "__bytes", "m_id", "m_hash"]
     wide = docs.withColumns({n: F.lit("clash") for n in names})
     for i, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
         wide = stage(spark, wide, str(tmp_path))
@@ -75,6 +75,17 @@ def test_stages_keep_columns_whatever_they_are_called(spark, tmp_path, words):
     assert corpus_pipeline.STAGES[-1][1](spark, wide, str(tmp_path)).count() == 5
 
 
+def test_operators_take_clashing_names(spark, tmp_path, words, monkeypatch):
+    from tidewell.llm import decontaminate, mixing
+
+    docs = tables(spark, tmp_path, [words(80) for _ in range(5)], [words(12)])
+    bench = spark.read.parquet(f"{tmp_path}/benchmark.parquet")
+    wide = docs.withColumns({n: F.lit("clash") for n in ["m_id", "m_hash", "mix_id", "row_hash", "__bytes", "text_bytes", "hits", "items", "n_words"]})
+    assert mixing.apply_mix(wide).columns == wide.columns
+    assert decontaminate.find_contamination(wide, bench).count() == 5
+    assert decontaminate.decontaminate(wide, bench, max_words=1).columns == wide.columns
+
+
 def test_repeated_rows_and_missing_ids(spark, tmp_path, words):
     one, two = words(90), words(90)
     extra = [(None, one, None, None, None), (None, two, None, None, None), (50, two, "en", "s", 1), (50, two, "en", "s", 1), (50, words(90), "en", "s", 1)]

@@ -188,14 +188,15 @@ def _find(docs: DataFrame, benchmark: DataFrame, window: int, groups: int, n_wor
 
 def _pass(docs: DataFrame, shared, n_words: str, hits: str, items: str, first: bool) -> DataFrame:
     kept = [c for c in docs.columns if c not in (n_words, hits, items)]
-    source = docs.select(*kept, *([] if first else [n_words, hits, items]), utf8("text").alias("__bytes"))
+    (whole,) = safe(docs, "text_bytes")
+    source = docs.select(*kept, *([] if first else [n_words, hits, items]), utf8("text").alias(whole))
     kept_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema)
     schema = f"{kept_schema}, `{n_words}` long, `{hits}` array<struct<start:int,stop:int>>, `{items}` array<string>"
 
     def fn(c: dict[str, list]) -> dict[str, list]:
         machine = shared.value
         counts, spans, found = [], [], []
-        for i, text in enumerate(c["__bytes"]):
+        for i, text in enumerate(c[whole]):
             tokens = words(text)
             own, names = machine.scan(tokens)
             names.discard(None)

@@ -184,10 +184,10 @@ def kept_lines(docs: DataFrame) -> DataFrame:
 
 def with_kept_lines(docs: DataFrame) -> tuple[DataFrame, str, str, str]:
     """``docs`` with its lines, the number of its lines with a word, and the text of the lines that stay."""
-    d, r, kept, lines, n, text = safe(docs, "ld_d", "ld_r", "ld_kept", "ld_lines", "ld_words", "ld_text")
-    stay = kept_lines(docs).select(F.coalesce("d", F.lit(0)).alias("k_d"), F.col("d").isNull().alias("k_null"), F.col("r").alias("k_r"), F.col("kept").alias(kept))
+    d, r, kept, lines, n, text, k_d, k_null, k_r = safe(docs, "ld_d", "ld_r", "ld_kept", "ld_lines", "ld_words", "ld_text", "k_d", "k_null", "k_r")
+    stay = kept_lines(docs).select(F.coalesce("d", F.lit(0)).alias(k_d), F.col("d").isNull().alias(k_null), F.col("r").alias(k_r), F.col("kept").alias(kept))
     joined = docs.withColumns({d: F.coalesce("doc_id", F.lit(0)), r: F.xxhash64("text")}).join(
-        stay, (F.col(d) == F.col("k_d")) & (F.col("doc_id").isNull() == F.col("k_null")) & (F.col(r) == F.col("k_r")), "left"
+        stay, (F.col(d) == F.col(k_d)) & (F.col("doc_id").isNull() == F.col(k_null)) & (F.col(r) == F.col(k_r)), "left"
     )
     split = joined.withColumn(lines, F.split(F.coalesce("text", F.lit("")), "\n", -1))
     worded = lambda x: x.rlike(r"[^\x20\x09-\x0D]")
@@ -211,7 +211,9 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     one edit, comes first earlier, even where that line goes as well.  Lines without a word stay.  Rows equal in doc_id
     and text are one document and get equal results.  A document that loses all its lines with words goes; null, empty and
     blank texts stay as they are.  n_chars, where present, follows the text.  Lines and texts of any length are compared
-    whole, in time that grows with them.
+    whole, in time that grows with them; lines under MIN_FUZZY code points go only as exact copies, as most short lines (list
+    items, names, numbers) are one edit from some other line without being its copy.  An empty table gives no rows, and
+    columns may have any names.
     """
     out, n, kept, text = with_kept_lines(docs)
     left = out.filter((F.col(n) == 0) | (F.col(kept) > 0))

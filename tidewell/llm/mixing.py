@@ -171,17 +171,17 @@ def apply_mix(docs: DataFrame, **options) -> DataFrame:
 
     Rows that agree in doc_id, source and text get together what the mix gives them.
     """
-    id_, hash_, total, rows, n, row = safe(docs, "mix_id", "mix_hash", "mix_total", "mix_rows", "mix_n", "mix_row")
+    id_, hash_, total, rows, n, row, m_id, m_hash = safe(docs, "mix_id", "mix_hash", "mix_total", "mix_rows", "mix_n", "mix_row", "m_id", "m_hash")
     counts = (
         mix(docs, **options)
-        .groupBy(F.coalesce("doc_id", F.lit(0)).alias("m_id"), F.col("row_hash").alias("m_hash"))
+        .groupBy(F.coalesce("doc_id", F.lit(0)).alias(m_id), F.col("row_hash").alias(m_hash))
         .agg(F.sum("copies").alias(total), F.count("*").alias(rows))
         .filter(F.col(total) > 0)
     )
     keyed = docs.withColumns({id_: F.coalesce("doc_id", F.lit(0)), hash_: F.xxhash64("doc_id", "source", "text")})
 
     def joined(some: DataFrame) -> DataFrame:
-        return keyed.join(some, (F.col(id_) == F.col("m_id")) & (F.col(hash_) == F.col("m_hash")))
+        return keyed.join(some, (F.col(id_) == F.col(m_id)) & (F.col(hash_) == F.col(m_hash)))
 
     one = joined(counts.filter(F.col(rows) == 1)).withColumn(n, F.col(total))
     several = joined(counts.filter(F.col(rows) > 1)).withColumn(row, F.row_number().over(Window.partitionBy(id_, hash_).orderBy(id_)))
