@@ -154,7 +154,8 @@ class Ranges:
         while heavy := [c for c in cells if c[1] == shift and shift > 0 and c[3] > share]:
             cut = spark.createDataFrame([(c[2],) for c in heavy], "heavy long")
             self.levels.append((shift, cut))
-            cells = [c for c in cells if c not in set(heavy)]
+            gone = set(heavy)
+            cells = [c for c in cells if c not in gone]
             rows = info.join(F.broadcast(cut), F.call_function("shiftright", F.col("page_id"), F.lit(shift)) == F.col("heavy"), "left_semi")
             shift = max(0, shift - FINER)
             for r in rows.groupBy(F.call_function("shiftright", F.col("page_id"), F.lit(shift)).alias("cell")).agg(F.sum(F.col("size") + 500).alias("b")).collect():
