@@ -19,7 +19,7 @@ from tidewell.llm.common import materialize, safe
 
 MIN_DOCS, TOP = 10, 10
 #: Counters of a task are handed on when they have so many terms.
-HELD_TERMS = 400_000
+HELD_TERMS = 600_000
 #: Bytes of a text that are cut into words at once.
 PIECE = 4 << 20
 #: Bits of a value that a histogram tells apart at once; of a tied item it is a byte.
@@ -82,13 +82,17 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from handed_on()
 
 
-def term_counts(docs: DataFrame) -> DataFrame:
-    """(lang, source, term, n, docs): occurrences of each term, and documents with it; null reads as empty.
+def term_counts(docs: DataFrame, min_docs: int) -> DataFrame:
+    """(lang, source, term, n, lang_n, leads): occurrences in the source and in the language of the terms that it keeps; null reads as empty.
 
-    Every (lang, source) that occurs has a row with the empty term and n = 0, which is no term's.
+    ``leads`` is true for one source of each (lang, term).  Every (lang, source) that occurs has a row with the empty term and
+    n = 0, which is no term's.  Rows are dealt out once, by language and term; sums by source and by language follow in place.
     """
-    rows = docs.select("lang", "source", F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(_counted, "lang string, source string, term string, n long, docs long").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    rows = docs.select("lang", "source", F.col("text").cast("binary").alias("text")).mapInArrow(_counted, "lang string, source string, term string, n long, docs long")
+    sums = rows.repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    whole = Window.partitionBy("lang", "term")
+    summed = sums.select("lang", "source", "term", "n", F.sum("n").over(whole).alias("lang_n"), (F.min("source").over(whole) == F.col("source")).alias("leads"), F.sum("docs").over(whole).alias("docs"))
+    return summed.filter((F.col("docs") >= min_docs) | (F.col("term") == "")).drop("docs")
 
 
 def rate(n: Column, total: Column, kept: Column) -> Column:
@@ -159,11 +163,9 @@ def audit(docs: DataFrame, *, min_docs: int = MIN_DOCS, top: int = TOP) -> DataF
     the bytes of the item.  A source alone in its language has no pairs, an empty table gives no rows, repeated rows count, texts
     are read whole in pieces of PIECE bytes.  Columns other than text, lang and source are left out, whatever their names.
     """
-    counts = materialize(term_counts(docs), "divergence-counts")
-    words = counts.filter(F.col("term") != "")
-    in_lang = words.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs")).filter(F.col("docs") >= min_docs).drop("docs")
-    kept = materialize(words.drop("docs").join(in_lang, ["lang", "term"]), "divergence-kept")
-    langs = in_lang.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("lang_n").alias("lang_total"))
+    counts = materialize(term_counts(docs, min_docs), "divergence-counts")
+    kept = counts.filter(F.col("term") != "")
+    langs = kept.filter("leads").groupBy("lang").agg(F.count("*").alias("kept"), F.sum("lang_n").alias("lang_total"))
     totals = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     groups = counts.filter(F.col("term") == "").select("lang", "source").join(totals, ["lang", "source"], "left").join(langs, "lang", "left").fillna(0, ["total", "kept", "lang_total"])
     groups = materialize(groups.withColumn("p0", rate(F.lit(0), F.col("total"), F.col("kept"))), "divergence-groups")
