@@ -48,7 +48,10 @@ FAMILY = r"\b(kids?|children|toddlers?|famil(?:y|ies)|story ?time|all ages)\b"
 FAMILY_TITLE = r"\b(teens?|tweens?|youth|junior)\b"
 FAMILY_ASIDES = r"\b(?:benefits?|supports?|serving|for) (?:local )?(?:children|youth|families)(?: in need)?\b|\bfamily (?:owned|recipe|name)\b"
 FUNDRAISER = r"\b(fundraiser|fund[- ]?raising|gala|silent auction|benefit (?:concert|dinner|show|auction)|charity (?:gala|run|walk|auction)|donation drive|volunteers? needed|proceeds (?:benefit|support|go to))\b"
-FUNDRAISER_ASIDES = r"\bfundrais(?:er|ing) (?:campaign|effort|page|goal)s?\b"
+#: Fund-raising that describes something other than a gathering: the word before a noun that is neither an event nor a small word.
+GATHERINGS = "auction ball breakfast brunch concert dance dinner drive event gala lunch luncheon night party picnic raffle run sale show supper tournament walk".split()
+SMALL_WORDS = "and at by for from in is of on or that the this to with will".split()
+FUNDRAISER_ASIDES = rf"\bfund[- ]?raising (?!(?:{'|'.join(GATHERINGS + SMALL_WORDS)})s?\b)[a-z]+"
 CHILD_HARM = r"\b(child abuse|child trafficking|missing children)\b"
 SERIOUS_HARM = r"\b(murder|homicide|serial killer|assault|overdose)\b"
 TRUE_CASE = r"\b(true crime|true story|real[- ]life|cold case|survivor)\b"
