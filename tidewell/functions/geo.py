@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.scratch import materialize
+
 #: Mean earth radii in use, by unit and purpose.
 MILES_DIGEST, MILES_PLAN, METRES = 3959.0, 3958.8, 6_371_000.0
 
@@ -71,23 +73,77 @@ def _axis(points: Column, i: int) -> Column:
     return F.transform(points, lambda p: p[i])
 
 
-def locate(points: DataFrame, polygons: DataFrame, lat: str = "lat", lng: str = "lng", most_polygons: int = 10_000) -> DataFrame:
-    """Points with the slug of the first polygon (by ordinal) that holds them, or null.
+#: Edges reach this much farther when cells are covered, beyond what rounding can move a point.
+SLACK = 1e-9
+
+
+def _edges(rings: Column) -> Column:
+    """All edges of an array of rings, rings of two points or fewer left out."""
+    def of(ring: Column) -> Column:
+        n = F.size(ring)
+        edge = lambda a, b: F.struct(a[0].alias("ax"), a[1].alias("ay"), b[0].alias("bx"), b[1].alias("by"))
+        return F.transform(ring, lambda p, i: edge(p, F.get(ring, F.pmod(i - 1 + n, n))))
+
+    return F.flatten(F.transform(F.filter(rings, lambda ring: F.size(ring) > 2), of))
+
 
-    ``polygons`` has slug, ordinal and rings; their number is checked, and a set within ``most_polygons`` is broadcast.  The box
-    test runs before the ring test.  A larger set is joined on one-degree cells that its boxes touch.
+def _odd(lng: Column, lat: Column, edges: Column) -> Column:
+    """Whether a ray from the point crosses an odd number of the edges: the test of ``in_polygon``, over edges."""
+    def crosses(e: Column) -> Column:
+        rise = F.when(e["by"] != e["ay"], e["by"] - e["ay"])
+        return ((e["ay"] > lat) != (e["by"] > lat)) & (lng < (e["bx"] - e["ax"]) * (lat - e["ay"]) / rise + e["ax"])
+
+    return F.aggregate(edges, F.lit(False), lambda s, e: s != F.coalesce(crosses(e), F.lit(False)))
+
+
+def covering(polygons: DataFrame, across: int = 16) -> DataFrame:
+    """Polygons (slug, ordinal, rings) as rows (level, y, x, slug, ordinal, edges) of the square cells that they cover.
+
+    Cells of a level are 360 / 2**level degrees wide; a polygon takes the level at which its box is at most ``across`` cells, so
+    it has a bounded number of them.  A cell that no edge touches lies wholly inside, and edges is null, or wholly outside, and
+    there is no row; for any other, edges are those at the cell's latitudes, all that an even-odd test of its points needs.
+    Rows of one slug and ordinal are polygons of their own; polygons without a ring of three points have no cells.
+    """
+    boxed = with_box(polygons.select("slug", "ordinal", "rings"))
+    span = F.greatest(F.col("east") - F.col("west"), F.col("north") - F.col("south"))
+    level = F.when(span > 0, F.least(F.floor(F.log2(across * 360 / span)), F.lit(30))).otherwise(30).cast("int")
+    leveled = boxed.filter(span.isNotNull()).withColumn("level", level).withColumn("pid", F.monotonically_increasing_id())
+    known = materialize(leveled.withColumn("size", 360 / F.pow(F.lit(2.0), "level")), "polygons")
+    size = F.col("size")
+    cell = lambda low, high: F.sequence(F.floor((low - SLACK) / size), F.floor((high + SLACK) / size))
+    edges = known.select("pid", "size", F.explode(_edges(F.col("rings"))).alias("e"))
+    by_row = edges.withColumn("y", F.explode(cell(F.least("e.ay", "e.by"), F.greatest("e.ay", "e.by"))))
+    rows = by_row.groupBy("pid", "y").agg(F.collect_list("e").alias("edges"))
+    # an edge touches a cell if the boxes of both meet and the cell's corners are not all on one side of the edge
+    met = by_row.withColumn("x", F.explode(cell(F.least("e.ax", "e.bx"), F.greatest("e.ax", "e.bx"))))
+    side = lambda i, j: (F.col("e.bx") - F.col("e.ax")) * ((F.col("y") + j) * size - F.col("e.ay")) - (F.col("e.by") - F.col("e.ay")) * ((F.col("x") + i) * size - F.col("e.ax"))
+    corners = [side(i, j) for i in (0, 1) for j in (0, 1)]
+    reach = SLACK * (F.abs(F.col("e.bx") - F.col("e.ax")) + F.abs(F.col("e.by") - F.col("e.ay")))
+    touched = met.filter((F.least(*corners) <= reach) & (F.greatest(*corners) >= -reach)).select("pid", "y", "x", F.lit(True).alias("edge")).distinct()
+    cells = known.select("pid", "slug", "ordinal", "level", "size", F.explode(cell(F.col("south"), F.col("north"))).alias("y"), cell(F.col("west"), F.col("east")).alias("xs")).withColumn("x", F.explode("xs"))
+    judged = cells.join(rows, ["pid", "y"]).join(touched, ["pid", "y", "x"], "left")
+    whole = _odd((F.col("x") + 0.5) * size, (F.col("y") + 0.5) * size, F.col("edges"))
+    return judged.filter(F.col("edge") | whole).select("level", "y", "x", "slug", "ordinal", F.when(F.col("edge"), F.col("edges")).alias("edges"))
+
+
+def locate(points: DataFrame, polygons: DataFrame, lat: str = "lat", lng: str = "lng", across: int = 16) -> DataFrame:
+    """Points with the slug of the first polygon (by ordinal, then slug) that holds them, or null.
+
+    ``polygons`` has slug, ordinal and rings.  Each place is met by equality with the cells of ``covering`` at each level in
+    use (31 at most for polygons on a globe): cells inside a polygon answer at once, only cells on a border test edges.  Places
+    that occur often are looked up once; those without a finite coordinate are in no polygon.
     """
-    boxed = with_box(polygons)
-    inside = F.col(lat).between(F.col("south"), F.col("north")) & F.col(lng).between(F.col("west"), F.col("east"))
-    exact = inside & in_polygon(F.col(lng), F.col(lat), F.col("rings"))
-    keyed = points.withColumn("_point", F.xxhash64(*points.columns))
-    if boxed.limit(most_polygons + 1).count() <= most_polygons:
-        found = keyed.join(F.broadcast(boxed), exact)
-    else:
-        cells = boxed.withColumn("_y", F.explode(F.sequence(F.floor("south"), F.floor("north")))).withColumn("_x", F.explode(F.sequence(F.floor("west"), F.floor("east"))))
-        found = keyed.withColumns({"_y": F.floor(lat), "_x": F.floor(lng)}).join(cells, ["_y", "_x"]).filter(exact)
-    first = found.groupBy("_point").agg(F.min_by("slug", "ordinal").alias("slug"))
-    return keyed.join(first, "_point", "left").drop("_point")
+    cells = materialize(covering(polygons, across), "cells")
+    levels = [r["level"] for r in cells.select("level").distinct().collect()]  # a few whole numbers
+    y, x = F.col(lat).cast("double"), F.col(lng).cast("double")
+    places = points.select(y.alias("_lat"), x.alias("_lng")).filter((F.abs("_lat") <= 1e6) & (F.abs("_lng") <= 1e6)).distinct()
+    at = F.col("_level")
+    asked = places.withColumn("_level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")))
+    size = 360 / F.pow(F.lit(2.0), at)
+    keyed = asked.select("_lat", "_lng", at.alias("level"), F.floor(F.col("_lat") / size).alias("y"), F.floor(F.col("_lng") / size).alias("x"))
+    held = keyed.join(cells, ["level", "y", "x"]).filter(F.col("edges").isNull() | _odd(F.col("_lng"), F.col("_lat"), F.col("edges")))
+    first = held.groupBy("_lat", "_lng").agg(F.min(F.struct("ordinal", "slug")).alias("_first"))
+    return points.join(first, (y == F.col("_lat")) & (x == F.col("_lng")), "left").withColumn("slug", F.col("_first.slug")).drop("_lat", "_lng", "_first")
 
 
 def locality(lat: Column, lng: Column, rings: Column, city: Column, inside: tuple[str, ...], outside: tuple[str, ...]) -> Column:

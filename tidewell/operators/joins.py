@@ -52,16 +52,25 @@ def overlaps(items: DataFrame, group: str, id_: str = "id", bin_seconds: int = 4
 def near_trusted(candidates: DataFrame, trusted: DataFrame, days: int = 3) -> DataFrame:
     """Candidates (id, venue_id, start_at) with suppress and needs_review.
 
-    A trusted event at the venue within ``days`` suppresses; trusted events only farther away ask for review.  Both sides are
-    ranged over one window of the venue ordered by time, so no pairs are made.
+    A trusted event at the venue within ``days`` suppresses; trusted events only farther away ask for review.  A candidate without
+    a venue is neither, one without a start is at most up for review.  Trusted events become one row for each venue and time bin
+    as wide as the reach: any in a candidate's own bin is near, of the bins beside it only the last start before and the first
+    one after can be.  So no venue is ordered or held in one task, and no pairs are made.
     """
-    mark = lambda df, t: df.select("id", "venue_id", "start_at", F.lit(t).alias("is_trusted"))
-    both = mark(candidates, False).unionByName(mark(trusted, True)).withColumn("us", F.unix_micros("start_at"))
     reach = days * DAY * 1_000_000
-    venue = Window.partitionBy("venue_id")
-    nearby = F.max("is_trusted").over(venue.orderBy("us").rangeBetween(-reach, reach))
-    marked = both.withColumn("suppress", nearby).withColumn("any_trusted", F.max("is_trusted").over(venue)).filter(~F.col("is_trusted"))
-    return marked.select("id", "venue_id", "start_at", "suppress", (F.col("any_trusted") & ~F.col("suppress")).alias("needs_review"))
+    us, width = F.unix_micros("start_at"), max(reach, 1)
+    at = us - F.pmod(us, F.lit(width))
+    placed = trusted.filter("venue_id IS NOT NULL")
+    bins = placed.filter("start_at IS NOT NULL").groupBy(F.col("venue_id").alias("t_venue"), at.alias("bin")).agg(F.min(us).alias("lo"), F.max(us).alias("hi"))
+    # a bin is what lies after the one before it, its own, and what lies before the next
+    seen = F.array(*(F.struct((F.col("bin") + shift).alias("t_bin"), own.alias("own"), before.alias("before"), after.alias("after")) for shift, own, before, after in (
+        (-width, F.lit(False), F.lit(None).cast("long"), F.col("lo")), (0, F.lit(True), F.col("hi"), F.col("lo")), (width, F.lit(False), F.col("hi"), F.lit(None).cast("long")))))
+    around = bins.select("t_venue", F.inline(seen)).groupBy("t_venue", "t_bin").agg(F.max("own").alias("own"), F.max("before").alias("before"), F.min("after").alias("after"))
+    near = F.col("own") | (us - F.col("before") <= reach) | (F.col("after") - us <= reach)
+    marked = candidates.select("id", "venue_id", "start_at").join(around, (F.col("venue_id") == F.col("t_venue")) & (at == F.col("t_bin")), "left")
+    marked = marked.select("id", "venue_id", "start_at", F.coalesce(near, F.lit(False)).alias("suppress"))
+    known = placed.select(F.col("venue_id").alias("t_venue")).distinct()
+    return marked.join(known, F.col("venue_id") == F.col("t_venue"), "left").select("id", "venue_id", "start_at", "suppress", (F.col("t_venue").isNotNull() & ~F.col("suppress")).alias("needs_review"))
 
 
 def outranked(copies: DataFrame) -> DataFrame:

@@ -10,18 +10,41 @@ from pyspark.sql import functions as F
 from tidewell.functions.times import day_key, minutes_between
 
 
+def _runs(rows: DataFrame, key: str, hours: float, *more: Column) -> DataFrame:
+    """(key, bin, session, and ``more`` aggregates) of the time bins that hold rows: bins are as wide as the gap allowed.
+
+    Rows of one bin are never a gap apart, so a bin needs no order inside: its first and last start say all.  Only bins are put
+    in order, and a key has as many as gaps fit into its time, however many rows it has.
+    """
+    gap = int(hours * 3.6e9)
+    bins = rows.filter(F.col("start_at").isNotNull()).groupBy(key, _bin(gap).alias("bin")).agg(F.min(F.unix_micros("start_at")).alias("lo"), F.max(F.unix_micros("start_at")).alias("hi"), *more)
+    w = Window.partitionBy(key).orderBy("bin")
+    apart = F.col("lo") - F.lag("hi").over(w)
+    new = F.when(apart.isNull() | (apart > gap), 1).otherwise(0)
+    return bins.withColumn("new", new).withColumn("session", F.sum("new").over(w)).drop("lo", "hi", "new")
+
+
+def _bin(gap: int) -> Column:
+    us = F.unix_micros("start_at")
+    return us - F.pmod(us, F.lit(max(gap, 1)))
+
+
 def sessions(events: DataFrame, key: str, hours: float) -> DataFrame:
-    """Events with the number of their session: a new one begins where the gap to the one before exceeds ``hours``."""
-    w = Window.partitionBy(key).orderBy("start_at", "id")
-    gap = F.unix_micros("start_at") - F.unix_micros(F.lag("start_at").over(w))
-    new = F.when(gap.isNull() | (gap > int(hours * 3.6e9)), 1).otherwise(0)
-    return events.withColumn("new", new).withColumn("session", F.sum("new").over(w)).drop("new")
+    """Events with the number of their session: a new one begins where the gap to the one before exceeds ``hours``.
+
+    Null keys are one key; events without a start have a null session.  Sessions are found among time bins and joined back by
+    key and bin, so one key's events lie in many tasks.
+    """
+    gap = int(hours * 3.6e9)
+    runs = _runs(events, key, hours).select(F.col(key).alias("_key"), F.col("bin").alias("_bin"), "session")
+    return events.join(runs, F.col(key).eqNullSafe(F.col("_key")) & (_bin(gap) == F.col("_bin")), "left").drop("_key", "_bin")
 
 
 def clusters(events: DataFrame, key: str, hours: float, least_sources: int = 2) -> DataFrame:
-    """Sessions of two or more events from enough sources."""
-    found = sessions(events.filter(F.col(key) != ""), key, hours).groupBy(key, "session")
-    return found.agg(F.count("*").alias("n"), F.count_distinct("source").alias("sources"), F.array_join(F.array_sort(F.collect_set("source")), "+").alias("pair"), F.min("id").alias("first_id")).filter((F.col("n") >= 2) & (F.col("sources") >= least_sources))
+    """Sessions of two or more events from enough sources, put together from their time bins; events without key or start go."""
+    parts = _runs(events.filter(F.col(key) != ""), key, hours, F.count("*").alias("n"), F.collect_set("source").alias("of"), F.min("id").alias("first_id"))
+    found = parts.groupBy(key, "session").agg(F.sum("n").alias("n"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("of")))).alias("of"), F.min("first_id").alias("first_id"))
+    return found.select(key, "session", "n", F.size("of").cast("long").alias("sources"), F.array_join("of", "+").alias("pair"), "first_id").filter((F.col("n") >= 2) & (F.col("sources") >= least_sources))
 
 
 def source_pairs(found: DataFrame) -> DataFrame:
