@@ -82,16 +82,11 @@ def draft(actions: DataFrame, most: int = 30) -> DataFrame:
     return actions.groupBy("plan_id").applyInPandas(run, "plan_id long, event_id long, added_at timestamp")
 
 
-def upsert_each(stream: DataFrame, path: str, checkpoint: str, keys: list[str], order: str) -> StreamingQuery:
-    """Keeps a Parquet table of the newest row of each key.  A batch that is run again gives the same table."""
-    from tidewell.operators.merge import newest
-    from tidewell.sources.sinks import recover, swap
-
-    def apply(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        last = newest(batch, keys, order)
-        if recover(spark, path):
-            last = newest(spark.read.parquet(path).unionByName(last), keys, order)
-        swap(last, path)
-
-    return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def upsert_each(stream: DataFrame, path: str, checkpoint: str, keys: list[str], order: str, by: str | None = None, count: int = 64) -> StreamingQuery:
+    """Keeps a table (``tidewell.sources.keyed``) of the newest row of each key, and counts of the groups of ``by``.
+
+    A batch rewrites only the buckets of its keys; one that is run again gives the same table.
+    """
+    from tidewell.sources.keyed import merge
+
+    return stream.writeStream.foreachBatch(lambda batch, _: merge(batch, path, keys, order, by, count)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
