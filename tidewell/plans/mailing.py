@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.operators import browse, digest, merge
+from tidewell.sources import keyed as tables
 
 
 def pool(events: DataFrame, now: datetime, hidden: tuple[str, ...] = (), umbrella: str = "umbrella", days: int = 30) -> DataFrame:
@@ -38,3 +40,34 @@ def recorded(ledger: DataFrame, sent: DataFrame, now: datetime) -> DataFrame:
     """The ledger with each sent key once."""
     new = sent.select("key").distinct().join(ledger.select("key"), "key", "left_anti").withColumn("sent_at", F.lit(now))
     return ledger.unionByName(new)
+
+
+def send_slices(mails: DataFrame, path: str, send: Callable[[DataFrame], DataFrame], slices: int = 16) -> None:
+    """Sends each mail (key, body, both text) once, slice by slice, with a ledger at ``path`` that a later run goes on from.
+
+    A slice is a bucket of the ledger.  Its mails that the ledger has not are claimed, bodies and all, in one commit; those
+    claimed are sent, and their outcome is one more commit.  ``send`` takes (key, body) and returns (key, status) of what it knows of;
+    a mail without an outcome counts as failed.  A run that breaks off leaves slices that are done, a claimed one, or untouched
+    ones: the next run hands what was claimed to ``send`` again with the same keys and bodies, by which a receiver knows
+    repeats, plans the rest, and leaves finished mails alone.  Mails without a key go nowhere; of equal keys one is sent.
+    ``slices`` is fixed by the first run.
+    """
+    spark = mails.sparkSession
+    known = tables.manifest(spark, path)
+    count = known.count if known else slices
+    mine: Column = F.pmod(F.xxhash64("key"), F.lit(count))
+    wanted = mails.filter("key IS NOT NULL").select("key", "body").groupBy("key").agg(F.min("body").alias("body"))
+
+    def record(rows: DataFrame, step: int) -> None:
+        tables.merge(rows.select("key", "body", "status", F.lit(step).alias("step")), path, ["key"], "step", "status", count)
+
+    for i in range(count):
+        part = wanted.filter(mine == i)
+        if tables.manifest(spark, path) is not None:
+            part = part.join(tables.read_bucket(spark, path, i).select("key"), "key", "left_anti")
+        record(part.withColumn("status", F.lit("claimed")), 1)
+        if tables.manifest(spark, path) is None:
+            continue  # no mail so far
+        claimed = tables.read_bucket(spark, path, i).filter("status = 'claimed'").select("key", "body")
+        if not claimed.isEmpty():
+            record(merge.attributed(send(claimed).select("key", "status").dropDuplicates(["key"]), claimed, "key"), 2)

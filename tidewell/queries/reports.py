@@ -12,6 +12,7 @@ from tidewell.catalog import AS_OF, BRIDGE_SQL, EVENTS_SQL, RUNS_SQL, VENUES_SQL
 from tidewell.functions import prices, text, times
 from tidewell.operators import health, joins, windows
 from tidewell.queries.base import NOW, Registry, eastern, sql_stamp, stamp
+from tidewell.sources import keyed
 
 query = Registry()
 END = datetime(2024, 1, 31)
@@ -282,4 +283,49 @@ def stream_run_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.table(name).withColumn("day", F.to_date("day"))
 
 
+def _kept(spark: SparkSession, sf_dir: str) -> str:
+    """A table of each user's last event, with counts by category, made by three batches in no order of time."""
+    from tidewell.scratch import scratch
+    from tidewell.sources.keyed import merge
+
+    path = scratch(spark, "kept")
+    e = catalog.events(spark, sf_dir).select("user_id", "id", "category")
+    for turn in (2, 0, 1):
+        merge(e.filter(F.col("id") % 3 == turn), path, ["user_id"], "id", "category", count=8)
+    return path
+
+
+@query("SELECT user_id, max(event_id) AS id, arg_max(event_type, event_id) AS category FROM events GROUP BY user_id")
+def kept_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keyed.read(spark, _kept(spark, sf_dir))
+
+
+@query("SELECT category, count(*) AS n FROM (SELECT arg_max(event_type, event_id) AS category FROM events GROUP BY user_id) GROUP BY category")
+def kept_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keyed.read_counts(spark, _kept(spark, sf_dir))
+
+
+@query("SELECT 'digest-2024-01-15/' || CAST(c_custkey AS VARCHAR) || '/all' AS key, c_name AS body, CASE c_custkey % 7 WHEN 0 THEN 'failed' WHEN 1 THEN 'bounced' ELSE 'sent' END AS status FROM customer")
+def mail_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger of a mailing that broke off in its second slice and was started again."""
+    from tidewell.plans import mailing
+    from tidewell.scratch import scratch
+
+    path, turns = scratch(spark, "ledger"), []
+    mails = mailing.keyed(catalog.table(spark, sf_dir, "customer").withColumn("sub_id", F.col("c_custkey")), AS_OF).select("key", F.col("c_name").alias("body"))
+
+    def send(claimed: DataFrame) -> DataFrame:
+        turns.append(1)
+        if len(turns) == 2:
+            raise ConnectionError("the receiver is gone")
+        customer = F.split("key", "/")[1].cast("long")
+        return claimed.filter(customer % 7 != 0).select("key", F.when(customer % 7 == 1, "bounced").otherwise("sent").alias("status"))
+
+    try:
+        mailing.send_slices(mails, path, send, 4)
+    except ConnectionError:
+        mailing.send_slices(mails, path, send, 4)
+    return keyed.read(spark, path).select("key", "body", "status")
+
+
 QUERIES, SQL = query.queries, query.sql

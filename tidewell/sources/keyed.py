@@ -74,6 +74,11 @@ def read(spark: SparkSession, path: str, version: int | None = None) -> DataFram
     return _part(spark, path, _known(spark, path, version), "rows")
 
 
+def read_bucket(spark: SparkSession, path: str, bucket: int) -> DataFrame:
+    """The rows of one bucket, that is of keys whose ``pmod(xxhash64(keys), count)`` is its number."""
+    return _part(spark, path, _known(spark, path), "rows", [bucket])
+
+
 def read_counts(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
     """The rows that each group has, (``by``, n), as kept beside the table; a null group is one of its own."""
     known = _known(spark, path, version)
