@@ -9,6 +9,8 @@ from tidewell import catalog
 from tidewell.catalog import AS_OF, EVENTS_SQL, VENUES_SQL
 from tidewell.functions import classify, moderation, prices, text, times
 from tidewell.queries.base import NOW, Registry, sql_stamp, stamp
+from tidewell.scratch import scratch
+from tidewell.sources import search
 from tidewell.sources import calendars, feeds, sinks
 
 query = Registry()
@@ -85,6 +87,16 @@ def word_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.table(spark, sf_dir, "documents").filter(text.has_word(F.lower("text"), "the")).select("doc_id")
 
 
+@query("SELECT doc_id FROM documents WHERE regexp_matches(strip_accents(lower(text)), '(^|[^a-z0-9_])in the([^a-z0-9_]|$)')")
+def indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A phrase looked up in an index that two batches with common rows have made."""
+    path = scratch(spark, "words")
+    d = catalog.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("seq"), "text")
+    for left_out in (0, 1):
+        search.index(d.filter(F.col("id") % 3 != left_out), path, count=8, spread=2)
+    return search.find(spark, path, "in the").select(F.col("id").alias("doc_id"))
+
+
 CATEGORY_SQL = """x AS (SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN 'Jazz brunch' WHEN 1 THEN 'Trivia night' WHEN 2 THEN 'Yoga class in the gallery' WHEN 3 THEN 'Quarterly report' WHEN 4 THEN 'Film festival' ELSE 'Town hall concert' END AS title FROM part)"""
 
 

@@ -25,6 +25,8 @@ class Manifest:
     count: int
     keys: list[str]
     by: str | None = None
+    #: The keys that tell a row's bucket.
+    place: list[str] = field(default_factory=list)
     schemas: dict[str, dict] = field(default_factory=dict)
     #: Part (rows, counts) to bucket number (as text) to folder.
     folders: dict[str, dict[str, str]] = field(default_factory=lambda: {"rows": {}, "counts": {}})
@@ -87,10 +89,18 @@ def read_counts(spark: SparkSession, path: str, version: int | None = None) -> D
     return _part(spark, path, known, "counts")
 
 
+def counts_of(spark: SparkSession, path: str, groups: list[str]) -> DataFrame:
+    """The kept counts of some groups, out of their buckets alone."""
+    known = _known(spark, path)
+    asked = spark.createDataFrame([(g,) for g in groups], StructType([StructType.fromJson(known.schemas["counts"])[known.by]]))
+    return _part(spark, path, known, "counts", _touched(asked, [known.by], known.count)).filter(F.col(known.by).isin(groups))
+
+
 def lookup(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
-    """The rows with one of the ``keys``, out of their buckets alone."""
+    """The rows with one of the ``keys`` (all columns of the key, or those of its place), out of their buckets alone."""
     known = _known(spark, path)
-    return _part(spark, path, known, "rows", _touched(keys, known.keys, known.count)).join(keys.select(*known.keys).distinct(), known.keys, "left_semi")
+    on = [c for c in known.keys if c in keys.columns]
+    return _part(spark, path, known, "rows", _touched(keys, known.place, known.count)).join(keys.select(*on).distinct(), on, "left_semi")
 
 
 def _known(spark: SparkSession, path: str, version: int | None = None) -> Manifest:
@@ -122,35 +132,35 @@ def _write(frame: DataFrame, path: str, part: str, columns: list[str], known: Ma
             own[str(b)] = place
 
 
-def merge(batch: DataFrame, path: str, keys: list[str], order: str, by: str | None = None, count: int = 64) -> list[int]:
+def merge(batch: DataFrame, path: str, keys: list[str], order: str, by: str | None = None, count: int = 64, place: list[str] | None = None) -> list[int]:
     """Merges a batch into the table, newest row of a key by ``order``, and returns the buckets that it rewrote.
 
     ``by`` names the column whose groups are counted beside the rows: a batch adds what its own keys' rows have changed, read
     from their buckets alone.  ``count`` buckets (with ``by`` and ``keys``) are fixed when the table is made: choose as many as
-    make a bucket one task's work.  The same batch again leaves rows and counts as they are; an empty one changes nothing.
+    make a bucket one task's work.  Rows that agree in ``place``, some of the keys (all by default), share a bucket.  The same batch again leaves rows and counts as they are; an empty one changes nothing.
     Null keys are keys like any other; the batch's columns are those of the table.
     """
     spark = batch.sparkSession
     known = manifest(spark, path)
     if known is None:
-        known = Manifest(-1, count, keys, by, {"rows": json.loads(batch.schema.json())})
+        known = Manifest(-1, count, keys, by, place or keys, {"rows": json.loads(batch.schema.json())})
         if by is not None:
             known.schemas["counts"] = json.loads(batch.groupBy(by).agg(F.count("*").alias("n")).schema.json())
     elif (known.keys, known.by) != (keys, by):
         raise ValueError(f"{path} is kept by {known.keys} and counted by {known.by}")
     names = StructType.fromJson(known.schemas["rows"]).names
-    buckets = _touched(batch, keys, known.count)
+    buckets = _touched(batch, known.place, known.count)
     if not buckets:
         return []
     known.version += 1
     old = _part(spark, path, known, "rows", buckets)
     fresh = newest(old.unionByName(batch.select(*names)), keys, order).select(*names)
     before = dict(known.folders["rows"])
-    _write(fresh, path, "rows", keys, known, buckets)
+    _write(fresh, path, "rows", known.place, known, buckets)
     if by is not None:
         mine = batch.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys))).distinct()
         same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
-        was = _part(spark, path, Manifest(0, known.count, keys, by, known.schemas, {"rows": before}), "rows", buckets)
+        was = _part(spark, path, Manifest(0, known.count, keys, by, known.place, known.schemas, {"rows": before}), "rows", buckets)
         now = _part(spark, path, known, "rows", buckets)
         tally = lambda rows, one: rows.join(mine, same, "left_semi").groupBy(by).agg((F.count("*") * one).alias("n"))
         change = tally(now, 1).unionByName(tally(was, -1)).groupBy(by).agg(F.sum("n").alias("n")).filter("n <> 0")
