@@ -271,16 +271,17 @@ def date_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT CAST(date_trunc('day', ts) AS DATE) AS day, user_id AS scraper, count(*) AS runs, CAST(sum(greatest(CAST(regexp_extract(props, ': *([0-9]+)', 1) AS INTEGER) - 20, 0)) AS BIGINT) AS found, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY 1, 2")
 def stream_run_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The run log read as a stream, aggregated in event-time windows, and collected by a sink that keeps the final state."""
+    """The run log read as a stream, aggregated in event-time windows that each batch merges into a kept table."""
+    from tidewell.scratch import scratch
     from tidewell.streaming.jobs import run_windows
 
     schema = catalog.table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     runs = stream.select(F.col("user_id").alias("scraper"), F.col("ts").cast("timestamp").alias("ran_at"), F.when(F.col("event_type") == "error", "error").otherwise("ok").alias("status"), F.greatest(catalog.k_of() - 20, F.lit(0)).alias("found"))
-    name = f"run_windows_{abs(hash(sf_dir))}"
-    running = run_windows(runs).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
-    running.awaitTermination()
-    return spark.table(name).withColumn("day", F.to_date("day"))
+    path, checkpoint = scratch(spark, "run-windows"), scratch(spark, "run-windows-checkpoint")
+    keep = lambda batch, turn: keyed.merge(batch.withColumn("turn", F.lit(turn)), path, ["day", "scraper"], "turn", count=8)
+    run_windows(runs).writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return keyed.read(spark, path).drop("turn").withColumn("day", F.to_date("day"))
 
 
 def _kept(spark: SparkSession, sf_dir: str) -> str:
