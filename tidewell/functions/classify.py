@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidewell.functions import signals
+from tidewell.functions.signals import Rules, Run, Signal
+
 DECISIVE, STRONG, SOFT, WEAK = 100, 70, 40, 25
 #: Order of categories where scores tie.
 PRIORITY = ("music", "comedy", "theater", "film", "visual-art", "sports", "fitness", "food", "learning", "outdoors", "festival", "market", "games", "civic", "other")
@@ -14,59 +15,94 @@ PRIORITY = ("music", "comedy", "theater", "film", "visual-art", "sports", "fitne
 SECOND_SCORE, SECOND_SHARE = 40, 0.5
 
 
-@dataclass(frozen=True)
-class Signal:
-    """A pattern that adds weight to a category; ``scope`` is text, title, or a name in ``strip``."""
-
-    category: str
-    pattern: str
-    weight: int
-    scope: str = "text"
-
-
-#: A default set; pass your own for another taxonomy.
+# Weights, category names and their order, and words that must lead to the categories events have now.  They are only
+# defaults; pass ``Rules`` of your own (places, teams, another taxonomy), of any number.
 SIGNALS = (
-    Signal("music", r"\b(concert|symphony|orchestra|recital|open mic|album release)\b", DECISIVE),
-    Signal("music", r"\b(jazz|blues|bluegrass|choir|band|dj set|acoustic)\b", STRONG),
-    Signal("comedy", r"\b(stand[- ]?up|comedian|improv|comedy (?:show|night|club))\b", DECISIVE, "comedy"),
-    Signal("theater", r"\b(musical|playwright|stage play|theat(?:er|re) production|ballet|opera)\b", DECISIVE),
-    Signal("film", r"\b(film|movie|screening|documentary|matinee)\b", STRONG),
-    Signal("visual-art", r"\b(exhibit(?:ion)?|gallery|sculpture|painting|art walk)\b", STRONG),
-    Signal("sports", r"\b(vs\.?|tournament|championship|league game)\b", STRONG, "title"),
-    Signal("fitness", r"\b(yoga|pilates|zumba|5k|fun run|workout)\b", DECISIVE),
-    Signal("food", r"\b(tasting|brunch|dinner|beer|wine|cook(?:ing|-off)|food truck)\b", STRONG),
-    Signal("learning", r"\b(workshop|lecture|seminar|class|clinic|book club)\b", SOFT),
-    Signal("outdoors", r"\b(hike|kayak|garden|nature walk|bird(?:ing|watching))\b", STRONG),
-    Signal("festival", r"\b(festival|fest|fair|carnival|parade)\b", STRONG, "title"),
-    Signal("market", r"\b(farmers'? market|flea market|craft show|bazaar)\b", DECISIVE),
-    Signal("games", r"\b(trivia|bingo|board games?|chess|esports|poker)\b", DECISIVE),
-    Signal("civic", r"\b(town hall|council|public hearing|voter|blood drive)\b", STRONG),
+    Signal("music", DECISIVE, ("concert{,s}", "symphony", "orchestra", "recital", "live {music,band,bands}", "open mic", "karaoke", "{album,ep,single} release", "{disco,dance} party", "{jazz,blues,club} night", "dj set")),
+    Signal("music", STRONG, ("singer songwriter", "{guitar,violin,cell,pian,saxophon,bass}ist", "drummer", "{two,three,four,five,six} piece band", "debut {album,record,single}", "touring {band,artist,musician}")),
+    Signal("music", STRONG, ("dj",), scope="title"),
+    Signal("music", SOFT, ("jazz", "blues", "bluegrass", "reggae", "hip hop", "americana")),
+    Signal("music", SOFT, ("band", "performer", "musician", "vocalist", "jam session"), scope="title"),
+    Signal("music", WEAK, ("music",), scope="title"),
+    Signal("music", STRONG, ("tour",), scope="title", unless=("{walking,guided,garden,home,food,brewery,trolley,museum,haunted,farm,history,public,private,wine} tour{,s}",)),
+    Signal("comedy", 110, ("comedy {night,show,jam,club}",), outside="comedy"),
+    Signal("comedy", DECISIVE, ("stand up comedy", "{stand up ,}comedian{,s}", "improv", "sketch comedy", "drag {show,brunch,king,queen,bingo}"), outside="comedy"),
+    Signal("comedy", 110, ("open mic",), outside="comedy", needs=("comedy", "comedian{,s}")),
+    Signal("theater", DECISIVE, ("theat{er,re}", "playwright", "broadway", "stage {play,production}", "opera", "ballet", "musical {production,comedy}")),
+    Signal("theater", STRONG, ("murder mystery", "drama {club,class}")),
+    Signal("film", DECISIVE, ("screening", "cinema", "{movie,film} night", "documentary", "{short,feature,silent} film{,s}", "film festival")),
+    Signal("film", STRONG, ("film{,s}",)),
+    Signal("visual-art", DECISIVE, ("gallery", "exhibition", "sculpture", "mural", "art {show,walk,fair}", "installation", "artist {talk,reception}")),
+    Signal("visual-art", STRONG, ("pottery", "ceramics", "knitting", "crochet", "quilt*", "{water color,watercolor}", "calligraphy", "weaving", "embroider*")),
+    Signal("sports", DECISIVE, ("{hockey,baseball,basketball,league,home} game", "playoff{,s}", "championship", "stadium")),
+    Signal("sports", STRONG, ("soccer", "football", "volleyball", "wrestling", "pickleball", "tennis", "softball", "lacrosse")),
+    Signal("sports", STRONG, ("vs",), scope="title", followed=True),
+    Signal("fitness", DECISIVE, ("{yoga,pilates,crossfit,hiit}", "#k", "# k", "{fun,trail,color} run", "kayaking", "{spin,cycle,barre} class")),
+    Signal("fitness", DECISIVE, ("marathon", "half marathon"), before=("movie", "film", "reading", "book", "gaming", "game", "series", "music", "study", "dance")),
+    Signal("food", DECISIVE, ("{wine,beer,whiskey,cheese,coffee,chocolate} tasting", "cooking class", "food truck{,s}", "brunch", "brewery", "winery", "tasting menu", "{wine,chefs} dinner")),
+    Signal("learning", DECISIVE, ("certification", "professional development", "# day workshop", "coding bootcamp", "continuing education")),
+    Signal("learning", STRONG, ("seminar", "lecture{, series}", "symposium", "webinar", "conference", "{info,information} session", "{job,tax,legal} {clinic,fair,club}", "homework help", "computer {class,basics,skills}")),
+    Signal("learning", SOFT, ("workshop", "class", "course", "lesson", "{book,reading} {club,group,discussion}")),
+    Signal("learning", SOFT, ("learn",), after=("more", "why", "all", "about", "everything", "here", "now", "first", "today", "tomorrow"), followed=True),
+    Signal("outdoors", STRONG, ("{nature,bike,hiking} trail", "nature {walk,center}", "wildlife", "hik{e,ing}", "bird{ing,watching, walk}", "fishing", "camping", "kayak")),
+    Signal("outdoors", SOFT, ("park", "zoo", "garden", "trail")),
+    Signal("festival", DECISIVE, ("festival", "fireworks", "carnival", "parade", "block party")),
+    Signal("festival", STRONG, ("fair", "fest", "{community,field,fun} day")),
+    Signal("market", DECISIVE, ("{farmer s,farmers,makers,night,flea,holiday,artisan,craft} market", "craft {show,fair}", "plant sale", "{clothing,book,toy,seed,record} swap{,s}", "swap {meet,shop,day}")),
+    Signal("games", DECISIVE, ("{trivia,game,games} night", "board game{,s}", "tabletop", "mahjong", "{e sports,esports}", "pub quiz", "euchre")),
+    Signal("games", STRONG, ("trivia", "chess", "bingo", "puzzle{,s}", "pinball", "arcade", "card game{,s}")),
+    Signal("civic", STRONG, ("town hall", "city council", "public hearing", "{ward,community,neighborhood,board,annual} meeting")),
 )
-#: Phrases in which a comedy word does not make the event comedy.
-COMEDY_ASIDES = r"\b(?:with|plus|and) (?:a )?(?:comedian|comedy)[^.;]*(?:opening|host)|\bformer (?:stand[- ]?up )?comedian\b"
-FAMILY = r"\b(kids?|children|toddlers?|famil(?:y|ies)|story ?time|all ages)\b"
-FAMILY_TITLE = r"\b(teens?|tweens?|youth|junior)\b"
-FAMILY_ASIDES = r"\b(?:benefits?|supports?|serving|for) (?:local )?(?:children|youth|families)(?: in need)?\b|\bfamily (?:owned|recipe|name)\b"
-FUNDRAISER = r"\b(fundraiser|fund[- ]?raising|gala|silent auction|benefit (?:concert|dinner|show|auction)|charity (?:gala|run|walk|auction)|donation drive|volunteers? needed|proceeds (?:benefit|support|go to))\b"
-#: Fund-raising that describes something other than a gathering: the word before a noun that is neither an event nor a small word.
+COMIC = ("stand up comedy", "comedy{, show}", "comedian{,s}", "improv")
+CHILDREN = ("bab{y,ies}", "infant{,s}", "newborn{,s}", "toddler{,s}", "child{,ren}", "kid{,s}", "daughter{,s}", "son{,s}", "girl{,s}", "boy{,s}", "student{,s}", "minor{,s}")
+WHOSE = ("a", "an", "the", "her", "his", "their", "my", "our", "your", "own", "young", "little", "newborn", "infant", "unborn", "local", "area", "#", "two", "three", "four", "five", "six", "year", "month", "old")
+#: Nouns that make fund-raising before them a gathering, and words that say nothing of it.
 GATHERINGS = "auction ball breakfast brunch concert dance dinner drive event gala lunch luncheon night party picnic raffle run sale show supper tournament walk".split()
 SMALL_WORDS = "and at by for from in is of on or that the this to with will".split()
-FUNDRAISER_ASIDES = rf"\bfund[- ]?raising (?!(?:{'|'.join(GATHERINGS + SMALL_WORDS)})s?\b)[a-z]+"
-CHILD_HARM = r"\b(child abuse|child trafficking|missing children)\b"
-SERIOUS_HARM = r"\b(murder|homicide|serial killer|assault|overdose)\b"
-TRUE_CASE = r"\b(true crime|true story|real[- ]life|cold case|survivor)\b"
-FICTION = r"\b(murder mystery|novel|whodunit|play by|thriller film)\b"
+#: (group, run): comedy that is not the event, words for families that speak of somebody else, fund-raising in general.
+ASIDES = (
+    ("comedy", Run(("plus", "also", "as well as", "along with"), COMIC)),
+    ("comedy", Run(("comedy", "comedian{,s}"), ("{will,to} {kick,open,warm,start,get}",), gap=40, to_end=1_000_000_000)),
+    ("comedy", Run(("{lover,fan}{,s} of",), ("and {stand up ,}comedy",))),
+    ("comedy", Run(("topic{,s}", "even {some,a little}", "former"), COMIC)),
+    ("comedy", Run(("after {party,parties}", "main event"), ("drag {show,brunch,king,queen}",))),
+    ("comedy", Run(("drag {show,brunch,king,queen}",), ("after {party,parties}", "main event"))),
+    ("family", Run(("{cannot,can not,can t,do not,don t,won t,may not,no,unable to} {admit,allow,accommodate,permit,bring}",), to_end=80)),
+    ("family", Run(("kids of all ages", "family {owned,recipe,name}", "boot{, }camp{,s}"))),
+    ("family", Run(("{his,her,their,my,our} {two,three,four,five,six,#}",), ("children", "kids", "grandchildren"), fillers=("young", "little", "grown"))),
+    ("family", Run(("support{,s,ing}", "benefit{,s,ing}", "serv{es,ing}", "sponsor{,s,ing}", "empower{s,ing}"), ("youth", "children", "families"), fillers=("the", "our", "local", "area", "disadvantaged", "at", "risk"))),
+    ("family", Run(("youth {services,ministry,fund,foundation,council}",))),
+    ("family", Run(("senior{,s}", "adult{,s}"), ("camp{,s}",), gap=25)),
+)
+RULES = Rules(
+    SIGNALS,
+    ASIDES,
+    family=("story{, }time", "story hour", "kid{,s}", "child{ren,}", "family {friendly,day,game night}", "toddler{,s}", "preschool*", "ages # {to ,}#", "grade{,s} #", "bab{y,ies}", "all ages family"),
+    family_title=("teen{,s}", "tween{,s}", "youth", "junior", "family fun", "{art,day,science,summer,music,sports} camp{,s}"),
+    fundraiser=(
+        Signal("fundraiser", DECISIVE, ("fundraiser", "gala", "silent auction", "benefit {concert,dinner,show,night,auction}", "charity {gala,run,walk,auction,ball}", "{donation,food,blood,coat,toy,book} drive", "volunteers needed", "proceeds {benefit,support,go to}", "raise {money,funds}", "{park,river,trail,beach,litter} {cleanup,clean up}")),
+        Signal("fundraiser", DECISIVE, ("{fundraising,fund raising}",), ahead_of=tuple(w for g in GATHERINGS for w in (g, g + "s")) + tuple(SMALL_WORDS)),
+    ),
+    framing=("prevent{,ion,ing}", "awareness", "education{,al}", "training", "workshop", "hotline", "resources", "support group", "safety", "screening", "warning signs", "first aid"),
+    topics=("suicide", "self harm", "overdose", "opioid{,s}", "addiction", "abuse", "assault", "violence", "traffick*", "bullying", "drowning", "gun", "abduct*", "kidnap*", "missing"),
+    child_harm=(
+        Run(("stillborn", "miscarriage", "sudden infant death", "{infant,pregnancy} loss")),
+        Run(("{infant,neonatal,child,childhood} {death,deaths,mortality,homicide}",)),
+        Run(("{death,loss,killing,murder,disappearance,abduction} of",), CHILDREN, fillers=WHOSE),
+        Run(("murder{ed,ing,s}", "kill{ed,ing,s}", "strangl{ed,ing}", "suffocat{ed,ing}", "drown{ed,s}", "abandon{ed,s}", "abduct{ed,s}", "kidnap{ped,s}", "molest{ed,ing}", "starv{ed,ing}"), CHILDREN, fillers=WHOSE, most=5),
+        Run(("{child,childhood,infant} {abuse,neglect,endangerment,exploitation,abduction}", "child traffick*")),
+        Run(("{abuse,neglect,exploitation} of",), CHILDREN, fillers=WHOSE),
+        Run(("{missing,murdered,slain,abducted,kidnapped} {child,children,girl,boy,teen,baby}",)),
+    ),
+    serious=("murder{,ed,s}", "homicide", "manslaughter", "killed", "stabb{ed,ing}", "shot dead", "assault", "serial killer", "overdose", "massacre", "domestic violence"),
+    cues=("arrested", "convict{ed,ion}", "on trial", "sentenced to", "cold case", "unsolved", "true {crime,story}", "real life", "survivor", "autopsy", "prosecut*"),
+    fiction=("murder myster{y,ies}", "mystery {dinner,party,night,game}", "whodunit", "escape room{,s}", "novel", "play by", "thriller film"),
+)
 
 
-def scores(title: Column, description: Column, signals: tuple[Signal, ...] = SIGNALS, comedy_asides: str = COMEDY_ASIDES) -> Column:
+def scores(title: Column, description: Column, rules: Rules = RULES) -> Column:
     """Array of struct<category, score> of the categories with a score; each signal counts once."""
-    text = F.lower(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(description, F.lit(""))))
-    subject = {"text": text, "title": F.lower(F.coalesce(title, F.lit(""))), "comedy": F.regexp_replace(text, comedy_asides, " ")}
-    made = []
-    for category in dict.fromkeys(s.category for s in signals):
-        own = [F.when(subject[s.scope].rlike(s.pattern), s.weight).otherwise(0) for s in signals if s.category == category]
-        made.append(F.struct(F.lit(category).alias("category"), sum(own[1:], own[0]).cast("int").alias("score")))
-    return F.filter(F.array(*made), lambda s: s["score"] > 0)
+    return signals.read(title, description, rules)["scores"]
 
 
 def ranked(scored: Column, priority: tuple[str, ...] = PRIORITY) -> Column:
@@ -78,18 +114,10 @@ def ranked(scored: Column, priority: tuple[str, ...] = PRIORITY) -> Column:
     return F.when(F.size(keyed) == 0, F.array(F.lit("other"))).when(F.coalesce(both, F.lit(False)), F.array(first["category"], second["category"])).otherwise(F.array(first["category"]))
 
 
-def harm_rule(title: Column, description: Column) -> Column:
-    """child-harm, serious-harm (with a true-case cue, outside fiction) or null."""
-    text = F.lower(F.concat_ws(" ", title, description))
-    return F.when(text.rlike(CHILD_HARM), "child-harm").when(text.rlike(FICTION), None).when(text.rlike(SERIOUS_HARM) & text.rlike(TRUE_CASE), "serious-harm")
-
-
-def facets(title: Column, description: Column) -> Column:
+def facets(title: Column, description: Column, rules: Rules = RULES) -> Column:
     """struct<family, fundraiser, veto>: words count outside the phrases that do not tell of the event; a harm rule vetoes family."""
-    text, head = F.lower(F.concat_ws(" ", title, description)), F.lower(F.coalesce(title, F.lit("")))
-    family = F.regexp_replace(text, FAMILY_ASIDES, " ").rlike(FAMILY) | F.regexp_replace(head, FAMILY_ASIDES, " ").rlike(FAMILY_TITLE)
-    veto = harm_rule(title, description)
-    return F.struct((family & veto.isNull()).alias("family"), F.regexp_replace(text, FUNDRAISER_ASIDES, " ").rlike(FUNDRAISER).alias("fundraiser"), veto.alias("veto"))
+    found = signals.read(title, description, rules)
+    return F.struct(found["family"].alias("family"), found["fundraiser"].alias("fundraiser"), found["rule"].alias("veto"))
 
 
 def resolve(native: Column, hint: Column, inferred: Column, default: Column, slugs: tuple[str, ...] = PRIORITY) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewell import catalog
 from tidewell.catalog import AS_OF, EVENTS_SQL, VENUES_SQL
-from tidewell.functions import classify, moderation, prices, text, times
+from tidewell.functions import classify, moderation, prices, signals, text, times
 from tidewell.queries.base import NOW, Registry, sql_stamp, stamp
 from tidewell.scratch import scratch
 from tidewell.sources import search
@@ -97,14 +97,91 @@ def indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.find(spark, path, "in the").select(F.col("id").alias("doc_id"))
 
 
-CATEGORY_SQL = """x AS (SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN 'Jazz brunch' WHEN 1 THEN 'Trivia night' WHEN 2 THEN 'Yoga class in the gallery' WHEN 3 THEN 'Quarterly report' WHEN 4 THEN 'Film festival' ELSE 'Town hall concert' END AS title FROM part)"""
+#: Titles and openings that call every kind of rule; the rest of an event's text comes from the tables.
+TITLES = (
+    "Jazz brunch", "Trivia night", "Yoga class in the gallery", "Quarterly report", "Film festival", "Town hall concert", "Movie marathon", "Canal marathon and 10.5K", "Odile's autumn tour", "Walking tour of the mill",
+    "Open mic at the mill", "Comedy show", "Otters vs. Herons", "Farmers' market", "Teen chess club", "Art camp", "Fundraising dinner", "Book swap & story time", "Learn weaving", "Drag brunch",
+)
+OPENINGS = (
+    "Poets, plus a stand-up comedian", "We cannot admit kids or toddlers", "Supports our local youth", "Bring the kids", "Our fundraising campaign goes on", "Learn more at the desk", "A comedian will open for the band on a nature walk", "Lover of soup and stand-up comedy",
+    "Ages 5 to 12 at the two-day workshop", "His three young children sing", "Volunteers needed for the coat drive", "Open mic, then comedy", "Karaoke", "After-party with a drag show", "Adults at summer camp", "Board game day", "A 3-day workshop",
+)
+GAP = 1_000
 
 
-@query(f"""WITH {CATEGORY_SQL} SELECT id, CASE title WHEN 'Jazz brunch' THEN 'music,food' WHEN 'Trivia night' THEN 'games' WHEN 'Yoga class in the gallery' THEN 'fitness,visual-art' WHEN 'Quarterly report' THEN 'other' WHEN 'Film festival' THEN 'film,festival' ELSE 'music,civic' END AS categories FROM x""")
+def _pick(names: tuple[str, ...], key: str) -> str:
+    """One of some strings by a key, as SQL of both engines."""
+    return f"CASE {key} % {len(names)} " + " ".join(f"WHEN {i} THEN '{n.replace(chr(39), chr(39) * 2)}'" for i, n in enumerate(names)) + " END"
+
+
+def _any(phrases: tuple[str, ...]) -> str:
+    return "(?:" + "|".join(p.replace("*", "[a-zÀ-ɏ#]*") for raw in phrases for p in signals.expand(raw)) + ")"
+
+
+def _plain(t: str) -> str:
+    for pattern, put in (("#", " "), (r"[0-9]+(\.[0-9]+)?", "#"), ("[.!?]+", " . "), ("[^a-z#.À-ɏ]+", " ")):
+        t = f"regexp_replace({t}, '{pattern}', '{put}', 'g')"
+    return f"regexp_replace(' ' || {t} || ' ', ' +', ' ', 'g')"
+
+
+def _without(t: str, group: str) -> str:
+    """A text without the asides of a group."""
+    for run in (r for g, r in classify.ASIDES if g == group):
+        between = f"(?: {_any(run.fillers)}){{0,{run.most}}} " if run.fillers else f" (?:[^.]{{0,{min(run.gap, GAP) - 2}}}? )?" if run.gap else " (?:[^.]*? )?"
+        rest = "" if not run.to_end else "[^.]*" if run.to_end > GAP else f"[^.]{{0,{run.to_end}}}"
+        t = f"regexp_replace({t}, ' {_any(run.opens)}{between + _any(run.closes) if run.closes else ''} {rest}', ' ', 'g')"
+    return t
+
+
+def _counts(s: signals.Signal) -> str:
+    """Whether a signal counts in ``title``, ``text`` or ``comedy``."""
+    t = s.outside or s.scope
+    words = lambda names: ", ".join(f"'{n}'" for n in names)
+    if s.before:
+        hit = f"len(list_filter(regexp_extract_all({t}, '([^ ]*) {_any(s.phrases)} ', 1), lambda w: w NOT IN ({words(s.before)}))) > 0"
+    elif s.ahead_of:
+        hit = f"len(list_filter(regexp_extract_all({t}, ' {_any(s.phrases)} ([^ ]*)', 1), lambda w: w IN ({words(('', '.', *s.ahead_of))}))) > 0"
+    elif s.after or s.followed:
+        hit = f"len(list_filter(regexp_extract_all({t}, ' {_any(s.phrases)} ([^ ]*)', 1), lambda w: w NOT IN ({words(('', '.', *s.after))}))) > 0"
+    else:
+        hit = f"regexp_matches({t}, ' {_any(s.phrases)} ')"
+    needs = f" AND regexp_matches({t}, ' {_any(s.needs)} ')" if s.needs else ""
+    return f"({hit}{needs}" + (f" AND NOT regexp_matches(text, ' {_any(s.unless)} ')" if s.unless else "") + ")"
+
+
+def _classified(rows: str) -> str:
+    """Common tables that make ``read`` with the scores of rows (id, head, body) in the order of categories."""
+    made = ", ".join(
+        f"struct_pack(lost := -({' + '.join(f'CASE WHEN {_counts(s)} THEN {s.weight} ELSE 0 END' for s in classify.SIGNALS if s.category == c)}), at := {classify.PRIORITY.index(c)}, category := '{c}')"
+        for c in dict.fromkeys(s.category for s in classify.SIGNALS)
+    )
+    return f"""x AS ({rows}), l AS (SELECT id, {_plain("lower(coalesce(head, ''))")} AS title, {_plain("lower(coalesce(head, '') || ' ' || coalesce(body, ''))")} AS text FROM x),
+      y AS (SELECT *, {_without('text', 'comedy')} AS comedy, {_without('text', 'family')} AS family_text, {_without('title', 'family')} AS family_title FROM l),
+      read AS (SELECT *, list_sort(list_filter([{made}], lambda s: s.lost < 0)) AS k FROM y)"""
+
+
+RANKED = f"CASE WHEN len(k) = 0 THEN 'other' WHEN len(k) > 1 AND -k[2].lost >= {classify.SECOND_SCORE} AND -k[2].lost >= {classify.SECOND_SHARE} * -k[1].lost THEN k[1].category || ',' || k[2].category ELSE k[1].category END"
+
+
+@query(f"WITH {_classified(f'SELECT p_partkey AS id, {_pick(TITLES, "p_partkey")} AS head, p_name AS body FROM part')} SELECT id, {RANKED} AS categories FROM read")
 def category_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    title = F.expr("CASE p_partkey % 6 WHEN 0 THEN 'Jazz brunch' WHEN 1 THEN 'Trivia night' WHEN 2 THEN 'Yoga class in the gallery' WHEN 3 THEN 'Quarterly report' WHEN 4 THEN 'Film festival' ELSE 'Town hall concert' END")
-    p = catalog.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), title.alias("title"))
-    return p.select("id", F.array_join(classify.ranked(classify.scores(F.col("title"), F.lit(""))), ",").alias("categories"))
+    p = catalog.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.expr(_pick(TITLES, "p_partkey")).alias("title"), "p_name")
+    return p.select("id", F.array_join(classify.ranked(classify.scores(F.col("title"), F.col("p_name"))), ",").alias("categories"))
+
+
+BODY = f"concat({_pick(OPENINGS, 'doc_id')}, '. ', text)"
+
+
+@query(f"""WITH {_classified(f'SELECT doc_id AS id, {_pick(TITLES, "doc_id")} AS head, {BODY} AS body FROM documents')}
+  SELECT id, {RANKED} AS categories, array_to_string(list_transform(k, lambda s: s.category || ':' || -s.lost), ',') AS scores,
+    regexp_matches(family_text, ' {_any(classify.RULES.family)} ') OR regexp_matches(family_title, ' {_any(classify.RULES.family_title)} ') AS family, {' OR '.join(map(_counts, classify.RULES.fundraiser))} AS fundraiser FROM read""")
+def event_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts of documents as events: categories, all scores and facets (family before its veto, which SQL can't pair)."""
+    body = F.concat(F.expr(_pick(OPENINGS, "doc_id")), F.lit(". "), F.coalesce("text", F.lit("")))
+    d = catalog.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), signals.read(F.expr(_pick(TITLES, "doc_id")), body, classify.RULES).alias("r"))
+    order = F.array(*map(F.lit, classify.PRIORITY))
+    ranked = F.array_sort(F.transform("r.scores", lambda s: F.struct(-s["score"], F.array_position(order, s["category"]), F.concat(s["category"], F.lit(":"), s["score"]).alias("shown"))))
+    return d.select("id", F.array_join(classify.ranked(F.col("r.scores")), ",").alias("categories"), F.array_join(F.transform(ranked, lambda s: s["shown"]), ",").alias("scores"), (F.col("r.family") | F.col("r.suppressed")).alias("family"), F.col("r.fundraiser").alias("fundraiser"))
 
 
 def _term(t: str) -> str:
