@@ -142,11 +142,40 @@ def should_recategorise(now: Column, proposed: Column) -> Column:
     return bare & (proposed != F.array(F.lit("other")))
 
 
-def municipal_public(title: Column, closed: str = r"(?i)\b(meeting|closed|holiday|council|commission|board of)\b", public: str = r"(?i)\b(concert|festival|fair|market|parade|movie|run)\b") -> Column:
-    """Without meetings, closures and holidays, unless words of a public event stand beside them."""
-    return ~title.rlike(closed) | title.rlike(public)
-
-
-def allowlisted(title: Column, words: str = r"(?i)\b(concert|festival|fair|bazaar|dinner|sale|bingo|show)\b") -> Column:
-    """Only titles with a word of public events."""
-    return title.rlike(words)
+# Words of a town's or a congregation's calendar by which events are public or not.
+GOVERNANCE = ("meeting{,s}", "commission", "committee", "council", "board", "caucus", "{work,workshop,executive} session", "agenda", "hearing", "trustee{,s}", "levy", "civil service")
+CLOSURES = ("{office,offices,building,city hall} closed",)
+HOLIDAYS = ("christmas {day,eve}", "veterans day", "independence day", "new year{ ,}s {day,eve}", "memorial day", "labor day", "thanksgiving{, day}", "president{ ,}s day", "martin luther king {jr . ,}day", "juneteenth", "columbus day", "good friday", "easter")
+TOWN_EVENTS = ("fest{ival,}", "parade", "concert", "fireworks", "market", "movie{,s}", "music", "celebration", "ceremony", "egg hunt", "trick or treat", "santa", "tree lighting", "run", "walk", "#k", "expo", "open house")
+CONGREGATIONS = ("church", "parish", "cathedral", "chapel", "congregation", "synagogue", "temple", "mosque", "masjid", "diocese", "ministr{y,ies}", "lutheran", "methodist", "baptist", "presbyterian", "episcopal", "catholic", "orthodox", "evangel*")
+FAITH_PUBLIC = (
+    "concert{,s}", "recital", "symphony", "orchestra", "open mic", "fest{ival,}", "fair", "bazaar", "carnival", "jubilee", "block party", "fundrais*", "benefit{,s}", "gala", "auction", "golf outing", "#k", "fun run", "car wash",
+    "rummage", "{flea,farmers,farmer s,holiday,christmas} market", "{garage,yard,estate,craft,bake,book,plant} sale", "craft show", "fish fry", "{pancake,community,free} breakfast", "{spaghetti,pasta,chicken,community,free} dinner", "food truck",
+    "community {meal,lunch,supper,picnic,cookout}", "free {meal,lunch}", "soup supper", "{blood,food,clothing,coat} drive", "food pantry", "community garden", "vacation bible school", "vbs", "day camp", "trunk or treat", "trick or treat", "egg hunt",
+    "tree lighting", "{live ,}nativity", "pumpkin{,s}", "hayride", "petting zoo", "art {show,walk}", "gallery", "{quilt,car} show", "open house", "grand opening", "public {lecture,forum,talk}",
+)
+
+
+def says(text: Column, phrases: tuple[str, ...]) -> Column:
+    """Whether a text holds one of some phrases as whole words; one native expression, for short lists."""
+    words = "|".join(p.replace("*", "[^ ]*").replace(".", r"\.") for raw in phrases for p in signals.expand(raw))
+    return signals.plain(text).rlike(f" (?:{words}) ")
+
+
+def municipal_public(title: Column) -> Column:
+    """Whether a town's entry is for the public: false for none, what is called off, governance, and closed offices; other closures
+    and bare holidays count only beside words of public events."""
+    name = F.trim(signals.plain(title))
+    holiday = name.isin([h for raw in HOLIDAYS for h in signals.expand(raw)])
+    off = says(title, ("cancel{led,ed}", "postponed")) | says(title, GOVERNANCE) | says(title, CLOSURES) | signals.plain(title).rlike(r" closed [^.]*(?:holiday|observ)")
+    return (name != "") & ~off & (~(says(title, ("closed",)) | holiday) | says(title, TOWN_EVENTS))
+
+
+def congregation(name: Column) -> Column:
+    """Whether a name is that of a place of worship."""
+    return says(name, CONGREGATIONS)
+
+
+def allowlisted(title: Column, description: Column | None = None, phrases: tuple[str, ...] = FAITH_PUBLIC) -> Column:
+    """Only what speaks of a gathering that is open to all; a congregation's other entries are its own."""
+    return says(F.concat_ws(" ", title, *([] if description is None else [description])), phrases)
