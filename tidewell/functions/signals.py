@@ -68,7 +68,7 @@ class Run:
 @dataclass(frozen=True)
 class Rules:
     signals: tuple[Signal, ...]
-    #: (group, run) of what is said beside the event.
+    #: (group, run) of what is said beside the event; of a group, each phrase serves the first run that takes it.
     asides: tuple[tuple[str, Run], ...] = ()
     family: Phrases = ()
     family_title: Phrases = ()
@@ -156,14 +156,15 @@ class Reader:
     def places(self, found: dict[int, list[Place]], phrases: Phrases) -> list[Place]:
         return found.get(self.finder.groups[phrases], [])
 
-    def run_places(self, said: Said, run: Run) -> list[Place]:
+    def run_places(self, said: Said, run: Run, gone: list[Place] | None = None) -> list[Place]:
+        """A run's places, in order; phrases inside what is ``gone`` neither open nor close one."""
         out: list[Place] = []
-        closes = self.places(said.found, run.closes)
+        closes = outside(self.places(said.found, run.closes), gone or [])
         starts = [start for start, _ in closes]
         reach = len(said.text) if run.gap is None else run.gap
         if run.fillers is not None:
             reach = min(reach, run.most * (1 + max(map(len, run.fillers), default=0)) + 1)
-        for start, end in self.places(said.found, run.opens):
+        for start, end in outside(self.places(said.found, run.opens), gone or []):
             if out and start < out[-1][1]:
                 continue
             if run.closes:
@@ -229,10 +230,10 @@ class Reader:
 
     def read(self, text: str, title_end: int) -> dict:
         said = Said(text, self.finder.find(text), [m.start() for m in STOPS.finditer(text)])
-        groups: dict[str, list[Place]] = {}
+        asides: dict[str, list[Place]] = {}
         for group, run in self.rules.asides:
-            groups.setdefault(group, []).extend(self.run_places(said, run))
-        asides = {group: merged(places) for group, places in groups.items()}
+            known = asides.get(group, [])
+            asides[group] = merged(known + self.run_places(said, run, known))
         scores: dict[str, int] = {}
         for signal in self.rules.signals:
             if self.counts(signal, said, title_end, asides.get(signal.outside, [])):
