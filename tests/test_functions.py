@@ -80,7 +80,7 @@ def test_addresses_and_names(spark):
     assert table(spark, text.organization_key, "The  Old Mill", "Theatre") == ["old mill", "theatre"]
     assert table(spark, text.website, "example.org", "http://a.b/c", "no dots", "https://nodot", "", None) == ["https://example.org", "http://a.b/c", None, None, None, None]
     assert table(spark, lambda a: text.absolute_url(a, F.lit("https://x.org/p/q")), "/r", "//y.org/z", "s", "", "https://k.org") == ["https://x.org/r", "https://y.org/z", "https://x.org/p/s", None, "https://k.org"]
-    assert [tuple(v) for v in table(spark, lambda a: text.municipal_location(a), "<p>City Hall</p><p>12 Main St</p>", "Park - 9 Elm St")] == [("City Hall", "12 Main St"), ("Park", "9 Elm St")]
+    assert [tuple(v) for v in table(spark, lambda a: text.municipal_location(a), "<p>City Hall</p><p>12 Main St</p>", "Park - 9 Elm St")] == [("City Hall", None), ("Park", "9 Elm St")]
 
 
 def test_slugs_and_search(spark):
@@ -530,3 +530,15 @@ def test_cached_results(spark, tmp_path):
     assert pages.cached(spark, "a", path, make(4), at + timedelta(minutes=4)).count() == 3 and made == [3]
     assert pages.cached(spark, "a", path, make(4), at + timedelta(minutes=6)).count() == 4
     assert pages.cached(spark, "b", path, make(5), at, most=4).count() == 5 and pages.cached(spark, "b", path, make(2), at, most=4).count() == 2
+
+
+def test_public_entries(spark):
+    assert table(spark, classify.municipal_public, None, "", "Council concert", "Labor Day", "Labor Day parade", "Pool closed", "Parade: Elm closed", "Fair (cancelled)") == [False, False, False, False, True, False, True, False]
+    assert table(spark, lambda a, b: classify.allowlisted(a, b), ("Sunday worship", None), ("Sunday worship", "then a fish fry"), ("Fundraiser", ""), (None, None), columns="a,b") == [False, True, True, False]
+    assert table(spark, classify.congregation, "Elm Lutheran", "Elm Hall", "Templeton Hall") == [True, False, False]
+
+
+def test_town_locations(spark):
+    rows = ["Elm Hall - Annex - 12 Oak Rd  Elm OH 44000", "Elm Hall - Oak Street  Elm OH 44000", "- 12 Oak Rd", "12 Oak Rd", "Elm Hall &gt; Room 2", None, " &nbsp; ", "x" * 81, "Opens 7 p.m.", "Elm Hall - 7"]
+    expected = [("Elm Hall", "12 Oak Rd"), ("Elm Hall", None), (None, None), (None, None), ("Elm Hall - Room 2", None), (None, None), (None, None), (None, None), (None, None), ("Elm Hall", None)]
+    assert [tuple(v) for v in table(spark, text.municipal_location, *rows)] == expected

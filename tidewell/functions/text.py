@@ -311,11 +311,26 @@ def comma_location(s: Column) -> Column:
     return F.when(fits, F.struct(F.get(parts, F.lit(0)).alias("name"), F.get(parts, F.lit(1)).alias("address"), city.alias("city")))
 
 
-def municipal_location(s: Column, decode=decode_entities) -> Column:
-    """struct<name, address> of a municipal feed's location: HTML lines or " - " parts, the first with a house number is the address."""
-    lines = F.filter(F.transform(F.split(F.regexp_replace(html_to_text(s, decode), r"\s+[-–—]\s+", "\n"), r"\n+"), lambda p: F.trim(p)), lambda p: p != "")
-    at = lambda test: F.get(F.filter(lines, test), F.lit(0))
-    return F.struct(at(lambda p: ~p.rlike(r"^\d")).alias("name"), at(lambda p: p.rlike(r"^\d+\s+\S")).alias("address"))
+def municipal_location(s: Column, decode=decode_entities, state: str = "OH") -> Column:
+    """struct<name, address> of a town's location, mostly "Name - 12 Main St  City OH 12345"; nulls for what is no place.
+
+    Of several HTML blocks the first with text counts.  What follows the first dash is taken from the name if it begins with a number
+    or holds a postcode; the address is then what follows the last dash, up to two blanks or the city, if it looks like a street's.
+    A name that is empty, a number, a time, a sentence (over 80 characters) or has no letter is none, and then there is no address.
+    """
+    dash, post = r"\s[-–—]\s", r"\b[A-Za-z]{2}\s+\d{5}\b"
+    blocks = F.transform(F.split(s, r"(?i)</(?:p|div)>|<br\s*/?>"), lambda b: F.regexp_replace(b, r"<[^>]*>", " "))
+    first = F.get(F.filter(blocks, lambda b: F.regexp_replace(b, r"\s|&nbsp;", "") != ""), F.lit(0))
+    kept = F.trim(F.translate(decode(first), "\u00a0", " "))
+    line = F.regexp_replace(kept, r"\s+", " ")
+    after, tail = F.regexp_extract(line, rf"{dash}(.*)$", 1), F.regexp_extract(kept, rf"(?s)^.*{dash}\s*(.*)$", 1)
+    located = lambda c: c.rlike(r"^\d") | c.rlike(post)
+    bare = F.when(located(after), F.regexp_replace(line, rf"{dash}.*$", "")).otherwise(line)
+    street = F.trim(F.when(tail.rlike(r"\s{2,}"), F.regexp_replace(tail, r"(?s)\s{2,}.*$", "")).otherwise(F.regexp_replace(tail, rf"(?i)\s+[a-z][a-z .]*\s+{state}\s+\d{{5}}.*$", "")))
+    sound = street.rlike(r"^\d+[A-Za-z]?\s+\S") & F.length(street).between(6, 60) & ~street.rlike(post)
+    name = F.trim(F.regexp_replace(F.regexp_replace(bare, r"\s*>\s*", " - "), rf"(?i)\s+{state}\s+\d{{5}}.*$", ""))
+    place = name.rlike("[A-Za-z]") & ~name.rlike(r"^[-–—\d]") & F.length(name).between(3, 80) & ~name.rlike(r"(?i)\b\d{1,2}(:\d{2})?\s*[ap]\.?m\b")
+    return F.struct(F.when(place, name).alias("name"), F.when(place & located(after) & located(tail) & sound, street).alias("address"))
 
 
 def organization_key(s: Column) -> Column:

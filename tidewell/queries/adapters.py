@@ -104,11 +104,29 @@ def lineup_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feeds.lineup(e.select(body.alias("body"))).select("title", stamp("start_at").alias("start_at"), F.array_join("tags", ",").alias("tags"))
 
 
-@query(f"WITH {VENUES_SQL} SELECT id, name, CAST(id AS VARCHAR) || ' Main Street' AS address FROM ve")
+#: What towns write as a location, around a venue's name (@) and number (%).
+LOCATIONS = (
+    "@ - % Main Street  Springfield OH 44000", "<p><b>@</b></p><p>Corner of Elm &amp; Oak</p>", "@ — % W. Elm Rd", "@ - North Wing - % Main Street Springfield OH 44000", "@ > Room %", "@ - First Street  Springfield OH 44000", " - % Main Street  Springfield OH 44000",
+    "% Main Street", "@ from 10:30 am", "@ &amp; Annex - %B Main St &amp; 5th&nbsp;&nbsp;Springfield OH 44000", "@ - Lawn", "@, where all who want to help are asked to bring a rake, a bucket and much time", "<br/>@ - %", "@ OH 44000", "--", "",
+)
+
+
+def _located(c: str) -> str:
+    return f"(regexp_matches({c}, '^[0-9]') OR regexp_matches({c}, '\\b[A-Za-z]{{2}}\\s+[0-9]{{5}}\\b'))"
+
+
+@query(f"""WITH {VENUES_SQL}, x AS (SELECT id, replace(replace([{', '.join(f"'{x}'" for x in LOCATIONS)}][id % {len(LOCATIONS)} + 1], '@', name), '%', CAST(id AS VARCHAR)) AS raw FROM ve),
+  k AS (SELECT id, list_filter(list_transform(regexp_split_to_array(raw, '(?i)</p>|<br */?>'), lambda b: trim(replace(replace(regexp_replace(b, '<[^>]*>', ' ', 'g'), '&amp;', '&'), '&nbsp;', ' '))), lambda b: b <> '')[1] AS kept FROM x),
+  l AS (SELECT *, regexp_replace(kept, ' +', ' ', 'g') AS line FROM k),
+  t AS (SELECT *, regexp_extract(line, ' [-—] (.*)$', 1) AS after, regexp_extract(kept, '^.* [-—] +(.*)$', 1) AS tail FROM l),
+  s AS (SELECT *, CASE WHEN {_located('after')} THEN regexp_replace(line, ' [-—] .*$', '') ELSE line END AS bare, trim(regexp_replace(regexp_replace(tail, '  .*$', ''), ' +[A-Za-z][A-Za-z .]* +OH +[0-9]{{5}}.*$', '')) AS street FROM t),
+  n AS (SELECT *, trim(regexp_replace(replace(bare, ' > ', ' - '), ' +OH +[0-9]{{5}}.*$', '')) AS n FROM s),
+  p AS (SELECT *, regexp_matches(n, '[A-Za-z]') AND NOT regexp_matches(n, '^[-—0-9]') AND length(n) BETWEEN 3 AND 80 AND NOT regexp_matches(n, '[0-9]{{1,2}}(:[0-9]{{2}})? *[ap]m') AS place FROM n)
+  SELECT id, CASE WHEN place THEN n END AS name, CASE WHEN place AND {_located('after')} AND {_located('tail')} AND regexp_matches(street, '^[0-9]+[A-Za-z]? +[^ ]') AND length(street) BETWEEN 6 AND 60 AND NOT regexp_matches(street, '[A-Za-z]{{2}} +[0-9]{{5}}') THEN street END AS address FROM p""")
 def municipal_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = catalog.venues(spark, sf_dir)
-    raw = F.when(F.col("id") % 2 == 0, F.concat("name", F.lit("<br/>"), "id", F.lit(" Main Street<br>Springfield"))).otherwise(F.concat("name", F.lit(" - "), "id", F.lit(" Main Street - Springfield")))
-    at = text.municipal_location(raw)
+    shape = F.get(F.array(*map(F.lit, LOCATIONS)), (F.col("id") % len(LOCATIONS)).cast("int"))
+    at = text.municipal_location(F.replace(F.replace(shape, F.lit("@"), F.col("name")), F.lit("%"), F.col("id").cast("string")))
     return v.select("id", at["name"].alias("name"), at["address"].alias("address"))
 
 
@@ -120,10 +138,13 @@ def shouted_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), text.clean_title(F.upper("p_name")).alias("title"))
 
 
-@query("SELECT doc_id, CASE WHEN regexp_matches(substr(text, 1, 100), '[^\\x{0}-\\x{FFFF}]') THEN NULL ELSE substr(text, 1, 100) END AS head FROM documents")
+@query("""WITH x AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN substr(text, 1, doc_id % 100) || '😀😀' || text ELSE repeat('🎻', doc_id % 60) || text END AS t FROM documents)
+  SELECT doc_id, substr(t, 1, list_max(list_filter(range(0, 101), lambda k: k + length(regexp_replace(substr(t, 1, k), '[\\x{0}-\\x{FFFF}]', '', 'g')) <= 100))) AS head FROM x""")
 def clamped_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = F.left("text", F.lit(100)).rlike(r"[^\x{0}-\x{FFFF}]")
-    return catalog.table(spark, sf_dir, "documents").select("doc_id", F.when(~wide, text.clamp(F.col("text"), 100)).alias("head"))
+    """Heads of at most 100 units of two bytes, with characters that take two such units, some across the end."""
+    n = F.col("doc_id")
+    long = F.when(n % 3 == 0, F.col("text")).when(n % 3 == 1, F.concat(F.left("text", (n % 100).cast("int")), F.lit("😀😀"), "text")).otherwise(F.concat(F.repeat(F.lit("🎻"), (n % 60).cast("int")), "text"))
+    return catalog.table(spark, sf_dir, "documents").select("doc_id", text.clamp(long, 100).alias("head"))
 
 
 @query("SELECT page_id, regexp_extract(url, '^https?://[^/?#]+') || '/a/b?c=1' AS rooted, 'https://cdn.example/x.png' AS bare, url AS whole FROM pages")
