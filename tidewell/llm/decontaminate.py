@@ -175,34 +175,53 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
 
 
 def _find(docs: DataFrame, benchmark: DataFrame, window: int, groups: int, n_words: str, hits: str, items: str) -> DataFrame:
-    """``docs`` with the hits of all automata, each a pass; of several, the driver and tasks hold one at a time."""
-    out = docs
+    """``docs`` with the hits of all automata, each a pass; of several, the driver and tasks hold one at a time.
+
+    With several, the documents are written once, numbered; a pass reads numbers and texts and writes the numbers of documents with hits
+    (the first one all numbers, with counts of words), and what the passes found is joined to the documents in the end.
+    """
+    spark = docs.sparkSession
+    if groups == 1:
+        return _pass(docs, spark.sparkContext.broadcast(automaton(benchmark, window, 0, 1)), docs.columns, n_words, hits, items)
+    (row,) = safe(docs, "row_number")
+    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "decontaminate")
+    passes = []
     for group in range(groups):
-        shared = docs.sparkSession.sparkContext.broadcast(automaton(benchmark, window, group, groups))
-        out = _pass(out, shared, n_words, hits, items, first=group == 0)
-        if groups > 1:
-            out = materialize(out, "decontaminate")
-            shared.destroy()
-    return out
+        shared = spark.sparkContext.broadcast(automaton(benchmark, window, group, groups))
+        found = _pass(numbered.select(row, "text"), shared, [row], n_words, hits, items)
+        passes.append(materialize(found if group == 0 else found.filter(F.size(hits) > 0), "decontaminate-hits"))
+        shared.destroy()
+    listed = reduce(DataFrame.unionByName, passes).groupBy(row).agg(F.max(n_words).alias(n_words), F.flatten(F.collect_list(hits)).alias(hits), F.flatten(F.collect_list(items)).alias(items))
+    kept = [c for c in docs.columns if c not in (n_words, hits, items)]
+    return numbered.select(*kept, row).join(_merged(listed, hits, items), row).select(*kept, n_words, hits, items)
 
 
-def _pass(docs: DataFrame, shared, n_words: str, hits: str, items: str, first: bool) -> DataFrame:
-    kept = [c for c in docs.columns if c not in (n_words, hits, items)]
+def _merged(found: DataFrame, hits: str, items: str) -> DataFrame:
+    """Rows with the spans of all passes merged; an item lies in one automaton, but null ids and repeats may not."""
+
+    def fn(c: dict[str, list]) -> dict[str, list]:
+        c[hits] = [[{"start": a, "stop": b} for a, b in merge([(s["start"], s["stop"]) for s in spans])] for spans in c[hits]]
+        c[items] = [sorted(set(names)) for names in c[items]]
+        return c
+
+    return map_rows(found, fn, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema))
+
+
+def _pass(docs: DataFrame, shared, carried: list[str], n_words: str, hits: str, items: str) -> DataFrame:
+    """The columns ``carried`` of ``docs`` with what one automaton finds in their texts."""
+    kept = [c for c in carried if c not in (n_words, hits, items)]
     (whole,) = safe(docs, "text_bytes")
-    source = docs.select(*kept, *([] if first else [n_words, hits, items]), utf8("text").alias(whole))
+    source = docs.select(*kept, utf8("text").alias(whole))
     kept_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema)
     schema = f"{kept_schema}, `{n_words}` long, `{hits}` array<struct<start:int,stop:int>>, `{items}` array<string>"
 
     def fn(c: dict[str, list]) -> dict[str, list]:
         machine = shared.value
         counts, spans, found = [], [], []
-        for i, text in enumerate(c[whole]):
+        for text in c[whole]:
             tokens = words(text)
             own, names = machine.scan(tokens)
             names.discard(None)
-            if not first:
-                own = merge([*own, *((s["start"], s["stop"]) for s in c[hits][i])])
-                names |= set(c[items][i])
             counts.append(len(tokens))
             spans.append([{"start": a, "stop": b} for a, b in own])
             found.append(sorted(names))
