@@ -241,7 +241,7 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of every document."""
+    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of every document, as ``find_contamination`` finds them."""
     found = find_contamination(docs.select("doc_id", "text"), benchmark, window)
     return found.select(
         "doc_id",

@@ -74,7 +74,7 @@ def mix(
     it all documents of a source are alike.  Copies lie between 0 and ``cap`` rounded up; a document without words is
     never taken.  The draw depends on the seed, doc_id and text alone, so reruns agree and equal rows, being
     interchangeable, yield the same multiset.  Null texts have no words; null sources form one source; an empty table
-    gives an empty result; further columns of ``docs`` are not read.
+    gives an empty result; texts of any length are counted whole; further columns of ``docs`` are not read.
     """
     spark = docs.sparkSession
     sized = materialize(

@@ -206,7 +206,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     """Learns from at most ``max_labelled`` labelled documents (doc_id, quality; 0 is bad), chosen by hash of their id.
 
     Where an id has several labels the lowest counts.  Null labels and ids, and labels without a document, are left out;
-    without both kinds of label the list is empty and keeps all.
+    without both kinds of label, or without documents, the list is empty and keeps all.  Texts of any length are counted whole.
     """
     chosen = (
         labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
@@ -230,7 +230,7 @@ def judge(docs: DataFrame, rules: DecisionList, least_words: int = 50, most_repe
     """``docs`` with its counts, base_failed and kept; base rules come first, then the learned list.
 
     Null and empty texts have no words and fail the base rule.  Each row is judged by its text alone, so repeated rows
-    get equal verdicts; clashing column names get underscores before the new ones, as the second value tells.
+    get equal verdicts; texts of any length are counted whole and an empty table gives no rows; clashing column names get underscores before the new ones, as the second value tells.
     """
     rows, names = with_counts(docs)
     failed, kept = safe(rows, "base_failed", "kept")
@@ -240,6 +240,10 @@ def judge(docs: DataFrame, rules: DecisionList, least_words: int = 50, most_repe
 
 
 def filter_quality(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The documents that the rules keep, columns as given."""
+    """The documents that the rules keep, columns as given; null and empty texts go, equal rows are judged alike.
+
+    Texts of any length are judged whole, columns may have any names, and an empty table gives no rows; without labels of both kinds
+    only the base rules apply.
+    """
     judged, names = judge(docs, fit(docs, labels), **options)
     return judged.filter(F.col(names["kept"])).select(*docs.columns)

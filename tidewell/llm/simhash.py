@@ -96,7 +96,8 @@ def signature(hashes: np.ndarray) -> bytes:
 def fingerprints(docs: DataFrame, shingle: int = 4, signed: bool = False, keyed: bool = False) -> DataFrame:
     """doc_id, fp (the fingerprint as a signed long) and, if asked for, sig (the signature) and key of every row.
 
-    Null texts have no words.
+    Null and empty texts have no words: their fingerprint is zero.  Texts of any length are read whole, in time that grows with their
+    words; repeated rows give equal rows, an empty table none, and other columns are not read.
     """
 
     def fn(c: dict[str, list]) -> dict[str, list]:
@@ -367,7 +368,8 @@ def drop_near_duplicates(docs: DataFrame, bits: int = 4, shingle: int = 5, simil
     """The documents with one row of each near-duplicate component: of its smallest doc_id, null last, that with the least MD5.
 
     Different texts that share a doc_id, or have none, are documents of their own; of rows that share both doc_id and text
-    one stays.  Columns as given.  Only ids and digests travel to the join, texts are shuffled once.
+    one stays.  Null, empty and wordless texts are copies of each other; texts of any length are compared whole, and an empty table gives
+    no rows.  Columns as given, whatever their names.  Only ids and digests travel to the join, texts are shuffled once.
     """
     made = materialize(fingerprints(docs, shingle, similarity is not None, keyed=True), "fingerprints")
     rooted = _components(made, bits, None, similarity, F.min("key").alias("first"))

@@ -97,7 +97,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512) -> DataFrame
     """doc_id, n_bytes (UTF-8), n_tokens and over_limit of every row.
 
     ``tokenizer`` is the path of a byte-level .json file that every executor can read.  Null and empty texts have no bytes
-    and tokens; equal rows give equal results; other columns of ``docs`` are not read; an empty table gives no rows.
+    and tokens; texts of any length are counted whole; equal rows give equal results; other columns of ``docs`` are not read; an empty table gives no rows.
     """
 
     def fn(c: dict[str, list]) -> dict[str, list]:
