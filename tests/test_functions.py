@@ -484,6 +484,16 @@ def test_festivals(spark):
     assert [pages.upcoming_festival(registry, datetime(2024, m, d, 12)).first()["slug"] for m, d in ((5, 30), (6, 2), (7, 1))] == ["oak-day-2024", "elm-2024", None]
 
 
+def test_festivals_whose_keys_agree_without_blanks(spark):
+    from tidewell.plans import pages
+
+    rows = [("lantern-1-2022", "Lantern 1 Festival", date(2024, 1, 2)), ("lantern-12022-2023", "Lantern 12022 Festival", date(2023, 6, 1))]
+    registry = spark.createDataFrame(rows, "slug string, name string, day date")
+    asked = spark.createDataFrame([(1, "lantern_12022"), (2, "LANTERN 1-2022"), (3, "lantern12022")], "ask_id int, name string")
+    found = {r["ask_id"]: r["slug"] for r in pages.resolve_festivals(asked, registry, date(2024, 1, 1)).collect()}
+    assert found == {1: "lantern-12022-2023", 2: "lantern-1-2022", 3: "lantern-1-2022"}
+
+
 def test_day_plan_changes(spark):
     from tidewell.plans import day_plans
 

@@ -466,10 +466,19 @@ def query_key(s: Column) -> Column:
     return F.regexp_replace(F.lower(s), r"[\s_-]", "")
 
 
+def spelled(s: Column) -> Column:
+    """Like query_key, with one blank between words."""
+    return F.trim(F.regexp_replace(F.lower(s), r"[\s_-]+", " "))
+
+
+def festival_names(slug_: Column, name: Column, generic: tuple[str, ...] = ("festival", "fest", "day", "days")) -> Column:
+    """Texts that name a festival: slug, slug without a year, name, name without a generic last word."""
+    return F.array(slug_, F.regexp_replace(slug_, r"-\d{4}$", ""), name, F.regexp_replace(F.lower(name), rf"\s+({'|'.join(generic)})$", ""))
+
+
 def festival_candidates(slug_: Column, name: Column, generic: tuple[str, ...] = ("festival", "fest", "day", "days")) -> Column:
-    """Keys by which a festival is found: slug, slug without a year, name, name without a generic last word; four letters at least."""
-    base = F.array(query_key(slug_), query_key(F.regexp_replace(slug_, r"-\d{4}$", "")), query_key(name), query_key(F.regexp_replace(F.lower(name), rf"\s+({'|'.join(generic)})$", "")))
-    return F.filter(F.array_distinct(base), lambda k: F.length(k) >= 4)
+    """Keys by which a festival is found, of its names; four letters at least."""
+    return F.filter(F.array_distinct(F.transform(festival_names(slug_, name, generic), query_key)), lambda k: F.length(k) >= 4)
 
 
 def column_tag(tags: Column) -> Column:

@@ -39,11 +39,15 @@ def cached(spark: SparkSession, key: str, path: str, make: Callable[[], DataFram
 
 def resolve_festivals(asked: DataFrame, registry: DataFrame, today: date) -> DataFrame:
     """Asked names (ask_id, name) with the festival (slug, name, day) they mean: one of its candidate keys, the nearest
-    upcoming day where several agree, else the latest past one."""
-    keys = registry.select("slug", "day", F.explode(text.festival_candidates(F.col("slug"), F.col("name"))).alias("k")).distinct()
+    upcoming day where several agree, else the latest past one.
+
+    Keys have no blanks, so "lantern-1-2022" and "Lantern 12022" share one: festivals with the words that were asked for come first.
+    """
+    named = F.explode(text.festival_names(F.col("slug"), F.col("name")))
+    keys = registry.select("slug", "day", named.alias("n")).select("slug", "day", text.query_key(F.col("n")).alias("k"), text.spelled(F.col("n")).alias("words")).filter(F.length("k") >= 4).distinct()
     ahead = F.datediff("day", F.lit(today))
-    order = F.struct((ahead < 0).alias("past"), F.abs(ahead).alias("far"), "slug")
-    met = asked.withColumn("k", text.query_key(F.col("name"))).join(keys, "k")
+    order = F.struct((F.col("words") != F.col("said")).alias("squashed"), (ahead < 0).alias("past"), F.abs(ahead).alias("far"), "slug")
+    met = asked.select("ask_id", text.query_key(F.col("name")).alias("k"), text.spelled(F.col("name")).alias("said")).join(keys, "k")
     return met.groupBy("ask_id").agg(F.min_by("slug", order).alias("slug"))
 
 
