@@ -127,7 +127,7 @@ def alias_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def capped_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups that a run may execute under a cap."""
     chosen, outcome = dedupe.chosen(dedupe.planned(ranked_members(spark, sf_dir)), CAP)
-    return spark.createDataFrame([(g, outcome) for g in chosen], "group_id string, outcome string")
+    return chosen.select("group_id", F.lit(outcome).alias("outcome"))
 
 
 @query(f"""{_capped_sql("100")}, ln AS (SELECT id AS event_id, user_id % 10 AS venue_id, user_id AS organization_id FROM ev WHERE id % 2 = 0),
