@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewell import catalog
 from tidewell.catalog import EVENTS_SQL, VENUES_SQL
 from tidewell.functions import text
-from tidewell.operators import merge
+from tidewell.operators import joins, merge
 from tidewell.queries.base import NOW, Registry, sql_stamp, stamp
 from tidewell.sources import feeds
 
@@ -153,11 +153,14 @@ def absolute_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.table(spark, sf_dir, "pages").select("page_id", to(F.lit(" /a/b?c=1 ")).alias("rooted"), to(F.lit("//cdn.example/x.png")).alias("bare"), to(F.col("url")).alias("whole"))
 
 
-@query("""WITH w AS (SELECT p_partkey AS id, list_distinct(string_split(p_name, ' ')) AS t, p_type, p_size FROM part) SELECT a.id AS a, b.id AS b, round(2.0 * len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t)), 6) AS similarity FROM w a JOIN w b ON a.id < b.id AND a.p_type = b.p_type AND a.p_size = b.p_size""")
+@query("""WITH w AS (SELECT min(p_partkey) AS id, count(*) AS n, list_distinct(string_split(p_name, ' ')) AS t, p_type, p_size FROM part GROUP BY p_name, p_type, p_size)
+  SELECT 'pair' AS part, a.id AS a, b.id AS b, round(2.0 * len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t)), 6) AS similarity FROM w a JOIN w b ON (a.id < b.id OR (a.id = b.id AND a.n > 1)) AND a.p_type = b.p_type AND a.p_size = b.p_size
+  UNION ALL SELECT 'member', min(p_partkey) OVER (PARTITION BY p_name, p_type, p_size), p_partkey, NULL FROM part""")
 def dice_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = catalog.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("a"), F.split("p_name", " ").alias("t"), "p_type", "p_size")
-    both = w.join(w.select(F.col("a").alias("b"), F.col("t").alias("u"), "p_type", "p_size"), ["p_type", "p_size"]).filter("a < b")
-    return both.select("a", "b", F.round(text.dice(F.col("t"), F.col("u")), 6).alias("similarity"))
+    """Pairs of classes of parts with one name, type and size (with itself: copies), and members of the classes."""
+    made, members = joins.classes(catalog.table(spark, sf_dir, "part"), "p_partkey", "p_name", "p_type", "p_size")
+    similarity = F.round(text.dice(F.split("p_name_a", " "), F.split("p_name_b", " ")), 6).alias("similarity")
+    return joins.class_pairs(made, "p_type", "p_size").select(F.lit("pair").alias("part"), "a", "b", similarity).unionByName(members, allowMissingColumns=True)
 
 
 @query("SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey AND a.s_nationkey = b.s_nationkey WHERE levenshtein(a.s_name, b.s_name) <= 1")
