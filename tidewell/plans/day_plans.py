@@ -37,7 +37,8 @@ def as_json(plans: DataFrame, items: DataFrame, events: DataFrame, aliases: Data
     """(plan_id, items): each plan's resolved items as JSON, ordered by the time of the event, or of the snapshot if it is gone."""
     resolved = resolve_items(items, events, aliases)
     live = events.select(F.col("id").alias("e_id"), F.col("title").alias("e_title"), F.col("start_at").alias("e_start"))
-    shown = resolved.join(live, F.col("resolved_id") == F.col("e_id"), "left")
+    gone = F.col("resolved_id").isNull()  # as keys of the join they would all meet in one task
+    shown = resolved.filter(~gone).join(live, F.col("resolved_id") == F.col("e_id"), "left").unionByName(resolved.filter(gone), allowMissingColumns=True)
     at = F.coalesce("e_start", "snap_start_at")
     item = F.struct(at.alias("sort_at"), "event_id", "resolved_id", "status", F.coalesce("e_title", "snap_title").alias("title"))
     packed = shown.groupBy("plan_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list(item)), lambda s: s.dropFields("sort_at"))).alias("items"))
