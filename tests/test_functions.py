@@ -271,6 +271,20 @@ def test_digest_equals_the_plain_choice(spark, monkeypatch, orgs, days, count):
         assert got[sub] == select_picks(own, digest.MOST, digest.PER_ORG)
 
 
+def test_digest_writes_no_pairs_of_members_and_events(spark, monkeypatch):
+    """Many members of a profile: what is written grows with events and with members, not with members' days."""
+    from datetime import date, timedelta
+
+    written, write = [], digest.materialize
+    monkeypatch.setattr(digest, "materialize", lambda frame, tag: (written.append(write(frame, tag)), written[-1])[1])
+    start = datetime(2024, 1, 15, 17)
+    rows = [(1, i, start + timedelta(days=i % 5, minutes=i), f"o{i}", i % 20 == 0, True, 2 if i % 4 else 10) for i in range(100)]
+    found = spark.createDataFrame(rows, "profile long, id long, start_at timestamp, org string, featured boolean, image boolean, base int")
+    members = spark.range(600).selectExpr("id AS sub_id", "1L AS profile")
+    assert digest.digest(found, members, date(2024, 1, 15)).count() == 600 * digest.MOST
+    assert sum(f.count() for f in written) <= 600 + 3 * 100
+
+
 def test_preferences_meet_by_terms(spark):
     """Keywords of several words, areas, unplaced events and unwanted days, against a plain test of every pair."""
     at = datetime(2024, 1, 16, 12)

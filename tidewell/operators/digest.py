@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from datetime import date, datetime, timedelta
+from itertools import islice
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from tidewell.functions import geo, prices, times
-from tidewell.operators.ordering import numbered
 from tidewell.scratch import materialize
 
 MOST, PER_ORG = 14, 2
@@ -42,28 +46,16 @@ def mulberry32(seed: Column) -> Column:
     return seed
 
 
-def jittered(frame: DataFrame, seed: Column) -> DataFrame:
-    """``frame`` with ``score``, its ``base`` and JITTER times mulberry32 of the seed, a column a step, so each is computed once.
+def jitters(mailed: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """JITTER times mulberry32 of each member's seed (rows) with each event's (columns), both 32-bit."""
+    a = (mailed[:, None] ^ seeds[None, :]) + np.uint32(0x6D2B79F5)
+    t = (a ^ (a >> 15)) * (a | 1)
+    t = (t + (t ^ (t >> 7)) * (t | 61)) ^ t
+    return JITTER * ((t ^ (t >> 14)) / 4294967296.0)
 
-    The score is marked as depending on the partition, which it doesn't: else a filter on it would be pushed below the steps, and
-    would unfold them to hundreds of operations a row.
-    """
-    made = frame.withColumn("score", seed)
-    for step in _mixed():
-        made = made.withColumn("score", step(F.col("score")))
-    return made.withColumn("score", F.when(F.spark_partition_id() >= 0, F.col("base") + JITTER * F.col("score")))
-
-
-#: Members of a profile that meet its events in one task.
-MEMBERS = 256
 
-
-def met(pool: DataFrame, members: DataFrame, *on: str) -> DataFrame:
-    """``pool`` joined with ``members`` on the profile: by parts of MEMBERS members, as many may share a profile."""
-    sizes = members.groupBy("profile").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("parts"))
-    dealt = members.join(sizes, "profile").withColumn("part", F.pmod(F.xxhash64("sub_id"), F.col("parts")).cast("int")).drop("parts")
-    copies = pool.join(sizes, "profile").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    return copies.join(dealt.hint("shuffle_hash"), ["profile", "part", *on]).drop("part")
+#: Members of a profile whose mails one task chooses together, and events that they meet at a time.
+MEMBERS, AT_ONCE = 512, 2048
 
 
 def base_score(low: Column, high: Column, description: Column, ticket_url: Column) -> Column:
@@ -159,71 +151,167 @@ def bounds(most: int, per_org: int) -> tuple[int, int]:
     return of_org, most + (most // per_org) * of_org + 1
 
 
-def cutoffs(pool: DataFrame, reach: int) -> DataFrame:
-    """(profile, day, cut): a score that, by the jitter's even spread, about twice ``reach`` of a day's events pass; none where they are fewer."""
-    grid = F.explode(F.transform(F.sequence(F.lit(0), F.lit(32 * 24)), lambda i: i / 32.0))
-    base = pool.groupBy("profile", "day", "base").agg(F.count("*").alias("n"))
-    passing = F.least(F.greatest((F.col("base") + JITTER - F.col("cut")) / JITTER, F.lit(0.0)), F.lit(1.0))
-    return base.withColumn("cut", grid).groupBy("profile", "day", "cut").agg(F.sum(F.col("n") * passing).alias("n")).filter(F.col("n") >= 2 * reach).groupBy("profile", "day").agg(F.max("cut").alias("cut"))
-
-
-def queues(pool: DataFrame, members: DataFrame, most: int, per_org: int) -> DataFrame:
-    """(sub_id, day, queue): each subscriber's best events of a day, at least as many as a mail's choice can reach, best first.
+def reachable(pool: DataFrame, most: int, reach: int) -> DataFrame:
+    """Those of ``pool`` that a mail may come to, with ``queued`` (for a day's turn), ``starred`` (as the featured one) and ``soon`` (to fill up).
 
-    Only events beyond a day's cutoff are gathered.  Where they are too few, which the spread of the jitter makes rare, or may all
-    belong to a few organizers, that subscriber's whole day is ranked by windows.
+    Scores lie less than JITTER above their base, so a base is out of reach where ``reach`` organizers have events JITTER above it
+    on that day; and no fill goes beyond the first day with so many.  Organizers are counted by hash, so never too many.
     """
-    of_org, reach = bounds(most, per_org)
-    cut = materialize(cutoffs(pool, reach), "cutoffs")
-    seed = F.col("mailed").bitwiseXOR(F.col("seed"))
-    entry = F.struct((-F.col("score")).alias("rank"), "start_at", "id", "org")
-    gathered = lambda rows: rows.groupBy("sub_id", "day").agg(F.sort_array(F.collect_list("entry")).alias("queue"), F.max("cut").alias("cut"))
-    pairs = jittered(met(pool.join(cut, ["profile", "day"], "left"), members), seed).filter(F.col("cut").isNull() | (F.col("score") >= F.col("cut")))
-    found = materialize(gathered(pairs.select("sub_id", "day", "cut", entry.alias("entry"))), "queues")
-    found = found.filter(F.col("cut").isNull() | (F.size(F.array_distinct(F.col("queue.org"))) >= reach)).select("sub_id", "day", "queue")
-    days = pool.select("profile", "day").distinct().join(members, "profile")
-    thin = materialize(days.join(found.select("sub_id", "day"), ["sub_id", "day"], "left_anti"), "thin")
-    if thin.isEmpty():
-        return found
-    order = [F.desc("score"), F.asc("start_at"), F.asc("id")]
-    again = jittered(met(pool, thin, "day"), seed).withColumn("r", F.row_number().over(Window.partitionBy("sub_id", "day", "org").orderBy(*order))).filter(F.col("r") <= of_org)
-    again = again.withColumn("r", F.row_number().over(Window.partitionBy("sub_id", "day").orderBy(*order))).filter(F.col("r") <= reach)
-    return found.unionByName(gathered(again.select("sub_id", "day", entry.alias("entry"), F.lit(None).alias("cut"))).select("sub_id", "day", "queue"))
-
-
-PICK = "struct<start_at:timestamp,id:bigint,org:string>"
-
-
-def picked(most: int, per_org: int) -> Column:
-    """Picks of a subscriber from columns ``best`` (the featured one or null), ``days`` (day, queue), ``early`` and ``first``.
-
-    One state, the picks so far, is folded over the turns of the days, then over the earliest events that an organizer's limit
-    may allow, then over the earliest of all.
-    """
-    let = lambda value, fn: F.transform(F.array(value), fn)[0]  # noqa: E731  computed once
-    pick = lambda e: F.struct(e["start_at"].alias("start_at"), e["id"].alias("id"), e["org"].alias("org"))
-    new = lambda ps, e: ~F.exists(ps, lambda p: p["id"] == e["id"])
-    fits = lambda ps, e: new(ps, e) & (F.size(F.filter(ps, lambda p: p["org"].eqNullSafe(e["org"]))) < per_org)
-    start = F.when(F.col("best").isNull(), F.array().cast(f"array<{PICK}>")).otherwise(F.array(pick(F.col("best"))))
-    # days with anything but the featured event; evenly spread ones if there are more than there is room for
-    days = F.filter("days", lambda d: F.exists(d["queue"], lambda e: F.col("best").isNull() | (e["id"] != F.col("best.id"))))
-    room = F.lit(most) - F.size(start)
-
-    def spread(ds: Column) -> Column:
-        at = F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(room, F.lit(1)) - 1), lambda i: F.floor(i * (F.size(ds) - 1) / F.greatest(room - 1, F.lit(1)) + 0.5).cast("int")))
-        return F.when((F.size(ds) > room) & (room > 1), F.transform(at, lambda i: F.get(ds, i))).otherwise(ds)
-
-    def turns(ds: Column) -> Column:
-        def turn(ps: Column, i: Column) -> Column:
-            queue = F.get(ds, (i % F.size(ds)).cast("int"))["queue"]
-            found = F.aggregate(queue, F.lit(None).cast(PICK), lambda p, e: F.coalesce(p, F.when(fits(ps, e), pick(e))))
-            return F.when(F.size(ps) >= most, ps).otherwise(let(found, lambda p: F.concat(ps, F.filter(F.array(p), lambda x: x.isNotNull()))))
-
-        return F.when(F.size(ds) == 0, start).otherwise(F.aggregate(F.sequence(F.lit(0), most * F.greatest(F.size(ds), F.lit(1)) - 1), start, turn))
-
-    taken = let(let(days, spread), turns)
-    fill = lambda ps, some, test: F.aggregate(some, ps, lambda p, e: F.when((F.size(p) < most) & test(p, e), F.concat(p, F.array(pick(e)))).otherwise(p))
-    return F.array_sort(fill(fill(taken, F.col("early"), fits), F.col("first"), new))
+    enough = max(reach, 2 * most)
+    orgs = F.size(F.collect_set(F.pmod(F.xxhash64("org"), F.lit(4 * enough))))
+    full = materialize(pool.groupBy("profile", "day", "base").agg(orgs.alias("orgs")).filter(F.col("orgs") >= enough), "full")
+    floors = full.groupBy("profile", "day").agg(F.max("base").alias("floor"))
+    until = full.groupBy("profile").agg(F.min("day").alias("until"))
+    tops = materialize(pool.filter("featured").groupBy("profile").agg(F.max("base").alias("top")), "tops")
+    beyond = lambda c: F.col(c).isNull() | (F.col("base") + JITTER > F.col(c))
+    found = pool.join(floors, ["profile", "day"], "left").join(until, "profile", "left").join(tops, "profile", "left")
+    found = found.withColumns({"queued": beyond("floor"), "starred": F.col("featured") & beyond("top"), "soon": F.col("until").isNull() | (F.col("day") <= F.col("until"))})
+    return found.filter(F.col("queued") | F.col("starred") | F.col("soon")).select(*pool.columns, "queued", "starred", "soon")
+
+
+#: Rows that a part of a profile is read from, in this order: its members (kind 0), fills (1, 2), then events (3) by day and time.
+ORDER = ("kind", "day", "at", "id")
+
+
+def _limited(who: np.ndarray, score: np.ndarray, org: np.ndarray, of_org: int, reach: int) -> np.ndarray:
+    """Places of each member's ``reach`` best entries with at most ``of_org`` of an organizer, by member, best first; of equals the one that comes first."""
+
+    def rank(group: np.ndarray) -> np.ndarray:
+        starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        return np.arange(len(group)) - np.repeat(starts, np.diff(np.r_[starts, len(group)]))
+
+    if not len(who):
+        return np.empty(0, np.int64)
+    best = np.lexsort((-score, who))
+    same = np.lexsort((org[best], who[best]))
+    of = np.empty(len(best), np.int64)
+    of[same] = rank(who[best][same] * (int(org.max()) + 1) + org[best][same])
+    best = best[of < of_org]
+    return best[rank(who[best]) < reach]
+
+
+class Part:
+    """Some members of a profile: what they have of each day so far, and in the end their picks."""
+
+    def __init__(self, most: int, per_org: int) -> None:
+        self.most, self.per_org = most, per_org
+        self.of_org, self.reach = bounds(most, per_org)
+        self.subs: list = []
+        self.fills: dict[int, list[tuple]] = {1: [], 2: []}
+        self.codes: dict[str | None, int] = {}
+        self.days: list[tuple[np.ndarray, ...]] = []
+        self.day: str | None = None
+
+    def join(self, subs: list, mailed: np.ndarray) -> None:
+        self.subs += subs
+        self.mailed = np.r_[self.mailed, mailed] if len(self.subs) > len(subs) else mailed
+        self.best: list[tuple | None] = [None] * len(self.subs)
+        self.score = np.full(len(self.subs), -np.inf)
+
+    def code(self, orgs: list) -> np.ndarray:
+        return np.array([self.codes.setdefault(o, len(self.codes)) for o in orgs], np.int64)
+
+    def meet(self, day: str, ids: np.ndarray, at: np.ndarray, org: np.ndarray, base: np.ndarray, seeds: np.ndarray, queued: np.ndarray, starred: np.ndarray) -> None:
+        """Events of a day in order of time, at most AT_ONCE at a time."""
+        if not self.subs:
+            return
+        scores = base[None, :] + jitters(self.mailed, seeds)
+        if starred.any():
+            among = np.flatnonzero(starred)
+            top = among[np.argmax(scores[:, among], axis=1)]
+            found = scores[np.arange(len(top)), top]
+            for m in np.flatnonzero(found > self.score):
+                self.best[m] = (int(at[top[m]]), int(ids[top[m]]), int(org[top[m]]))
+            self.score = np.maximum(self.score, found)
+        if not queued.any():
+            return
+        ids, at, org, scores = ids[queued], at[queued], org[queued], scores[:, queued]
+        if day != self.day:
+            self.day = day
+            self.days.append((np.empty(0, np.int64), np.empty(0), *(np.empty(0, np.int64) for _ in range(3))))
+            self.low = np.full(len(self.subs), -np.inf)
+        wide, low = 2 * self.reach, self.low
+        if scores.shape[1] > wide:  # the best few first; members for whom an organizer's limit leaves too few of them look at all
+            low = np.maximum(low, -np.partition(-scores, wide - 1, axis=1)[:, wide - 1])
+        kept = self.merged(scores, low, ids, at, org)
+        short = (np.bincount(kept[0], minlength=len(low)) < self.reach) & (low > self.low)
+        if short.any():
+            kept = self.merged(scores, np.where(short, self.low, low), ids, at, org)
+        self.days[-1] = kept
+        last = np.cumsum(sizes := np.bincount(kept[0], minlength=len(low)))
+        full = sizes == self.reach
+        self.low = np.where(full, kept[1][np.where(full, last - 1, 0)], -np.inf)
+
+    def merged(self, scores: np.ndarray, low: np.ndarray, ids: np.ndarray, at: np.ndarray, org: np.ndarray) -> tuple[np.ndarray, ...]:
+        who, which = np.nonzero(scores >= low[:, None])
+        both = [np.r_[a, b] for a, b in zip(self.days[-1], (who, scores[who, which], ids[which], at[which], org[which]))]
+        best = _limited(both[0], both[1], both[4], self.of_org, self.reach)
+        return tuple(c[best] for c in both)
+
+    def picks(self) -> Iterator[tuple]:
+        """(sub_id, id, place) of all members."""
+        size = len(self.subs)
+        queues = [(np.r_[0, np.cumsum(np.bincount(who, minlength=size))].tolist(), list(zip(at.tolist(), ids.tolist(), org.tolist()))) for who, _, ids, at, org in self.days]
+        for m, sub in enumerate(self.subs):
+            for place, pick in enumerate(sorted(self.chosen(self.best[m], [q[ends[m] : ends[m + 1]] for ends, q in queues])), 1):
+                yield sub, pick[1], place
+
+    def chosen(self, best: tuple | None, queues: list[list[tuple]]) -> list[tuple]:
+        """A member's picks, each (at, id, org): the featured one, turns of the days, then the two fills."""
+        picks: list[tuple] = []
+        seen, orgs = set(), {}
+
+        def take(e: tuple, limited: bool = True) -> bool:
+            if len(picks) >= self.most or e[1] in seen or (limited and orgs.get(e[2], 0) >= self.per_org):
+                return False
+            picks.append(e)
+            seen.add(e[1])
+            orgs[e[2]] = orgs.get(e[2], 0) + 1
+            return True
+
+        if best:
+            picks.append(best)
+            seen.add(best[1])
+            orgs[best[2]] = 1
+        # days with anything but the featured event; evenly spread ones if there are more than there is room for
+        days = [q for q in queues if any(e[1] not in seen for e in q[:2])]
+        room = self.most - len(picks)
+        if len(days) > room > 1:
+            days = [days[i] for i in dict.fromkeys(int(i * (len(days) - 1) / (room - 1) + 0.5) for i in range(room))]
+        waiting = [iter(q) for q in days]
+        while waiting and len(picks) < self.most:
+            waiting = [q for q in waiting if any(take(e) for e in q)]
+        for kind in (1, 2):
+            for e in self.fills[kind]:
+                take(e, kind == 1)
+        return picks
+
+
+def picked(batches: Iterator[pa.RecordBatch], most: int, per_org: int) -> Iterator[tuple]:
+    """(sub_id, id, place) of the picks of members whose parts are read one after the other, each in ORDER."""
+    part, key = None, None
+    for batch in batches:
+        named = dict(zip(batch.schema.names, batch.columns))
+        heads = list(zip(*(named[c].to_pylist() for c in ("profile", "part", "kind", "day"))))
+        starts = [i for i, h in enumerate(heads) if i == 0 or h != heads[i - 1]]
+        for first, end in ((a, min(a + AT_ONCE, b)) for s, b in zip(starts, [*starts[1:], len(heads)]) for a in range(s, b, AT_ONCE)):
+            profile, number, kind, day = heads[first]
+            if (profile, number) != key:
+                if part:
+                    yield from part.picks()
+                part, key = Part(most, per_org), (profile, number)
+            get = lambda c: named[c].slice(first, end - first)  # noqa: B023, E731
+            if kind == 0:
+                part.join(get("sub_id").to_pylist(), get("seed").to_numpy(zero_copy_only=False).astype(np.uint32))
+                continue
+            org = part.code(get("org").to_pylist())
+            values = [get(c).to_numpy(zero_copy_only=False) for c in ("id", "at", "base", "seed", "queued", "starred")]
+            if kind < 3:
+                part.fills[kind] += zip(values[1].tolist(), values[0].tolist(), org.tolist())
+            else:
+                part.meet(day, values[0], values[1], org, values[2], values[3].astype(np.uint32), values[4].astype(bool), values[5].astype(bool))
+    if part:
+        yield from part.picks()
 
 
 def digest(found: DataFrame, members: DataFrame, now: date, most: int = MOST, per_org: int = PER_ORG) -> DataFrame:
@@ -231,21 +319,37 @@ def digest(found: DataFrame, members: DataFrame, now: date, most: int = MOST, pe
 
     Of events with an image: the best featured one first; then one a day in turn, best first, from evenly spread days if there are
     too many; then the earliest that an organizer's limit allows; then the earliest.  Picks come in order of time.  The
-    jitter depends on subscriber, day and event alone, so a rerun gives the same mail.  What one subscriber gathers is
-    bounded by the days of a window and ``bounds``, whatever the number of events.
+    jitter depends on subscriber, day and event alone, so a rerun gives the same mail.
+
+    Members of a profile meet its reachable events in parts of MEMBERS, which sorted partitions stream; of a day a member keeps no
+    more than ``bounds``, so neither pairs of members and events nor queues are rows, and only picks leave a task.
     """
     of_org, reach = bounds(most, per_org)
-    pool = found.filter("image").select("profile", "id", "start_at", F.col("org").cast("string").alias("org"), "featured", F.col("base").cast("double").alias("base"), times.day_key(F.col("start_at")).alias("day"), fnv1a(F.col("id").cast("string")).alias("seed"))
+    day = times.day_key(F.col("start_at")).alias("day")
+    pool = found.filter("image").select("profile", "id", F.unix_micros("start_at").alias("at"), F.col("org").cast("string").alias("org"), "featured", F.col("base").cast("double").alias("base"), day)
     pool = materialize(pool, "pool")
-    members = materialize(members.select("sub_id", "profile", fnv1a(F.concat(F.col("sub_id").cast("string"), F.lit(f":{now:%Y-%m-%d}"))).alias("mailed")), "members")
-    starred = jittered(met(pool.filter("featured"), members), F.col("mailed").bitwiseXOR(F.col("seed")))
-    best = starred.groupBy("sub_id").agg(F.min(F.struct((-F.col("score")).alias("rank"), "start_at", "id", "org")).alias("best"))
-    days = queues(pool, members, most, per_org).groupBy("sub_id").agg(F.array_sort(F.collect_list(F.struct("day", "queue"))).alias("days"))
-    in_time = [F.asc("start_at"), F.asc("id")]
-    ranked = pool.withColumns({"o": F.row_number().over(Window.partitionBy("profile", "org").orderBy(*in_time))})
-    early = numbered(ranked.filter(F.col("o") <= of_org).select("profile", "start_at", "id", "org"), ["profile"], ["start_at", "id"], "r").filter(F.col("r") <= reach)
-    first = numbered(pool.select("profile", "start_at", "id", "org"), ["profile"], ["start_at", "id"], "r").filter(F.col("r") <= 2 * most)
-    listed = lambda rows, name: rows.groupBy("profile").agg(F.array_sort(F.collect_list(F.struct("r", "id", "start_at", "org"))).alias(name))
-    fills = listed(early, "early").join(listed(first, "first"), "profile")
-    chosen = days.join(best, "sub_id", "left").join(members.select("sub_id", "profile"), "sub_id").join(fills, "profile").select("sub_id", F.posexplode(picked(most, per_org)).alias("at", "pick"))
-    return chosen.select("sub_id", "pick.id", (F.col("at") + 1).alias("place"))
+    members = materialize(members.select("sub_id", "profile", fnv1a(F.concat(F.col("sub_id").cast("string"), F.lit(f":{now:%Y-%m-%d}"))).alias("seed")), "members")
+    near = materialize(reachable(pool, most, reach), "reachable")
+    in_time = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("at", "id"))
+    soon = near.filter("soon")
+    early = soon.withColumn("r", in_time("profile", "org")).filter(F.col("r") <= of_org).withColumn("r", in_time("profile")).filter(F.col("r") <= reach)
+    first = soon.withColumn("r", in_time("profile")).filter(F.col("r") <= 2 * most)
+    sizes = members.groupBy("profile").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("parts"))
+    columns = ["profile", "part", *ORDER, "sub_id", "org", "base", "seed", "queued", "starred"]
+    none = {c: F.lit(None).cast(near.schema[c].dataType) for c in ("id", "at", "org", "base", "day", "queued", "starred")}
+    dealt = members.join(sizes, "profile").withColumns({"part": F.pmod(F.xxhash64("sub_id"), F.col("parts")).cast("int"), "kind": F.lit(0), **none})
+    events = near.filter("queued OR starred").withColumns({"kind": F.lit(3), "seed": fnv1a(F.col("id").cast("string"))})
+    fills = [rows.withColumns({"kind": F.lit(k), "seed": F.lit(0).cast("long"), "day": F.lit(None).cast("string")}) for k, rows in ((1, early), (2, first))]
+    shown = [c for c in columns if c not in ("part", "sub_id")]
+    offered = events.select(*shown).unionByName(fills[0].select(*shown)).unionByName(fills[1].select(*shown))
+    offered = offered.join(sizes, "profile").withColumns({"part": F.explode(F.sequence(F.lit(0), F.col("parts") - 1)), "sub_id": F.lit(None).cast(members.schema["sub_id"].dataType)})
+    schema = StructType([members.schema["sub_id"], StructField("id", LongType()), StructField("place", IntegerType())])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = picked(batches, most, per_org)
+        while out := list(islice(made, 8192)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
+
+    both = dealt.select(*columns).unionByName(offered.select(*columns))
+    return both.repartition("profile", "part").sortWithinPartitions("profile", "part", *ORDER).mapInArrow(run, schema)
