@@ -124,13 +124,14 @@ def json_ld(html: Column) -> Column:
     """Array of the JSON objects in a page's ld+json blocks: lists and graphs flattened, malformed blocks left out."""
     blocks = F.regexp_extract_all(html, F.lit(r"""(?is)<script[^>]+type=["']application/ld\+json["'][^>]*>(.*?)</script>"""), F.lit(1))
 
-    def objects(block: Column) -> Column:
-        v = F.try_parse_json(F.trim(block))
+    def objects(v: Column) -> Column:
         graph, whole = F.try_variant_get(v, "$['@graph']", "array<variant>"), F.try_variant_get(v, "$", "array<variant>")
         each = F.coalesce(graph, whole, F.array(v))
         return F.filter(F.transform(each, lambda x: F.to_json(x)), lambda j: j.startswith("{"))
 
-    return F.flatten(F.transform(F.filter(blocks, lambda b: F.try_parse_json(F.trim(b)).isNotNull()), objects))
+    # each block is parsed once
+    parsed = F.filter(F.transform(blocks, lambda b: F.try_parse_json(F.trim(b))), lambda v: v.isNotNull())
+    return F.flatten(F.transform(parsed, objects))
 
 
 def schema_objects(objects: Column, *types: str) -> Column:
@@ -139,7 +140,9 @@ def schema_objects(objects: Column, *types: str) -> Column:
 
     def has(j: Column) -> Column:
         kind = F.get_json_object(j, "$['@type']")
-        return F.arrays_overlap(F.coalesce(F.from_json(kind, "array<string>"), F.array(kind)), wanted)
+        # only lists are parsed: a plain name is no JSON, and each failed parse costs an exception
+        listed = F.when(kind.rlike(r"^\s*\["), F.from_json(kind, "array<string>"))
+        return F.arrays_overlap(F.coalesce(listed, F.array(kind)), wanted)
 
     return F.filter(objects, lambda j: F.coalesce(has(j), F.lit(False)))
 
