@@ -271,6 +271,31 @@ def test_digest_equals_the_plain_choice(spark, monkeypatch, orgs, days, count):
         assert got[sub] == select_picks(own, digest.MOST, digest.PER_ORG)
 
 
+def test_calendar_lines_stay_in_their_feed(spark):
+    """A feed's events are read from its own row: quoted parts, nested blocks and repeated lines, and no shuffle."""
+    from tidewell.sources import calendars
+
+    body = "BEGIN:VCALENDAR\r\nBEGIN:VEVENT\r\nUID:1\r\nSUMMARY:a\r\nsummary;X=\"p:q;r\":b\r\n c\r\nBEGIN:VALARM\r\nUID:9\r\nEND:VALARM\r\n:none\r\nno colon\r\nEXDATE;TZID=\"Z\":1\r\nEXDATE:2\r\nEND:VEVENT\r\nUID:8\r\nBEGIN:VEVENT\r\nEND:VEVENT\r\nBEGIN:VEVENT\r\nUID:3\r\nEND:VEVENT\r\n"
+    feed = spark.createDataFrame([(1, body), (2, None), (3, "UID:4"), (4, "BEGIN:VCALENDAR\nBEGIN:VEVENT\nUID:5")], "feed_id long, body string")
+    made = calendars.events(feed)
+    got = {(r["feed_id"], r["component"]): (r["uid"], r["summary"], [(x["at"], x["value"], x["tzid"]) for x in r["exdate"]]) for r in made.collect()}
+    assert got == {(1, 1): ("1", "bc", [(5, "1", "Z"), (6, "2", None)]), (1, 3): ("3", None, []), (4, 1): ("5", None, [])}
+    assert [(r["name"], r["params"]) for r in calendars.properties(feed).filter("at = 2").collect()] == [("SUMMARY", {"X": "p:q;r"})]
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_structured_blocks_are_parsed_once(spark):
+    """Lists, graphs, several types and malformed blocks, with one parse of a block in the plan."""
+    from tidewell.sources import feeds
+
+    block = lambda j: f'<script type="application/ld+json">{j}</script>'
+    html = block('{"@type":"Event","n":1}') + block("{broken") + block('[{"@type":["Thing","Event"],"n":2},3]') + block('{"@graph":[{"@type":"Event","n":4},{"@type":"Place"},{"n":5}]}') + block('"Event"')
+    made = spark.createDataFrame([(html,), (None,)], "html string").select(feeds.schema_objects(feeds.json_ld(F.col("html")), "Event").alias("j"))
+    numbers = [[json.loads(j)["n"] for j in r["j"]] if r["j"] is not None else None for r in made.collect()]
+    assert numbers == [[1, 2, 4], None]
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
+
+
 def test_digest_writes_no_pairs_of_members_and_events(spark, monkeypatch):
     """Many members of a profile: what is written grows with events and with members, not with members' days."""
     from datetime import date, timedelta

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, MapType, StringType, StructType
 
 from tidewell.functions import text, times
 
@@ -11,45 +16,84 @@ from tidewell.functions import text, times
 NOON_NOTE = "The source lists a date without a start time; noon is shown as a placeholder."
 
 
-def properties(feeds: DataFrame, feed: str = "feed_id", body: str = "body") -> DataFrame:
-    """(feed, component, at, name, params, value) of each property line inside an event, nested blocks left out.
+HEAD = re.compile(r'((?:[^":]|"[^"]*")*):')
+PART = re.compile(r'(?:[^";]|"[^"]*")+')
+PROPERTY = StructType().add("at", IntegerType()).add("name", StringType()).add("params", MapType(StringType(), StringType())).add("value", StringType())
+COMPONENTS = ArrayType(StructType().add("component", IntegerType()).add("lines", ArrayType(PROPERTY)))
+
+
+def _read(body: str) -> Iterator[tuple[int, int, str, str]]:
+    """(event, at, head, value) of each property line inside an event of a calendar text; each line is read once."""
+    event, depth, at = 0, -1, -1
+    for line in re.split(r"\r?\n", re.sub(r"\r?\n[ \t]", "", body)):
+        line = line.strip(" ")
+        if line == "BEGIN:VEVENT":
+            event, depth = event + 1, 0
+        elif line == "END:VEVENT":
+            depth = -1
+        elif line and depth >= 0 and line.startswith(("BEGIN:", "END:")):
+            depth = depth + 1 if line.startswith("BEGIN:") else max(depth - 1, 0)
+        elif line and depth == 0:
+            at += 1
+            # a colon or semicolon inside quotes does not end a name or parameter
+            head = HEAD.match(line)
+            if head and head[1]:
+                yield event, at, head[1], line[head.end() :]
+
+
+@F.arrow_udf(COMPONENTS)
+def _components(bodies: pa.Array) -> pa.Array:
+    feeds, events, params, numbers = [0], [], [0], []
+    at, names, values, keys, items = [], [], [], [], []
+    for body in bodies.to_pylist():
+        last = 0
+        for event, place, head, value in _read(body or ""):
+            if event != last:
+                numbers.append(event)
+                events.append(len(at))
+                last = event
+            parts = PART.findall(head)
+            pairs = {k.upper(): re.sub('^"|"$', "", v) for k, _, v in (p.partition("=") for p in parts[1:65] if "=" in p)} if len(parts) > 1 else {}
+            keys += pairs
+            items += pairs.values()
+            params.append(len(keys))
+            at.append(place)
+            names.append(parts[0].upper() if parts else None)
+            values.append(value)
+        feeds.append(len(numbers))
+    events.append(len(at))
+    maps = pa.MapArray.from_arrays(pa.array(params, pa.int32()), pa.array(keys, pa.string()), pa.array(items, pa.string()))
+    lines = pa.StructArray.from_arrays([pa.array(at, pa.int32()), pa.array(names, pa.string()), maps, pa.array(values, pa.string())], ["at", "name", "params", "value"])
+    made = pa.StructArray.from_arrays([pa.array(numbers, pa.int32()), pa.ListArray.from_arrays(pa.array(events, pa.int32()), lines)], ["component", "lines"])
+    return pa.ListArray.from_arrays(pa.array(feeds, pa.int32()), made)
+
+
+def _each(feeds: DataFrame, feed: str, body: str) -> DataFrame:
+    """(feed, component, lines) of each event of the feeds: a text is read once, in order, and no line is a row of its own."""
+    found = feeds.filter(F.contains(F.col(body), F.lit("BEGIN:VCALENDAR"))).select(feed, F.explode(_components(F.col(body))).alias("c"))
+    return found.select(feed, "c.component", "c.lines")
 
-    Unfolding and splitting are expressions; blocks are numbered by higher-order functions over the feed's own lines, so a feed is one row
-    until its properties are exploded.
-    """
-    lines = F.filter(F.transform(F.split(text.unfold_ics(F.col(body)), r"\r?\n"), lambda line: F.trim(line)), lambda line: line != "")
-    start = F.struct(F.lit(0).alias("event"), F.lit(-1).alias("depth"), F.array().cast("array<struct<component:int,line:string>>").alias("out"))
-
-    def step(s: Column, line: Column) -> Column:
-        opens, closes = line.startswith("BEGIN:"), line.startswith("END:")
-        first, last = line == "BEGIN:VEVENT", line == "END:VEVENT"
-        depth = F.when(first, 0).when(last, -1).when(s["depth"] < 0, -1).when(opens, s["depth"] + 1).when(closes, F.greatest(s["depth"] - 1, F.lit(0))).otherwise(s["depth"])
-        inside = (s["depth"] == 0) & ~opens & ~closes
-        event = F.when(first, s["event"] + 1).otherwise(s["event"])
-        return F.struct(event.alias("event"), depth.alias("depth"), F.when(inside, F.concat(s["out"], F.array(F.struct(event.alias("component"), line.alias("line"))))).otherwise(s["out"]).alias("out"))
-
-    found = feeds.filter(F.contains(F.col(body), F.lit("BEGIN:VCALENDAR"))).select(feed, F.posexplode(F.aggregate(lines, start, step, lambda s: s["out"])).alias("at", "p"))
-    # a colon or semicolon inside quotes does not end a name or parameter
-    head = F.regexp_extract("p.line", r'^((?:[^":]|"[^"]*")*):', 1)
-    parts = F.regexp_extract_all(head, F.lit(r'((?:[^";]|"[^"]*")+)'), F.lit(1))
-    pairs = F.filter(F.slice(parts, 2, 64), lambda p: F.contains(p, F.lit("=")))
-    params = F.map_from_entries(F.transform(pairs, lambda p: F.struct(F.upper(F.split_part(p, F.lit("="), F.lit(1))).alias("k"), F.regexp_replace(F.regexp_replace(p, r"^[^=]*=", ""), r'^"|"$', "").alias("v"))))
-    rows = found.filter(head != "").select(
-        feed, F.col("p.component").alias("component"), "at", F.upper(F.get(parts, F.lit(0))).alias("name"), params.alias("params"), F.expr("substring(p.line, length(regexp_extract(p.line, '^((?:[^\":]|\"[^\"]*\")*):', 1)) + 2)").alias("value")
-    )
-    return rows
+
+def properties(feeds: DataFrame, feed: str = "feed_id", body: str = "body") -> DataFrame:
+    """(feed, component, at, name, params, value) of each property line inside an event, nested blocks left out."""
+    rows = _each(feeds, feed, body).select(feed, "component", F.explode("lines").alias("p"))
+    return rows.select(feed, "component", "p.at", "p.name", "p.params", "p.value")
 
 
 def events(feeds: DataFrame, feed: str = "feed_id", body: str = "body") -> DataFrame:
-    """One row for each event of the feeds: the properties below, dates with their parameters, repeated dates as arrays."""
-    p = properties(feeds, feed, body)
-    last = lambda name: F.max_by(F.when(F.col("name") == name, F.struct("value", "params")), F.when(F.col("name") == name, F.col("at")))
-    plain = lambda name: text.unescape_ics(last(name)["value"])
-    all_of = lambda name: F.array_sort(F.collect_list(F.when(F.col("name") == name, F.struct("at", "value", F.try_element_at("params", F.lit("TZID")).alias("tzid")))))
-    return p.groupBy(feed, "component").agg(
-        plain("UID").alias("uid"), plain("SUMMARY").alias("summary"), plain("DESCRIPTION").alias("description"), plain("LOCATION").alias("location"), plain("URL").alias("url"),
-        plain("CATEGORIES").alias("categories"), last("RRULE")["value"].alias("rrule"), last("DTSTART").alias("dtstart"), last("DTEND").alias("dtend"), last("RECURRENCE-ID").alias("recurrence_id"),
-        all_of("EXDATE").alias("exdate"), all_of("RDATE").alias("rdate"), F.coalesce(plain("X-ALT-IMAGE"), plain("X-IMAGE"), F.when(last("ATTACH")["value"].rlike(r"(?i)\.(png|jpe?g|gif|webp)(\?|$)"), last("ATTACH")["value"])).alias("image_url"),
+    """One row for each event of the feeds: the properties below, dates with their parameters, repeated dates as arrays.
+
+    A feed is one row, so its events come from its own lines, without a shuffle.
+    """
+    named = lambda name: F.filter("lines", lambda p: p["name"] == name)
+    value = lambda name: F.try_element_at(named(name), F.lit(-1))["value"]
+    last = lambda name: F.try_element_at(F.transform(named(name), lambda p: F.struct(p["value"].alias("value"), p["params"].alias("params"))), F.lit(-1))
+    plain = lambda name: text.unescape_ics(value(name))
+    all_of = lambda name: F.transform(named(name), lambda p: F.struct(p["at"].alias("at"), p["value"].alias("value"), F.try_element_at(p["params"], F.lit("TZID")).alias("tzid")))
+    return _each(feeds, feed, body).select(
+        feed, "component", plain("UID").alias("uid"), plain("SUMMARY").alias("summary"), plain("DESCRIPTION").alias("description"), plain("LOCATION").alias("location"), plain("URL").alias("url"),
+        plain("CATEGORIES").alias("categories"), value("RRULE").alias("rrule"), last("DTSTART").alias("dtstart"), last("DTEND").alias("dtend"), last("RECURRENCE-ID").alias("recurrence_id"),
+        all_of("EXDATE").alias("exdate"), all_of("RDATE").alias("rdate"), F.coalesce(plain("X-ALT-IMAGE"), plain("X-IMAGE"), F.when(value("ATTACH").rlike(r"(?i)\.(png|jpe?g|gif|webp)(\?|$)"), value("ATTACH"))).alias("image_url"),
     )
 
 
