@@ -119,10 +119,10 @@ def _touched(frame: DataFrame, columns: list[str], count: int) -> list[int]:
 
 
 def _write(frame: DataFrame, path: str, part: str, columns: list[str], known: Manifest, buckets: list[int]) -> None:
-    """Writes whole buckets, one task and file each, and names them in the manifest; a bucket without rows leaves it."""
+    """Writes whole buckets, a large one by several tasks, and names them in the manifest; a bucket without rows leaves it."""
     name = next(f"bucket{'_' * i}" for i in range(99) if f"bucket{'_' * i}" not in {c.lower() for c in frame.columns})
     folder = f"{part}-{known.version:010}-{uuid.uuid4().hex[:8]}"
-    frame.withColumn(name, _bucket(columns, known.count)).repartition(len(buckets), name).write.partitionBy(name).parquet(f"{path}/{folder}")
+    frame.withColumn(name, _bucket(columns, known.count)).hint("rebalance", name).write.partitionBy(name).parquet(f"{path}/{folder}")
     store, at = _store(frame.sparkSession, path)
     own = known.folders[part]
     for b in buckets:
@@ -158,11 +158,10 @@ def merge(batch: DataFrame, path: str, keys: list[str], order: str, by: str | No
     before = dict(known.folders["rows"])
     _write(fresh, path, "rows", known.place, known, buckets)
     if by is not None:
-        mine = batch.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys))).distinct()
-        same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
         was = _part(spark, path, Manifest(0, known.count, keys, by, known.place, known.schemas, {"rows": before}), "rows", buckets)
         now = _part(spark, path, known, "rows", buckets)
-        tally = lambda rows, one: rows.join(mine, same, "left_semi").groupBy(by).agg((F.count("*") * one).alias("n"))
+        # keys that are not in the batch have the same row before and after, so they cancel out
+        tally = lambda rows, one: rows.groupBy(by).agg((F.count("*") * one).alias("n"))
         change = tally(now, 1).unionByName(tally(was, -1)).groupBy(by).agg(F.sum("n").alias("n")).filter("n <> 0")
         groups = _touched(change, [by], known.count)
         if groups:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.functions.text import has_word, search_key
+from tidewell.scratch import materialize
 from tidewell.sources import keyed
 
 WORD = r"\w+"
@@ -25,7 +26,8 @@ def index(changed: DataFrame, path: str, count: int = 64, spread: int = 8) -> No
     """
     changed = changed.filter("id IS NOT NULL")
     parts = F.pmod(F.xxhash64("id"), F.lit(spread)).cast("int")
-    words = changed.select(F.explode(_words(F.col("text"))).alias("word"), parts.alias("part"), "id").withColumn("spread", F.lit(spread))
+    # written, as a merge reads its batch several times and words cost more to find than to read
+    words = materialize(changed.select(F.explode(_words(F.col("text"))).alias("word"), parts.alias("part"), "id").withColumn("spread", F.lit(spread)), "words")
     keyed.merge(words, f"{path}/words", ["word", "part", "id"], "id", "word", count, place=["word", "part"])
     keyed.merge(changed.select("id", "seq", "text"), f"{path}/texts", ["id"], "seq", count=count)
 
