@@ -124,3 +124,18 @@ def test_cost_grows_with_text_not_phrases(spark):
     many = Rules(tuple(Signal("c", 1, (f"{a}{b} word",)) for a in "abcdefghij" for b in "klmnopqrst"), classify.ASIDES)
     assert scores(read(spark, [("x", long)])[0])["music"] == 100
     assert scores(read(spark, [("ak word", long)], many)[0]) == {"c": 1}
+
+
+def test_only_signals_with_a_phrase_are_tested(monkeypatch):
+    """A text is tested for the signals whose phrases are in it, not for all."""
+    reader, tested, counts = signals.Reader(classify.RULES), [], signals.Reader.counts
+    monkeypatch.setattr(signals.Reader, "counts", lambda self, signal, *rest: tested.append(signal) or counts(self, signal, *rest))
+    assert reader.read(" jazz brunch large ring ", 13)["scores"] == [{"category": "music", "score": 40}, {"category": "food", "score": 100}]
+    assert len(tested) == 2 < len(classify.SIGNALS)
+    assert reader.read(" large ring ", 7) == {"scores": [], "family": False, "fundraiser": False, "rule": None, "terms": [], "suppressed": False}
+
+
+def test_rows_of_a_small_file_are_dealt_out(spark, sf_dir):
+    from tidewell.queries import QUERIES
+
+    assert QUERIES["category_scores"](spark, sf_dir).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism

@@ -165,7 +165,10 @@ RANKED = f"CASE WHEN len(k) = 0 THEN 'other' WHEN len(k) > 1 AND -k[2].lost >= {
 
 @query(f"WITH {_classified(f'SELECT p_partkey AS id, {_pick(TITLES, "p_partkey")} AS head, p_name AS body FROM part')} SELECT id, {RANKED} AS categories FROM read")
 def category_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = catalog.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.expr(_pick(TITLES, "p_partkey")).alias("title"), "p_name")
+    # a few MB of short rows are one split or two, so the rows are dealt out before they are read
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    p = catalog.table(spark, sf_dir, "part").select("p_partkey", "p_name").repartition(tasks)
+    p = p.select(F.col("p_partkey").alias("id"), F.expr(_pick(TITLES, "p_partkey")).alias("title"), "p_name")
     return p.select("id", F.array_join(classify.ranked(classify.scores(F.col("title"), F.col("p_name"))), ",").alias("categories"))
 
 
