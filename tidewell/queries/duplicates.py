@@ -120,7 +120,7 @@ def merge_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{PLANS_SQL} SELECT source, source_id, canonical_id, reason FROM al")
 def alias_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranked = ranked_members(spark, sf_dir)
-    return matching.alias_rows(ranked, matching.merge_plan(ranked), matching.tier_of_group(ranked))
+    return matching.alias_rows(ranked, matching.tier_of_group(ranked))
 
 
 @query(f"{_capped_sql(str(CAP))} SELECT group_id, outcome FROM ch")
