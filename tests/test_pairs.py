@@ -76,3 +76,8 @@ def rounded(rows):
 def test_jaccard_pairs_has_every_pair(spark, copies):
     want = [(a[0], b[0], share(a[1], b[1])) for a, b in ordered(parts(spark, copies), lambda r: r[0]) if a[3] == b[3] and a[1] & b[1]]
     assert rounded(QUERIES["jaccard_pairs"](spark, copies).select("a", "b", "similarity").collect()) == rounded(want)
+
+
+def test_dice_pairs_has_every_pair(spark, copies):
+    want = [(a[0], b[0], 2 * len(a[1] & b[1]) / (len(a[1]) + len(b[1]))) for a, b in ordered(parts(spark, copies), lambda r: r[0]) if a[2:] == b[2:]]
+    assert rounded(QUERIES["dice_pairs"](spark, copies).select("a", "b", "similarity").collect()) == rounded(want)

@@ -153,14 +153,13 @@ def absolute_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.table(spark, sf_dir, "pages").select("page_id", to(F.lit(" /a/b?c=1 ")).alias("rooted"), to(F.lit("//cdn.example/x.png")).alias("bare"), to(F.col("url")).alias("whole"))
 
 
-@query("""WITH w AS (SELECT min(p_partkey) AS id, count(*) AS n, list_distinct(string_split(p_name, ' ')) AS t, p_type, p_size FROM part GROUP BY p_name, p_type, p_size)
-  SELECT 'pair' AS part, a.id AS a, b.id AS b, round(2.0 * len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t)), 6) AS similarity FROM w a JOIN w b ON (a.id < b.id OR (a.id = b.id AND a.n > 1)) AND a.p_type = b.p_type AND a.p_size = b.p_size
-  UNION ALL SELECT 'member', min(p_partkey) OVER (PARTITION BY p_name, p_type, p_size), p_partkey, NULL FROM part""")
+@query("""WITH w AS (SELECT p_partkey AS id, list_distinct(string_split(p_name, ' ')) AS t, p_type, p_size FROM part) SELECT a.id AS a, b.id AS b, round(2.0 * len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t)), 6) AS similarity FROM w a JOIN w b ON a.id < b.id AND a.p_type = b.p_type AND a.p_size = b.p_size""")
 def dice_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of classes of parts with one name, type and size (with itself: copies), and members of the classes."""
-    made, members = joins.classes(catalog.table(spark, sf_dir, "part"), "p_partkey", "p_name", "p_type", "p_size")
-    similarity = F.round(text.dice(F.split("p_name_a", " "), F.split("p_name_b", " ")), 6).alias("similarity")
-    return joins.class_pairs(made, "p_type", "p_size").select(F.lit("pair").alias("part"), "a", "b", similarity).unionByName(members, allowMissingColumns=True)
+    """All pairs of parts of a type and size; each two names of a pack are compared once."""
+    p = catalog.table(spark, sf_dir, "part").filter("p_type IS NOT NULL AND p_size IS NOT NULL")
+    w = p.select(F.struct("p_type", "p_size").alias("g"), F.col("p_partkey").alias("id"), F.split("p_name", " ").alias("t"))
+    both = joins.item_pairs(joins.packs(w, "t")).withColumn("similarity", F.round(text.dice(F.col("item_a.t"), F.col("item_b.t")), 6))
+    return joins.smaller_first(both, "similarity")
 
 
 @query("""WITH c AS (SELECT min(s_suppkey) AS id, count(*) AS n, s_name, s_nationkey FROM supplier GROUP BY s_name, s_nationkey)
