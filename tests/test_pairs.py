@@ -81,3 +81,9 @@ def test_jaccard_pairs_has_every_pair(spark, copies):
 def test_dice_pairs_has_every_pair(spark, copies):
     want = [(a[0], b[0], 2 * len(a[1] & b[1]) / (len(a[1]) + len(b[1]))) for a, b in ordered(parts(spark, copies), lambda r: r[0]) if a[2:] == b[2:]]
     assert rounded(QUERIES["dice_pairs"](spark, copies).select("a", "b", "similarity").collect()) == rounded(want)
+
+
+def test_haversine_has_every_pair(spark, copies):
+    want = [(a["id"], b["id"], miles(a, b, 3959)) for a, b in ordered(venues(spark, copies), lambda v: v["id"]) if a["area"] == b["area"]]
+    got = sorted(tuple(r) for r in QUERIES["haversine"](spark, copies).select("a", "b", "digest").collect())
+    assert [r[:2] for r in got] == [w[:2] for w in sorted(want)] and all(abs(r[2] - w[2]) < 1e-5 for r, w in zip(got, sorted(want)))

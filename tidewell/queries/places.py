@@ -15,16 +15,14 @@ query = Registry()
 H_SQL = "pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lng - a.lng) / 2), 2)"
 
 
-@query(f"""WITH {VENUES_SQL}, c AS (SELECT min(id) AS id, count(*) AS n, area_id, lat, lng FROM ve GROUP BY area_id, lat, lng), j AS (SELECT a.id AS a, b.id AS b, {H_SQL} AS h FROM c a JOIN c b ON a.area_id = b.area_id AND (a.id < b.id OR (a.id = b.id AND a.n > 1)))
-  SELECT 'pair' AS part, a, b, round(2 * 3959 * atan2(sqrt(h), sqrt(1 - h)), 6) AS digest, round(2 * 3958.8 * asin(least(1, sqrt(h))), 6) AS plan, round(2 * 6371000 * atan2(sqrt(h), sqrt(1 - h)), 3) AS metres FROM j
-  UNION ALL SELECT 'member', min(id) OVER (PARTITION BY area_id, lat, lng), id, NULL, NULL, NULL FROM ve""")
+@query(f"""WITH {VENUES_SQL}, j AS (SELECT a.id AS a, b.id AS b, {H_SQL} AS h FROM ve a JOIN ve b ON a.area_id = b.area_id AND a.id < b.id)
+  SELECT a, b, round(2 * 3959 * atan2(sqrt(h), sqrt(1 - h)), 6) AS digest, round(2 * 3958.8 * asin(least(1, sqrt(h))), 6) AS plan, round(2 * 6371000 * atan2(sqrt(h), sqrt(1 - h)), 3) AS metres FROM j""")
 def haversine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distances of classes of venues of an area at one place (to itself: copies), and members of the classes."""
-    made, members = joins.classes(catalog.venues(spark, sf_dir), "id", "area_id", "lat", "lng")
-    c = [F.col(x) for x in ("lat_a", "lng_a", "lat_b", "lng_b")]
-    j = joins.class_pairs(made, "area_id")
-    pairs = j.select(F.lit("pair").alias("part"), "a", "b", F.round(geo.haversine(*c), 6).alias("digest"), F.round(geo.haversine_clamped(*c), 6).alias("plan"), F.round(geo.haversine(*c, geo.METRES), 3).alias("metres"))
-    return pairs.unionByName(members, allowMissingColumns=True)
+    """Distances of all pairs of venues of an area; each two places of a pack are measured once."""
+    v = catalog.venues(spark, sf_dir).select(F.col("area_id").alias("g"), "id", "lat", "lng")
+    c = [F.col(x) for x in ("item_a.lat", "item_a.lng", "item_b.lat", "item_b.lng")]
+    values = {"digest": F.round(geo.haversine(*c), 6), "plan": F.round(geo.haversine_clamped(*c), 6), "metres": F.round(geo.haversine(*c, geo.METRES), 3)}
+    return joins.smaller_first(joins.item_pairs(joins.packs(v, "lat", "lng")).withColumns(values), *values)
 
 
 @query(f"WITH {VENUES_SQL} SELECT printf('%.5f|%.5f', lat, lng) AS key, count(*) AS n FROM ve GROUP BY 1")
