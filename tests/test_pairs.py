@@ -87,3 +87,8 @@ def test_haversine_has_every_pair(spark, copies):
     want = [(a["id"], b["id"], miles(a, b, 3959)) for a, b in ordered(venues(spark, copies), lambda v: v["id"]) if a["area"] == b["area"]]
     got = sorted(tuple(r) for r in QUERIES["haversine"](spark, copies).select("a", "b", "digest").collect())
     assert [r[:2] for r in got] == [w[:2] for w in sorted(want)] and all(abs(r[2] - w[2]) < 1e-5 for r, w in zip(got, sorted(want)))
+
+
+def test_one_edit_pairs_has_every_pair(spark, copies):
+    want = [(a["id"], b["id"]) for a, b in ordered(venues(spark, copies), lambda v: v["id"]) if a["area"] == b["area"] and edits(a["name"], b["name"])]
+    assert rounded(QUERIES["one_edit_pairs"](spark, copies).select("a", "b").collect()) == rounded(want)

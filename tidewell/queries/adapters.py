@@ -162,15 +162,14 @@ def dice_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.smaller_first(both, "similarity")
 
 
-@query("""WITH c AS (SELECT min(s_suppkey) AS id, count(*) AS n, s_name, s_nationkey FROM supplier GROUP BY s_name, s_nationkey)
-  SELECT 'pair' AS part, a.id AS a, b.id AS b FROM c a JOIN c b ON a.s_nationkey = b.s_nationkey AND (a.id < b.id OR (a.id = b.id AND a.n > 1)) WHERE levenshtein(a.s_name, b.s_name) <= 1
-  UNION ALL SELECT 'member', min(s_suppkey) OVER (PARTITION BY s_name, s_nationkey), s_suppkey FROM supplier""")
+@query("SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey AND a.s_nationkey = b.s_nationkey WHERE levenshtein(a.s_name, b.s_name) <= 1")
 def one_edit_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of classes of suppliers with one name and nation (with itself: copies), and members of the classes."""
-    made, members = joins.classes(catalog.table(spark, sf_dir, "supplier"), "s_suppkey", "s_name", "s_nationkey")
-    copies = made.filter("n > 1 AND s_name IS NOT NULL AND s_nationkey IS NOT NULL").select(F.lit("pair").alias("part"), F.col("class_id").alias("a"), F.col("class_id").alias("b"))
-    near = joins.one_edit(made, "class_id", "s_name", "s_nationkey").select(F.lit("pair").alias("part"), "a", "b")
-    return near.unionByName(copies).unionByName(members)
+    """All pairs of suppliers of a nation with equal names or names one edit apart, from pairs of names."""
+    s = catalog.table(spark, sf_dir, "supplier").filter("s_name IS NOT NULL AND s_nationkey IS NOT NULL")
+    s = s.select(F.struct("s_nationkey", "s_name").alias("g"), F.col("s_suppkey").alias("id"), "s_nationkey", "s_name")
+    names = s.select("g", "s_nationkey", "s_name").distinct()
+    links = joins.one_edit(names, "g", "s_name", "s_nationkey").unionByName(names.select(F.col("g").alias("a"), F.col("g").alias("b")))
+    return joins.smaller_first(joins.item_pairs(joins.packs(s), links))
 
 
 @query(f"""WITH {EVENTS_SQL}, t AS (SELECT DISTINCT category, title, lower(title) AS low FROM ev) SELECT a.title AS a, b.title AS b FROM t a JOIN t b ON a.category = b.category AND a.title < b.title
