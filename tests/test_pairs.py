@@ -101,3 +101,8 @@ def test_venue_pairs_has_every_pair(spark, copies):
         by = {"EXACT": x == y, "ADDRESS": a["id"] % 40 == b["id"] % 40, "FUZZY": share(set(x.split()), set(y.split())) >= 0.6, "GEO": miles(a, b, 6_371_000) <= 75}
         want += [(a["id"], b["id"], signal) for signal, holds in by.items() if holds]
     assert rounded(QUERIES["venue_pairs"](spark, copies).select("a", "b", "signal").collect()) == rounded(want)
+
+
+def test_venue_address_pairs_has_every_pair(spark, copies):
+    want = [(a["id"], b["id"]) for a, b in ordered(venues(spark, copies), lambda v: v["id"]) if a["id"] % 40 == b["id"] % 40]
+    assert rounded(QUERIES["venue_address_pairs"](spark, copies).select("a", "b").collect()) == rounded(want)
