@@ -106,3 +106,8 @@ def test_venue_pairs_has_every_pair(spark, copies):
 def test_venue_address_pairs_has_every_pair(spark, copies):
     want = [(a["id"], b["id"]) for a, b in ordered(venues(spark, copies), lambda v: v["id"]) if a["id"] % 40 == b["id"] % 40]
     assert rounded(QUERIES["venue_address_pairs"](spark, copies).select("a", "b").collect()) == rounded(want)
+
+
+def test_venue_name_pairs_has_every_pair(spark, copies):
+    want = [(a["id"], b["id"]) for a, b in ordered(venues(spark, copies), lambda v: v["id"]) if (a["area"] == b["area"]) + (a["id"] % 3 == b["id"] % 3) >= 1]
+    assert rounded(QUERIES["venue_name_pairs"](spark, copies).select("a", "b").collect()) == rounded(want)
