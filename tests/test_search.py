@@ -1,9 +1,12 @@
 """A word index against the expression on every text."""
 
+import os
+import random
 import re
 import unicodedata
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidewell.sources import keyed, search
 
@@ -46,3 +49,32 @@ def test_an_empty_index(spark, tmp_path):
     assert search.find(spark, path, "any").collect() == []
     with pytest.raises(FileNotFoundError):
         search.find(spark, str(tmp_path / "none"), "any")
+
+
+def test_a_batch_shuffles_lists_once_and_leaves_no_intermediates(spark, tmp_path, monkeypatch):
+    """Postings of a second batch with common rows: a shuffle a table, of fewer bytes than one for each posting's row, and no words left in the shared folder."""
+    path, plans, written = str(tmp_path / "words"), [], []
+    make, place = keyed._merged, search.scratch
+    monkeypatch.setattr(keyed, "_merged", lambda *a: plans.append(make(*a)) or plans[-1])
+    monkeypatch.setattr(search, "scratch", lambda *a: written.append(place(*a)) or written[-1])
+    rows = spark.range(3000).select("id", F.col("id").alias("seq"), F.concat(F.lit("a common text of words and word"), F.col("id") % 20).alias("text"))
+    for left_out in (0, 1):
+        search.index(rows.filter(F.col("id") % 3 != left_out), path, count=4, spread=2)
+        search.clean(spark, path)
+    assert [p._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") for p in plans] == [1] * 4
+    assert len(written) == 2 and not any(os.path.exists(w.removeprefix("file:")) for w in written)
+    assert {r["n"] for r in keyed.counts_of(spark, f"{path}/words", ["common", "word7"]).collect()} == {3000, 150}
+    assert keyed.read(spark, f"{path}/words").groupBy("word", "part", "id").count().filter("count > 1").isEmpty()
+    assert len(os.listdir(f"{path}/words/_manifests")) <= 2 and sum(n.startswith("rows-") for n in os.listdir(f"{path}/words")) == 1
+    assert search.find(spark, path, "word7").count() == 150
+
+
+def test_rows_that_are_their_key_equal_a_set(spark, tmp_path):
+    """Nulls, repeats and batches with common rows, listed a few rows at a time."""
+    rng, path, known = random.Random(4), str(tmp_path / "t"), set()
+    for _ in range(3):
+        rows = [(rng.choice(["a", "b", None]), rng.choice([1, 2]), rng.choice([None, *range(30)])) for _ in range(80)]
+        known |= set(rows)
+        keyed.merge(spark.createDataFrame(rows, "word string, part int, id long"), path, ["word", "part", "id"], "id", "word", count=4, place=["word", "part"])
+        assert sorted(map(tuple, keyed.read(spark, path).collect()), key=str) == sorted(known, key=str)
+        assert {r["word"]: r["n"] for r in keyed.read_counts(spark, path).collect()} == {w: sum(k[0] == w for k in known) for w in {k[0] for k in known}}

@@ -10,10 +10,14 @@ from pyspark.sql import functions as F
 from tidewell.functions.text import override_locked
 
 
-def newest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """One row a key: the last by an order column; ties go to the largest row."""
-    last = F.max_by(F.struct(*rows.columns), F.struct(order, F.xxhash64(*rows.columns)))
-    return rows.groupBy(*keys).agg(last.alias("r")).select("r.*")
+def newest(rows: DataFrame, keys: list[str], order: str, *dealt: str) -> DataFrame:
+    """One row a key: the last by an order column; ties go to the largest row.
+
+    ``dealt`` are columns that keys tell, by which the rows are dealt out already: they stay, and rows are not dealt out again.
+    """
+    names = [c for c in rows.columns if c not in dealt]
+    last = F.max_by(F.struct(*names), F.struct(order, F.xxhash64(*names)))
+    return rows.groupBy(*dealt, *keys).agg(last.alias("r")).select("r.*", *dealt)
 
 
 def upsert(base: DataFrame, staged: DataFrame, keys: list[str], locks: str | None = None, protected: tuple[str, ...] = ()) -> DataFrame:

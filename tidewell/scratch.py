@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,10 +38,27 @@ def scratch(spark: SparkSession, tag: str) -> str:
 
 def release(spark: SparkSession) -> None:
     """Deletes all intermediate tables of this application: call it once results are written, as results read from them."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
+    discard(spark, own_dir(spark))
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes an intermediate table that nothing reads any more."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+@contextmanager
+def passing_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Within, shuffle files of a step go when it ends, not when the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def materialize(frame: DataFrame, tag: str) -> DataFrame:
     """Write ``frame`` to the shared folder and read it back: lineage ends here and lost executors cost nothing."""
     spark = frame.sparkSession

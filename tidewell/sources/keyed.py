@@ -9,15 +9,20 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from py4j.java_gateway import JavaObject
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, AtomicType, StructField, StructType
 
 from tidewell.operators.merge import newest
 
+#: Rows of which a task lists equal ones at a time.
+LISTED = 2_000_000
+
 
 @dataclass
 class Manifest:
@@ -118,11 +123,53 @@ def _touched(frame: DataFrame, columns: list[str], count: int) -> list[int]:
     return sorted(r[0] for r in frame.select(_bucket(columns, count)).distinct().collect())  # at most ``count`` numbers
 
 
-def _write(frame: DataFrame, path: str, part: str, columns: list[str], known: Manifest, buckets: list[int]) -> None:
-    """Writes whole buckets, a large one by several tasks, and names them in the manifest; a bucket without rows leaves it."""
-    name = next(f"bucket{'_' * i}" for i in range(99) if f"bucket{'_' * i}" not in {c.lower() for c in frame.columns})
+def _unused(frame: DataFrame, name: str) -> str:
+    return next(f"{name}{'_' * i}" for i in range(99) if f"{name}{'_' * i}" not in {c.lower() for c in frame.columns})
+
+
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lists the last column of rows that agree in all others, ``LISTED`` rows at a time."""
+
+    def listed(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held)
+        *others, last = rows.column_names
+        made = rows.group_by(others).aggregate([(last, "list")]).select([*others, f"{last}_list"]).rename_columns(rows.column_names)
+        yield from made.combine_chunks().to_batches(max_chunksize=10_000)
+
+    held, count = [], 0
+    for batch in batches:
+        held.append(batch)
+        count += batch.num_rows
+        if count >= LISTED:
+            yield from listed(held)
+            held, count = [], 0
+    if count:
+        yield from listed(held)
+
+
+def _merged(rows: DataFrame, known: Manifest, order: str, name: str, tasks: int) -> DataFrame:
+    """The newest row of each key with its bucket ``name``, a bucket in several tasks: rows are shuffled once, whole buckets at that.
+
+    Rows that are nothing but their key are shuffled as lists of its last column, so what they agree in goes along once for many.
+    """
+    names, share = rows.columns, _unused(rows, "share")
+    keys = [*known.place, *(k for k in known.keys if k not in known.place)]
+    plain = set(names) == set(keys) and keys[-1] not in known.place and all(isinstance(f.dataType, AtomicType) for f in rows.schema)
+    by = F.pmod(F.xxhash64(F.lit(1), *(keys[:-1] if plain else keys)), F.lit(tasks)).cast("int")
+    dealt = rows.withColumns({name: _bucket(known.place, known.count), share: by})
+    if not plain:
+        return newest(dealt.repartition(name, share), known.keys, order, name, share).drop(share)
+    dealt = dealt.select(name, share, *keys)
+    *others, last = dealt.schema.fields
+    lists = dealt.mapInArrow(_lists, StructType([*others, StructField(last.name, ArrayType(last.dataType))])).repartition(name, share)
+    each = lists.select(*(f.name for f in others), F.explode(last.name).alias(last.name)).distinct()
+    return each.sortWithinPartitions(name, *keys).select(*names, name)
+
+
+def _write(frame: DataFrame, path: str, part: str, name: str, known: Manifest, buckets: list[int]) -> None:
+    """Writes whole buckets by their column ``name`` and names them in the manifest; a bucket without rows leaves it."""
     folder = f"{part}-{known.version:010}-{uuid.uuid4().hex[:8]}"
-    frame.withColumn(name, _bucket(columns, known.count)).hint("rebalance", name).write.partitionBy(name).parquet(f"{path}/{folder}")
+    frame.write.partitionBy(name).parquet(f"{path}/{folder}")
     store, at = _store(frame.sparkSession, path)
     own = known.folders[part]
     for b in buckets:
@@ -154,9 +201,10 @@ def merge(batch: DataFrame, path: str, keys: list[str], order: str, by: str | No
         return []
     known.version += 1
     old = _part(spark, path, known, "rows", buckets)
-    fresh = newest(old.unionByName(batch.select(*names)), keys, order).select(*names)
-    before = dict(known.folders["rows"])
-    _write(fresh, path, "rows", known.place, known, buckets)
+    rows, before = old.unionByName(batch.select(*names)), dict(known.folders["rows"])
+    name = _unused(rows, "bucket")
+    tasks = -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // len(buckets))
+    _write(_merged(rows, known, order, name, tasks), path, "rows", name, known, buckets)
     if by is not None:
         was = _part(spark, path, Manifest(0, known.count, keys, by, known.place, known.schemas, {"rows": before}), "rows", buckets)
         now = _part(spark, path, known, "rows", buckets)
@@ -166,7 +214,8 @@ def merge(batch: DataFrame, path: str, keys: list[str], order: str, by: str | No
         groups = _touched(change, [by], known.count)
         if groups:
             whole = _part(spark, path, known, "counts", groups).unionByName(change).groupBy(by).agg(F.sum("n").alias("n")).filter("n <> 0")
-            _write(whole, path, "counts", [by], known, groups)
+            name = _unused(whole, "bucket")
+            _write(whole.withColumn(name, _bucket([by], known.count)).hint("rebalance", name), path, "counts", name, known, groups)
     _commit(spark, path, known)
     return buckets
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.functions.text import has_word, search_key
-from tidewell.scratch import materialize
+from tidewell.scratch import discard, passing_shuffles, scratch
 from tidewell.sources import keyed
 
 WORD = r"\w+"
@@ -24,12 +24,23 @@ def index(changed: DataFrame, path: str, count: int = 64, spread: int = 8) -> No
     running it again completes it.  A word's ids are spread over ``spread`` buckets, so none holds all of a frequent word.
     A row with a null text has no words; rows without an id are left out.
     """
-    changed = changed.filter("id IS NOT NULL")
+    spark, changed = changed.sparkSession, changed.filter("id IS NOT NULL")
     parts = F.pmod(F.xxhash64("id"), F.lit(spread)).cast("int")
     # written, as a merge reads its batch several times and words cost more to find than to read
-    words = materialize(changed.select(F.explode(_words(F.col("text"))).alias("word"), parts.alias("part"), "id").withColumn("spread", F.lit(spread)), "words")
-    keyed.merge(words, f"{path}/words", ["word", "part", "id"], "id", "word", count, place=["word", "part"])
-    keyed.merge(changed.select("id", "seq", "text"), f"{path}/texts", ["id"], "seq", count=count)
+    words = changed.select(F.explode(_words(F.col("text"))).alias("word"), parts.alias("part"), "id").withColumn("spread", F.lit(spread))
+    written = scratch(spark, "words")
+    with passing_shuffles(spark):
+        words.write.parquet(written)
+        # a row is nothing but its key, so batches meet as lists of ids
+        keyed.merge(spark.read.schema(words.schema).parquet(written), f"{path}/words", ["word", "part", "spread", "id"], "id", "word", count, place=["word", "part"])
+        discard(spark, written)
+        keyed.merge(changed.select("id", "seq", "text"), f"{path}/texts", ["id"], "seq", count=count)
+
+
+def clean(spark: SparkSession, path: str, keep: int = 1) -> None:
+    """Deletes what earlier batches wrote, but for the last ``keep`` states; not while a batch goes in or a search of an earlier one runs."""
+    for part in ("words", "texts"):
+        keyed.clean(spark, f"{path}/{part}", keep)
 
 
 def find(spark: SparkSession, path: str, term: str) -> DataFrame:
