@@ -59,8 +59,7 @@ def test_a_batch_shuffles_lists_once_and_leaves_no_intermediates(spark, tmp_path
     monkeypatch.setattr(search, "scratch", lambda *a: written.append(place(*a)) or written[-1])
     rows = spark.range(3000).select("id", F.col("id").alias("seq"), F.concat(F.lit("a common text of words and word"), F.col("id") % 20).alias("text"))
     for left_out in (0, 1):
-        search.index(rows.filter(F.col("id") % 3 != left_out), path, count=4, spread=2)
-        search.clean(spark, path)
+        search.index(rows.filter(F.col("id") % 3 != left_out), path, count=4, spread=2, keep=1)
     assert [p._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") for p in plans] == [1] * 4
     assert len(written) == 2 and not any(os.path.exists(w.removeprefix("file:")) for w in written)
     assert {r["n"] for r in keyed.counts_of(spark, f"{path}/words", ["common", "word7"]).collect()} == {3000, 150}
@@ -73,7 +72,7 @@ def test_rows_that_are_their_key_equal_a_set(spark, tmp_path):
     """Nulls, repeats and batches with common rows, listed a few rows at a time."""
     rng, path, known = random.Random(4), str(tmp_path / "t"), set()
     for _ in range(3):
-        rows = [(rng.choice(["a", "b", None]), rng.choice([1, 2]), rng.choice([None, *range(30)])) for _ in range(80)]
+        rows = [(rng.choice(["a", "b", None]), rng.choice([1, 2]), rng.choice([None, -1, 2**31, 2**63 - 1, -(2**63), *range(30)])) for _ in range(80)]
         known |= set(rows)
         keyed.merge(spark.createDataFrame(rows, "word string, part int, id long"), path, ["word", "part", "id"], "id", "word", count=4, place=["word", "part"])
         assert sorted(map(tuple, keyed.read(spark, path).collect()), key=str) == sorted(known, key=str)

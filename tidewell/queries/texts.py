@@ -93,8 +93,7 @@ def indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "words")
     d = catalog.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("seq"), "text")
     for left_out in (0, 1):
-        search.index(d.filter(F.col("id") % 3 != left_out), path, count=8, spread=2)
-        search.clean(spark, path)
+        search.index(d.filter(F.col("id") % 3 != left_out), path, count=8, spread=2, keep=1)
     return search.find(spark, path, "in the").select(F.col("id").alias("doc_id"))
 
 

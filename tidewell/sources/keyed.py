@@ -16,7 +16,7 @@ import pyarrow as pa
 from py4j.java_gateway import JavaObject
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, AtomicType, StructField, StructType
+from pyspark.sql.types import ArrayType, AtomicType, LongType, StructField, StructType
 
 from tidewell.operators.merge import newest
 
@@ -160,10 +160,16 @@ def _merged(rows: DataFrame, known: Manifest, order: str, name: str, tasks: int)
     if not plain:
         return newest(dealt.repartition(name, share), known.keys, order, name, share).drop(share)
     dealt = dealt.select(name, share, *keys)
+    long_ = isinstance(dealt.schema[keys[-1]].dataType, LongType)
+    if long_:  # lists hold the lower 31 bits, their rows the rest
+        high = _unused(dealt, "high")
+        dealt = dealt.select(name, share, *keys[:-1], F.shiftright(keys[-1], 31).alias(high), F.col(keys[-1]).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias(keys[-1]))
     *others, last = dealt.schema.fields
     lists = dealt.mapInArrow(_lists, StructType([*others, StructField(last.name, ArrayType(last.dataType))])).repartition(name, share)
-    each = lists.select(*(f.name for f in others), F.explode(last.name).alias(last.name)).distinct()
-    return each.sortWithinPartitions(name, *keys).select(*names, name)
+    each = lists.select(*(f.name for f in others), F.explode(last.name).alias(last.name))
+    if long_:
+        each = each.withColumn(last.name, F.shiftleft(high, 31).bitwiseOR(F.col(last.name).cast("long"))).drop(high)
+    return each.distinct().sortWithinPartitions(name, *keys).select(*names, name)
 
 
 def _write(frame: DataFrame, path: str, part: str, name: str, known: Manifest, buckets: list[int]) -> None:
@@ -203,7 +209,7 @@ def merge(batch: DataFrame, path: str, keys: list[str], order: str, by: str | No
     old = _part(spark, path, known, "rows", buckets)
     rows, before = old.unionByName(batch.select(*names)), dict(known.folders["rows"])
     name = _unused(rows, "bucket")
-    tasks = -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // len(buckets))
+    tasks = -(-4 * int(spark.conf.get("spark.sql.shuffle.partitions")) // len(buckets))  # several shares for a task, so tasks are alike
     _write(_merged(rows, known, order, name, tasks), path, "rows", name, known, buckets)
     if by is not None:
         was = _part(spark, path, Manifest(0, known.count, keys, by, known.place, known.schemas, {"rows": before}), "rows", buckets)

@@ -16,12 +16,13 @@ def _words(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(search_key(text), F.lit(WORD), F.lit(0)))
 
 
-def index(changed: DataFrame, path: str, count: int = 64, spread: int = 8) -> None:
+def index(changed: DataFrame, path: str, count: int = 64, spread: int = 8, keep: int | None = None) -> None:
     """Brings new and changed rows (id, seq, text) into the index at ``path``; of an id the row with the largest seq holds.
 
     Words go in before texts, each in one commit, and a word that a text has lost stays until the index is made anew: words
     only propose texts, which a search verifies.  So a run that breaks off leaves an index that finds what its texts hold, and
     running it again completes it.  A word's ids are spread over ``spread`` buckets, so none holds all of a frequent word.
+    With ``keep`` only so many states stay of words, then of texts, each once its batch is in: not while others search earlier ones.
     A row with a null text has no words; rows without an id are left out.
     """
     spark, changed = changed.sparkSession, changed.filter("id IS NOT NULL")
@@ -34,13 +35,11 @@ def index(changed: DataFrame, path: str, count: int = 64, spread: int = 8) -> No
         # a row is nothing but its key, so batches meet as lists of ids
         keyed.merge(spark.read.schema(words.schema).parquet(written), f"{path}/words", ["word", "part", "spread", "id"], "id", "word", count, place=["word", "part"])
         discard(spark, written)
+        if keep:
+            keyed.clean(spark, f"{path}/words", keep)
         keyed.merge(changed.select("id", "seq", "text"), f"{path}/texts", ["id"], "seq", count=count)
-
-
-def clean(spark: SparkSession, path: str, keep: int = 1) -> None:
-    """Deletes what earlier batches wrote, but for the last ``keep`` states; not while a batch goes in or a search of an earlier one runs."""
-    for part in ("words", "texts"):
-        keyed.clean(spark, f"{path}/{part}", keep)
+        if keep:
+            keyed.clean(spark, f"{path}/texts", keep)
 
 
 def find(spark: SparkSession, path: str, term: str) -> DataFrame:
